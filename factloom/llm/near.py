@@ -169,22 +169,23 @@ def candidates(reps: DataFrame, n_runs: int) -> DataFrame:
 
     rows = reps.select("rep", "sketch", F.explode(F.array(*map(F.lit, range(n_runs)))).alias("run"))
     level = counted(rows.select("rep", "run", F.xxhash64("run", key(0)).alias("bucket")), "buckets")
+    level = table(level.join(reps, "rep"), "buckets")  # sketches go along from here on
     found, depth = [], 0
     while True:
-        small = level.where(F.col("size") <= SMALL).join(reps, "rep").groupBy("bucket").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
+        small = level.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
         found.append(table(small.select("members").mapInArrow(_bucket_edges, "u long, v long").distinct(), "alike"))
         large = level.where(F.col("size") > SMALL)
         if not large.limit(1).count():
             break
         if depth == DEPTH + LEADERS:
-            parts = _blocks(large.join(reps, "rep"), F.ceil(F.col("size") / BLOCK), "bucket").select("bucket", "i", "j", "rep", "sketch")
+            parts = _blocks(large, F.ceil(F.col("size") / BLOCK), "bucket").select("bucket", "i", "j", "rep", "sketch")
             found.append(table(parts.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_edges, "u long, v long").distinct(), "alike"))
             break
-        leaders = large.groupBy("bucket").agg(F.first("leader").alias("lead")).join(reps.select(F.col("rep").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
-        near = table(large.join(reps, "rep").join(leaders, "bucket").withColumn("alike", _alike("sketch", "lead_sketch")).select("rep", "run", "bucket", "lead", "alike", key(depth + 1).alias("token")), "leaders")
+        leaders = large.where("rep = leader").select("bucket", F.col("rep").alias("lead"), F.col("sketch").alias("lead_sketch"))
+        near = table(large.join(leaders, "bucket").withColumn("alike", _alike("sketch", "lead_sketch")).select("rep", "run", "bucket", "sketch", "lead", "alike", key(depth + 1).alias("token")), "leaders")
         found.append(near.where(f"alike >= {LOW} and rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")))
         depth += 1
-        rest = near.where(f"alike < {HIGH} and rep <> lead").select("rep", "run", F.xxhash64("bucket", "token").alias("bucket") if depth <= DEPTH else F.col("bucket"))
+        rest = near.where(f"alike < {HIGH} and rep <> lead").select("rep", "run", "sketch", F.xxhash64("bucket", "token").alias("bucket") if depth <= DEPTH else F.col("bucket"))
         level = counted(rest, "buckets")
     out = found[0]
     for x in found[1:]:
