@@ -254,7 +254,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR,
     members = sets.join(groups, sets["rep"] == groups["node"]).select("rep", "root", "n", "p1", "p2", "copies")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     members = table(members.join(sizes, "root"), "members")
-    texts = src.join(members, src["doc_id"] == members["rep"]).select("rep", "root", "blocks", "copies", "p1", "p2", "text")
+    # one plan at every size: candidates grow with the input, so they are hashed by partition, and texts aren't sorted
+    texts = src.join(members.hint("shuffle_hash"), src["doc_id"] == members["rep"]).select("rep", "root", "blocks", "copies", "p1", "p2", "text")
     whole = texts.mapInArrow(_with_sets(words), "rep long, root long, blocks int, copies long, tokens binary")
     parts = _blocks(whole, F.col("blocks"), "root").select("root", "i", "j", "own", "rep", "copies", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     linked = table(parts.mapInArrow(_exact(similar), "u long, v long, texts long, docs long"), "links")
