@@ -15,7 +15,7 @@ def latest(log: DataFrame, order: str, *key: str) -> DataFrame:
 
 
 def active_seconds(events: DataFrame, kind: str, ts: str, order: str, *key: str, now: Column | None = None) -> DataFrame:
-    """Seconds between openers and the closers that follow; an open end lasts until `now`, by default the key's last event.
+    """Microseconds between openers and the closers that follow; an open end lasts until `now`, by default the key's last event.
 
     Runs of events of one side count as their first.
     """
@@ -24,7 +24,7 @@ def active_seconds(events: DataFrame, kind: str, ts: str, order: str, *key: str,
     d = events.withColumn("_last", F.max(ts).over(Window.partitionBy(*key))).withColumn("_side", side).where("_side is not null")
     d = d.withColumn("_was", F.lag("_side").over(w)).where("_was is null or _was <> _side").withColumn("_next", F.lead(ts).over(w)).where("_side = 1")
     end = F.coalesce("_next", now if now is not None else F.col("_last"))
-    return d.groupBy(*key).agg(F.sum(F.greatest(F.lit(0.0), end.cast("double") - F.col(ts).cast("double"))).alias("active_s"), F.count("*").alias("n_intervals"))
+    return d.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), F.unix_micros(end) - F.unix_micros(ts))).alias("active_us"), F.count("*").alias("n_intervals"))
 
 
 def timing_status(events: DataFrame, kind: str, ts: str, order: str, *key: str, most_s: float = 300) -> DataFrame:

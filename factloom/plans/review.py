@@ -24,10 +24,10 @@ def latest_decision(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_E}, m AS (SELECT *, max(ts) OVER (PARTITION BY user_id, day) AS final, CASE WHEN kind IN ('CASE_OPENED', 'CASE_RESUMED') THEN 1 WHEN kind <> 'EVIDENCE_JUMP' THEN 0 END AS side FROM e), s AS (SELECT *, lag(side) OVER (PARTITION BY user_id, day ORDER BY event_id) AS was FROM m WHERE side IS NOT NULL),
 c AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, day ORDER BY event_id) AS nxt FROM s WHERE was IS NULL OR was <> side)
-SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS n_intervals, round(sum(greatest(0, epoch_us(coalesce(nxt, final)) - epoch_us(ts)) / 1e6), 3) AS active_s FROM c WHERE side = 1 GROUP BY 1, 2""")
+SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS n_intervals, CAST(sum(greatest(0, epoch_us(coalesce(nxt, final)) - epoch_us(ts))) AS BIGINT) AS active_us FROM c WHERE side = 1 GROUP BY 1, 2""")
 def active_seconds(t: Tables) -> DataFrame:
     d = review.active_seconds(_log(t), "kind", "ts", "event_id", "user_id", "day")
-    return d.select("user_id", F.col("day").cast("string").alias("day"), "n_intervals", F.round("active_s", 3).alias("active_s"))
+    return d.select("user_id", F.col("day").cast("string").alias("day"), "n_intervals", "active_us")
 
 
 @query(f"""WITH {_E}, m AS (SELECT *, lag(kind) OVER (PARTITION BY user_id, day ORDER BY event_id) AS was FROM e WHERE kind <> 'EVIDENCE_JUMP'), c AS (SELECT *, CASE WHEN kind = 'CASE_PAUSED' THEN epoch_us(lead(ts) OVER (PARTITION BY user_id, day ORDER BY event_id)) - epoch_us(ts) END AS gap FROM m WHERE NOT (kind = 'CASE_PAUSED' AND coalesce(was, '') = 'CASE_PAUSED'))
