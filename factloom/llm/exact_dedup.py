@@ -136,11 +136,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = ["h1", "h2", "n_bytes"]
     several = prints.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_sha256")).alias("rep")).where("n > 1 and n_bytes > 0")
     members = prints.join(several, key).select("doc_id", "text_sha256", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha"))
-    members = table(members.distinct(), "members")  # doc_id, text_sha256: those to compare
-    reps = members.select("rep_id", "rep_sha").distinct()
-    # a representative's text is one row per group; with repeated ids the one whose digest fits
-    rep_text = texts.join(reps, texts["doc_id"] == reps["rep_id"]).where(F.sha2(F.translate("text", SPACES, ""), 256) == F.col("rep_sha")).groupBy("rep_id", "rep_sha").agg(F.min("text").alias("rep_text"))
-    pairs = texts.join(members, "doc_id").join(rep_text, ["rep_id", "rep_sha"]).select("doc_id", "text_sha256", "text", "rep_text")
+    members = table(members.distinct(), "members")  # those to compare
+    # the one shuffle of texts, hashed by partition at every size; with repeated ids the text whose digest fits
+    held = texts.join(members.hint("shuffle_hash"), "doc_id").where(F.sha2(F.translate("text", SPACES, ""), 256) == F.col("text_sha256"))
+    held = table(held, "held")
+    rep_text = held.where("doc_id = rep_id and text_sha256 = rep_sha").select("rep_id", "rep_sha", F.col("text").alias("rep_text")).dropDuplicates(["rep_id", "rep_sha"])
+    pairs = held.join(rep_text, ["rep_id", "rep_sha"]).select("doc_id", "text_sha256", "text", "rep_text")
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema.simpleString()[7:-1]
     differ = pairs.mapInArrow(_compare, f"{id_type}, text_sha256 string, same boolean").groupBy("doc_id", "text_sha256").agg(F.max("same").alias("same")).where("not same").select("doc_id", "text_sha256", F.col("text_sha256").alias("split"))
     split = prints.join(differ, ["doc_id", "text_sha256"], "left").withColumn("split", F.coalesce("split", F.lit("")))
