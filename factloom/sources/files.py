@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+# bytes 80 to 9F of windows-1252 as ISO-8859-1 reads them, and what they stand for; five are undefined
+UNDEFINED = "\x81\x8d\x8f\x90\x9d"
+CONTROLS = "".join(chr(i) for i in range(0x80, 0xA0) if chr(i) not in UNDEFINED)
+WINDOWS = CONTROLS.encode("latin-1").decode("cp1252")
 
 
-def read_manifest(spark: SparkSession, path: str, schema: StructType | str, encoding: str = "UTF-8") -> DataFrame:
-    """A whole-file JSON manifest."""
-    return spark.read.schema(schema).option("multiLine", True).option("encoding", encoding).json(path)
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8 if they are valid, else windows-1252 if all are defined there, else ISO-8859-1."""
+    latin = F.decode(content, "ISO-8859-1")
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).when(~latin.rlike(f"[{UNDEFINED}]"), F.translate(latin, CONTROLS, WINDOWS)).otherwise(latin)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Whole-file JSON manifests, each an object or an array of objects, in the first of three encodings that fits."""
+    rows = F.from_json(decoded(F.col("content")), ArrayType(StructType.fromDDL(schema) if isinstance(schema, str) else schema))
+    return spark.read.format("binaryFile").load(path).select(F.inline(rows))
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
