@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21  # bytes of text worked on at once; a longer text is worked on alone
+SLICE = 1 << 19  # bytes of text worked on at once: a task takes many times as much memory; a longer text is worked on alone
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
