@@ -35,7 +35,7 @@ WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
 SKETCH = 64
 SMALL, DEPTH, LEADERS = 64, 2, 2
 LOW, HIGH = 0.62, 0.88  # shares of equal sampled tokens: enough for a candidate; so close that the leader stands for it
-BLOCK, BLOCK_TOKENS = 512, 1 << 20  # members and tokens of a block, about
+BLOCK, BLOCK_TOKENS = 512, 1 << 18  # members and tokens of a block, about: two blocks are compared in some 100 MB
 _A = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
 
