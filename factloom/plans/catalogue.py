@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import extraction, lexemes, metrics, records, review  # noqa: F401  (they register their queries)
+from factloom.plans import extraction, fields, lexemes, metrics, records, review  # noqa: F401  (they register their queries)
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
