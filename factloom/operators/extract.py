@@ -123,7 +123,7 @@ def text_candidates(blocks: DataFrame, rules: dict[str, Rule] = RULES) -> DataFr
     d = d.select("*", F.posexplode(F.split("text", "[·•▪◦‣]")).alias("k", "part")).withColumn("part", _bare(F.col("part"))).where("part <> ''")
     d = d.withColumn("joined", F.when(F.get("nexts", 0).isNotNull(), F.concat("part", F.lit(" "), _bare(F.get("nexts", 0)["text"]))))
     hit = lambda name, rx: F.when(F.col("part").rlike(rx), F.struct(F.lit(name).alias("field"), F.lit(False).alias("merged"))).when(F.col("joined").rlike(rx), F.struct(F.lit(name).alias("field"), F.lit(True).alias("merged")))
-    d = d.select("*", F.inline(F.array_compact(F.array(*[hit(n, pattern(r)) for n, r in rules.items()]))))
+    d = d.select("*", F.inline_outer(F.array_compact(F.array(*[hit(n, pattern(r)) for n, r in rules.items()])))).where("field is not null")  # outer: no filter is inferred that would match all labels twice
     d = d.withColumns({"rx": _of_field({n: pattern(r) for n, r in rules.items()}), "labelled": F.when(F.col("merged"), F.col("joined")).otherwise(F.col("part"))})
     d = _parts(d, "labelled").withColumn("value", F.when(F.col("merged") & F.col("value").endswith(":"), "").otherwise(F.col("value")))
     d = d.withColumn("label", F.when(F.col("merged"), F.get("nexts", 0)).otherwise(F.struct("ix", "text")))
@@ -153,7 +153,7 @@ def table_candidates(rows: DataFrame, rules: dict[str, Rule] = RULES) -> DataFra
     w = Window.partitionBy("doc_id", "table").orderBy("row")
     d = rows.select("*", F.array(F.lead("cells", 1).over(w), F.lead("cells", 2).over(w)).alias("nexts"))
     d = d.select("*", F.posexplode("cells").alias("col", "cell")).withColumn("cell", _bare(F.col("cell"))).where("cell <> ''")
-    d = d.withColumn("field", F.explode(F.array_compact(F.array(*[F.when(F.col("cell").rlike(pattern(r)), F.lit(n)) for n, r in rules.items()]))))
+    d = d.withColumn("field", F.explode_outer(F.array_compact(F.array(*[F.when(F.col("cell").rlike(pattern(r)), F.lit(n)) for n, r in rules.items()])))).where("field is not null")
     d = d.withColumn("rx", _of_field({n: pattern(r) for n, r in rules.items()})).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "table", "field", F.lower(F.trim("cell"))))).where("times < 3")
     d = _parts(d, "cell")
     later = F.filter(F.slice("cells", F.col("col") + 2, F.size("cells")), lambda x: (F.coalesce(x, F.lit("")) != "") & ~F.rlike(x, F.col("rx")))
@@ -194,7 +194,9 @@ def observed(candidates: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame
         .when(kind == "benchmark", F.coalesce(L.norm_benchmark(raw), L.norm_benchmark(item))).when(kind == "spread", _plain(L.norm_spread(raw))).when(kind == "frequency", L.norm_frequency(raw)).when(kind == "dates_or_text", L.or_raw(L.norm_date(raw), raw))
         .when(kind == "text_or_percent", L.or_raw(percent, raw)).when(kind == "ranking", L.norm_ranking(raw)).when(kind == "subordination", L.norm_subordination(raw)).when(kind == "applicability", L.norm_applicability(raw)).otherwise(raw)
     )
-    d = d.withColumn("class", F.when(L.is_na(raw), "explicit_na").when(raw.rlike(REFERENCE), "cross_reference")).withColumn("normal", F.when(F.col("class").isNull(), normal))
+    named = F.when(L.is_na(raw), "explicit_na").when(raw.rlike(REFERENCE), "cross_reference")
+    d = d.select("*", F.explode(F.array(named)).alias("class"))
+    d = d.select("*", F.explode_outer(F.array(F.when(F.col("class").isNull(), normal))).alias("normal"))  # a generator, so the filter isn't pushed below it and normal forms are worked out once
     d = d.where("class is not null or normal is not null")
     value = F.when(F.col("class") == "explicit_na", "NOT_APPLICABLE").when(F.col("normal") != L.RAW_ONLY, F.col("normal"))
     return d.select("doc_id", "field", "source", "ix", "k", raw.alias("raw"), value.alias("value"), F.coalesce("class", F.when(F.col("normal") == L.RAW_ONLY, "raw_only").otherwise("anchored")).alias("class"))

@@ -36,6 +36,27 @@ def set_match(pred: Column, gold: Column) -> Column:
     return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), kind.alias("kind"))
 
 
+def accepted(o: dict[str, Column]) -> Column:
+    """Whether an observation counts as extracted: it is verified and has a value or a lexeme of its own."""
+    seen = o["status"].isin("OBSERVED", "DERIVED") & ~F.coalesce(o["class"].isin("VALUE_UNVERIFIED", "cross_reference"), F.lit(False))
+    return F.coalesce(seen & ~F.coalesce(o["value"] == "NOT_APPLICABLE", F.lit(False)) & (o["value"].isNotNull() | (F.coalesce(o["lexeme"], F.lit("")) != "")), F.lit(False))
+
+
+def acceptance(rows: DataFrame, *by: str) -> DataFrame:
+    """Scores of observations (status, class, value, lexeme) against what was wanted: PRESENT, MULTI or ABSENT; NA isn't scored.
+
+    Conflicts, references and what was said not to apply are misses. Empty denominators count as 1.
+    """
+    o = {c: F.col(c) for c in ("status", "class", "value", "lexeme")}
+    got, want = accepted(o), F.col("want")
+    miss = F.when(o["status"] == "CONFLICT", "CONFLICT").when(o["class"] == "cross_reference", "XREF").when(o["value"] == "NOT_APPLICABLE", "FN_NA").otherwise("FN")
+    d = rows.withColumn("kind", F.when(want.isin("PRESENT", "MULTI"), F.when(got, "TP").otherwise(miss)).when(want == "ABSENT", F.when(got, "FP").otherwise("TN")))
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    g = d.where("kind is not null").groupBy(*by).agg(n("TP").alias("tp"), n("FP").alias("fp"), n("FN", "FN_NA", "CONFLICT", "XREF").alias("fn"), n("TN").alias("tn"), n("CONFLICT").alias("of_conflict"), n("XREF").alias("of_xref"))
+    rate = lambda a, b: F.expr(f"({a}) / greatest(1, {b})")
+    return g.withColumns({"precision": rate("tp", "tp + fp"), "recall": rate("tp", "tp + fn"), "coverage": rate("tp + fp", "tp + fp + fn")})
+
+
 def tier(positives: Column) -> Column:
     return F.when(positives < 5, "UNDER_5").when(positives < 15, "5_TO_14").otherwise("15_AND_MORE")
 

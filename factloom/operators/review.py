@@ -58,3 +58,35 @@ def decision_error(d: dict[str, Column]) -> Column:
     """Which rule a decision breaks: value and evidence of what is confirmed, origin of what is found by hand, status of the rest."""
     confirmed = d["decision"] == "CONFIRMED"
     return first_error((d["decision"].isin("CONFIRMED", "CONFLICT", "MISSING", "NOT_APPLICABLE"), "bad decision"), (~confirmed | d["value"].isNotNull(), "confirmed without value"), (~confirmed | (d["n_evidence"] > 0), "confirmed without evidence"), ((d["origin"] != "MANUAL_DISCOVERY") | (d["n_evidence"] > 0), "discovery without evidence"), ((d["origin"] != "FIELD_STATUS") | d["decision"].isin("MISSING", "NOT_APPLICABLE"), "status of a value"))
+
+
+def value_in_page(tokens: Column, pages: Column) -> Column:
+    """Whether one of the pages holds all tokens of a value."""
+    return F.exists(pages, lambda p: F.forall(tokens, lambda t: F.contains(F.lower(p), F.lower(t))))
+
+
+def open_fields(cases: DataFrame, fields: tuple[str, ...], decisions: DataFrame, case: str = "case_id") -> DataFrame:
+    """Critical fields of each case without a decision; a review with any can't be submitted."""
+    wanted = cases.select(case, F.explode(F.array(*map(F.lit, fields))).alias("field")).distinct()
+    return wanted.join(decisions.select(case, "field"), [case, "field"], "left_anti")
+
+
+def navigation(events: DataFrame, decisions: DataFrame, *key: str) -> DataFrame:
+    """Counts of a review: jumps and pointers of decisions as navigation, those that hold, those into documents not allowed, decisions by origin.
+
+    events: key, kind, doc_id, allowed. decisions: key, decision, origin, doc_id, allowed, holds. Jumps without a document don't count.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    e = events.select(*key, "kind", none("string").alias("decision"), none("string").alias("origin"), "doc_id", "allowed", F.col("allowed").alias("holds"))
+    d = decisions.select(*key, F.lit("DECISION").alias("kind"), "decision", "origin", "doc_id", "allowed", "holds")
+    used = F.col("kind").isin("EVIDENCE_JUMP", "DECISION") & F.col("doc_id").isNotNull()
+    machine = F.col("origin") == "MACHINE_CANDIDATE"
+    return e.unionByName(d).groupBy(*key).agg(
+        F.count_if(used).alias("nav_used"), F.count_if(used & F.col("holds")).alias("nav_ok"), F.count_if(used & ~F.col("allowed")).alias("nav_wrongdoc"), F.count_if(F.col("kind") == "DOCUMENT_OPENED").alias("n_opened"),
+        F.count_if(F.col("decision") == "CONFIRMED").alias("confirmed"), F.count_if(F.col("origin") == "MANUAL_DISCOVERY").alias("n_manual"), F.count_if(machine & (F.col("decision") == "CONFIRMED")).alias("n_machine_confirmed"), F.count_if(machine & (F.col("decision") == "REJECTED")).alias("n_machine_rejected"),
+    )
+
+
+def masked(cases: DataFrame, mode: str, *hidden: str) -> DataFrame:
+    """Cases as a session sees them: in manual mode the columns of the machine's findings are NULL."""
+    return cases.withColumns({c: F.when(F.col(mode) != "MANUAL", F.col(c)) for c in hidden})

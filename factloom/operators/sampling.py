@@ -27,3 +27,15 @@ def pick(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
 def share(df: DataFrame, key: str, part: float, seed: int) -> DataFrame:
     """The first rows, that share of all, rounded."""
     return df.orderBy(hash_order(key, seed), key).limit(round(part * df.count()))
+
+
+def places(df: DataFrame, slice_: str, key: str, width: int = 65_536) -> DataFrame:
+    """Adds place: the number of each row within its slice by integer key, counted in ranges of keys.
+
+    A task numbers one range of one slice; where a range starts is a sum over the counts of ranges before it.
+    """
+    d = df.withColumn("_range", F.floor(F.col(key) / width))
+    n = d.groupBy(slice_, "_range").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.sum("_n").over(Window.partitionBy(slice_).orderBy("_range")) - F.col("_n")).drop("_n")
+    local = d.withColumn("place", F.row_number().over(Window.partitionBy(slice_, "_range").orderBy(key)).cast("long"))
+    return local.join(before, [slice_, "_range"]).select(*df.columns, (F.col("place") + F.col("_before")).alias("place"))

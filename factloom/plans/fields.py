@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import extract, layout
+from factloom.operators import extract, layout, metrics
 from factloom.plans.registry import Tables, query
 
 
@@ -47,3 +47,15 @@ def extract_failures(t: Tables) -> DataFrame:
     d = _sheets(t)
     r = extract.extract_by_section(d, layout.line_blocks(d).withColumnRenamed("block", "text"))
     return r.groupBy("field", "status", "failure").agg(F.count("*").alias("n"), F.count_distinct(F.array_join("values", "; ")).alias("n_values"))
+
+
+@query(f"""{_ALL}, w AS (SELECT field, coalesce(status, 'MISSING') AS status, class, nullif(value, '') AS value, list_extract(['PRESENT', 'MULTI', 'ABSENT', 'NA'], CAST((doc_id + length(field)) % 4 AS INT) + 1) AS want FROM f LEFT JOIN x USING (doc_id, field)),
+k AS (SELECT field, want, status = 'CONFLICT' AS conflict, status IN ('OBSERVED', 'DERIVED') AND coalesce(value, '') <> 'NOT_APPLICABLE' AS got FROM w WHERE want <> 'NA'),
+c AS (SELECT field, count(*) FILTER (want <> 'ABSENT' AND got) AS tp, count(*) FILTER (want = 'ABSENT' AND got) AS fp, count(*) FILTER (want <> 'ABSENT' AND NOT got) AS fn, count(*) FILTER (want = 'ABSENT' AND NOT got) AS tn, count(*) FILTER (want <> 'ABSENT' AND conflict) AS of_conflict, CAST(0 AS BIGINT) AS of_xref FROM k GROUP BY 1)
+SELECT *, tp / greatest(1, tp + fp) AS precision, tp / greatest(1, tp + fn) AS recall, (tp + fp) / greatest(1, tp + fp + fn) AS coverage FROM c""")
+def acceptance_metrics(t: Tables) -> DataFrame:
+    """Extracted fields of the sheets against what was wanted of them."""
+    d = _sheets(t)
+    r = extract.extract_all(d, layout.line_blocks(d).withColumnRenamed("block", "text"))
+    want = F.element_at(F.array(*map(F.lit, ("PRESENT", "MULTI", "ABSENT", "NA"))), ((F.col("doc_id") + F.length("field")) % 4).cast("int") + 1)
+    return metrics.acceptance(r.select("field", "status", "class", F.nullif(F.array_join("values", "; "), F.lit("")).alias("value"), "lexeme", want.alias("want")), "field")

@@ -190,7 +190,7 @@ def used_keys_anti(t: Tables) -> DataFrame:
 def work_split(t: Tables) -> DataFrame:
     """Every n-th row to a worker, with its place there."""
     d = t.orders.select("o_orderkey", (F.col("o_orderkey") % 4).alias("slice"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("slice").orderBy("o_orderkey")).cast("long"))
+    return sampling.places(d, "slice", "o_orderkey")
 
 
 @query("""

@@ -102,3 +102,42 @@ def authorized_docs(t: Tables) -> DataFrame:
     own = t.orders.select(F.col("o_custkey").alias("case_id"), mode.alias("mode"), F.concat(F.lit("D"), F.col("o_orderkey")).alias("id"))
     nodes = t.orders.where("o_custkey % 2 = 0").join(t.lineitem.where("l_quantity > 45"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"), F.lit("ASSISTED").alias("mode"), F.concat(F.lit("N"), F.col("l_partkey")).alias("id"))
     return own.unionByName(nodes).groupBy("case_id", "mode").agg(F.array_sort(F.collect_set("id")).alias("docs"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), p AS (SELECT doc_id, [array_to_string(x[1:10], chr(10)), array_to_string(x[11:20], chr(10))] AS pages, list_concat([lower(x[1][1:5])], CASE WHEN doc_id % 3 = 0 THEN ['zzqq'] ELSE [] END) AS tokens FROM l)
+SELECT doc_id, len(list_filter(pages, lambda p: len(list_filter(tokens, lambda t: NOT contains(lower(p), t))) = 0)) > 0 AS found FROM p""")
+def value_in_page(t: Tables) -> DataFrame:
+    """Whether one of two pages that a unit points to holds its value."""
+    x = F.split("text", "\n")
+    pages = F.array(F.array_join(F.slice(x, 1, 10), "\n"), F.array_join(F.slice(x, 11, 10), "\n"))
+    tokens = F.concat(F.array(F.substring(F.get(x, 0), 1, 5)), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("zzqq"))).otherwise(F.array().cast("array<string>")))
+    return t.documents.select("doc_id", review.value_in_page(tokens, pages).alias("found"))
+
+
+@query("SELECT c_custkey AS case_id, field FROM customer, (VALUES ('F0'), ('F1'), ('F2')) AS v(field) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND 'F' || (o_orderkey % 4) = field)")
+def submission_gaps(t: Tables) -> DataFrame:
+    """Critical fields of each customer's case that no order decides."""
+    decided = t.orders.select(F.col("o_custkey").alias("case_id"), F.concat(F.lit("F"), F.col("o_orderkey") % 4).alias("field"))
+    return review.open_fields(t.customer.select(F.col("c_custkey").alias("case_id")), ("F0", "F1", "F2"), decided)
+
+
+@query(f"""WITH {_E}, j AS (SELECT user_id, kind, CASE WHEN event_id % 5 <> 0 THEN event_id % 10 END AS doc, NULL AS decision, NULL AS origin, event_id % 10 < 7 AS allowed, event_id % 10 < 7 AS holds FROM e
+UNION ALL SELECT user_id, 'DECISION', event_id % 10, CASE event_id % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' ELSE 'CONFLICT' END, CASE WHEN event_id % 2 = 0 THEN 'MACHINE_CANDIDATE' ELSE 'MANUAL_DISCOVERY' END, event_id % 10 < 7, value > 20 FROM e WHERE kind = 'CASE_SUBMITTED'),
+u AS (SELECT *, kind IN ('EVIDENCE_JUMP', 'DECISION') AND doc IS NOT NULL AS used FROM j)
+SELECT user_id, count(*) FILTER (used) AS nav_used, count(*) FILTER (used AND holds) AS nav_ok, count(*) FILTER (used AND NOT allowed) AS nav_wrongdoc, count(*) FILTER (kind = 'DOCUMENT_OPENED') AS n_opened, count(*) FILTER (decision = 'CONFIRMED') AS confirmed, count(*) FILTER (origin = 'MANUAL_DISCOVERY') AS n_manual,
+count(*) FILTER (origin = 'MACHINE_CANDIDATE' AND decision = 'CONFIRMED') AS n_machine_confirmed, count(*) FILTER (origin = 'MACHINE_CANDIDATE' AND decision = 'REJECTED') AS n_machine_rejected FROM u GROUP BY 1""")
+def review_counters(t: Tables) -> DataFrame:
+    """Navigation and decisions of each reviewer."""
+    e, k = _log(t), F.col("event_id")
+    jumps = e.select("user_id", "kind", F.when(k % 5 != 0, k % 10).alias("doc_id"), (k % 10 < 7).alias("allowed"))
+    made = F.when(k % 3 == 0, "CONFIRMED").when(k % 3 == 1, "REJECTED").otherwise("CONFLICT")
+    decisions = e.where("kind = 'CASE_SUBMITTED'").select("user_id", made.alias("decision"), F.when(k % 2 == 0, "MACHINE_CANDIDATE").otherwise("MANUAL_DISCOVERY").alias("origin"), (k % 10).alias("doc_id"), (k % 10 < 7).alias("allowed"), (F.col("value") > 20).alias("holds"))
+    return review.navigation(jumps, decisions, "user_id")
+
+
+@query("SELECT c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN 'ASSISTED' ELSE 'MANUAL' END AS mode, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS graph, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS candidates FROM customer")
+def case_payload(t: Tables) -> DataFrame:
+    """Cases as a session sees them."""
+    d = t.customer.select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_custkey") % 2 == 0, "ASSISTED").otherwise("MANUAL").alias("mode"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("graph"), F.col("c_mktsegment").alias("candidates"))
+    return review.masked(d, "mode", "graph", "candidates")
