@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
 import statistics
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.lexemes import MONTHS_EN, MONTHS_ES
+
 
 def outcome(gold: Column, decision: Column, equal: Column) -> Column:
     """The class of a decision (NULL: none) against a gold status."""
@@ -123,17 +127,103 @@ def canonical_text(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-def same_values(a: list[str] | None, b: list[str] | None) -> bool:
-    """Whether two lists hold the same values in any order, as often: numbers by value, others by canonical text."""
-
-    def key(x: str | None) -> str:
-        t = canonical_text(x) or ""
+# Names of currencies in values that reviewers write, each with its code.
+WRITTEN_CURRENCIES = {
+    "eur": ("euro", "euros", "eur"),
+    "usd": ("dolar", "dolares", "dolar estadounidense", "dollar", "dollars", "us dollar", "usd", "dólar", "dólares", "dólar estadounidense", "dólares estadounidenses"),
+    "gbp": ("libra", "libras", "libra esterlina", "pound", "pounds", "pound sterling", "gbp"),
+    "chf": ("franco", "francos", "franco suizo", "swiss franc", "chf"),
+    "jpy": ("yen", "yenes", "jpy"),
+}
+_CODES = {name: code for code, names in WRITTEN_CURRENCIES.items() for name in names}
+_TOKEN = re.compile(r"\d[\d.,]*")
+_MONTH = {name: i for table in (MONTHS_ES, MONTHS_EN) for i, name in enumerate(table, 1)}
+_DATES = [re.compile(p) for p in (r"(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})\b", r"(?P<d>\d{1,2})(?: de)? (?P<w>[a-z]+)(?: de)? (?P<y>\d{4})\b", r"(?P<w>[a-z]+) (?P<d>\d{1,2}),? (?P<y>\d{4})\b", r"(?P<d>\d{1,2})[/\-](?P<m>\d{1,2})[/\-](?P<y>\d{4})\b")]
+
+
+def _one_number(token: str) -> float | None:
+    """A token of digits and separators: groups of three are thousands, of two kinds of separators the last is decimal."""
+    t = token.rstrip(".,")
+    if "." in t and "," in t:
+        group = min(".,", key=t.rfind)
+    else:
+        group = next((sep for sep in ".," if re.fullmatch(rf"\d{{1,3}}(\{sep}\d{{3}})+", t)), "")
+    try:
+        return float((t.replace(group, "") if group else t).replace(",", "."))
+    except ValueError:
+        return None
+
+
+class Reading:
+    """What a written value may denote; each reading is worked out when it is first asked for."""
+
+    def __init__(self, value: str | None):
+        self.raw = value or ""
+        self.text = canonical_text(self.raw)
+
+    @cached_property
+    def number(self) -> float | None:
         try:
-            return f"#{float(t.replace(',', '.')):g}#"
+            return float(self.raw.strip().replace(",", "."))
         except ValueError:
-            return t
+            return None
+
+    @cached_property
+    def date(self) -> tuple[int, int, int] | None:
+        for m in filter(None, (p.match(self.text) for p in _DATES)):
+            part = m.groupdict()
+            month = _MONTH.get(part["w"]) if "w" in part else int(part["m"])
+            if month:
+                return int(part["y"]), month, int(part["d"])
+        return None
+
+    @cached_property
+    def currency(self) -> str | None:
+        return _CODES.get(self.text)
+
+    @cached_property
+    def letters(self) -> str:
+        return re.sub("[^a-z0-9]", "", self.text)
+
+    @cached_property
+    def numbers(self) -> list[float]:
+        return [n for n in map(_one_number, _TOKEN.findall(self.raw)) if n is not None]
+
+    @cached_property
+    def canonical(self) -> str:
+        named = self.text
+        for name, code in _CODES.items():
+            named = re.sub(rf"\b{name}\b", code, named)
+        return _TOKEN.sub(lambda m: m[0] if _one_number(m[0]) is None else f"#{_one_number(m[0]):g}#", named)
+
+
+def same_scalar(a: Reading, b: Reading) -> bool:
+    """Whether two values denote the same: the first reading that both have decides; else one may hold the other with the same numbers."""
+    if a.number is not None and b.number is not None:
+        return a.number == b.number
+    if a.text == b.text:
+        return True
+    if a.date and b.date:
+        return a.date == b.date
+    if a.currency and b.currency:
+        return a.currency == b.currency
+    if a.letters and a.letters == b.letters or a.canonical == b.canonical:
+        return True
+    short, long = sorted((a.canonical, b.canonical), key=len)
+    return bool(short) and short in long and a.numbers == b.numbers
 
-    return sorted(map(key, a or [])) == sorted(map(key, b or []))
+
+def same_values(a: list[str] | None, b: list[str] | None) -> bool:
+    """Whether two lists hold the same values in any order, as often: each value takes the first equal one that is left."""
+    left = [Reading(x) for x in b or []]
+    if len(left) != len(a or []):
+        return False
+    for x in map(Reading, a or []):
+        twin = next((i for i, y in enumerate(left) if same_scalar(x, y)), None)
+        if twin is None:
+            return False
+        del left[twin]
+    return True
 
 
 def same_values_column(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import extract as E
-from factloom.operators import layout
+from factloom.operators import layout, metrics
 
 SHEET = """(i) Specified Currency: U.S. dollars
 Aggregate Nominal
@@ -67,3 +67,19 @@ def test_sections(docs):
     assert out[1, "spread"] == (None, "PARSING_MISS")
     assert out[2, "spread"] == (None, "LOCATION_MISS")
     assert out[2, "strike"] == (None, "PARSING_MISS")
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [
+    ("4.35%", "4.35% of the initial nominal investment", True), ("75%", "75% of initial price (2,472.165 pts)", False), ("50.000 euros", "50,000 EUR", True), ("ACT/ACT (ICMA)", "ACT_ACT_ICMA", True), ("2,50", "2.5", True), ("2.5", "2.6", False),
+    ("10 de septiembre de 2031", "10/09/2031", True), ("September 10, 2031", "2031-09-10", True), ("2031-09-10", "2031-09-11", False), ("Dólares", "USD", True), ("euro", "yen", False), ("ﬁxed", "FIXED", True), ("", "x", False), (None, "", True),
+])
+def test_same_scalar(a, b, want):
+    assert metrics.same_scalar(metrics.Reading(a), metrics.Reading(b)) is want
+    assert metrics.same_scalar(metrics.Reading(b), metrics.Reading(a)) is want
+
+
+def test_same_values_as_often():
+    assert metrics.same_values(["a", "a", "b"], ["b", "a", "A"])
+    assert not metrics.same_values(["a", "a", "b"], ["a", "b", "b"])
+    assert not metrics.same_values(["a"], ["a", "b"])
+    assert metrics.same_values(None, [])
