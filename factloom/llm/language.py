@@ -1,23 +1,27 @@
 """Language identification by cross-parsing entropy (operator 1).
 
-For each language a suffix automaton is built of a bounded amount of labelled text. A text is parsed from the left into the
+For each language a suffix automaton is built of the whole texts of a bounded number of labelled rows. A text is parsed from the left into the
 longest phrases that occur in the language's labelled text: the automaton is followed until it has no way on, then a phrase
 ends. The language whose text needs the fewest phrases wins, each phrase counted with log2 of the size of the labelled text,
 its price as a pointer. Parses restart every `LANE` characters, so many stretches of many texts are followed at once.
 
 Case is folded; what isn't a letter counts as one blank, runs of them as one. Null texts and texts without a letter are
 `und` with score 0; ties go to the language first in the alphabet. Each row is scored alone (repeated rows alike, empty
-tables give none), from its whole text and nothing else. Labelled rows with null id, text or language are not learned from; without
+tables give none), from its whole text and nothing else. The driver builds the automata, once; tasks get them as a broadcast. Labelled rows with null id, text or language are not learned from; without
 any labelled row, all is `und`.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,79 +29,126 @@ from factloom.llm.store import bounded_sample
 from factloom.llm.words import slices
 
 LANE = 512  # characters from one restart to the next
-DOCS = 400  # labelled rows read for each language, at most
-CHARS = 24_000  # labelled characters for each language, at most
-PER_DOC = 600  # of one labelled row
+DOCS = 400  # labelled rows learned from for each language, at most
 ALPHABET = 60  # symbols: blank, the most frequent letters, and one for all other letters
-END = np.uint32(1 << 31)
+NONE = 255  # the symbol of a state without a way on
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Labelled text by language, all that a task needs to build the automata: at most CHARS characters for each."""
+    """Labelled text by language, all that is needed to build the automata: whole texts of at most DOCS rows for each."""
 
     text: dict[str, str]
     letters: str
 
 
 def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from a bounded sample of the labelled rows: DOCS of each language, by the hash of their id."""
-    src = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, 4 * PER_DOC).alias("text"), F.col(lang_col).alias("lang"))
-    rows = bounded_sample(src, "id", DOCS, F.col("lang"))
+    """Learns from the whole texts of a bounded sample of the labelled rows: DOCS of each language, by hash."""
+    src = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     by: dict[str, list[str]] = {}
-    for r in rows:
-        text = " ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split())[:PER_DOC]
-        by.setdefault(r["_by"], []).append(text)
-    text = {}
-    for lang in sorted(by):
-        text[lang] = " ".join(t for t in by[lang] if t)[:CHARS]
+    for r in bounded_sample(src, "id", DOCS, F.col("lang")):
+        by.setdefault(r["_by"], []).append(" ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split()))
+    text = {lang: " ".join(t for t in by[lang] if t) for lang in sorted(by)}
     size = min(map(len, text.values()), default=0)
     count: dict[str, int] = {}
     for t in text.values():  # each language counts alike
-        for c in set(t) - {" "}:
-            count[c] = count.get(c, 0) + t.count(c) * (size + 1) // (len(t) + 1)
+        for c, n in Counter(t.replace(" ", "")).items():
+            count[c] = count.get(c, 0) + n * (size + 1) // (len(t) + 1)
     letters = "".join(sorted(count, key=lambda c: (-count[c], c))[: ALPHABET - 2])
     return LanguageModel({k: v for k, v in text.items() if v}, letters)
 
 
-def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """Rows of the suffix automaton of a text, flat: at state + symbol the next state's row, with END set where a phrase ends.
+class Automaton(NamedTuple):
+    """The suffix automaton of a text. States with several ways on come first, the root before all; the others have one or none.
 
-    At the end of a phrase the character that doesn't fit starts the next one, from the root.
+    Of state s among the first, the ways on are the set bits of ways[s], their targets from to[at[s]] on in order of the symbols.
+    Of the i-th of the others, the way on is only[i] and its target to[i - len(only)]. root: targets from the root, by symbol.
     """
-    nexts: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+
+    ways: np.ndarray
+    at: np.ndarray
+    only: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase ends: the character that doesn't fit starts the next one, from the root."""
+        many = state < len(self.ways)
+        s, i = np.where(many, state, 0), np.where(many, 0, state - len(self.ways))
+        bit = np.uint64(1) << c.astype(np.uint64)
+        ways = self.ways[s]
+        fits = np.where(many, ways & bit != 0, self.only[i] == c)
+        to = np.where(many, self.at[s] + np.bitwise_count(ways & (bit - np.uint64(1))), len(self.to) - len(self.only) + i)
+        return np.where(fits, self.to[np.where(fits, to, 0)], self.root[c]), ~fits
+
+
+def automaton(codes: np.ndarray, symbols: int) -> Automaton:
+    """Of the text's symbols; an unknown one is a phrase by itself and leads to the root."""
+    # A state's first way on is only and target; from the second on, more has them all.
+    only, target, more = array("B", [NONE]), array("I", [0]), [None]
+    link, length, last = array("i", [-1]), array("i", [0]), 0
     for c in codes.tolist():
-        cur = len(nexts)
-        nexts.append({})
+        cur = len(only)
+        only.append(NONE)
+        target.append(0)
+        more.append(None)
         length.append(length[last] + 1)
         link.append(0)
-        p = last
-        while p != -1 and c not in nexts[p]:
-            nexts[p][c] = cur
+        p, q = last, -1
+        while p != -1:
+            d = more[p]
+            if d is not None:
+                q = d.get(c, -1)
+                if q != -1:
+                    break
+                d[c] = cur
+            elif only[p] == c:
+                q = target[p]
+                break
+            elif only[p] == NONE:
+                only[p], target[p] = c, cur
+            else:
+                more[p] = {only[p]: target[p], c: cur}
             p = link[p]
         if p != -1:
-            q = nexts[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = len(nexts)
-                nexts.append(dict(nexts[q]))
+                clone = len(only)
+                only.append(only[q])
+                target.append(target[q])
+                more.append(None if more[q] is None else dict(more[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and nexts[p].get(c) == q:
-                    nexts[p][c] = clone
+                while p != -1:
+                    d = more[p]
+                    if d is not None:
+                        if d.get(c) != q:
+                            break
+                        d[c] = clone
+                    elif only[p] == c and target[p] == q:
+                        target[p] = clone
+                    else:
+                        break
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    if more[0] is None:
+        more[0] = {only[0]: target[0]} if only[0] != NONE else {}
+    many = np.fromiter((d is not None for d in more), bool, len(more))
+    new = np.where(many, np.cumsum(many) - 1, many.sum() + np.cumsum(~many) - 1).astype(np.uint32)
+    ways, at, to = np.zeros(many.sum(), np.uint64), np.zeros(many.sum(), np.uint32), array("I")
+    for i, d in enumerate(d for d in more if d is not None):
+        at[i], bits = len(to), 0
+        for c in sorted(d):
+            bits |= 1 << c
+            to.append(d[c])
+        ways[i] = bits
     root = np.zeros(symbols, np.uint32)
-    for c, s in nexts[0].items():
-        root[c] = s * symbols
-    table = np.tile(root | END, (len(nexts), 1))  # an unknown character is a phrase by itself and leads to the root
-    for i, d in enumerate(nexts):
-        for c, s in d.items():
-            table[i, c] = s * symbols
-    return table.reshape(-1)
+    for c, s in more[0].items():
+        root[c] = new[s]
+    rest = ~many
+    return Automaton(ways, at, np.append(np.frombuffer(only, np.uint8)[rest], np.uint8(NONE)), new[np.concatenate([np.frombuffer(to, np.uint32), np.frombuffer(target, np.uint32)[rest], [0]]).astype(np.uint32)], root)
 
 
 class Parser:
@@ -138,9 +189,8 @@ class Parser:
             m = going[t]
             c = codes[start[:m] + t].astype(np.uint32)
             for k, table in enumerate(self.tables):
-                s = table[state[k, :m] + c]
-                count[k, :m] += s >> np.uint32(31)
-                state[k, :m] = s & ~END
+                state[k, :m], ends = table.step(state[k, :m], c)
+                count[k, :m] += ends
         count += size > 0  # the phrase under way at a lane's end
         for k in range(len(self.langs)):
             out[k] = np.bincount(row, count[k], len(n))
@@ -171,24 +221,18 @@ class Parser:
         return langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
-_PARSERS: dict[tuple, Parser] = {}
-
-
-def parser(model: LanguageModel) -> Parser:
-    """Built once in each Python worker."""
-    key = (model.letters, *model.text.items())
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(model)
-    return _PARSERS[key]
+def shared(docs: DataFrame, model: LanguageModel) -> Broadcast:
+    """The parser of a model, built here and read once by each Python worker."""
+    return docs.sparkSession.sparkContext.broadcast(Parser(model))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = shared(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(model)
+        p = own.value
         for batch in batches:
             langs, scores = p.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -198,9 +242,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Rows whose text is in some language; columns as they are."""
+    own = shared(docs, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(model)
+        p = own.value
         for batch in batches:
             langs, _ = p.predict(batch.column(text_col))
             yield batch.filter(pa.array([x != "und" for x in langs], pa.bool_()))
