@@ -44,20 +44,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, n: int, by: Column | None = None) -> list:
-    """About `n` rows of `df` (per value of `by`), those whose key has the smallest hash: the same rows at any partitioning.
+    """About `n` rows of `df` (per value of `by`), those with the smallest hash of key and content: the same rows at any partitioning.
 
-    Counts first, then reads only rows under a hash threshold, so no group is gathered; at most about 1.5 `n` + 100
-    rows per value reach the driver. Rows with a null key can't be sampled.
+    Counts first, then reads only rows under a hash threshold, so no group is gathered. Rows that are the same in all columns are
+    one, before they leave their task; at most about 1.5 `n` + 100 rows per value reach the driver, also where ids or rows
+    repeat. Rows with a null key can't be sampled.
     """
     spark = df.sparkSession
     by = F.lit(0) if by is None else by
-    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    h = F.shiftrightunsigned(F.xxhash64(key, *[c for c in df.columns if c != key]), 2)
     df = df.where(F.col(key).isNotNull()).withColumns({"_by": by, "_h": h}).where("_by is not null")
-    counts = df.groupBy("_by").count().collect()
+    counts = df.groupBy("_by").agg(F.approx_count_distinct("_h", 0.02).alias("count")).collect()
     if not counts:
         return []
-    limits = spark.createDataFrame([(r["_by"], int(min(1.0, (1.3 * n + 60) / r["count"]) * (1 << 30))) for r in counts], schema=f"_by {df.schema['_by'].dataType.simpleString()}, _limit long")
-    rows = df.join(F.broadcast(limits), "_by").where("_h <= _limit").drop("_limit").collect()  # limits: one row per value
+    limits = spark.createDataFrame([(r["_by"], int(min(1.0, (1.3 * n + 60) / max(r["count"], 1)) * (1 << 62))) for r in counts], schema=f"_by {df.schema['_by'].dataType.simpleString()}, _limit long")
+    rows = df.join(F.broadcast(limits), "_by").where("_h <= _limit").drop("_limit").distinct().collect()  # limits: one row per value
     out, seen = [], {}
     for r in sorted(rows, key=lambda r: (r["_h"], str(r[key]))):
         seen[r["_by"]] = seen.get(r["_by"], 0) + 1
