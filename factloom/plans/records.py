@@ -201,11 +201,27 @@ def case_assembly(t: Tables) -> DataFrame:
     """Two sources of cases, the first overriding the second, with their documents."""
     a = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("case_id"), F.lit("P0").alias("origin"))
     b = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("case_id"), F.lit("DEV").alias("origin"))
+    return _assembled(a, b, t.orders)
+
+
+def _assembled(a: DataFrame, b: DataFrame, orders: DataFrame) -> DataFrame:
     cases = a.unionByName(b.join(a, "case_id", "left_anti"))
-    docs = t.orders.groupBy(F.col("o_custkey").alias("case_id")).agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("docs"), F.count("*").alias("n_candidates"))
+    docs = orders.groupBy(F.col("o_custkey").alias("case_id")).agg(F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("docs"), F.count("*").alias("n_candidates"))
     return cases.join(docs, "case_id", "left").withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0))})
 
 
+@query("""
+WITH a AS (SELECT c_custkey AS case_id, 'P0' AS origin FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')), b AS (SELECT c_custkey AS case_id, 'DEV' AS origin FROM customer WHERE coalesce(c_mktsegment, '') NOT IN ('AUTOMOBILE', 'BUILDING')),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE case_id NOT IN (SELECT case_id FROM a))
+SELECT case_id, origin, list_sort(list(DISTINCT CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey IS NOT NULL)) AS docs, count(o_orderkey) AS n_candidates FROM u LEFT JOIN orders ON o_custkey = case_id GROUP BY 1, 2""")
+def case_assembly_all(t: Tables) -> DataFrame:
+    """Two sources that overlap and together have all customers."""
+    case, segment = F.col("c_custkey").alias("case_id"), F.coalesce("c_mktsegment", F.lit(""))
+    a = t.customer.where(segment.isin("AUTOMOBILE", "BUILDING", "FURNITURE")).select(case, F.lit("P0").alias("origin"))
+    b = t.customer.where(~segment.isin("AUTOMOBILE", "BUILDING")).select(case, F.lit("DEV").alias("origin"))
+    return _assembled(a, b, t.orders)
+
+
 @query("SELECT doc_id, sha256(text) AS sha, sha256(text) = CASE WHEN doc_id % 13 = 0 THEN sha256(text || ' ') ELSE sha256(text) END AS sealed FROM documents")
 def seal_verify(t: Tables) -> DataFrame:
     """Recorded digests against those of the texts as they are."""
