@@ -2,36 +2,61 @@
 
 For every speaker of a conversation (every role but `system`) the dialogue is rendered with that speaker as the assistant,
 the other speakers as users with their names, and system turns as they are. The mask holds the stretches to train on: text
-and end mark of that speaker's turns. A dialogue is rendered in parts of TURNS turn numbers, so that a conversation of any
-length never meets in one task; a part's rows are ordered by turn, role and text, and its mask counts code points from its
-start. Joining the parts in order gives the whole dialogue.
+and end mark of that speaker's turns.
 
-Null texts count as empty. A null role is a speaker named `unknown` who is never the assistant. Null conversation ids form
-one conversation; null turns come first, in part -1. Repeated rows are rendered as often as they come. Conversations of
-system turns alone have no speaker and give no row. An empty table gives none; other columns are ignored.
+Turns stand in the order of turn number, then of a short digest of role and text, then of role and text. A dialogue is
+rendered in parts of TURNS turn numbers, and a part with more than ROWS rows in pieces of ROWS rows, so that no conversation
+meets in one task, also if turn numbers recur or are null. A row's place in its part is a sum of counts of the turn numbers
+and digests before it, of which a part has a bounded number. A piece's mask counts code points from its start; `at` is where the piece
+starts in the whole dialogue, which is the pieces joined in order.
+
+Null texts count as empty. A null role is a speaker named `unknown` who is never the assistant, whether another speaker has
+that name or not. Null conversation ids form one conversation; null turns come first, in part -1. Repeated rows are rendered
+as often as they come. Conversations of system turns alone have no speaker and give no row. In texts and names `<|` is
+written `< |`, and line ends in names are blanks, so no turn can forge a mark or a head. An empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TURNS = 64
+TURNS, ROWS = 64, 256
+DIGESTS = 2  # hex digits of the digest that splits rows of one turn number
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def _head(role: Column, speaker: Column) -> Column:
-    return F.concat(F.lit(START), F.when(role == speaker, F.lit("assistant")).when(role == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), role)), F.lit("\n"))
+def _safe(text: Column) -> Column:
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
+
+
+def _head(role: Column, mine: Column) -> Column:
+    return F.concat(F.lit(START), F.when(mine, F.lit("assistant")).when(role == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), role)), F.lit("\n"))
+
+
+def _placed(t: DataFrame, per_piece: int) -> DataFrame:
+    """Adds the piece that a row of a part is in."""
+    group = ["conv_id", "part"]
+    n = t.groupBy(*group, "turn", "digest").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*group).orderBy(F.col("turn").asc_nulls_first(), "digest")
+    before = n.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("turn").alias("_turn"), F.col("digest").alias("_digest"), (F.sum("n").over(w) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*group, "turn", "digest").orderBy("role", "nameless", "said"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("digest") == F.col("_digest"))
+    return t.withColumn("own", own).join(before, same).withColumn("piece", F.floor((F.col("before") + F.col("own") - 1) / per_piece).cast("long")).select(*t.columns, "piece")
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_part: int = TURNS) -> DataFrame:
-    """conv_id, speaker, part, n_turns, text, mask (`start:length` of each stretch, joined by commas), n_trained."""
-    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("said"), F.col(role_col).isNull().alias("nameless"))
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_part: int = TURNS, per_piece: int = ROWS) -> DataFrame:
+    """conv_id, speaker, part, piece, at, n_turns, text, mask (`start:length` of each stretch, joined by commas), n_trained."""
+    role = F.translate(_safe(F.col(role_col)), "\r\n", "  ")
+    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.when(F.col(role_col).isNull(), "unknown").otherwise(role).alias("role"), _safe(F.col(text_col)).alias("said"), F.col(role_col).isNull().alias("nameless"))
+    t = t.withColumns({"part": F.coalesce(F.floor(F.col("turn") / per_part), F.lit(-1)).cast("long"), "digest": F.left(F.md5(F.concat_ws("\n", "role", "said").cast("binary")), F.lit(DIGESTS))})
     speakers = t.where("role <> 'system' and not nameless").select(F.col("conv_id").alias("conv"), F.col("role").alias("speaker")).distinct()
-    both = t.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv")))  # each turn once for each speaker of its conversation
-    both = both.withColumns({"part": F.coalesce(F.floor(F.col("turn") / per_part), F.lit(-1)).cast("long"), "head": _head(F.col("role"), F.col("speaker"))})
-    line = F.struct("turn", "role", "said", F.concat("head", "said", F.lit(END + "\n")).alias("line"), F.length("head").alias("head"), (F.length("said") + len(END)).alias("own"), (F.col("role") == F.col("speaker")).alias("mine"))
-    parts = both.groupBy("conv_id", "speaker", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    both = _placed(t, per_piece).join(speakers, F.col("conv_id").eqNullSafe(F.col("conv")))  # each turn once for each speaker of its conversation
+    both = both.withColumn("mine", (F.col("role") == F.col("speaker")) & ~F.col("nameless")).withColumn("head", _head(F.col("role"), F.col("mine")))
+    line = F.struct("turn", "digest", "role", "nameless", "said", F.concat("head", "said", F.lit(END + "\n")).alias("line"), F.length("head").alias("head"), (F.length("said") + len(END)).alias("own"), "mine")
+    key = ["conv_id", "speaker", "part", "piece"]
+    parts = both.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -39,20 +64,27 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         return F.struct((acc["at"] + F.length(x["line"])).alias("at"), F.when(x["mine"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), (acc["n"] + F.when(x["mine"], x["own"]).otherwise(0)).alias("n"))
 
     done = parts.withColumn("m", F.aggregate("lines", start, step))
-    return done.select("conv_id", "speaker", "part", F.size("lines").cast("long").alias("n_turns"), F.array_join(F.col("lines.line"), "").alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").alias("n_trained"))
+    done = done.select(*key, F.size("lines").cast("long").alias("n_turns"), F.array_join(F.col("lines.line"), "").alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").alias("n_trained"))
+    # where each piece starts, from the lengths alone: one small row a piece
+    length = both.groupBy(*key).agg(F.sum(F.length("head") + F.length("said") + len(END) + 1).alias("length"))
+    at = length.select(*(F.col(k).alias("_" + k) for k in key), (F.sum("length").over(Window.partitionBy("conv_id", "speaker").orderBy("part", "piece")) - F.col("length")).alias("at"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("speaker") == F.col("_speaker")) & (F.col("part") == F.col("_part")) & (F.col("piece") == F.col("_piece"))
+    return done.join(at, same).select(*key, "at", "n_turns", "text", "mask", "n_trained")
 
 
 SQL = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, role IS NULL AS nameless FROM conversations),
+WITH r AS (SELECT conv_id, turn, role IS NULL AS nameless, coalesce(replace(replace(replace(role, '<|', '< |'), chr(13), ' '), chr(10), ' '), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+t AS (SELECT *, coalesce(CAST(floor(turn / {TURNS}) AS BIGINT), -1) AS part, left(md5(role || chr(10) || said), {DIGESTS}) AS digest FROM r),
+q AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, digest, role, nameless, said) - 1) // {ROWS} AS piece FROM t),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system' AND NOT nameless),
-b AS (SELECT t.*, s.speaker, coalesce(CAST(floor(turn / {TURNS}) AS BIGINT), -1) AS part,
-        '{START}' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
-      FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-l AS (SELECT *, head || said || '{END}' || chr(10) AS line FROM b),
+b AS (SELECT q.*, s.speaker, role = speaker AND NOT nameless AS mine FROM q JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id),
+h AS (SELECT *, '{START}' || CASE WHEN mine THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head FROM b),
+l AS (SELECT *, head || said || '{END}' || chr(10) AS line FROM h),
 o AS (SELECT *, row_number() OVER w AS k, sum(length(line)) OVER (w ROWS UNBOUNDED PRECEDING) - length(line) + length(head) AS pos
-      FROM l WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, said, line))
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(line, '' ORDER BY k) AS text,
-  coalesce(string_agg(CASE WHEN role = speaker THEN CAST(pos AS BIGINT) || ':' || (length(said) + {len(END)}) END, ',' ORDER BY k), '') AS mask,
-  CAST(sum(CASE WHEN role = speaker THEN length(said) + {len(END)} ELSE 0 END) AS BIGINT) AS n_trained
-FROM o GROUP BY conv_id, speaker, part
+      FROM l WINDOW w AS (PARTITION BY conv_id, speaker, part, piece ORDER BY turn NULLS FIRST, digest, role, nameless, said)),
+g AS (SELECT conv_id, speaker, part, piece, count(*) AS n_turns, string_agg(line, '' ORDER BY k) AS text,
+  coalesce(string_agg(CASE WHEN mine THEN CAST(pos AS BIGINT) || ':' || (length(said) + {len(END)}) END, ',' ORDER BY k), '') AS mask,
+  CAST(sum(CASE WHEN mine THEN length(said) + {len(END)} ELSE 0 END) AS BIGINT) AS n_trained
+FROM o GROUP BY conv_id, speaker, part, piece)
+SELECT conv_id, speaker, part, piece, CAST(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece) - length(text) AS BIGINT) AS at, n_turns, text, mask, n_trained FROM g
 """

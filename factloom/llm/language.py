@@ -3,12 +3,21 @@
 For each language a suffix automaton is built of the whole texts of a bounded number of labelled rows. A text is parsed from the left into the
 longest phrases that occur in the language's labelled text: the automaton is followed until it has no way on, then a phrase
 ends. The language whose text needs the fewest phrases wins, each phrase counted with log2 of the size of the labelled text,
-its price as a pointer. Parses restart every `LANE` characters, so many stretches of many texts are followed at once.
+its price as a pointer.
 
-Case is folded; what isn't a letter counts as one blank, runs of them as one. Null texts and texts without a letter are
+Many stretches of many texts are followed at once. A stretch that isn't the first of its text is followed from its start and,
+a second time, from where the stretch before it really ends, until both are in the same state of the automaton; so phrases
+cross the ends of stretches and are those of the text read in one go.
+
+Case is folded; what isn't a letter counts as one blank, runs of them as one. Letters of any script and number have symbols
+of their own; a letter that no labelled text has is a phrase by itself. Null texts and texts without a letter are
 `und` with score 0; ties go to the language first in the alphabet. Each row is scored alone (repeated rows alike, empty
-tables give none), from its whole text and nothing else. The driver builds the automata, once; tasks get them as a broadcast. Labelled rows with null id, text or language are not learned from; without
+tables give none), from its whole text and nothing else. The driver builds the automata, once; tasks get them as a broadcast.
+Labelled rows with null id, text or language are not learned from, nor are single texts above LONGEST characters; without
 any labelled row, all is `und`.
+
+A text is in no learned language where even the best one costs more bits a character than `limit`, which is MARGIN times the
+dearest of some labelled rows that the automata don't hold. One phrase is free, so a few letters never decide it.
 """
 
 from __future__ import annotations
@@ -17,10 +26,12 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,40 +39,74 @@ from pyspark.sql import functions as F
 from factloom.llm.store import bounded_sample
 from factloom.llm.words import slices
 
-LANE = 512  # characters from one restart to the next
-DOCS = 400  # labelled rows learned from for each language, at most
-ALPHABET = 60  # symbols: blank, the most frequent letters, and one for all other letters
-NONE = 255  # the symbol of a state without a way on
+LANE = 4096  # characters of a stretch
+DOCS = 100  # labelled rows of each language, at most
+LONGEST = 1 << 20  # characters of a labelled row, at most: longer ones are not sampled
+CALIBRATED = 5  # one of so many labelled rows sets the limit instead of being learned from
+MARGIN = 2.0
+NONE = (1 << 32) - 1  # the symbol of a state without a way on
+FEW = 63  # symbols below have a bit in a state's ways; ways by others are listed apart
+
+
+def _folded() -> np.ndarray:
+    """The folded letter of each code point, 0 for what isn't a letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            low = c.lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    return out
+
+
+_FOLDED: list[np.ndarray] = []
 
 
-@dataclass(frozen=True)
+def folded(points: np.ndarray) -> np.ndarray:
+    if not _FOLDED:
+        _FOLDED.append(_folded())
+    return _FOLDED[0][points]
+
+
+def normal(text: str) -> str:
+    """Folded letters, all else as single blanks between them."""
+    f = folded(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
+    return " ".join(np.where(f, f, 32).astype("<u4").tobytes().decode("utf-32-le").split())
+
+
+@dataclass
 class LanguageModel:
-    """Labelled text by language, all that is needed to build the automata: whole texts of at most DOCS rows for each."""
+    """Labelled text by language, all that is needed to build the automata, and the most bits a character of a known language."""
 
     text: dict[str, str]
-    letters: str
+    limit: float = float("inf")
+
+    @cached_property
+    def parser(self) -> Parser:
+        return Parser(self.text)
 
 
 def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learns from the whole texts of a bounded sample of the labelled rows: DOCS of each language, by hash."""
-    src = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    text, lang = F.col(text_col), F.col(lang_col)
+    src = docs.where(labelled & lang.isNotNull() & (F.length(text) <= LONGEST)).select(F.col(id_col).alias("id"), text.alias("text"), lang.alias("lang"))
     by: dict[str, list[str]] = {}
     for r in bounded_sample(src, "id", DOCS, F.col("lang")):
-        by.setdefault(r["_by"], []).append(" ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split()))
-    text = {lang: " ".join(t for t in by[lang] if t) for lang in sorted(by)}
-    size = min(map(len, text.values()), default=0)
-    count: dict[str, int] = {}
-    for t in text.values():  # each language counts alike
-        for c, n in Counter(t.replace(" ", "")).items():
-            count[c] = count.get(c, 0) + n * (size + 1) // (len(t) + 1)
-    letters = "".join(sorted(count, key=lambda c: (-count[c], c))[: ALPHABET - 2])
-    return LanguageModel({k: v for k, v in text.items() if v}, letters)
+        by.setdefault(r["_by"], []).append(normal(r["text"]))
+    by = {k: some for k in sorted(by) if (some := [t for t in by[k] if t])}
+    apart = {k: ts[::CALIBRATED] if len(ts) >= CALIBRATED else [] for k, ts in by.items()}
+    m = LanguageModel({k: " ".join(t for i, t in enumerate(ts) if not apart[k] or i % CALIBRATED) for k, ts in by.items()})
+    rest = [t for ts in apart.values() for t in ts]
+    if rest:
+        m.limit = MARGIN * float(m.parser.predict(pa.array(rest, pa.string()))[2].max())
+    return m
 
 
 class Automaton(NamedTuple):
     """The suffix automaton of a text. States with several ways on come first, the root before all; the others have one or none.
 
-    Of state s among the first, the ways on are the set bits of ways[s], their targets from to[at[s]] on in order of the symbols.
+    Of state s among the first, the ways on by the symbols under FEW are the set bits of ways[s], their targets from to[at[s]] on
+    in order of the symbols; those by other symbols are in rare: s * 2^32 + symbol, in order, with rare_to.
     Of the i-th of the others, the way on is only[i] and its target to[i - len(only)]. root: targets from the root, by symbol.
     """
 
@@ -70,22 +115,14 @@ class Automaton(NamedTuple):
     only: np.ndarray
     to: np.ndarray
     root: np.ndarray
-
-    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and where a phrase ends: the character that doesn't fit starts the next one, from the root."""
-        many = state < len(self.ways)
-        s, i = np.where(many, state, 0), np.where(many, 0, state - len(self.ways))
-        bit = np.uint64(1) << c.astype(np.uint64)
-        ways = self.ways[s]
-        fits = np.where(many, ways & bit != 0, self.only[i] == c)
-        to = np.where(many, self.at[s] + np.bitwise_count(ways & (bit - np.uint64(1))), len(self.to) - len(self.only) + i)
-        return np.where(fits, self.to[np.where(fits, to, 0)], self.root[c]), ~fits
+    rare: np.ndarray
+    rare_to: np.ndarray
 
 
 def automaton(codes: np.ndarray, symbols: int) -> Automaton:
     """Of the text's symbols; an unknown one is a phrase by itself and leads to the root."""
     # A state's first way on is only and target; from the second on, more has them all.
-    only, target, more = array("B", [NONE]), array("I", [0]), [None]
+    only, target, more = array("I", [NONE]), array("I", [0]), [None]
     link, length, last = array("i", [-1]), array("i", [0]), 0
     for c in codes.tolist():
         cur = len(only)
@@ -138,117 +175,194 @@ def automaton(codes: np.ndarray, symbols: int) -> Automaton:
     many = np.fromiter((d is not None for d in more), bool, len(more))
     new = np.where(many, np.cumsum(many) - 1, many.sum() + np.cumsum(~many) - 1).astype(np.uint32)
     ways, at, to = np.zeros(many.sum(), np.uint64), np.zeros(many.sum(), np.uint32), array("I")
-    for i, d in enumerate(d for d in more if d is not None):
-        at[i], bits = len(to), 0
-        for c in sorted(d):
-            bits |= 1 << c
-            to.append(d[c])
-        ways[i] = bits
+    rare, rare_to = array("Q"), array("I")
     root = np.zeros(symbols, np.uint32)
     for c, s in more[0].items():
         root[c] = new[s]
+    for i, d in enumerate(d for d in more if d is not None):
+        at[i], bits = len(to), 0
+        for c in sorted(d) if i else ():  # the root has no ways on of its own: whatever comes there starts a phrase
+            if c < FEW:
+                bits |= 1 << c
+                to.append(d[c])
+            else:
+                rare.append(i << 32 | c)
+                rare_to.append(d[c])
+        ways[i] = bits
     rest = ~many
-    return Automaton(ways, at, np.append(np.frombuffer(only, np.uint8)[rest], np.uint8(NONE)), new[np.concatenate([np.frombuffer(to, np.uint32), np.frombuffer(target, np.uint32)[rest], [0]]).astype(np.uint32)], root)
+    renamed = lambda *xs: new[np.concatenate([np.frombuffer(x, np.uint32) for x in xs])] if any(len(x) for x in xs) else np.zeros(0, np.uint32)
+    targets = renamed(to, np.frombuffer(target, np.uint32)[rest].tobytes())
+    return Automaton(ways, at, np.frombuffer(only, np.uint32)[rest], targets, root, np.frombuffer(rare, np.uint64).copy(), renamed(rare_to))
 
 
 class Parser:
-    """The automata of a model and a code for each character."""
-
-    def __init__(self, model: LanguageModel):
-        self.langs = sorted(model.text)
-        self.symbols = len(model.letters) + 2
-        self.code = np.zeros(0x110000, np.uint8)
-        letters = {c: i + 1 for i, c in enumerate(model.letters)}
-        for i in range(0x110000):
-            c = chr(i)
-            if c.isalpha():
-                self.code[i] = letters.get(c.lower(), self.symbols - 1)
-        self.tables, self.price = [], []
-        for k in self.langs:
-            t = np.frombuffer(model.text[k].encode("utf-32-le"), np.uint32)
-            self.tables.append(automaton(self.code[t], self.symbols))
-            self.price.append(np.log2(len(t) + 1))
+    """The automata of labelled texts put together as one, with a root for each language, and a symbol for each character."""
+
+    def __init__(self, text: dict[str, str]):
+        self.langs = sorted(text)
+        count: Counter = Counter()
+        for t in text.values():
+            count.update(t)
+        letters = sorted((c for c in count if c != " "), key=lambda c: (-count[c], c))
+        self.symbols = len(letters) + 2
+        self.symbol = np.zeros(0x110000, np.uint32)  # by folded letter; 0 is the blank
+        self.symbol[1:] = self.symbols - 1
+        for i, c in enumerate(letters):
+            self.symbol[ord(c)] = i + 1
+        self.symbol[32] = 0
+        own = [automaton(self.symbol[np.frombuffer(text[k].encode("utf-32-le"), np.uint32)], self.symbols) for k in self.langs]
+        self.price = np.array([np.log2(len(text[k]) + 1) for k in self.langs])
+        firsts, others = [len(a.ways) for a in own], [len(a.only) for a in own]
+        first_at, other_at = np.cumsum([0, *firsts]), np.cumsum([0, *others])
+        to_at = np.cumsum([0, *(len(a.to) - len(a.only) for a in own)])
+        self.first = int(first_at[-1])
+        joined = lambda xs, kind: np.concatenate([*xs, np.zeros(0, kind)]).astype(kind)
+        named = lambda k, s: np.where(s < firsts[k], s + first_at[k], s.astype(np.int64) - firsts[k] + self.first + other_at[k])
+        self.ways, self.only = joined([a.ways for a in own], np.uint64), joined([*(a.only for a in own), [NONE]], np.uint32)
+        self.at = joined([a.at + to_at[k] for k, a in enumerate(own)], np.uint32)
+        ends = [len(a.to) - len(a.only) for a in own]
+        self.to = joined([*(named(k, a.to[: ends[k]]) for k, a in enumerate(own)), *(named(k, a.to[ends[k] :]) for k, a in enumerate(own)), [0]], np.uint32)
+        self.singles = int(to_at[-1])
+        self.root = joined([named(k, a.root) for k, a in enumerate(own)], np.uint32)
+        self.rare = joined([a.rare + (np.uint64(first_at[k]) << np.uint64(32)) for k, a in enumerate(own)], np.uint64)
+        self.rare_to = joined([named(k, a.rare_to) for k, a in enumerate(own)], np.uint32)
+        self.roots = first_at[:-1].astype(np.uint32)
+
+    def step(self, state: np.ndarray, c: np.ndarray, bit: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase starts: a character that doesn't fit starts one from the root."""
+        many = state < self.first
+        s, i = np.where(many, state, 0), np.where(many, np.uint32(len(self.only) - 1), state - np.uint32(self.first))
+        ways = self.ways[s]
+        fits = np.where(many, ways & bit != 0, self.only[i] == c)
+        to = np.where(many, self.at[s] + np.bitwise_count(ways & (bit - np.uint64(1))), self.singles + i)
+        to = self.to[np.where(fits, to, 0)]
+        if len(self.rare) and (c >= FEW).any():
+            at = np.nonzero(many & (c >= FEW))
+            if len(at[0]):
+                key = state[at].astype(np.uint64) << np.uint64(32) | np.broadcast_to(c, state.shape)[at].astype(np.uint64)
+                place = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+                fits[at], to[at] = self.rare[place] == key, self.rare_to[place]
+        return np.where(fits, to, self.root[base + c]), ~fits
 
     def phrases(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Phrases by language and row; codes: of all rows, first[i]:first[i+1] those of row i."""
         n = np.diff(first)
         lanes = -(-n // LANE)
-        total = int(lanes.sum())
-        out = np.zeros((len(self.langs), len(n)), np.int64)
-        if not total:
+        total, k = int(lanes.sum()), len(self.langs)
+        out = np.zeros((k, len(n)), np.int64)
+        if not total or not k:
             return out
         row = np.repeat(np.arange(len(n)), lanes)
-        start = first[:-1][row] + LANE * (np.arange(total) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        place = np.arange(total) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = first[:-1][row] + LANE * place
         size = np.minimum(LANE, first[1:][row] - start)
+        bits = np.uint64(1) << np.minimum(codes, FEW).astype(np.uint64)
         order = np.argsort(-size, kind="stable")  # longest first: the lanes still going are a prefix
-        start, size, row = start[order], size[order], row[order]
-        going = np.searchsorted(-size, -np.arange(1, LANE + 1), "right")
-        state = np.zeros((len(self.langs), total), np.uint32)
-        count = np.zeros((len(self.langs), total), np.uint32)
-        for t in range(int(size[0])):
+        begin, left = start[order], size[order]
+        going = np.searchsorted(-left, -np.arange(1, LANE + 1), "right")
+        state, count = np.repeat(self.roots[:, None], total, 1), np.zeros((k, total), np.int32)
+        base = (np.arange(k, dtype=np.uint32) * self.symbols)[:, None]
+        for t in range(int(left[0])):
             m = going[t]
-            c = codes[start[:m] + t].astype(np.uint32)
-            for k, table in enumerate(self.tables):
-                state[k, :m], ends = table.step(state[k, :m], c)
-                count[k, :m] += ends
-        count += size > 0  # the phrase under way at a lane's end
-        for k in range(len(self.langs)):
-            out[k] = np.bincount(row, count[k], len(n))
+            at = begin[:m] + t
+            state[:, :m], new = self.step(state[:, :m], codes[at], bits[at], base)
+            count[:, :m] += new
+        back = np.argsort(order)
+        state, count = state[:, back], count[:, back]
+        if total > len(n):
+            count += self._joined(codes, bits, start, size, place, state)
+        for x in range(k):
+            out[x] = np.bincount(row, count[x], len(n))
         return out
 
-    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
-        langs, scores = [], []
-        for i, j, data, off in slices(col, 1 << 20):  # lanes of more texts at once
-            text = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    def _joined(self, codes: np.ndarray, bits: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What each lane's count is off by, as it doesn't start where a text does; ends: each lane's last state, mended on the way."""
+        off = np.zeros(ends.shape, np.int64)
+        lang, lane = map(np.ravel, np.meshgrid(np.arange(len(ends)), np.flatnonzero(place > 0), indexing="ij"))
+        own_ends = ends.copy()
+        while len(lane):
+            real, own = ends[lang, lane - 1].copy(), self.roots[lang].copy()
+            change, live = np.zeros(len(lane), np.int64), np.flatnonzero(real != own)
+            met = np.ones(len(lane), bool)
+            t = 0
+            while len(live):
+                at = start[lane[live]] + t
+                base = lang[live].astype(np.uint32) * np.uint32(self.symbols)
+                real[live], a = self.step(real[live], codes[at], bits[at], base)
+                own[live], b = self.step(own[live], codes[at], bits[at], base)
+                change[live] += a.astype(np.int64) - b
+                t += 1
+                same, over = real[live] == own[live], size[lane[live]] == t
+                met[live[over & ~same]] = False
+                live = live[~same & ~over]
+            off[lang, lane] = change
+            end = np.where(met, own_ends[lang, lane], real)
+            moved = end != ends[lang, lane]
+            ends[lang, lane] = end
+            nxt = moved & (lane + 1 < len(place))
+            nxt[nxt] = place[lane[nxt] + 1] > 0
+            lang, lane = lang[nxt], lane[nxt] + 1  # the lanes after those whose end is another one now
+        return off
+
+    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and bits a character of each text; 0 bits where there is no letter."""
+        langs, scores, costs = [], [], []
+        for i, j, data, off in slices(col, 1 << 22):  # lanes of more texts at once
+            text = folded(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32))
             lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-            codes = self.code[text]
-            letter = np.concatenate([[0], np.cumsum(codes > 0)])[lead]
+            letter = np.concatenate([[0], np.cumsum(text > 0)])[lead]
             begin = np.zeros(len(text) + 1, bool)
             begin[lead] = True
-            keep = (codes > 0) | np.concatenate([[True], codes[:-1] > 0]) | begin[:-1]  # one blank of each run
+            keep = (text > 0) | np.concatenate([[True], text[:-1] > 0]) | begin[:-1]  # one blank of each run
             first = np.concatenate([[0], np.cumsum(keep)])[lead]
-            got = self.phrases(codes[keep], first)
             if not self.langs:
                 langs += ["und"] * (j - i)
                 scores.append(np.zeros(j - i))
+                costs.append(np.zeros(j - i))
                 continue
-            bits = got * np.array(self.price)[:, None] / np.maximum(np.diff(first), 1)  # a character
+            got, n = self.phrases(self.symbol[text[keep]], first), np.maximum(np.diff(first), 1)
+            bits = got * self.price[:, None] / n
             best = bits.argmin(0)
             weight = np.exp2(-8 * (bits - bits.min(0)))
             some = np.diff(letter) > 0
             langs += [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
             scores.append(np.where(some, 1 / weight.sum(0), 0.0))
-        return langs, np.concatenate(scores) if scores else np.zeros(0)
+            costs.append(np.where(some, bits.min(0) - self.price[best] / n, 0.0))  # one phrase is free
+        return langs, *(np.concatenate(x) if x else np.zeros(0) for x in (scores, costs))
 
 
 def shared(docs: DataFrame, model: LanguageModel) -> Broadcast:
-    """The parser of a model, built here and read once by each Python worker."""
-    return docs.sparkSession.sparkContext.broadcast(Parser(model))
+    """The parser of a model, built on the driver and read once by each Python worker."""
+    return docs.sparkSession.sparkContext.broadcast(model.parser)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of each row."""
+    """doc_id, lang_pred, score, known (whether the text is in a learned language) of each row."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own = shared(docs, model)
+    own, limit = shared(docs, model), model.limit
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = own.value
         for batch in batches:
-            langs, scores = p.predict(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            langs, scores, costs = p.predict(batch.column("text"))
+            known = (costs <= limit) & np.array([x != "und" for x in langs], bool)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], names=["doc_id", "lang_pred", "score", "known"])
 
-    return src.mapInArrow(work, src.select("doc_id").schema.simpleString()[7:-1] + ", lang_pred string, score double")
+    return src.mapInArrow(work, src.select("doc_id").schema.simpleString()[7:-1] + ", lang_pred string, score double, known boolean")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Rows whose text is in some language; columns as they are."""
-    own = shared(docs, model)
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows whose text is in a learned language; where the language is NULL it becomes the one found, all else is as it was."""
+    own, limit = shared(docs, model), model.limit
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = own.value
         for batch in batches:
-            langs, _ = p.predict(batch.column(text_col))
-            yield batch.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+            langs, _, costs = p.predict(batch.column(text_col))
+            at = batch.schema.get_field_index(lang_col)
+            found = pc.coalesce(batch.column(at), pa.array(langs, batch.schema.field(at).type))
+            known = (costs <= limit) & np.array([x != "und" for x in langs], bool)
+            yield batch.set_column(at, batch.schema.field(at), found).filter(pa.array(known))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -1,20 +1,23 @@
 """N-gram Jaccard join by chosen paths (operator 10).
 
-A text's set holds the hashes of its runs of five words; shorter texts are one run. Texts with equal sets are one class, and
-only the class's smallest id goes on. Of each set, SKETCH sampled tokens (minima of independent hashes) are kept. In each of
+A text's set holds the hashes of its runs of five words; shorter texts are one run. Texts with equal sets are one node, which
+is a 64-bit hash of the set's print of 128 bits. Of each set, SKETCH sampled tokens (minima of independent hashes) are kept. In each of
 RUNS runs the sets are split by one sampled token; buckets above SMALL are split again by further tokens (the chosen path),
 up to DEPTH times. Within small buckets all members are compared by their sketches. Large buckets that splitting doesn't
-break up hold sets that are much alike: members are compared with the bucket's leader by an equi-join, and those very close
-to it are done, as whatever is similar to them is near enough to the leader to be linked to it as well; what is left after
+break up hold sets that are much alike: members are compared with the bucket's leader by an equi-join, and those with nearly the
+leader's sketch (HIGH) are done. Whatever is similar to them is at a distance from the leader that LEAD allows for, so it is linked to
+the leader too, although it need not be similar to it: groups are compared exactly later. What is left after
 LEADERS rounds is compared in square blocks, so there is no cap. RUNS is the number that gives the target recall for a pair
 at the threshold.
 
 Pairs whose sketches agree well enough join candidate groups (connected components). In each group all pairs are compared
 exactly by their sets, in square blocks of bounded size; no pair is written: a block gives each member its number of links
-and one edge into its part of the group. Classes are the components of these exact links.
+and one edge into its part of the group. Classes are the components of these exact links. Numbers of links are exact, so the work on
+a group of m different texts that are all alike grows with m^2, in blocks that many tasks share; equal texts cost nothing there.
 
 Null texts count as empty. A text without words is similar to no other and is a class by itself. Repeated rows count as
-copies. An empty table gives none; other columns are ignored. Ids are whole numbers and not null; the smallest id names a class.
+copies; one of them stays. An id with several texts is several rows. Null ids come last in the order, so they name a class
+(`class_id` NULL) only if all its ids are null. An empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.store import table
+from factloom.llm.store import filtered, join_groups, kept_rows, row_hash, table, text_key
 from factloom.llm.words import Words, mix, slices
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
 SKETCH = 64
 SMALL, DEPTH, LEADERS = 64, 2, 2
-LOW, HIGH = 0.62, 0.88  # shares of equal sampled tokens: enough for a candidate; so close that the leader stands for it
+SIGMAS = 4  # standard errors of a sketch that the bounds below leave
+HIGH = 0.97  # share of equal sampled tokens at which the leader stands for a member
 BLOCK, BLOCK_TOKENS = 512, 1 << 18  # members and tokens of a block, about: two blocks are compared in some 100 MB
+TASK_BLOCKS = 4  # pairs of blocks that a task compares, about
 _A = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
 
@@ -45,6 +50,21 @@ def runs(recall: float = RECALL, similar: float = SIMILAR) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similar ** (DEPTH + 1))))
 
 
+def _surely(share: float) -> float:
+    """The share of equal sampled tokens that nearly all pairs of this similarity reach."""
+    return share - SIGMAS * math.sqrt(share * (1 - share) / SKETCH)
+
+
+def low(similar: float = SIMILAR) -> float:
+    """Share of equal sampled tokens that makes a candidate."""
+    return _surely(similar)
+
+
+def lead(similar: float = SIMILAR) -> float:
+    """The same for a leader and what may be similar to a member that it stands for: distances add up."""
+    return _surely(max(0.0, similar - (1 - _surely(HIGH))))
+
+
 def _sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted set of each text."""
     w = Words(data, off)
@@ -85,7 +105,7 @@ def _sketched(k: int):
                     for t in range(SKETCH):
                         sketch[some, t] = (mix(np.minimum.reduceat(flat * _A[t] + _B[t], starts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 p = [_print(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array([x[0] for x in p], pa.int64()), pa.array([x[1] for x in p], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1)), SKETCH).cast(pa.list_(pa.int32()))], names=["doc_id", "n", "p1", "p2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), pa.array(n), pa.array([x[0] for x in p], pa.int64()), pa.array([x[1] for x in p], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1)), SKETCH).cast(pa.list_(pa.int32()))], names=["doc_id", "text_key", "n", "p1", "p2", "sketch"])
 
     return work
 
@@ -124,68 +144,87 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(least: float):
     """Edges that connect what is alike in each small bucket (one row each)."""
-    for batch in batches:
-        u, v = [], []
-        for members in batch.column("members"):
-            m = members.values
-            ids = m.field("rep").to_numpy()
-            sketch = m.field("sketch").flatten().to_numpy().reshape(-1, SKETCH)
-            label = _labels((sketch[:, None] == sketch[None]).mean(2) >= LOW)
-            at = np.flatnonzero(label != np.arange(len(ids)))
-            u += ids[at].tolist()
-            v += ids[label[at]].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for members in batch.column("members"):
+                m = members.values
+                ids = m.field("node").to_numpy()
+                sketch = m.field("sketch").flatten().to_numpy().reshape(-1, SKETCH)
+                label = _labels((sketch[:, None] == sketch[None]).mean(2) >= least)
+                at = np.flatnonzero(label != np.arange(len(ids)))
+                u += ids[at].tolist()
+                v += ids[label[at]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return work
+
+
+def _block_edges(least: float):
     """The same for square blocks of large buckets."""
-    for t in _segments(batches, ["bucket", "i", "j"]):
-        ids = t.column("rep").to_numpy()
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
-        equal = np.zeros((len(ids), len(ids)), np.uint8)
-        for c in range(SKETCH):
-            equal += sketch[:, c, None] == sketch[None, :, c]
-        label = _labels(equal >= LOW * SKETCH)
-        at = np.flatnonzero(label != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["u", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _segments(batches, ["bucket", "i", "j"]):
+            ids = t.column("node").to_numpy()
+            sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
+            equal = np.zeros((len(ids), len(ids)), np.uint8)
+            for c in range(SKETCH):
+                equal += sketch[:, c, None] == sketch[None, :, c]
+            label = _labels(equal >= least * SKETCH)
+            at = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["u", "v"])
+
+    return work
 
 
 def _blocks(df: DataFrame, blocks: Column, key: str) -> DataFrame:
     """Each row once for each square block (i, j) that it is part of."""
-    df = df.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    df = df.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return df.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
 
 
-def candidates(reps: DataFrame, n_runs: int) -> DataFrame:
-    """Edges (u, v) that join what is similar by its sketch. reps: rep, sketch."""
+def _spread(parts: DataFrame, key: list[str], blocks: int) -> DataFrame:
+    """Rows by key, so many partitions that each has a few pairs of blocks whatever their bytes."""
+    spark = parts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // TASK_BLOCKS)
+    return parts.repartition(min(n, 1 << 16), *key).sortWithinPartitions(*key)
+
+
+def candidates(sets: DataFrame, n_runs: int, similar: float = SIMILAR) -> DataFrame:
+    """Edges (u, v) that join what is similar by its sketch. sets: node, sketch."""
     key = lambda depth: F.expr(f"element_at(sketch, cast(pmod(run + {depth * n_runs}, {SKETCH}) as int) + 1)")
+    least = low(similar)
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
-        n = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))["rep"].alias("leader")).where("size > 1")
-        return table(rows.join(n, "bucket"), name)
+        n = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("leader")).where("size > 1")
+        return table(join_groups(rows, table(n, "sizes"), ["bucket"], "size"), name)
 
-    rows = reps.select("rep", "sketch", F.explode(F.array(*map(F.lit, range(n_runs)))).alias("run"))
-    level = counted(rows.select("rep", "run", F.xxhash64("run", key(0)).alias("bucket")), "buckets")
-    level = table(level.join(reps, "rep"), "buckets")  # sketches go along from here on
+    rows = sets.select("node", "sketch", F.explode(F.array(*map(F.lit, range(n_runs)))).alias("run"))
+    level = counted(table(rows.select("node", "run", F.xxhash64("run", key(0)).alias("bucket")), "runs"), "buckets")
+    level = table(level.join(sets.select("node", "sketch"), "node"), "buckets")  # sketches go along from here on
     found, depth = [], 0
     while True:
-        small = level.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
-        found.append(table(small.select("members").mapInArrow(_bucket_edges, "u long, v long").distinct(), "alike"))
+        small = level.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+        found.append(table(small.select("members").mapInArrow(_bucket_edges(least), "u long, v long").distinct(), "alike"))
         large = level.where(F.col("size") > SMALL)
-        if not large.limit(1).count():
+        if large.isEmpty():
             break
         if depth == DEPTH + LEADERS:
-            parts = _blocks(large, F.ceil(F.col("size") / BLOCK), "bucket").select("bucket", "i", "j", "rep", "sketch")
-            found.append(table(parts.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_block_edges, "u long, v long").distinct(), "alike"))
+            blocks = F.ceil(F.col("size") / BLOCK)
+            n = large.where("node = leader").agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 1
+            parts = _blocks(large, blocks, "bucket").select("bucket", "i", "j", "node", "sketch")
+            found.append(table(_spread(parts, ["bucket", "i", "j"], int(n)).mapInArrow(_block_edges(least), "u long, v long").distinct(), "alike"))
             break
-        leaders = large.where("rep = leader").select("bucket", F.col("rep").alias("lead"), F.col("sketch").alias("lead_sketch"))
-        near = table(large.join(leaders, "bucket").withColumn("alike", _alike("sketch", "lead_sketch")).select("rep", "run", "bucket", "sketch", "lead", "alike", key(depth + 1).alias("token")), "leaders")
-        found.append(near.where(f"alike >= {LOW} and rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")))
+        leaders = table(large.where("node = leader").select("bucket", "size", F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch")), "leaders")
+        near = join_groups(large.drop("size"), leaders, ["bucket"], "size").withColumn("alike", _alike("sketch", "lead_sketch"))
+        near = table(near.where("node <> lead").select("node", "run", "bucket", "sketch", "lead", "alike", key(depth + 1).alias("token")), "near")
+        found.append(near.where(f"alike >= {lead(similar)}").select(F.col("node").alias("u"), F.col("lead").alias("v")))
         depth += 1
-        rest = near.where(f"alike < {HIGH} and rep <> lead").select("rep", "run", "sketch", F.xxhash64("bucket", "token").alias("bucket") if depth <= DEPTH else F.col("bucket"))
+        rest = near.where(f"alike < {HIGH}").select("node", "run", "sketch", F.xxhash64("bucket", "token").alias("bucket") if depth <= DEPTH else F.col("bucket"))
         level = counted(rest, "buckets")
     out = found[0]
     for x in found[1:]:
@@ -199,10 +238,8 @@ def _with_sets(k: int):
         for batch in batches:
             for i, j, data, off in slices(batch.column("text")):
                 part = batch.slice(i, j - i)
-                sets = _sets(data, off, k)
-                fits = [_print(s) == (a, b) for s, a, b in zip(sets, part.column("p1").to_pylist(), part.column("p2").to_pylist(), strict=True)]  # with repeated ids
-                out = pa.RecordBatch.from_arrays([part.column("rep"), part.column("root"), part.column("blocks"), part.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "root", "blocks", "copies", "tokens"])
-                yield out.filter(pa.array(fits, pa.bool_()))
+                names = ["node", "root", "blocks", "copies"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array([s.tobytes() for s in _sets(data, off, k)], pa.binary())], names=[*names, "tokens"])
 
     return work
 
@@ -210,7 +247,7 @@ def _with_sets(k: int):
 def _exact(similar: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _segments(batches, ["root", "i", "j"]):
-            ids, pick = np.unique(t.column("rep").to_numpy(), return_index=True)
+            ids, pick = np.unique(t.column("node").to_numpy(), return_index=True)  # repeated rows are one
             t = t.take(pick)
             m = len(ids)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
@@ -241,28 +278,46 @@ def _exact(similar: float):
     return work
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rep_id (smallest id with an equal set), class_id, n_links (similar other rows), n_text_links (other sets), kept."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = table(src.mapInArrow(_sketched(words), "doc_id long, n long, p1 long, p2 long, sketch array<int>"), "sketches")
+def verdicts(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, rep_id (smallest id with an equal set), class_id, n_links (similar other rows), n_text_links (other sets), class_size, kept."""
+    src = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = src.select("doc_id").schema.simpleString()[7:-1]
+    sketches = table(src.mapInArrow(_sketched(words), f"{kind}, text_key long, n long, p1 long, p2 long, sketch array<int>"), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     key = ["n", "p1", "p2"]
-    some = sketches.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    sets = table(sketches.where("n > 0").join(some, key).where("doc_id = rep").select("rep", *key, "copies", "sketch").dropDuplicates(["rep", *key]), "sets")
-    reps = sets.select("rep", "sketch")
-    nodes = components(candidates(reps, runs(recall, similar)))
+    sets = sketches.where("n > 0").groupBy(*key).agg(F.min(row).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))  # equal sets have equal sketches
+    sets = table(sets.withColumn("node", F.xxhash64(*key)), "sets")
+    nodes = components(candidates(sets, runs(recall, similar), similar))
     groups = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
-    members = sets.join(groups, sets["rep"] == groups["node"]).select("rep", "root", "n", "p1", "p2", "copies")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    members = table(members.join(sizes, "root"), "members")
-    # one plan at every size: candidates grow with the input, so they are hashed by partition, and texts aren't sorted
-    texts = src.join(members.hint("shuffle_hash"), src["doc_id"] == members["rep"]).select("rep", "root", "blocks", "copies", "p1", "p2", "text")
-    whole = texts.mapInArrow(_with_sets(words), "rep long, root long, blocks int, copies long, tokens binary")
-    parts = _blocks(whole, F.col("blocks"), "root").select("root", "i", "j", "own", "rep", "copies", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    linked = table(parts.mapInArrow(_exact(similar), "u long, v long, texts long, docs long"), "links")
-    links = linked.groupBy(F.col("u").alias("rep")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
+    members = sets.join(groups, "node").select("node", "root", "n", "copies", "rep")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("nodes"))
+    sizes = table(sizes, "sizes")
+    members = table(join_groups(members, sizes, ["root"], "nodes").select("node", "root", "copies", "blocks", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")), "members")
+    maybe, _ = filtered(src, row_hash(F.col("doc_id"), F.col("text_key")), members, row_hash(F.col("_id"), F.col("_key")))
+    texts = maybe.join(members.hint("merge"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "blocks", "copies", "text")
+    whole = texts.mapInArrow(_with_sets(words), "node long, root long, blocks int, copies long, tokens binary")
+    parts = _blocks(whole, F.col("blocks"), "root").select("root", "i", "j", "own", "node", "copies", "tokens")
+    n = sizes.agg(F.sum(F.expr("blocks * (blocks + 1L) div 2"))).first()[0] or 1
+    linked = table(_spread(parts, ["root", "i", "j"], int(n)).mapInArrow(_exact(similar), "u long, v long, texts long, docs long"), "links")
+    links = linked.groupBy(F.col("u").alias("node")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     classes = components(linked.select("u", "v"))
-    by_set = sets.select("rep", *key, "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    out = sketches.drop("sketch").join(by_set, key, "left")
-    rep = F.coalesce("rep", "doc_id")
-    out = out.select("doc_id", rep.alias("rep_id"), F.coalesce("root", rep).alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    by_set = sets.drop("sketch").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_set = table(by_set, "classed")
+    best = table(by_set.groupBy("root").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes")), "classes")
+    by_set = table(join_groups(by_set, best, ["root"], "nodes"), "classed")
+    d = join_groups(sketches.where("n > 0").drop("sketch"), by_set, key, "copies")
+    d = d.select("doc_id", "text_key", F.col("rep.doc_id").alias("rep_id"), F.col("best.doc_id").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), "class_size", row.eqNullSafe(F.col("best")).alias("kept"))
+    first = d.where("kept").groupBy(*d.columns).agg(F.count("*").cast("int").alias("times")).withColumn("k", F.explode(F.sequence(F.lit(1), "times"))).withColumn("kept", F.col("k") == 1)
+    zero, own = F.lit(0).cast("long"), F.col("doc_id")
+    wordless = sketches.where("n = 0").select("doc_id", "text_key", own.alias("rep_id"), own.alias("class_id"), zero.alias("n_links"), zero.alias("n_text_links"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return wordless.unionByName(first.select(d.columns)).unionByName(d.where("not kept"))
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, rep_id (smallest id with an equal set), class_id, n_links (similar other rows), n_text_links (other sets), class_size, kept."""
+    return verdicts(docs, words, similar, recall, id_col, text_col).drop("text_key")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, columns as they are."""
+    return kept_rows(docs, verdicts(docs, id_col=id_col, text_col=text_col).where("class_size > 1"), id_col, text_col)

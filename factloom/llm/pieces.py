@@ -7,7 +7,8 @@ anew gives these two again. Where none fits, the position is marked in a bitfiel
 the encoding of every prefix is unique, a marked position never needs another look, so time grows with the length only.
 Short parts are remembered in each Python worker, up to a bound, as words come again and again.
 
-Null texts count as empty; an empty text has no ids and decodes to an empty text. Repeated rows, extra columns and empty
+Only models with byte fallback, identity normalisation and a leading space mark are of this kind; any other is refused when it
+is read, as its ids of some probes would be others. Null texts count as empty; an empty text has no ids and decodes to an empty text. Repeated rows, extra columns and empty
 tables need no care: each row is encoded alone, without a shuffle.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+PROBES = ("a", " a", "  two  blanks ", "ﬁ ① Å é", "\u3000x\u200b", "𝄞漢字", "Tab\tand\nline", "▁x")  # a model that normalises or has other marks encodes some of these otherwise
 
 
 class PieceModel:
@@ -62,6 +64,9 @@ class PieceModel:
         else:
             self.cut = re.compile(rf"{MARK}*[^\W\d_]+(?=[{ends}])|" * bool(ends) + f"{MARK}*[^{MARK}{own}]+|{MARK}+" + f"|[{own}]" * bool(own))
 
+        if any(self.encode(t) != sp.encode(t) for t in PROBES):
+            raise ValueError(f"{path} is no merge-type model with byte fallback, identity normalisation and a leading space mark")
+
     def merged(self, text: str) -> list[str]:
         """Merging as defined: again and again the best-scored adjacent pair, the leftmost of equals."""
         s, score = list(text), self.score

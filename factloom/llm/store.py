@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share, and bounded samples."""
+"""Tables in the folder that driver and executors share, bounded samples, joins that hold where keys are hot, and rows that stay."""
 
 from __future__ import annotations
 
@@ -6,18 +6,24 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: list[tuple[SparkSession, str]] = []
+SHARE = 1024  # groups that hold more than such a part of all rows are hot: there can't be more of them than that
+WORDS = 1 << 19  # words of 64 bits of a filter of hashes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs in one process (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="factloom-")
     return _OWN["dir"]
@@ -29,10 +35,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@atexit.register
+def _delete_all() -> None:
+    while _MADE:
+        _delete(*_MADE.pop())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends or the `released` around it does."""
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_delete, spark, path)
+    _MADE.append((spark, path))
     return path
 
 
@@ -43,6 +55,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Removes what was written within: for tables that nothing reads any more then."""
+    before = len(_MADE)
+    yield
+    while len(_MADE) > before:
+        _delete(*_MADE.pop())
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, by: Column | None = None) -> list:
     """About `n` rows of `df` (per value of `by`), those with the smallest hash of key and content: the same rows at any partitioning.
 
@@ -50,18 +71,63 @@ def bounded_sample(df: DataFrame, key: str, n: int, by: Column | None = None) ->
     one, before they leave their task; at most about 1.5 `n` + 100 rows per value reach the driver, also where ids or rows
     repeat. Rows with a null key can't be sampled.
     """
-    spark = df.sparkSession
-    by = F.lit(0) if by is None else by
     h = F.shiftrightunsigned(F.xxhash64(key, *[c for c in df.columns if c != key]), 2)
-    df = df.where(F.col(key).isNotNull()).withColumns({"_by": by, "_h": h}).where("_by is not null")
-    counts = df.groupBy("_by").agg(F.approx_count_distinct("_h", 0.02).alias("count")).collect()
-    if not counts:
-        return []
-    limits = spark.createDataFrame([(r["_by"], int(min(1.0, (1.3 * n + 60) / max(r["count"], 1)) * (1 << 62))) for r in counts], schema=f"_by {df.schema['_by'].dataType.simpleString()}, _limit long")
-    rows = df.join(F.broadcast(limits), "_by").where("_h <= _limit").drop("_limit").distinct().collect()  # limits: one row per value
+    df = df.where(F.col(key).isNotNull()).withColumns({"_by": F.lit(0) if by is None else by, "_h": h}).where("_by is not null")
+    counts = df.groupBy("_by").agg(F.approx_count_distinct("_h", 0.02).alias("count")).collect()  # one row per value
+    under = F.lit(False)
+    for r in counts:
+        under = under | ((F.col("_by") == F.lit(r["_by"])) & (F.col("_h") <= int(min(1.0, (1.3 * n + 60) / max(r["count"], 1)) * (1 << 62))))
+    rows = df.where(under).distinct().collect() if counts else []
     out, seen = [], {}
     for r in sorted(rows, key=lambda r: (r["_h"], str(r[key]))):
         seen[r["_by"]] = seen.get(r["_by"], 0) + 1
         if seen[r["_by"]] <= n:
             out.append(r)
     return out
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Rows joined with the groups that they are part of; groups: one row each, a written table, `size` its number of rows.
+
+    Groups with more than a SHARE-th of all rows, so SHARE at most, are joined where their rows lie; the other rows are shuffled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(size) > total / SHARE))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col(size) <= total / SHARE), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def filtered(rows: DataFrame, h: Column, members: DataFrame, member_h: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be one of the members', rows whose hash is none), without a shuffle of the rows.
+
+    The members' hashes are bits of WORDS words, so the filter has at most that many rows, whatever the input; where members are
+    more than the bits, it lets most rows through and is of no use, but never wrong.
+    """
+    bits = members.select(F.pmod(member_h, F.lit(WORDS * 64)).alias("_slot")).select(F.shiftright("_slot", 6).alias("_word"), F.expr("shiftleft(1L, cast(_slot & 63 as int))").alias("_bit"))
+    words = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    d = rows.withColumn("_slot", F.pmod(h, F.lit(WORDS * 64))).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1L")
+    return d.where(hit).select(rows.columns), d.where(~hit).select(rows.columns)
+
+
+def text_key(text: Column) -> Column:
+    """A hash of a text as it is; with the row's id it tells rows apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_hash(id_: Column, key: Column) -> Column:
+    return F.xxhash64(id_, key)
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, columns as they are; verdicts: (doc_id, text_key, kept) of rows, one with `kept` for each that stays.
+
+    Decided by id and text together: another text under the same id is another row. Of rows that are the same in both one stays.
+    Rows without a verdict stay. Only rows that may go are shuffled.
+    """
+    v = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("_stays"), F.count("*").alias("_n")).where("not _stays or _n > 1")
+    v = table(v.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_stays"), "verdicts")
+    maybe, others = filtered(docs.withColumn("_own", text_key(F.col(text_col))), row_hash(F.col(id_col), F.col("_own")), v, row_hash(F.col("_id"), F.col("_key")))
+    judged = maybe.join(v.hint("merge"), (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    once = judged.where("_stays").dropDuplicates([id_col, "_own"])
+    return others.select(docs.columns).unionByName(judged.where("_stays is null").select(docs.columns)).unionByName(once.select(docs.columns))
