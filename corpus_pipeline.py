@@ -2,6 +2,9 @@
 
 Each stage is a function of (session, documents so far, folder of tables). All but the last return the columns of
 `documents`. `run` writes what a stage returns to the shared folder and reads it back as the next one's documents.
+
+Rows are judged by id and text together, so repeated ids lose nothing: of rows that are the same in both one stays after
+exact dedup, and an id with several texts is several rows. Null ids are ids like others.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import exact_dedup, language, near, packing, quality
 from factloom.llm.queries import BYTES
-from factloom.llm.store import table
+from factloom.llm.store import new_path, released
 
 ORACLE_SQL = None
 
@@ -24,24 +27,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in no language go."""
+    """Rows in none of the learned languages go; a language that is NULL becomes the one that was found."""
     return language.keep_known(docs, language.fit(docs, ~language.held_out()))
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id was not dropped, columns as they are."""
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti").select(docs.columns)
-
-
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs))
+    return exact_dedup.deduplicated(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar texts one row stays."""
-    return _without(docs, near.jaccard_join(docs))
+    return near.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +56,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents. A stage's own tables are removed once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = new_path(spark, "stage-" + name.replace(" ", "-"))
+        with released():
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
