@@ -40,7 +40,7 @@ SMALL, DEPTH, LEADERS = 64, 2, 2
 SIGMAS = 4  # standard errors of a sketch that the bounds below leave
 HIGH = 0.97  # share of equal sampled tokens at which the leader stands for a member
 BLOCK, BLOCK_TOKENS = 512, 1 << 18  # members and tokens of a block, about: two blocks are compared in some 100 MB
-TASK_BLOCKS = 4  # pairs of blocks that a task compares, about
+LEAST_TASKS = 16
 _A = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
 
@@ -187,11 +187,9 @@ def _blocks(df: DataFrame, blocks: Column, key: str) -> DataFrame:
     return df.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
 
 
-def _spread(parts: DataFrame, key: list[str], blocks: int) -> DataFrame:
-    """Rows by key, so many partitions that each has a few pairs of blocks whatever their bytes."""
-    spark = parts.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // TASK_BLOCKS)
-    return parts.repartition(min(n, 1 << 16), *key).sortWithinPartitions(*key)
+def _spread(parts: DataFrame, key: list[str], work: float) -> DataFrame:
+    """Rows by key, in as many partitions as there are full pairs of blocks to compare, whatever their bytes."""
+    return parts.repartition(min(max(LEAST_TASKS, math.ceil(work)), 1 << 16), *key).sortWithinPartitions(*key)
 
 
 def candidates(sets: DataFrame, n_runs: int, similar: float = SIMILAR) -> DataFrame:
@@ -215,9 +213,9 @@ def candidates(sets: DataFrame, n_runs: int, similar: float = SIMILAR) -> DataFr
             break
         if depth == DEPTH + LEADERS:
             blocks = F.ceil(F.col("size") / BLOCK)
-            n = large.where("node = leader").agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 1
+            work = large.where("node = leader").agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 0
             parts = _blocks(large, blocks, "bucket").select("bucket", "i", "j", "node", "sketch")
-            found.append(table(_spread(parts, ["bucket", "i", "j"], int(n)).mapInArrow(_block_edges(least), "u long, v long").distinct(), "alike"))
+            found.append(table(_spread(parts, ["bucket", "i", "j"], float(work)).mapInArrow(_block_edges(least), "u long, v long").distinct(), "alike"))
             break
         leaders = table(large.where("node = leader").select("bucket", "size", F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch")), "leaders")
         near = join_groups(large.drop("size"), leaders, ["bucket"], "size").withColumn("alike", _alike("sketch", "lead_sketch"))
@@ -290,15 +288,16 @@ def verdicts(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, reca
     nodes = components(candidates(sets, runs(recall, similar), similar))
     groups = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     members = sets.join(groups, "node").select("node", "root", "n", "copies", "rep")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("nodes"))
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
     sizes = table(sizes, "sizes")
-    members = table(join_groups(members, sizes, ["root"], "nodes").select("node", "root", "copies", "blocks", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")), "members")
+    members = table(join_groups(members, sizes.drop("tokens"), ["root"], "nodes").select("node", "root", "copies", "blocks", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")), "members")
     maybe, _ = filtered(src, row_hash(F.col("doc_id"), F.col("text_key")), members, row_hash(F.col("_id"), F.col("_key")))
     texts = maybe.join(members.hint("merge"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "blocks", "copies", "text")
     whole = texts.mapInArrow(_with_sets(words), "node long, root long, blocks int, copies long, tokens binary")
     parts = _blocks(whole, F.col("blocks"), "root").select("root", "i", "j", "own", "node", "copies", "tokens")
-    n = sizes.agg(F.sum(F.expr("blocks * (blocks + 1L) div 2"))).first()[0] or 1
-    linked = table(_spread(parts, ["root", "i", "j"], int(n)).mapInArrow(_exact(similar), "u long, v long, texts long, docs long"), "links")
+    part = F.greatest(F.pow(F.col("nodes") / BLOCK, 2), F.col("tokens") / BLOCK_TOKENS)  # of a full pair of blocks
+    work = sizes.agg(F.sum(F.when(F.col("blocks") > 1, F.expr("blocks * (blocks + 1d) / 2")).otherwise(part))).first()[0] or 0
+    linked = table(_spread(parts, ["root", "i", "j"], float(work)).mapInArrow(_exact(similar), "u long, v long, texts long, docs long"), "links")
     links = linked.groupBy(F.col("u").alias("node")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     classes = components(linked.select("u", "v"))
     by_set = sets.drop("sketch").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
