@@ -25,9 +25,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while was[0]:
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))  # (hi: node, lo: neighbour)
         least = _least(both).withColumn("m", F.least("hi", "m"))
-        large = table(join_groups(both.where("lo > hi"), least, ["hi"], "n").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        large = table(join_groups(both.where("lo > hi"), least, ["hi"], "n", total=2 * was[0]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
         least = _least(large)
-        small = join_groups(large, least, ["hi"], "n").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = join_groups(large, least, ["hi"], "n", total=2 * was[0]).where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = table(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         now = _state(e)
         if now == was:

@@ -155,8 +155,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hu
     """doc_id, text_key, keep_id, group_size, kept, text_sha256 for each row."""
     key, last = ["h1", "h2", "n_bytes"], lambda *more: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", *more)
     prints = table(fingerprints(docs, id_col, text_col, huge), "prints")
+    total = prints.count()
     several = table(prints.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("text_key", "doc_id")).alias("rep")).where("n > 1"), "several")
-    marked = table(join_groups(prints, several, key, "n", "left"), "marked")
+    marked = table(join_groups(prints, several, key, "n", "left", total), "marked")
     members = marked.where("n is not null")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     differ = table(_differing(texts, members), "differ")
@@ -166,7 +167,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hu
         members = members.join(differ.withColumn("split", F.col("text_sha256")), ["text_key", "text_sha256"], "left").withColumn("split", F.coalesce("split", F.lit("")))
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), last().alias("row"))).getField("row")
     groups = table(members.groupBy(*key, "split").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
-    d = join_groups(members, groups, [*key, "split"], "group_size").select("doc_id", "text_key", F.col("best.doc_id").alias("keep_id"), "group_size", last().eqNullSafe(F.col("best")).alias("kept"), "text_sha256")
+    d = join_groups(members, groups, [*key, "split"], "group_size", total=total).select("doc_id", "text_key", F.col("best.doc_id").alias("keep_id"), "group_size", last().eqNullSafe(F.col("best")).alias("kept"), "text_sha256")
     first = d.where("kept").groupBy(*d.columns).agg(F.count("*").cast("int").alias("times")).withColumn("k", F.explode(F.sequence(F.lit(1), "times"))).withColumn("kept", F.col("k") == 1)
     alone = marked.where("n is null").select("doc_id", "text_key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.unionByName(first.select(d.columns)).unionByName(d.where("not kept"))

@@ -194,12 +194,13 @@ def _spread(parts: DataFrame, key: list[str], work: float) -> DataFrame:
 
 def candidates(sets: DataFrame, n_runs: int, similar: float = SIMILAR) -> DataFrame:
     """Edges (u, v) that join what is similar by its sketch. sets: node, sketch."""
+    total = sets.count() * n_runs
     key = lambda depth: F.expr(f"element_at(sketch, cast(pmod(run + {depth * n_runs}, {SKETCH}) as int) + 1)")
     least = low(similar)
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
         n = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("leader")).where("size > 1")
-        return table(join_groups(rows, table(n, "sizes"), ["bucket"], "size"), name)
+        return table(join_groups(rows, table(n, "sizes"), ["bucket"], "size", total=total), name)
 
     rows = sets.select("node", "sketch", F.explode(F.array(*map(F.lit, range(n_runs)))).alias("run"))
     level = counted(table(rows.select("node", "run", F.xxhash64("run", key(0)).alias("bucket")), "runs"), "buckets")
@@ -218,7 +219,7 @@ def candidates(sets: DataFrame, n_runs: int, similar: float = SIMILAR) -> DataFr
             found.append(table(_spread(parts, ["bucket", "i", "j"], float(work)).mapInArrow(_block_edges(least), "u long, v long").distinct(), "alike"))
             break
         leaders = table(large.where("node = leader").select("bucket", "size", F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch")), "leaders")
-        near = join_groups(large.drop("size"), leaders, ["bucket"], "size").withColumn("alike", _alike("sketch", "lead_sketch"))
+        near = join_groups(large.drop("size"), leaders, ["bucket"], "size", total=total).withColumn("alike", _alike("sketch", "lead_sketch"))
         near = table(near.where("node <> lead").select("node", "run", "bucket", "sketch", "lead", "alike", key(depth + 1).alias("token")), "near")
         found.append(near.where(f"alike >= {lead(similar)}").select(F.col("node").alias("u"), F.col("lead").alias("v")))
         depth += 1
@@ -285,12 +286,13 @@ def verdicts(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, reca
     key = ["n", "p1", "p2"]
     sets = sketches.where("n > 0").groupBy(*key).agg(F.min(row).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))  # equal sets have equal sketches
     sets = table(sets.withColumn("node", F.xxhash64(*key)), "sets")
+    n_sets = sets.count()
     nodes = components(candidates(sets, runs(recall, similar), similar))
     groups = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     members = sets.join(groups, "node").select("node", "root", "n", "copies", "rep")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
     sizes = table(sizes, "sizes")
-    members = table(join_groups(members, sizes.drop("tokens"), ["root"], "nodes").select("node", "root", "copies", "blocks", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")), "members")
+    members = table(join_groups(members, sizes.drop("tokens"), ["root"], "nodes", total=n_sets).select("node", "root", "copies", "blocks", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")), "members")
     maybe, _ = filtered(src, row_hash(F.col("doc_id"), F.col("text_key")), members, row_hash(F.col("_id"), F.col("_key")))
     texts = maybe.join(members.hint("merge"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "blocks", "copies", "text")
     whole = texts.mapInArrow(_with_sets(words), "node long, root long, blocks int, copies long, tokens binary")
@@ -303,7 +305,7 @@ def verdicts(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, reca
     by_set = sets.drop("sketch").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_set = table(by_set, "classed")
     best = table(by_set.groupBy("root").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes")), "classes")
-    by_set = table(join_groups(by_set, best, ["root"], "nodes"), "classed")
+    by_set = table(join_groups(by_set, best, ["root"], "nodes", total=n_sets), "classed")
     d = join_groups(sketches.where("n > 0").drop("sketch"), by_set, key, "copies")
     d = d.select("doc_id", "text_key", F.col("rep.doc_id").alias("rep_id"), F.col("best.doc_id").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), "class_size", row.eqNullSafe(F.col("best")).alias("kept"))
     first = d.where("kept").groupBy(*d.columns).agg(F.count("*").cast("int").alias("times")).withColumn("k", F.explode(F.sequence(F.lit(1), "times"))).withColumn("kept", F.col("k") == 1)

@@ -86,12 +86,13 @@ def bounded_sample(df: DataFrame, key: str, n: int, by: Column | None = None) ->
     return out
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Rows joined with the groups that they are part of; groups: one row each, a written table, `size` its number of rows.
 
     Groups with more than a SHARE-th of all rows, so SHARE at most, are joined where their rows lie; the other rows are shuffled.
+    total: the sum of all sizes or more, if it is known.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total = (groups.agg(F.sum(size)).first()[0] or 0) if total is None else total
     hot = F.broadcast(groups.where(F.col(size) > total / SHARE))
     rest = rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col(size) <= total / SHARE), key, how)
     return rows.join(hot, key).unionByName(rest)
