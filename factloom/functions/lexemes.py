@@ -17,7 +17,7 @@ RAW_ONLY = "RAW_ONLY"
 
 # Names and codes of currencies.
 CURRENCIES = {
-    "euros": "EUR", "euro": "EUR", "eur": "EUR", "u.s dollars": "USD", "u.s. dollars": "USD", "us dollars": "USD", "dollars": "USD", "dólares": "USD", "dolares": "USD", "usd": "USD",
+    "euro": "EUR", "euros": "EUR", "eur": "EUR", "u.s dollars": "USD", "u.s. dollars": "USD", "us dollars": "USD", "dollars": "USD", "dólares": "USD", "dolares": "USD", "usd": "USD",
     "sterling": "GBP", "pounds sterling": "GBP", "gbp": "GBP", "swiss francs": "CHF", "chf": "CHF", "yen": "JPY", "jpy": "JPY", "renminbi": "CNH", "cnh": "CNH", "offshore cny": "CNH", "cny": "CNY",
 }
 # Month names.
@@ -33,6 +33,7 @@ FREQUENCIES = {
 }
 # Months of each payment frequency.
 SCHEDULE = {"each year": 12, "cada a": 12, "annually": 12, "each six months": 6, "semiannually": 6, "cada seis meses": 6, "each quarter": 3, "quarterly": 3, "trimestral": 3, "each month": 1, "monthly": 1, "mensual": 1}
+# Phrases of open ranges.
 OPEN_ENDED = r"(?iu)\b(?:to|hasta)\s+(?:and\s+)?including\b|\bfrom\b.*\bto\b|\bcommenc|or\s+the\b|\bpr[oó]rroga|\bextensi|variable|alternativ"
 # Day-count conventions and their lexemes.
 DAY_COUNTS = {
@@ -46,9 +47,11 @@ DAY_COUNTS = {
     "A_30E_360_ISDA": ("30E/360 ISDA", "30E/360 (ISDA)"),
     "ONE_ONE": ("1/1",),
 }
+# Words near a day count.
 DAY_COUNT_ANCHOR = r"(?iu)day\s*count|base\s+de\s+c[aá]lculo|fraction|daycount|base\s+de\s+c[óo]mputo|m[ée]todo\s+de\s+c[aá]lculo\s+de\s+d[ií]as"
 # Names of interest-rate indexes.
 BENCHMARKS = r"EURIBOR|EURISOR|€STR|ESTR|EONIA|SONIA|SOFR|LIBOR|MIBOR|MID-?SWAP(?:\s+RATE)?|ICE\s+SWAP\s+RATE|CMS|CMT|IRPH|BTF|TIPO\s+DE\s+INTER[EÉ]S\s+DE\s+REFERENCIA"
+# An index with its tenor and margin, ranks, tiers, and the form of a security code.
 BENCHMARK = rf"(?iu)(?<![A-Za-z0-9])(?:{BENCHMARKS})(?:\s*[,\-]?\s*a?\s*\d+\s*(?:mes(?:es)?|months?|M|a[ñn]os?|years?))?(?:\s*(?:a\s+)?(?:6|12)\s*meses)?(?:\s*[+\-]\s*[0-9][0-9.,]*\s*%?)?"
 RANK = r"(?iu)\b(senior\s+preferred|senior\s+non[- ]preferred|senior|subordinated|subordinad[ao]s?|ordinary|preferred)\b"
 TIER = r"(?iu)\b(tier\s*[12]|t[12]\b|at1\b|additional\s+tier\s*1)\b"
@@ -95,23 +98,27 @@ def norm_percent(c: Column) -> Column:
     return norm_number(found(c, rf"(?iu)(-?[0-9][0-9.,]*)\s*{PERCENT_SIGN}", 1))
 
 
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern's first match as an array, NULL without one: found once, taken apart once."""
+    split = lambda m: F.split(F.regexp_replace(m, pattern, "\x01".join(f"${i}" for i in range(1, n + 1))), "\x01")
+    return let(F.regexp_extract(c, pattern, 0), lambda m: F.when(m != "", split(m)))
+
+
 def norm_date(c: Column) -> Column:
     """ISO text. The day isn't checked, so an impossible one is passed on."""
     s, digits = F.trim(c), r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})"
     iso = lambda y, m, d: F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    g = lambda p, i: F.regexp_extract(s, p, i)
     words = r"(?iu)(\d{1,2})\s+(?:de[l]?\s+)?([A-Za-záéíóú]+)\s+(?:de[l]?\s+)?(\d{4})"
     names = F.create_map(*[F.lit(x) for table in (MONTHS_EN, MONTHS_ES) for i, n in enumerate(table) for x in (n, str(i + 1))])
-    month = F.try_element_at(names, F.regexp_replace(F.lower(g(words, 2)), "[^a-z]", ""))
-    return F.when(s.rlike(digits), F.when(g(digits, 2).cast("int") <= 12, iso(g(digits, 3), g(digits, 2), g(digits, 1)))).when(month.isNotNull(), iso(g(words, 3), month, g(words, 1)))
+    written = let(_groups(s, words, 3), lambda g: let(F.try_element_at(names, F.regexp_replace(F.lower(g[1]), "[^a-z]", "")), lambda month: F.when(month.isNotNull(), iso(g[2], month, g[0]))))
+    return F.when(s.rlike(digits), let(_groups(s, digits, 3), lambda g: F.when(g[1].cast("int") <= 12, iso(g[2], g[1], g[0])))).otherwise(written)
 
 
 def norm_currency(c: Column) -> Column:
     """The longest name that occurs anywhere, else the first word of three capitals."""
-    s = F.trim(squeezed(F.lower(F.regexp_replace(c, "['’\"()]", ""))))
     names = sorted(CURRENCIES, key=len, reverse=True)
-    by_name = reduce(lambda w, n: w.when(F.contains(s, F.lit(n)), F.lit(CURRENCIES[n])), names[1:], F.when(F.contains(s, F.lit(names[0])), F.lit(CURRENCIES[names[0]])))
-    return F.coalesce(by_name, found(c, r"\b([A-Z]{3})\b", 1))
+    named = lambda s: reduce(lambda w, n: w.when(F.contains(s, F.lit(n)), F.lit(CURRENCIES[n])), names[1:], F.when(F.contains(s, F.lit(names[0])), F.lit(CURRENCIES[names[0]])))
+    return F.coalesce(let(F.trim(squeezed(F.lower(F.regexp_replace(c, "['’\"()]", "")))), named), found(c, r"\b([A-Z]{3})\b", 1))
 
 
 def longest_number(c: Column) -> Column:
@@ -205,6 +212,27 @@ def scalar_key(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(n.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), F.lower(F.trim(squeezed(c))))
 
 
+def list_key(values: Column) -> Column:
+    """The keys of a list's values in order, joined by blanks; nothing of NULL."""
+    return F.coalesce(F.array_join(F.array_sort(F.transform(values, lambda x: F.coalesce(scalar_key(x), F.lit("")))), " "), F.lit(""))
+
+
+def money_key(amount: Column) -> Column:
+    """The digits of an amount."""
+    return F.coalesce(F.regexp_replace(amount.cast("string"), "[^0-9]", ""), F.lit(""))
+
+
+def reconcile_key(value: Column, money: Column | None = None) -> Column:
+    """What two sources must share to agree: amount and currency of money, else the trimmed value; an empty text of NULL."""
+    plain = F.coalesce(F.trim(value), F.lit(""))
+    return plain if money is None else F.when(money.isNotNull(), F.concat_ws("|", money["amount"].cast("string"), money["currency"])).otherwise(plain)
+
+
+def record_ids(c: Column) -> Column:
+    """All record ids in a text or JSON, whatever it is nested in: words that open with one of four prefixes."""
+    return F.regexp_extract_all(c, F.lit(r"(?:^|[\s()\"])((?:CCFF|FOL|ADM|PSE)_[^\s()\"]*)"), F.lit(1))
+
+
 def verbatim_key(c: Column) -> Column:
     """White space squeezed, trimmed, lower case."""
     return F.lower(F.trim(squeezed(c)))

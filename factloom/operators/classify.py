@@ -1,10 +1,14 @@
-"""Classification of registry rows into document roles: a cascade over metadata, then titles and anchors in the text."""
+"""Classification of registry rows into document roles: a cascade over metadata, then titles and anchors in the text's head."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Surfaces that rows are acquired from.
+FINAL_TERMS_ROWS, PROSPECTUS_ROWS, ADMISSION_ROWS = "CNMV_CCFF", ("CNMV_FOLLETOS_EMISION", "CNMV_FOLLETO_DETAIL"), "CNMV_ADMISSION"
 # Titles and obligatory phrases of each role, tried in this order.
 TITLES = {
     "FINAL_TERMS": r"(?iu)condiciones\s+finales|final\s+terms|condiciones\s+definitivas",
@@ -14,19 +18,29 @@ TITLES = {
     "CORRECTION": r"(?iu)correcci[oó]n\s+de\s+errores|error\s+note|rectificaci[oó]n",
 }
 ANCHORS = {
-    "FINAL_TERMS": r"(?iu)tipo\s+de\s+inter[eé]s\s+nominal|rate\s+of\s+interest|fecha\s+de\s+vencimiento|maturity\s+date|importe\s+nominal|aggregate\s+(?:nominal|principal)",
-    "SECURITIES_NOTE": r"(?iu)admisi[oó]n\s+a\s+negociaci[oó]n|admission\s+to\s+trading|descripci[oó]n\s+de\s+los\s+valores|description\s+of\s+the\s+securities",
-    "BASE_PROSPECTUS": r"(?iu)factores\s+de\s+riesgo|risk\s+factors|condiciones\s+de\s+los\s+valores|terms\s+and\s+conditions",
+    "FINAL_TERMS": (r"(?iu)tipo\s+de\s+inter[eé]s\s+nominal|rate\s+of\s+interest", r"(?iu)fecha\s+de\s+vencimiento|maturity\s+date", r"(?iu)importe\s+nominal|aggregate\s+(?:nominal|principal)"),
+    "SECURITIES_NOTE": (r"(?iu)admisi[oó]n\s+a\s+negociaci[oó]n|admission\s+to\s+trading", r"(?iu)descripci[oó]n\s+de\s+los\s+valores|description\s+of\s+the\s+securities"),
+    "BASE_PROSPECTUS": (r"(?iu)factores\s+de\s+riesgo|risk\s+factors", r"(?iu)condiciones\s+de\s+los\s+valores|terms\s+and\s+conditions"),
 }
 DEBT = r"(?iu)BONOS|OBLIG|C[EÉ]DULAS?|PAGAR[ÉE]S?|RENTA\s+FIJA|FTA\b|TITULIZACI"
-TITLE_CHARS = 4000
+HEAD = 4000  # characters of a text that may name its role
+
+DEFINING, LIFECYCLE, OUT, UNKNOWN = "INSTRUMENT_DEFINING", "LIFECYCLE", "OUT_OF_SCOPE", "UNKNOWN"
 
 
-def metadata_role(surface: Column, role: Column, register: Column, denomination: Column) -> Column:
+def by_metadata(surface: Column, role: Column, register: Column, denomination: Column) -> Column:
+    """struct(role, scope, debt, signal) by a row's metadata; all of them but UNKNOWN are certain."""
+    is_ = lambda name, scope, signal, debt=False: F.struct(F.lit(name).alias("role"), F.lit(scope).alias("scope"), F.lit(debt).alias("debt"), F.lit(signal).cast("string").alias("signal"))
+    said = F.upper(role)
     return (
-        F.when(surface == "CCFF", "FINAL_TERMS").when(role.startswith("SUPLEMENTO") | register.rlike(r"\.\d+$"), "SUPPLEMENT").when(role.contains("MODIFICACI") | register.rlike(r"-\d+$"), "CORRECTION")
-        .when(surface == "FOLLETO", "BASE_PROSPECTUS").when((surface == "ADMISION") & denomination.rlike(DEBT), "SECURITIES_NOTE").when(surface == "ADMISION", "ISSUE_DOC").otherwise("UNKNOWN")
-    )
+        F.when(surface == FINAL_TERMS_ROWS, is_("FINAL_TERMS", DEFINING, "surface:final terms"))
+        .when(said.contains("SUPLEMENTO") | register.rlike(r"\.\d+$"), is_("SUPPLEMENT", LIFECYCLE, "meta:supplement"))
+        .when(said.contains("MODIFICACI") | register.rlike(r"-\d+$"), is_("CORRECTION", LIFECYCLE, "meta:modification"))
+        .when(surface.isin(*PROSPECTUS_ROWS), is_("BASE_PROSPECTUS", DEFINING, "surface:prospectus"))
+        .when((surface == ADMISSION_ROWS) & denomination.rlike(DEBT), is_("SECURITIES_NOTE", DEFINING, "surface:admission", True))
+        .when(surface == ADMISSION_ROWS, is_("ISSUE_DOC", OUT, "surface:admission"))
+        .otherwise(is_(UNKNOWN, UNKNOWN, None))
+    )
 
 
 def first_match(patterns: dict[str, str], text: Column) -> Column:
@@ -36,24 +50,51 @@ def first_match(patterns: dict[str, str], text: Column) -> Column:
     return out
 
 
+def anchors(role: Column, text: Column) -> Column:
+    """How many kinds of obligatory phrases of its role a text has; NULL for roles that have none."""
+    out = F.lit(None).cast("int")
+    for name, ps in ANCHORS.items():
+        out = F.when(role == name, reduce(lambda a, b: a + b, (text.rlike(p).cast("int") for p in ps))).otherwise(out)
+    return out
+
+
+def family_key(surface: Column, register: Column, number: Column) -> Column:
+    """The family of a document by its own evidence: an admission's register, a named programme, or the register's base."""
+    some, base = F.when(register != "", register), F.regexp_extract(register, r"^([^.\-]*)", 1)
+    return F.when(surface == ADMISSION_ROWS, F.concat(F.lit("ISSUE_ADM_"), some)).when(F.coalesce(number, F.lit("")) != "", F.concat(F.lit("PROG_"), number)).when(some.isNotNull(), F.concat(F.lit("PROG_"), base))
+
+
 def classify(rows: DataFrame) -> DataFrame:
-    """Adds role, scope, confidence, signals and family_key to rows of surface, role_text, register, denomination, number, text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = rows.withColumns({"_meta": metadata_role(F.col("surface"), F.coalesce("role_text", F.lit("")), F.col("register"), F.coalesce("denomination", F.lit(""))), "_title": first_match(TITLES, F.substring(text, 1, TITLE_CHARS))})
-    meta, title = F.col("_meta"), F.col("_title")
-    upgraded = (meta == "ISSUE_DOC") & (title == "SECURITIES_NOTE")
-    d = d.withColumn("role", F.when((meta == "UNKNOWN") & title.isNotNull(), title).when(upgraded, title).otherwise(meta))
-    conflict = title.isNotNull() & (title != meta) & (meta != "UNKNOWN") & ~upgraded
-    anchor = F.lit(False)
-    for name, p in ANCHORS.items():
-        anchor = anchor | ((F.col("role") == name) & text.rlike(p))
-    base = F.when((meta == "UNKNOWN") & title.isNull(), "LOW").when((meta == "UNKNOWN") | conflict, "MEDIUM").otherwise("HIGH")
-    d = d.withColumns({"_anchor": anchor, "_base": base})
-    signals = F.array_compact(F.array(F.concat(F.lit("meta:"), meta), F.when(title.isNotNull(), F.concat(F.lit("title:"), title)), F.when(conflict, "title_conflict"), F.when(F.col("_anchor"), "anchor")))
-    scope = F.when(F.col("role") == "UNKNOWN", "UNKNOWN").when(F.col("role") == "ISSUE_DOC", "OUT_OF_SCOPE").otherwise("IN_SCOPE")
-    confidence = F.when((F.col("_base") == "MEDIUM") & F.col("_anchor"), "HIGH").otherwise(F.col("_base"))
-    family = F.when(F.col("surface") == "ADMISION", F.concat(F.lit("ISSUE_ADM_"), F.col("register"))).otherwise(F.concat(F.lit("PROG_"), F.coalesce("number", F.regexp_extract("register", r"^([^.\-]+)", 1))))
-    return d.select(*rows.columns, "role", scope.alias("scope"), confidence.alias("confidence"), F.array_join(signals, ",").alias("signals"), family.alias("family_key"))
+    """Adds role, scope, instrument_class, confidence, signals and family_key to rows of surface, role_text, register, denomination, number, text, and value_type if there is one.
+
+    The first title in the text's head fills an unknown role, makes a securities note of an issue document, or lowers the
+    confidence; obligatory phrases raise a middling one.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    surface, denomination = F.coalesce("surface", F.lit("")), filled("denomination")
+    head = F.substring(filled("text"), 1, HEAD)
+    d = rows.withColumns({"_meta": by_metadata(surface, filled("role_text"), filled("register"), denomination), "_title": first_match(TITLES, head), "_head": head})
+    meta, title = F.col("_meta.role"), F.col("_title")
+    found, upgraded = (meta == UNKNOWN) & title.isNotNull(), (meta == "ISSUE_DOC") & F.coalesce(title == "SECURITIES_NOTE", F.lit(False))
+    conflict = F.coalesce((title != meta) & ~found & ~upgraded, F.lit(False))
+    d = d.withColumns({"role": F.when(found | upgraded, title).otherwise(meta), "_found": found, "_upgraded": upgraded, "_conflict": conflict})
+    d = d.withColumns({"_anchors": anchors(F.col("role"), F.col("_head")), "_middling": found | conflict})
+    role, hits = F.col("role"), F.col("_anchors")
+    scope = F.when(F.col("_upgraded"), DEFINING).when(F.col("_meta.scope") != UNKNOWN, F.col("_meta.scope")).when(role == "SUPPLEMENT", LIFECYCLE).when(role.isin("FINAL_TERMS", "SECURITIES_NOTE", "BASE_PROSPECTUS"), DEFINING).otherwise(UNKNOWN)
+    confidence = F.when(role == UNKNOWN, "LOW").when(F.col("_middling") & ~F.coalesce(hits > 0, F.lit(False)), "MEDIUM").otherwise("HIGH")
+    known = F.col("_meta.debt") | F.col("_upgraded")
+    named = F.when(denomination != "", denomination).otherwise(filled("value_type")).rlike(DEBT)
+    signals = F.array(
+        F.col("_meta.signal"), F.when(F.col("_meta.debt"), F.concat(F.lit("meta:denomination="), F.substring(denomination, 1, 40))), F.concat(F.lit("title:"), title), F.when(F.col("_upgraded"), F.lit("title_overrides_default:securities_note")),
+        F.when(F.col("_conflict"), F.concat(F.lit("conflict:meta="), meta, F.lit("!="), title)), F.when(hits > 0, F.concat(F.lit("anchors:"), hits.cast("string"))).when((hits == 0) & F.col("_middling"), F.lit("anchors:none")),
+        F.when(named & ~known, F.lit("instrument:DEBT(meta)")), F.when(role == UNKNOWN, F.lit("fallback:UNKNOWN")),
+    )
+    return d.select(*rows.columns, "role", scope.alias("scope"), F.when(known | named, "DEBT").alias("instrument_class"), confidence.alias("confidence"), F.array_compact(signals).alias("signals"), family_key(surface, F.col("register"), F.col("number")).alias("family_key"))
+
+
+def document_of_record(r: dict[str, Column], head: Column) -> Column:
+    """struct of what the classifier reads, from an acquired record and its text's head."""
+    return F.struct(r["acquisition_surface"].alias("surface"), r["rol"].alias("role_text"), r["registro_oficial"].alias("register"), r["denominacion"].alias("denomination"), r["tipo_valor"].alias("value_type"), r["numfol"].alias("number"), F.substring(head, 1, HEAD).alias("text"))
 
 
 def lifecycle(edges: DataFrame, register: str = "register", target: str = "target") -> DataFrame:

@@ -63,6 +63,14 @@ SECTIONS = {
     "general": r"(?iu)\bisin\b|divisa|currency|denominaci[oó]n|importe\s+nominal|importe\s+total|importe\s+nominal\s+y\s+efectivo|aggregate\s+(?:nominal|principal|amount)",
     "structured": r"(?iu)subyacente|underlying|barrera|barrier|strike|participaci[oó]n|observation|observaci[oó]n",
 }
+# Roles of documents whose fields are read, and those that have sections of their own, with the words that differ.
+ROLES = ("final_terms", "base_prospectus", "supplement", "admission_doc", "registration_doc", "issue_document")
+ROLE_SECTIONS = {
+    "FINAL_TERMS": {},
+    "SECURITIES_NOTE": {"general": r"(?iu)\bisin\b|divisa|currency|denominaci[oó]n|importe\s+nominal|admisi[oó]n|admission|descripci[oó]n\s+de\s+los\s+valores"},
+    "ISSUE_DOC": {"general": r"(?iu)\bisin\b|divisa|currency|denominaci[oó]n|importe\s+nominal|emisi[oó]n|issue"},
+    "BASE_PROSPECTUS": {"interest": r"(?iu)tipo\s+de\s+inter[eé]s|interest|cup[oó]n|day\s+count|base\s+de\s+c[aá]lculo|fixed\s+rate|floating\s+rate", "general": r"(?iu)programa|programme|emisores|issuers|divisa|currency|denominaci[oó]n|form\s+of\s+final\s+terms"},
+}
 # What a value is not (phrases, templates, parts of labels, other labels), references, rows below a label, conventions.
 PHRASE = r"""(?iu)^\s*["'‘“`]?\s*(?:is|are|was|were|shall|means|ser|es|son|in\s+relation\s+to|as\s+provided|specified\s+in|de\s+conformidad|seg[uú]n)\b"""
 TEMPLATE = r"\[[\[\]\s●…\.]*\]|\[●\]"
@@ -72,9 +80,11 @@ REFERENCE = r"(?iu)^\s*(?:see|as\s+per|as\s+set\s+out|v[eé]ase|seg[uú]n|confor
 ROW_BELOW = r"(?iu)^\s*(?:\([a-z0-9]+\)|series|tranche|total|importe|nominal)\b"
 BULLETS = r"^[•●·▪◦‣\-\*o\s]+"
 CONVENTION = r"(?iu)(?:Modified\s+)?Following\s+Business\s+Day\s+Convention|Preceding\s+Business\s+Day\s+Convention|FRN\s+Convention|Convenci[oó]n\s+del?\s+Siguiente\s+D[ií]a\s+H[aá]bil|Convenci[oó]n\s+del?\s+D[ií]a\s+H[aá]bil\s+(?:Anterior|Precedente|Siguiente\s+Modificada?)|Siguiente\s+D[ií]a\s+H[aá]bil\s*\(?\s*Following\s+Business\s+Day\s+Convention\s*\)?"
+# Numbers before a label.
 NUMBERING = r"(?:\(\s*[a-zivx0-9]+\s*\)|\d+\.?|[a-z]\))?\s*"
 
 CANDIDATE = ("doc_id", "field", "source", "ix", "k", "raw", "item")
+EXCERPT = 300  # characters of a block that stand for it as evidence
 
 
 def pattern(rule: Rule) -> str:
@@ -164,15 +174,20 @@ def table_candidates(rows: DataFrame, rules: dict[str, Rule] = RULES) -> DataFra
     return d.select("doc_id", "field", F.lit(1).alias("source"), F.lit(None).cast("long").alias("ix"), F.array(F.col("table").cast("long"), F.col("row").cast("long"), F.col("col").cast("long")).alias("k"), raw.alias("raw"), F.lit("").alias("item"))
 
 
-def own_candidates(blocks: DataFrame) -> DataFrame:
-    """What stands for itself: conventions of business days anywhere (source 3), and security codes (source 2), which count where no label has one."""
+def own_candidates(blocks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """What stands for itself: conventions of business days in any block or cell (source 3), and security codes in blocks (source 2), which count where no label has one."""
     t = F.trim(F.coalesce("text", F.lit("")))
     code = F.when(t.rlike(f"^{L.ISIN}$"), t).when(t.rlike("(?i)ISIN"), L.found(t, L.ISIN))
     entry = lambda name, source, raw: F.struct(F.lit(name).alias("field"), F.lit(source).alias("source"), raw.alias("raw"))
-    named = F.transform(F.regexp_extract_all(t, F.lit(CONVENTION), F.lit(0)), lambda x: entry("business_day_convention", 3, x))
-    found = F.concat(F.array_compact(F.array(F.when(code.isNotNull(), entry("isin", 2, code)))), named)
+    conventions = lambda c: F.transform(F.regexp_extract_all(c, F.lit(CONVENTION), F.lit(0)), lambda x: entry("business_day_convention", 3, x))
+    found = F.concat(F.array_compact(F.array(F.when(code.isNotNull(), entry("isin", 2, code)))), conventions(t))
     d = blocks.select("doc_id", "ix", t.alias("item"), F.posexplode(found).alias("j", "f"))
-    return d.select("doc_id", "f.field", "f.source", "ix", F.array("ix", F.col("j").cast("long")).alias("k"), "f.raw", "item")
+    out = d.select("doc_id", "f.field", "f.source", "ix", F.array("ix", F.col("j").cast("long")).alias("k"), "f.raw", "item")
+    if rows is None:
+        return out
+    cells = rows.select("doc_id", "table", "row", F.posexplode("cells").alias("col", "cell")).select("doc_id", "table", "row", "col", F.posexplode(conventions(_bare(F.col("cell")))).alias("j", "f"))
+    place = F.array(*(F.col(c).cast("long") for c in ("table", "row", "col", "j")))
+    return out.unionByName(cells.select("doc_id", "f.field", "f.source", F.lit(None).cast("long").alias("ix"), place.alias("k"), "f.raw", F.lit("").alias("item")))
 
 
 def _plain(c: Column) -> Column:
@@ -199,16 +214,17 @@ def observed(candidates: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame
     d = d.select("*", F.explode_outer(F.array(F.when(F.col("class").isNull(), normal))).alias("normal"))  # a generator, so the filter isn't pushed below it and normal forms are worked out once
     d = d.where("class is not null or normal is not null")
     value = F.when(F.col("class") == "explicit_na", "NOT_APPLICABLE").when(F.col("normal") != L.RAW_ONLY, F.col("normal"))
-    return d.select("doc_id", "field", "source", "ix", "k", raw.alias("raw"), value.alias("value"), F.coalesce("class", F.when(F.col("normal") == L.RAW_ONLY, "raw_only").otherwise("anchored")).alias("class"))
+    excerpt = F.substring(F.coalesce(item, F.lit("")), 1, EXCERPT)
+    return d.select("doc_id", "field", "source", "ix", "k", raw.alias("raw"), value.alias("value"), F.coalesce("class", F.when(F.col("normal") == L.RAW_ONLY, "raw_only").otherwise("anchored")).alias("class"), excerpt.alias("excerpt"))
 
 
 def settle(observations: DataFrame, rules: dict[str, Rule] = RULES, by: tuple[str, ...] = ("doc_id", "field")) -> DataFrame:
-    """One observation of each document and field: status, class, values, lexeme, the blocks it rests on.
+    """One observation of each document and field: status, class, values, lexeme, the blocks it rests on, and whether an excerpt of them has the lexeme (`own`; for a list, whether there is any excerpt).
 
     What doesn't apply goes beside others; one value stands; values inside others go; several are a list where the
     field may have several, else a conflict. A group is what one document says of one field.
     """
-    entry = F.struct("source", "k", "ix", "raw", "value", "class")
+    entry, key = F.struct("source", "k", "ix", "raw", "value", "class", "excerpt"), L.verbatim_key
     has_label = F.max(F.col("source") != 2)
     g = observations.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("all"), has_label.alias("labelled"))
     g = g.withColumn("all", F.when(F.col("labelled"), F.filter("all", lambda x: x["source"] != 2)).otherwise(F.col("all")))
@@ -223,7 +239,9 @@ def settle(observations: DataFrame, rules: dict[str, Rule] = RULES, by: tuple[st
     status = F.when(F.col("one.class") == "anchored", "DERIVED").when(F.col("one").isNotNull() | F.col("multi"), "OBSERVED").otherwise("CONFLICT")
     values = F.when(F.col("one").isNotNull(), F.array_compact(F.array("one.value"))).otherwise(F.transform("kept", lambda x: F.when(F.col("multi"), F.coalesce(x["value"], x["raw"])).otherwise(x["value"])))
     evidence = F.when(F.size("names") == 1, F.col("obs")).when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("kept"))
-    return g.select(*by, status.alias("status"), F.when(F.col("one").isNotNull(), F.col("one.class")).when(F.col("multi"), "multi_aspect").alias("class"), values.alias("values"), F.col("one.raw").alias("lexeme"), F.transform(evidence, lambda x: x["ix"]).alias("blocks"))
+    g = g.withColumn("evidence", evidence)
+    own = F.exists("evidence", lambda x: (x["excerpt"] != "") & (F.col("one").isNull() | F.contains(key(x["excerpt"]), key(F.col("one.raw")))))
+    return g.select(*by, status.alias("status"), F.when(F.col("one").isNotNull(), F.col("one.class")).when(F.col("multi"), "multi_aspect").alias("class"), values.alias("values"), F.col("one.raw").alias("lexeme"), F.transform("evidence", lambda x: x["ix"]).alias("blocks"), own.alias("own"))
 
 
 def day_counts(settled: DataFrame) -> DataFrame:
@@ -239,7 +257,7 @@ def day_counts(settled: DataFrame) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES) -> DataFrame:
-    out = text_candidates(blocks, rules).unionByName(own_candidates(blocks).where(F.col("field").isin(*rules)))
+    out = text_candidates(blocks, rules).unionByName(own_candidates(blocks, rows).where(F.col("field").isin(*rules)))
     return out.unionByName(table_candidates(rows, rules)) if rows is not None else out
 
 
@@ -247,27 +265,67 @@ def _every_field(docs: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     return docs.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, rules))).alias("field"))
 
 
-def extract_all(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """A row for each document and field, read from the whole document; MISSING where nothing was found."""
+def extract_all(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES, role: str = "final_terms") -> DataFrame:
+    """A row for each document and field, read from the whole document; MISSING where nothing was found, no rows for a role that isn't read."""
+    docs = docs.where(F.lit(role in ROLES))
     found = day_counts(settle(observed(candidates(blocks, rows, rules), rules), rules))
     return _every_field(docs, rules).join(found, ["doc_id", "field"], "left").withColumn("status", F.coalesce("status", F.lit("MISSING")))
 
 
-def extract_by_section(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES, sections: dict[str, str] = SECTIONS) -> DataFrame:
+def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Observed and derived fields by what the document says word for word; others as they are.
+
+    A lexeme stands in the excerpt of its own block (`verified_verbatim`) or anywhere in the document's blocks and cells
+    (`verified_verbatim_doclevel`), or there is none (`no_lexeme`); a list needs the excerpt of a block. What can't be
+    found is observed without a value (VALUE_UNVERIFIED).
+    """
+    key, many = L.verbatim_key, F.coalesce(F.col("class") == "multi_aspect", F.lit(False))
+    said, own = key(F.coalesce("lexeme", F.lit(""))), F.coalesce("own", F.lit(False))
+    asked = F.col("status").isin("OBSERVED", "DERIVED")
+    d = fields.withColumns({"_said": said, "_lost": asked & ~many & (said != "") & ~own})
+    texts = blocks.select(F.col("doc_id").alias("_doc"), key(F.coalesce("text", F.lit(""))).alias("_text"))
+    if rows is not None:
+        texts = texts.unionByName(rows.select(F.col("doc_id").alias("_doc"), F.explode("cells").alias("c")).select("_doc", key(F.coalesce("c", F.lit(""))).alias("_text")))
+    # only what its own excerpts don't have is looked for, so the join is of few rows with their document
+    d = d.join(texts, (F.col("doc_id") == F.col("_doc")) & F.col("_lost") & F.contains("_text", "_said"), "left")
+    d = d.groupBy("doc_id", "field").agg(F.any_value(F.struct(*(c for c in d.columns if c not in ("doc_id", "field", "_text", "_doc")))).alias("r"), F.max(F.col("_text").isNotNull()).alias("_there")).select("doc_id", "field", "r.*", "_there")
+    kind = (
+        F.when(many, F.when(own, "verified_verbatim").otherwise("VALUE_UNVERIFIED"))
+        .when(F.col("_said") == "", "no_lexeme").when(own, "verified_verbatim").when(F.col("_there"), "verified_verbatim_doclevel").otherwise("VALUE_UNVERIFIED")
+    )
+    d = d.withColumn("_kind", F.when(asked, kind))
+    bad = F.coalesce(F.col("_kind") == "VALUE_UNVERIFIED", F.lit(False))
+    new = {"status": F.when(bad, "OBSERVED").otherwise(F.col("status")), "class": F.coalesce("_kind", "class"), "values": F.when(~bad, F.col("values"))}
+    return d.select(*(new[c].alias(c) if c in new else F.col(c) for c in fields.columns))
+
+
+def extract_documents(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES) -> DataFrame:
+    """Fields of classified documents (doc_id, role), verified, by the sections of their role; a role that isn't read gives one row with a note."""
+    read = docs.where(F.col("role").isin(*ROLE_SECTIONS))
+    text, role = F.coalesce("text", F.lit("")), F.col("role")
+    by_role = {s: F.coalesce(*(F.when(role == r, text.rlike(own[s])) for r, own in ROLE_SECTIONS.items() if s in own), text.rlike(p)) for s, p in SECTIONS.items()}
+    own = blocks.join(read.select("doc_id", "role"), "doc_id")
+    hits = own.withColumn("section", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(s)) for s, test in by_role.items()))))).drop("role")
+    found = verify(extract_by_section(read, own.drop("role"), rows, rules, hits=hits), blocks, rows).withColumn("note", F.lit(None).cast("string"))
+    other = docs.where(~F.coalesce(F.col("role").isin(*ROLE_SECTIONS), F.lit(False))).select("doc_id", F.concat(F.lit("no extractor for role "), F.coalesce("role", F.lit("UNKNOWN"))).alias("note"))
+    return found.unionByName(other, allowMissingColumns=True)
+
+
+def extract_by_section(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES, sections: dict[str, str] = SECTIONS, hits: DataFrame | None = None) -> DataFrame:
     """As extract_all, but fields of a section are read in its regions, the one with most hits first; adds failure.
 
     LOCATION_MISS: the document has no region of the section; PARSING_MISS: regions, but no observation. Tables belong to
-    every region. A label's value may come from a block just outside its region only by the blocks beside it.
+    every region. `hits` (doc_id, ix, page, section) replace the patterns of sections. A label's value may come from a block just outside its region only by the blocks beside it.
     """
-    hits = layout.section_hits(blocks.withColumn("block", F.coalesce("text", F.lit(""))), sections)
+    hits = hits if hits is not None else layout.section_hits(blocks.withColumn("block", F.coalesce("text", F.lit(""))), sections)
     areas = layout.regions(hits).select("doc_id", "section", "page", "lo", "hi", "score")
     obs = observed(candidates(blocks, rows, rules), rules).withColumn("section", _of_field({n: r.section for n, r in rules.items()}))
     a = areas.select(F.col("doc_id").alias("_doc"), F.col("section").alias("_section"), "page", "lo", "hi", "score")
     inside = F.col("ix").isNull() | ((F.col("ix") >= F.col("lo")) & (F.col("ix") < F.col("hi")))
     scoped = obs.where("section is not null").join(a, (F.col("doc_id") == F.col("_doc")) & (F.col("section") == F.col("_section")) & inside).drop("_doc", "_section", "lo", "hi")
     by = ("doc_id", "field", "page", "score")
-    each = settle(scoped.select(*by, "source", "ix", "k", "raw", "value", "class"), rules, by)
-    rest = ("status", "class", "values", "lexeme", "blocks")
+    each = settle(scoped.select(*by, "source", "ix", "k", "raw", "value", "class", "excerpt"), rules, by)
+    rest = ("status", "class", "values", "lexeme", "blocks", "own")
     best = each.groupBy("doc_id", "field").agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("page"))).alias("r")).select("doc_id", "field", "r.*")
     whole = settle(obs.where("section is null"), rules)
     found = day_counts(best.unionByName(whole))

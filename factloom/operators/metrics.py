@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import statistics
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.lexemes import MONTHS_EN, MONTHS_ES
 
 
+RANGES = 4096  # ranges of values that a group is counted in
+
+
 def outcome(gold: Column, decision: Column, equal: Column) -> Column:
     """The class of a decision (NULL: none) against a gold status."""
     confirmed, conflict = F.coalesce(decision == "CONFIRMED", F.lit(False)), F.coalesce(decision == "CONFLICT", F.lit(False))
@@ -66,9 +71,26 @@ def tier(positives: Column) -> Column:
 
 
 def order_statistics(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Median, ninth decile as the value at place int(0.9 n) of the sorted ones, largest and sum."""
-    ranked = F.array_sort(F.collect_list(value))
-    return rows.groupBy(*by).agg(F.median(value).alias("median"), F.get(ranked, (F.floor(F.count(value) * 0.9) - 1).cast("int")).alias("p90"), F.max(value).alias("most"), F.sum(value).alias("total"))
+    """Median, ninth decile as the value at place int(0.9 n) of the sorted ones, largest and sum.
+
+    Equal values are counted first; a group's values are then counted in ranges, so a task sorts a range of one group and
+    no group is gathered. Where a range starts is a sum over the counts of the ranges before it.
+    """
+    if not by:
+        return order_statistics(rows.withColumn("_one", F.lit(1)), value, "_one").drop("_one")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in by]
+    ends = ends.select(*(F.col(c).alias("_" + c) for c in by), "_lo", "_hi", "_all")
+    d = counts.join(ends, reduce(and_, same)).drop(*("_" + c for c in by)).withColumn("_range", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)).otherwise(F.lit(0)))
+    sums = d.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_sum")).select(*(F.col(c).alias("_" + c) for c in by), F.col("_range").alias("_r"), "_before")
+    in_range = reduce(and_, [*same, F.col("_range") == F.col("_r")])
+    last = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v")) + F.col("_before")
+    d = d.join(before, in_range).select(*by, "_v", "_n", "_all", last.alias("_last"))
+    at = lambda place: F.max(F.when((F.col("_last") >= place) & (F.col("_last") - F.col("_n") < place), F.col("_v")))  # noqa: E731  the value at a place from 1 on
+    median = (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2
+    return d.groupBy(*by).agg(median.alias("median"), at(F.when(F.col("_all") == 1, 1).otherwise(F.floor(F.col("_all") * 0.9))).alias("p90"), F.max("_v").alias("most"), F.sum(F.col("_v") * F.col("_n")).alias("total"))
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -108,8 +130,11 @@ def interval(k: Column, n: Column) -> Column:
     return F.pandas_udf(work, "low double, high double")(k, n)
 
 
-def bootstrap_median(rows: DataFrame, value: str, by: str, seed: int, times: int = 10_000) -> DataFrame:
-    """Median with its bootstrap interval, each group by itself in one task: groups are paired reviews, a few dozen rows."""
+def bootstrap_median(rows: DataFrame, value: str, by: str, seed: int, times: int = 10_000, most: int = 100_000) -> DataFrame:
+    """Median with its bootstrap interval, each group by itself in one task: groups are paired reviews, a few dozen rows.
+
+    A group with more than `most` values is refused: it would take `times` resamples of them in one task.
+    """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         xs, rng = sorted(pdf[value].dropna().tolist()), random.Random(seed)
@@ -117,7 +142,73 @@ def bootstrap_median(rows: DataFrame, value: str, by: str, seed: int, times: int
         low, high = (meds[int(0.025 * times)], meds[int(0.975 * times) - 1]) if meds else (None, None)
         return pd.DataFrame({by: [key[0]], "n": [len(xs)], "median": [statistics.median(xs) if xs else None], "low": [low], "high": [high]})
 
-    return rows.select(by, value).groupBy(by).applyInPandas(one, f"{rows.select(by).schema.simpleString()[7:-1]}, n long, median double, low double, high double")
+    size = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    small = F.when(F.col("_n") > most, F.raise_error(F.lit(f"a group has more than {most} values")).cast("boolean")).otherwise(True)
+    d = rows.select(by, value).join(size, F.col(by).eqNullSafe(F.col("_by"))).where(small).select(by, value)
+    return d.groupBy(by).applyInPandas(one, f"{rows.select(by).schema.simpleString()[7:-1]}, n long, median double, low double, high double")
+
+
+# Classes of observations against labels.
+TAXONOMY = ("TP", "TP_RAW", "FN", "FN_NA", "CORRECT_NA", "FP", "FP_RAW", "TN", "SPURIOUS_NA", "UNLABELED")
+
+
+def has_value(values: Column) -> Column:
+    """Whether an observation has any value but NOT_APPLICABLE; its values are an array, NULL for none at all."""
+    return F.coalesce(F.exists(values, lambda v: v.isNotNull() & (v != "NOT_APPLICABLE")), F.lit(False))
+
+
+def says_na(values: Column) -> Column:
+    """Whether it has values and all of them, also of an empty list, are NOT_APPLICABLE or nothing."""
+    return F.coalesce(F.forall(values, lambda v: v.isNull() | (v == "NOT_APPLICABLE")), F.lit(False))
+
+
+def taxonomy(label: Column, status: Column, values: Column) -> Column:
+    """The class of an observation against a label: PRESENT, MULTI, NA or ABSENT."""
+    missing, real, na = status == "MISSING", has_value(values), says_na(values)
+    false = F.when(real, "FP").otherwise("FP_RAW")
+    return (
+        F.when(label.isin("PRESENT", "MULTI"), F.when(missing, "FN").when(na, "FN_NA").when(status == "CONFLICT", F.when(real, "TP").otherwise("FN")).when(values.isNull(), "TP_RAW").otherwise("TP"))
+        .when(label == "NA", F.when(missing, "FN").when(na, "CORRECT_NA").otherwise(false))
+        .when(label == "ABSENT", F.when(missing, "TN").when(na, "SPURIOUS_NA").otherwise(false))
+        .otherwise("UNLABELED")
+    )
+
+
+def taxonomy_scores(rows: DataFrame, *by: str, kind: str = "cls") -> DataFrame:
+    """Counts of each class, precision and recall; NULL where nothing was found or to be found."""
+    n = lambda *names: F.count_if(F.col(kind).isin(*names))
+    d = rows.groupBy(*by).agg(F.count("*").alias("n"), *(n(c).alias(c.lower()) for c in TAXONOMY[:-1]))
+    tp, fp, fn = F.col("tp") + F.col("tp_raw"), F.col("fp") + F.col("fp_raw") + F.col("spurious_na"), F.col("fn") + F.col("fn_na")
+    return d.withColumns({"precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "n_present": tp + fn, "n_absent": F.col("tn") + fp, "n_na": F.col("correct_na")})
+
+
+def grouped_gates(scores: DataFrame, gates: DataFrame, field: str = "field") -> DataFrame:
+    """Gates of groups of fields: gates (gate, field, threshold), scores of `taxonomy_scores` by field. Without any positive a gate can't be evaluated."""
+    d = gates.join(scores, field, "left").groupBy("gate").agg(F.max("threshold").alias("threshold"), *(F.coalesce(F.sum(F.expr(e)), F.lit(0)).alias(a) for a, e in (("tp", "tp + tp_raw"), ("fp", "fp + fp_raw + spurious_na"), ("fn", "fn + fn_na"))))
+    d = d.withColumns({"precision": F.try_divide("tp", F.expr("tp + fp")), "recall": F.try_divide("tp", F.expr("tp + fn"))})
+    return d.withColumn("verdict", F.when(F.col("precision") >= F.col("threshold"), "PASS").when(F.col("precision").isNotNull(), "FAIL").otherwise("NO_EVALUABLE"))
+
+
+def provenance(rows: DataFrame, *by: str) -> DataFrame:
+    """How many emitted values are backed: rows (values, extractor, lexeme, evidence: array of source, snapshot_sha256, page, extractor, excerpt), by their first evidence."""
+    e, filled = F.get("evidence", 0), lambda c: F.coalesce(c != "", F.lit(False))
+    emitted = has_value(F.col("values")) | (F.size(F.col("values")) == 0)  # an empty list is a value that isn't NOT_APPLICABLE
+    ok = filled(F.col("extractor")) & filled(e["source"]) & filled(e["snapshot_sha256"]) & e["page"].isNotNull() & filled(e["extractor"]) & (filled(e["excerpt"]) | filled(F.col("lexeme")))
+    d = rows.where(F.coalesce(emitted, F.lit(False))).groupBy(*by).agg(F.count("*").alias("total"), F.count_if(ok).alias("backed"))
+    return d.withColumns({"rate": F.try_divide("backed", "total"), "gate": F.when(F.col("backed") == F.col("total"), "PASS").otherwise("FAIL")})
+
+
+def novelty(rows: DataFrame, only: tuple[str, ...], doc: str, *by: str, least: int = 24) -> DataFrame:
+    """Share of documents with something found that no other source has: a field of `only` that was to be found and was."""
+    hit = F.col("field").isin(*only) & F.col("label").isin("PRESENT", "MULTI") & F.col("cls").isin("TP", "TP_RAW")
+    d = rows.groupBy(*by, doc).agg(F.max(hit).alias("delta")).groupBy(*by).agg(F.count("*").alias("n_docs"), F.count_if("delta").alias("n_delta"))
+    return d.withColumns({"share": F.try_divide("n_delta", "n_docs"), "gate": F.when(F.col("n_delta") >= least, "PASS").otherwise("FAIL")})
+
+
+def reviewer_diagnostics(reviews: DataFrame, units: DataFrame) -> DataFrame:
+    """Of each reviewer the seconds in both modes and the quality of all units: reviews (reviewer, mode, seconds), units (reviewer, outcome)."""
+    time = reviews.groupBy("reviewer").agg(*(F.coalesce(F.sum(F.when(is_, F.col("seconds"))), F.lit(0)).alias(name) for name, is_ in (("manual_seconds", F.col("mode") == "MANUAL"), ("assisted_seconds", F.col("mode") != "MANUAL"))))
+    return time.join(prf(units, [["reviewer"]]).drop("grouping"), "reviewer", "left")
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -213,23 +304,43 @@ def same_scalar(a: Reading, b: Reading) -> bool:
     return bool(short) and short in long and a.numbers == b.numbers
 
 
-def same_values(a: list[str] | None, b: list[str] | None) -> bool:
-    """Whether two lists hold the same values in any order, as often: each value takes the first equal one that is left."""
-    left = [Reading(x) for x in b or []]
-    if len(left) != len(a or []):
+def _same(a: object, b: object) -> bool:
+    """Whether two values are the same: objects by their keys, lists in any order and as often, each item taking the first equal one that is left, scalars by what they denote."""
+    if isinstance(a, dict) or isinstance(b, dict):
+        return isinstance(a, dict) and isinstance(b, dict) and a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) != isinstance(b, list):
         return False
-    for x in map(Reading, a or []):
-        twin = next((i for i, y in enumerate(left) if same_scalar(x, y)), None)
+    if not isinstance(a, list):
+        return same_scalar(*(Reading(None if x is None else json.dumps(x) if isinstance(x, bool) else str(x)) for x in (a, b)))
+    left = list(b)
+    if len(left) != len(a):
+        return False
+    for x in a:
+        twin = next((i for i, y in enumerate(left) if _same(x, y)), None)
         if twin is None:
             return False
         del left[twin]
     return True
 
 
+def same_values(a: object, b: object) -> bool:
+    """The same, where no list at all counts as an empty one."""
+    return _same([] if a is None and isinstance(b, list) else a, [] if b is None and isinstance(a, list) else b)
+
+
+def same_json_column(a: Column, b: Column) -> Column:
+    """Whether two columns of JSON hold the same values. Equal texts are settled in Spark; what is left goes to Python."""
+
+    def work(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else same_values(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)])
+
+    return F.when(a == b, F.lit(True)).otherwise(F.pandas_udf(work, "boolean")(F.when(a != b, a), F.when(a != b, b)))
+
+
 def same_values_column(a: Column, b: Column) -> Column:
     """Whether two arrays of strings hold the same values."""
 
     def work(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([same_values(None if x is None else list(x), None if y is None else list(y)) for x, y in zip(a, b, strict=True)])
+        return pd.Series([same_values([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)])
 
     return F.pandas_udf(work, "boolean")(a, b)

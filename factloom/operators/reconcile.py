@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import lexemes as L
+
 
 def reconcile(observations: DataFrame, *subject: str) -> DataFrame:
     """Status of each subject from rows of status and value: MISSING ones don't count; one source, agreement or conflict."""
@@ -34,3 +36,15 @@ def schedule(months: Column, issue: Column, maturity: Column) -> Column:
     status = F.when(issue.isNull() | maturity.isNull(), "UNVERIFIABLE").when(maturity <= issue, "INVALID").when(months.isNull(), "UNVERIFIABLE").when(F.size(ends) == 0, "INVALID").when((last != maturity) & (F.datediff(maturity, last) > months * 40), "INVALID").otherwise("VALID")
     some = (issue < maturity) & months.isNotNull()
     return F.struct(status.alias("status"), F.when(some, F.size(ends)).alias("n_dates"), F.when(some, last).alias("last"))
+
+
+def check_schedule(observations: DataFrame, *doc: str) -> DataFrame:
+    """The schedule of each document by its observations (field, value, lexeme) of issue date, maturity and payment frequency: status, n_dates, last.
+
+    A frequency counts as it was written, and by its value only where nothing is.
+    """
+    of = lambda field, x: F.max(F.when(F.col("field") == field, x))
+    written = F.coalesce(F.nullif("lexeme", F.lit("")), F.nullif("value", F.lit("")))
+    d = observations.groupBy(*doc).agg(of("issue_date", F.col("value")).alias("issue"), of("maturity", F.col("value")).alias("maturity"), of("payment_frequency", written).alias("frequency"))
+    s = schedule(L.schedule_months(F.col("frequency")), F.try_to_date("issue", "yyyy-MM-dd"), F.try_to_date("maturity", "yyyy-MM-dd"))
+    return d.select(*doc, s.alias("s")).select(*doc, "s.*")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Kinds of events, and statuses of gold units that are scored.
+EVENTS = (
+    "CASE_OPENED", "CASE_PAUSED", "CASE_RESUMED", "CASE_SUBMITTED", "FOCUS_LOST", "FOCUS_GAINED", "DOCUMENT_OPENED", "GRAPH_EDGE_FOLLOWED", "EVIDENCE_JUMP", "PDF_SEARCH", "CANDIDATE_CONFIRMED", "CANDIDATE_REJECTED",
+    "CANDIDATE_CONFLICT", "MANUAL_FIELD_ADDED", "STATUS_CHANGED", "FIELD_DECISION", "SUBMIT", "UI_ERROR",
+)
+GOLD = ("CONFIRMED_VALUE", "CONFLICT", "MISSING", "NOT_APPLICABLE")
 OPEN, CLOSE = ("CASE_OPENED", "CASE_RESUMED"), ("CASE_PAUSED", "CASE_SUBMITTED")
 
 
@@ -90,3 +96,55 @@ def navigation(events: DataFrame, decisions: DataFrame, *key: str) -> DataFrame:
 def masked(cases: DataFrame, mode: str, *hidden: str) -> DataFrame:
     """Cases as a session sees them: in manual mode the columns of the machine's findings are NULL."""
     return cases.withColumns({c: F.when(F.col(mode) != "MANUAL", F.col(c)) for c in hidden})
+
+
+def event_errors(events: DataFrame, kind: str, ts: str, order: str, *key: str, submitted: str = "CASE_SUBMITTED") -> DataFrame:
+    """Adds `error` to a log: a kind that doesn't exist, an event after the submission, or one earlier than the event before it."""
+    w = Window.partitionBy(*key).orderBy(order)
+    after = F.max(F.col(kind) == submitted).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = events.withColumns({"_after": after, "_before": F.lag(ts).over(w)})
+    error = first_error((F.col(kind).isin(*EVENTS), "unknown event type"), (~F.coalesce("_after", F.lit(False)), "review already submitted"), (F.coalesce(F.col(ts) >= F.col("_before"), F.lit(True)), "earlier than the event before"))
+    return d.withColumn("error", error).drop("_after", "_before")
+
+
+def candidate_errors(decisions: DataFrame, candidates: DataFrame, takes: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Adds `error` to decisions (case_id, field, decision, origin, candidate_id, value, n_evidence) by the candidates (case_id, candidate_id, field) of their case.
+
+    A machine's candidate must be one of the case and support the field; what was found by hand names none; a status has
+    neither candidate nor value. A missing value without a candidate is a status, whatever its origin.
+    """
+    known = candidates.groupBy("case_id", "candidate_id").agg(F.count("*").alias("_n"), F.min("field").alias("_of"))
+    d = decisions.join(known, ["case_id", "candidate_id"], "left")
+    fields = F.try_element_at(F.create_map(*(x for k, v in takes.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>")))), F.col("field"))
+    none = F.col("decision").isin("MISSING", "NOT_APPLICABLE")
+    origin = F.when(F.col("candidate_id").isNull() & none, "FIELD_STATUS").otherwise(F.col("origin"))
+    machine, status, hand = (origin == x for x in ("MACHINE_CANDIDATE", "FIELD_STATUS", "MANUAL_DISCOVERY"))
+    confirmed = F.col("decision") == "CONFIRMED"
+    backed = (F.col("n_evidence") > 0) | (machine & confirmed)  # a candidate brings its own evidence
+    error = first_error(
+        (fields.isNotNull(), "unknown review field"), (origin.isin("MACHINE_CANDIDATE", "MANUAL_DISCOVERY", "FIELD_STATUS"), "unknown origin"), (~status | (none & F.col("candidate_id").isNull() & F.col("value").isNull()), "status with a value or candidate"),
+        (~machine | (F.col("_n") == 1), "unknown candidate"), (~machine | F.array_contains(fields, F.col("_of")), "candidate of another field"), (~hand | F.col("candidate_id").isNull(), "discovery with a candidate"),
+        (~confirmed | (F.trim(F.coalesce("value", F.lit(""))) != ""), "confirmed without value"), (~confirmed | backed, "confirmed without evidence"), (~hand | backed, "discovery without evidence"),
+    )
+    return d.withColumn("error", error).drop("_n", "_of")
+
+
+def closeouts(reviews: DataFrame, events: DataFrame, decisions: DataFrame, critical: tuple[str, ...], *key: str) -> DataFrame:
+    """What a submission records of each review: pauses, lost focus, jumps and errors of its log, its decisions, those made by hand, critical fields left open."""
+    kinds = {"pause_count": "CASE_PAUSED", "focus_lost_count": "FOCUS_LOST", "evidence_jumps": "EVIDENCE_JUMP", "ui_errors": "UI_ERROR"}
+    e = events.groupBy(*key).agg(*(F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()))
+    d = decisions.groupBy(*key).agg(F.count("*").alias("decisions_count"), F.count_if(F.col("origin") == "MANUAL_DISCOVERY").alias("manual_fields_added"), F.collect_set(F.when(F.col("field").isin(*critical), F.col("field"))).alias("_decided"))
+    out = reviews.join(e, list(key), "left").join(d, list(key), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    unresolved = F.array_sort(F.array_except(F.array(*map(F.lit, critical)), F.coalesce("_decided", F.array().cast("array<string>"))))
+    return out.select(*key, *map(zero, kinds), zero("decisions_count"), zero("manual_fields_added"), unresolved.alias("unresolved_critical"))
+
+
+def units(reviews: DataFrame, fields: tuple[str, ...], gold: DataFrame, log: DataFrame) -> DataFrame:
+    """Each review once for each field of the schema that has a gold unit of a scored status, with the last decision on it, if any.
+
+    reviews: review_id, case_id; gold: case_id, field, status, value; log: review_id, field, ordinal, decision, value.
+    """
+    wanted = reviews.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
+    d = wanted.join(gold.where(F.col("status").isin(*GOLD)).select("case_id", "field", F.col("status").alias("gold_status"), F.col("value").alias("gold_value")), ["case_id", "field"])
+    return d.join(latest(log, "ordinal", "review_id", "field").drop("ordinal"), ["review_id", "field"], "left")

@@ -59,3 +59,45 @@ def acceptance_metrics(t: Tables) -> DataFrame:
     r = extract.extract_all(d, layout.line_blocks(d).withColumnRenamed("block", "text"))
     want = F.element_at(F.array(*map(F.lit, ("PRESENT", "MULTI", "ABSENT", "NA"))), ((F.col("doc_id") + F.length("field")) % 4).cast("int") + 1)
     return metrics.acceptance(r.select("field", "status", "class", F.nullif(F.array_join("values", "; "), F.lit("")).alias("value"), "lexeme", want.alias("want")), "field")
+
+
+# Documents of four roles, one for each customer: final terms with a line for each field, a securities note with its values in a table, an issue document
+# that is read by its boxes, and a supplement, which is not read. `#` stands for ten digits of the customer's key.
+_LINES = (
+    ("Final Terms", "ISIN: XS#", "Specified Currency: EUR", "Issue Date: 01/02/2020", "Maturity Date: 01/02/2030", "Specified Denomination: EUR 100,000", "Aggregate Nominal Amount: 750.000.000 Euros", "Interest Basis: Fixed Rate", "Rate of Interest: 2.5 per cent", "Floating Rate Option: EURIBOR 3 months",
+     "First Margin: +0.75 per cent", "Interest Payment Date(s): 5 August in each year", "Day Count Fraction: ACT/360", "Call Option: 5 August 2028", "Put Option: 6 August 2028", "Business Day Convention: Modified Following Business Day Convention", "First Reset Date: 7 August 2026", "Relevant Screen Page: Reuters",
+     "Status of the Notes: Senior Preferred", "Subordinación: Tier 2", "Final Redemption Amount: Par", "Underlying: Euro Stoxx 50", "Knock-in Barrier: 60%", "Autocall: Applicable", "Valuation Date(s): 8 August 2029", "Delivery: Cash", "Participation Rate: 80%", "Cap Rate: 5%", "Strike Price: 100%"),
+    ("Securities Note", "Admission to trading", "Day count and rate of interest"),
+    ("Issue of notes", "Maturity Date:", "5 August 2036", "Specified Denomination:", "Series: EUR 25.000.000"),
+    ("Supplement", "ISIN: XS#"),
+)
+_CELLS = (("ISIN", "XS#"), ("Strike Price", "", "120%"), ("Cap Rate",), ("Series A", "5%"), ("Business days", "FRN Convention"))
+_BOXES = {1: (0.0, 100.0, 50.0, 90.0), 2: (60.0, 100.0, 90.0, 90.0), 3: (0.0, 80.0, 50.0, 70.0), 4: (0.0, 60.0, 50.0, 50.0)}
+_DOC_ROLES = ("FINAL_TERMS", "SECURITIES_NOTE", "ISSUE_DOC", "SUPPLEMENT")
+_OWN, _FAR = "verified_verbatim", "verified_verbatim_doclevel"
+_SAID = [
+    *((0, f, _OWN, v) for f, v in (("isin", "XS#"), ("currency", "EUR"), ("issue_date", "2020-02-01"), ("maturity", "2030-02-01"), ("denomination", "100|EUR"), ("issued_amount", "750000000|EUR"), ("coupon_type", "Fixed Rate"), ("coupon_rate", "2.5"), ("benchmark", "EURIBOR 3 months"), ("spread", "0.75"), ("payment_frequency", "ANNUAL"),
+      ("day_count", "ACT_360"), ("call_dates", "2028-08-05"), ("put_dates", "2028-08-06"), ("business_day_convention", "Modified Following Business Day Convention"), ("reset_dates", "2026-08-07"), ("fixing_rules", "Reuters"), ("ranking", "SENIOR_PREFERRED"), ("subordination", "TIER_2"), ("redemption_formula", "Par"),
+      ("underlying", "Euro Stoxx 50"), ("barrier", "60"), ("autocall", "APPLICABLE"), ("observation_dates", "2029-08-08"), ("settlement_type", "Cash"), ("participation", "80"), ("cap", "5"), ("strike", "100"))),
+    *((1, f, _FAR, v) for f, v in (("isin", "XS#"), ("strike", "120"), ("cap", "5"), ("business_day_convention", "FRN Convention"))),
+    *((2, f, _OWN, v) for f, v in (("maturity", "2036-08-05"), ("denomination", "25000000|EUR"))),
+]
+_LOCATED = ((0, "general"), (0, "interest"), (0, "exercise"), (1, "general"), (1, "interest"), (2, "general"))
+
+
+@query(f"""WITH f(field, section) AS (VALUES {_FIELDS}), x(shape, field, class, value) AS (VALUES {", ".join(map(str, _SAID))}), l(shape, section) AS (VALUES {", ".join(map(str, _LOCATED))})
+SELECT c_custkey AS doc_id, f.field, CASE WHEN x.field IS NULL THEN 'MISSING' ELSE 'DERIVED' END AS status, x.class, replace(x.value, '#', lpad(CAST(c_custkey AS VARCHAR), 10, '0')) AS value, CASE WHEN x.field IS NULL THEN CASE WHEN f.section IS NOT NULL AND l.section IS NULL THEN 'LOCATION_MISS' ELSE 'PARSING_MISS' END END AS failure, NULL AS note
+FROM customer JOIN f ON c_custkey % 4 < 3 LEFT JOIN x ON x.field = f.field AND x.shape = c_custkey % 4 LEFT JOIN l ON l.section = f.section AND l.shape = c_custkey % 4
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, 'no extractor for role SUPPLEMENT' FROM customer WHERE c_custkey % 4 = 3""")
+def extract_documents(t: Tables) -> DataFrame:
+    """All fields, read from text, tables and boxes by the sections of each document's role, and verified."""
+    k = F.col("c_custkey")
+    digits = F.lpad(k.cast("string"), 10, "0")
+    docs = t.customer.select(k.alias("doc_id"), F.get(F.array(*map(F.lit, _DOC_ROLES)), (k % 4).cast("int")).alias("role"))
+    lines = F.get(F.array(*(F.array(*map(F.lit, x)) for x in _LINES)), (k % 4).cast("int"))
+    boxed = F.try_element_at(F.create_map(*(x for i, b in _BOXES.items() for x in (F.lit(i), F.array(*map(F.lit, b))))), F.when(k % 4 == 2, F.col("ix")))
+    blocks = t.customer.select("c_custkey", F.posexplode(lines).alias("ix", "text")).select(k.alias("doc_id"), F.col("ix").cast("long").alias("ix"), F.floor(F.col("ix") / 10).cast("long").alias("page"), F.replace("text", F.lit("#"), digits).alias("text"), *(F.get(boxed, i).alias(c) for i, c in enumerate("ltrb")))
+    rows = t.customer.where(k % 4 == 1).select(k.alias("doc_id"), F.lit(0).alias("table"), digits.alias("digits"), F.posexplode(F.array(*(F.array(*map(F.lit, x)) for x in _CELLS))).alias("row", "cells"))
+    rows = rows.select("doc_id", "table", "row", F.transform("cells", lambda x: F.replace(x, F.lit("#"), F.col("digits"))).alias("cells"))
+    r = extract.extract_documents(docs, blocks, rows)
+    return r.select("doc_id", "field", "status", "class", F.when(F.size("values") > 0, F.array_join("values", "; ")).alias("value"), "failure", "note")

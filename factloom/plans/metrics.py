@@ -65,9 +65,10 @@ def paired_timing(t: Tables) -> DataFrame:
 SELECT pairs, faster, median <= 0.75 AS time_gate, faster >= 21 AS share_gate, tp / (tp + fp) >= 0.4 AS precision_gate, CASE WHEN pairs < 24 THEN 'INCONCLUSIVE' WHEN median <= 0.75 AND faster >= 21 AND tp / (tp + fp) >= 0.4 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a, b""")
 def gates_verdict(t: Tables) -> DataFrame:
     """Gates over timing and quality, one row: two one-row aggregates side by side."""
-    a = _ratios(t).agg(F.count("*").alias("pairs"), F.median("ratio").alias("m"), F.count_if(F.col("ratio") < 1).alias("faster"))
+    r = _ratios(t).withColumn("one", F.lit(1))
+    a = r.groupBy("one").agg(F.count("*").alias("pairs"), F.count_if(F.col("ratio") < 1).alias("faster")).join(M.order_statistics(r, "ratio", "one").select("one", F.col("median").alias("m")), "one")
     b = M.prf(_scored(t), [[]] + [["mode"]]).where("grouping = 1").select("precision")
-    d = a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one").select("pairs", "faster", (F.col("m") <= 0.75).alias("time_gate"), (F.col("faster") >= 21).alias("share_gate"), (F.col("precision") >= 0.4).alias("precision_gate"))
+    d = a.join(b.withColumn("one", F.lit(1)), "one").select("pairs", "faster", (F.col("m") <= 0.75).alias("time_gate"), (F.col("faster") >= 21).alias("share_gate"), (F.col("precision") >= 0.4).alias("precision_gate"))
     return d.withColumn("verdict", F.when(F.col("pairs") < 24, "INCONCLUSIVE").when(F.col("time_gate") & F.col("share_gate") & F.col("precision_gate"), "PASS").otherwise("FAIL"))
 
 

@@ -27,7 +27,7 @@ def _registry(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     reg = k.cast("string")
     return t.orders.select(
-        k.alias("row_id"), F.element_at(F.array(*map(F.lit, ("CCFF", "FOLLETO", "ADMISION", "FOLLETO", "OTHER"))), (k % 5).cast("int") + 1).alias("surface"),
+        k.alias("row_id"), F.element_at(F.array(*map(F.lit, ("CNMV_CCFF", "CNMV_FOLLETOS_EMISION", "CNMV_ADMISSION", "CNMV_FOLLETO_DETAIL", "OTHER"))), (k % 5).cast("int") + 1).alias("surface"),
         F.when(F.col("o_orderstatus") == "P", "SUPLEMENTO").when(F.col("o_orderpriority").startswith("1"), "MODIFICACION").alias("role_text"),
         F.when(k % 7 == 0, F.concat(reg, F.lit(".1"))).when(k % 11 == 0, F.concat(reg, F.lit("-2"))).otherwise(reg).alias("register"),
         F.when(F.col("o_custkey") % 2 == 0, "BONOS SIMPLES").otherwise("ACCIONES").alias("denomination"), F.when(k % 3 == 0, F.concat(F.lit("N"), F.col("o_custkey"))).alias("number"),
@@ -36,18 +36,21 @@ def _registry(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH r AS (SELECT o_orderkey AS row_id, list_extract(['CCFF','FOLLETO','ADMISION','FOLLETO','OTHER'], CAST(o_orderkey % 5 AS INT) + 1) AS surface, CASE WHEN o_orderstatus = 'P' THEN 'SUPLEMENTO' WHEN o_orderpriority LIKE '1%' THEN 'MODIFICACION' ELSE '' END AS role_text,
+WITH r AS (SELECT o_orderkey AS row_id, list_extract(['CNMV_CCFF','CNMV_FOLLETOS_EMISION','CNMV_ADMISSION','CNMV_FOLLETO_DETAIL','OTHER'], CAST(o_orderkey % 5 AS INT) + 1) AS surface, CASE WHEN o_orderstatus = 'P' THEN 'SUPLEMENTO' WHEN o_orderpriority LIKE '1%' THEN 'MODIFICACION' ELSE '' END AS role_text,
   CASE WHEN o_orderkey % 7 = 0 THEN '.' WHEN o_orderkey % 11 = 0 THEN '-' ELSE '' END AS suffix, o_custkey % 2 = 0 AS debt, CASE WHEN o_orderkey % 3 = 0 THEN 'N' || o_custkey END AS number, o_custkey % 4 AS k FROM orders),
-m AS (SELECT *, CASE WHEN surface = 'CCFF' THEN 'FINAL_TERMS' WHEN role_text = 'SUPLEMENTO' OR suffix = '.' THEN 'SUPPLEMENT' WHEN role_text = 'MODIFICACION' OR suffix = '-' THEN 'CORRECTION' WHEN surface = 'FOLLETO' THEN 'BASE_PROSPECTUS' WHEN surface = 'ADMISION' THEN CASE WHEN debt THEN 'SECURITIES_NOTE' ELSE 'ISSUE_DOC' END ELSE 'UNKNOWN' END AS meta,
+m AS (SELECT *, CASE WHEN surface = 'CNMV_CCFF' THEN 'FINAL_TERMS' WHEN role_text = 'SUPLEMENTO' OR suffix = '.' THEN 'SUPPLEMENT' WHEN role_text = 'MODIFICACION' OR suffix = '-' THEN 'CORRECTION' WHEN surface LIKE 'CNMV_FOLLETO%' THEN 'BASE_PROSPECTUS' WHEN surface = 'CNMV_ADMISSION' THEN CASE WHEN debt THEN 'SECURITIES_NOTE' ELSE 'ISSUE_DOC' END ELSE 'UNKNOWN' END AS meta,
   list_extract(['FINAL_TERMS','SECURITIES_NOTE','BASE_PROSPECTUS',NULL], CAST(k AS INT) + 1) AS title FROM r),
-p AS (SELECT *, CASE WHEN meta = 'UNKNOWN' THEN coalesce(title, meta) WHEN meta = 'ISSUE_DOC' AND title = 'SECURITIES_NOTE' THEN title ELSE meta END AS role FROM m),
-q AS (SELECT *, title IS NOT NULL AND title <> meta AND meta <> 'UNKNOWN' AND NOT (meta = 'ISSUE_DOC' AND title = 'SECURITIES_NOTE') AS conflict, (role = 'FINAL_TERMS' AND k = 0) OR (role = 'SECURITIES_NOTE' AND k = 1) AS anchor FROM p)
-SELECT row_id, role, CASE role WHEN 'UNKNOWN' THEN 'UNKNOWN' WHEN 'ISSUE_DOC' THEN 'OUT_OF_SCOPE' ELSE 'IN_SCOPE' END AS scope,
-  CASE WHEN meta = 'UNKNOWN' AND title IS NULL THEN 'LOW' WHEN (meta = 'UNKNOWN' OR conflict) AND NOT anchor THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
-  'meta:' || meta || coalesce(',title:' || title, '') || CASE WHEN conflict THEN ',title_conflict' ELSE '' END || CASE WHEN anchor THEN ',anchor' ELSE '' END AS signals,
-  CASE WHEN surface = 'ADMISION' THEN 'ISSUE_ADM_' || row_id || CASE suffix WHEN '.' THEN '.1' WHEN '-' THEN '-2' ELSE '' END ELSE 'PROG_' || coalesce(number, CAST(row_id AS VARCHAR)) END AS family_key FROM q""")
+p AS (SELECT *, meta = 'SECURITIES_NOTE' AS meta_debt, meta = 'ISSUE_DOC' AND coalesce(title, '') = 'SECURITIES_NOTE' AS upgraded, CASE WHEN meta = 'UNKNOWN' THEN coalesce(title, meta) WHEN meta = 'ISSUE_DOC' AND title = 'SECURITIES_NOTE' THEN title ELSE meta END AS role FROM m),
+q AS (SELECT *, title IS NOT NULL AND title <> meta AND meta <> 'UNKNOWN' AND NOT upgraded AS conflict, CASE role WHEN 'FINAL_TERMS' THEN CAST(k = 0 AS INT) WHEN 'SECURITIES_NOTE' THEN CAST(k = 1 AS INT) WHEN 'BASE_PROSPECTUS' THEN 0 END AS anchors FROM p),
+z AS (SELECT *, conflict OR (meta = 'UNKNOWN' AND title IS NOT NULL) AS middling FROM q)
+SELECT row_id, role, CASE WHEN meta IN ('SUPPLEMENT', 'CORRECTION') THEN 'LIFECYCLE' WHEN role = 'UNKNOWN' THEN 'UNKNOWN' WHEN role = 'ISSUE_DOC' THEN 'OUT_OF_SCOPE' ELSE 'INSTRUMENT_DEFINING' END AS scope, CASE WHEN debt OR upgraded THEN 'DEBT' END AS instrument_class,
+  CASE WHEN role = 'UNKNOWN' THEN 'LOW' WHEN middling AND coalesce(anchors, 0) = 0 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
+  concat_ws(',', CASE meta WHEN 'FINAL_TERMS' THEN 'surface:final terms' WHEN 'SUPPLEMENT' THEN 'meta:supplement' WHEN 'CORRECTION' THEN 'meta:modification' WHEN 'BASE_PROSPECTUS' THEN 'surface:prospectus' WHEN 'UNKNOWN' THEN NULL ELSE 'surface:admission' END, CASE WHEN meta_debt THEN 'meta:denomination=BONOS SIMPLES' END,
+    'title:' || title, CASE WHEN upgraded THEN 'title_overrides_default:securities_note' END, CASE WHEN conflict THEN 'conflict:meta=' || meta || '!=' || title END, CASE WHEN anchors > 0 THEN 'anchors:' || anchors WHEN anchors = 0 AND middling THEN 'anchors:none' END,
+    CASE WHEN debt AND NOT meta_debt AND NOT upgraded THEN 'instrument:DEBT(meta)' END, CASE WHEN role = 'UNKNOWN' THEN 'fallback:UNKNOWN' END) AS signals,
+  CASE WHEN surface = 'CNMV_ADMISSION' THEN 'ISSUE_ADM_' || row_id || CASE suffix WHEN '.' THEN '.1' WHEN '-' THEN '-2' ELSE '' END ELSE 'PROG_' || coalesce(number, CAST(row_id AS VARCHAR)) END AS family_key FROM z""")
 def classify_documents(t: Tables) -> DataFrame:
-    return C.classify(_registry(t)).select("row_id", "role", "scope", "confidence", "signals", "family_key")
+    return C.classify(_registry(t)).select("row_id", "role", "scope", "instrument_class", "confidence", F.array_join("signals", ",").alias("signals"), "family_key")
 
 
 @query("""
@@ -152,8 +155,7 @@ WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mkt
 q AS (SELECT * FROM (VALUES ('BUILDING', 5), ('AUTOMOBILE', 8), ('MACHINERY', 3)) AS v(c_mktsegment, quota))
 SELECT c_custkey, c_mktsegment, k FROM r JOIN q USING (c_mktsegment) WHERE k <= quota""")
 def stratified_sample(t: Tables) -> DataFrame:
-    quotas = t.spark.createDataFrame([("BUILDING", 5), ("AUTOMOBILE", 8), ("MACHINERY", 3)], "c_mktsegment string, quota int")
-    return sampling.stratified(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", quotas, 7)
+    return sampling.stratified(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", {"BUILDING": 5, "AUTOMOBILE": 8, "MACHINERY": 3}, 7)
 
 
 @query("""
@@ -235,3 +237,26 @@ def manifest_seal(t: Tables) -> DataFrame:
     """Canonical JSON with keys in order, and its digest."""
     own = F.to_json(F.struct(F.round(F.col("c_acctbal") * 100).cast("long").alias("acctbal"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
     return t.customer.select("c_custkey", own.alias("manifest"), F.sha2(own, 256).alias("manifest_sha256"))
+
+
+@query("""WITH u AS (SELECT DISTINCT 'FOL_' || (o_orderkey * 2) AS id FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT DISTINCT 'ADM_' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey, 'FOL_' || o_orderkey IN (SELECT id FROM u) AS fol_used, 'ADM_' || o_orderkey IN (SELECT id FROM u) AS adm_used FROM orders""")
+def harvested_ids(t: Tables) -> DataFrame:
+    """Which records occur anywhere in nested JSON of earlier cases."""
+    k = F.col("o_orderkey")
+    json = F.concat(F.lit('{"a": [{"b": "see (FOL_'), F.when(k % 3 == 0, (k * 2).cast("string")).otherwise(F.lit("x")), F.lit(') and more"}], "c": "'), F.when(k % 5 == 0, F.concat(F.lit("ADM_"), k)).otherwise(F.lit("XADM_1")), F.lit('"}'))
+    used = t.orders.select(F.explode(L.record_ids(json)).alias("id")).distinct().withColumn("used", F.lit(True))
+    d = t.orders.select("o_orderkey", F.explode(F.array(F.lit("FOL"), F.lit("ADM"))).alias("kind")).withColumn("id", F.concat_ws("_", "kind", "o_orderkey")).join(used, "id", "left")
+    found = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("used"))), F.lit(False))
+    return d.groupBy("o_orderkey").agg(found("FOL").alias("fol_used"), found("ADM").alias("adm_used"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '100|EUR' ELSE 'x' END AS k FROM orders UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '100|EUR' ELSE '100|USD' END WHEN o_orderkey % 4 = 0 THEN 'y' ELSE 'x' END FROM orders),
+g AS (SELECT o_orderkey, count(*) AS n_sources, count(DISTINCT k) AS k FROM s GROUP BY 1) SELECT o_orderkey, n_sources, CASE WHEN k = 1 THEN 'AGREE' ELSE 'CONFLICT' END AS status FROM g""")
+def reconcile_money(t: Tables) -> DataFrame:
+    """Two sources of one fact, some of them money written in two ways."""
+    k = F.col("o_orderkey")
+    money = F.when(k % 3 == 0, L.norm_money(F.when(F.col("side") == 0, "Nominal: 100 euros").when(k % 2 == 0, "EUR 100").otherwise("USD 100")))
+    value = F.when((F.col("side") == 1) & (k % 4 == 0), " y ").otherwise("x ")
+    d = t.orders.select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    d = d.select("o_orderkey", F.lit("OBSERVED").alias("status"), L.reconcile_key(value, F.when(money.isNotNull(), F.struct(money["amount"].cast("int").alias("amount"), money["currency"].alias("currency")))).alias("value"))
+    return reconcile.reconcile(d, "o_orderkey").select("o_orderkey", "n_sources", "status")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import layout, review
+from factloom.operators import documents, layout, metrics, review
 from factloom.plans.registry import Tables, query
 
 _KINDS = {"view": "CASE_OPENED", "signup": "CASE_RESUMED", "error": "CASE_PAUSED", "purchase": "CASE_SUBMITTED", "click": "EVIDENCE_JUMP"}
@@ -171,3 +171,64 @@ def case_payload(t: Tables) -> DataFrame:
     """Cases as a session sees them."""
     d = t.customer.select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_custkey") % 2 == 0, "ASSISTED").otherwise("MANUAL").alias("mode"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("graph"), F.col("c_mktsegment").alias("candidates"))
     return review.masked(d, "mode", "graph", "candidates")
+
+
+_EV = "v AS (SELECT event_id, user_id, value, CASE WHEN event_id % 29 = 0 THEN 'BOGUS' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'CASE_SUBMITTED' ELSE 'PDF_SEARCH' END AS kind FROM events)"
+
+
+@query(f"""WITH {_EV}, w AS (SELECT *, coalesce(bool_or(kind = 'CASE_SUBMITTED') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM v)
+SELECT event_id, CASE WHEN kind = 'BOGUS' THEN 'unknown event type' WHEN late THEN 'review already submitted' WHEN b > value THEN 'earlier than the event before' END AS error FROM w""")
+def event_errors(t: Tables) -> DataFrame:
+    """Events that a log must refuse; the event's value stands for its time."""
+    k = F.col("event_id")
+    kind = F.when(k % 29 == 0, "BOGUS").when((F.col("event_type") == "purchase") & (k % 5 == 0), "CASE_SUBMITTED").otherwise("PDF_SEARCH")
+    return review.event_errors(t.events.select("event_id", "user_id", "value", kind.alias("kind")), "kind", "value", "event_id", "user_id").select("event_id", "error")
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_extract(['isin', 'reset_fixing', 'nothing'], CAST(l_partkey % 7 % 3 AS INT) + 1) AS field, list_extract(['CONFIRMED', 'MISSING', 'CONFLICT'], CAST(l_suppkey % 5 % 3 AS INT) + 1) AS decision, list_extract(['MACHINE_CANDIDATE', 'MANUAL_DISCOVERY', 'FIELD_STATUS', 'ELSE'], CAST(l_partkey % 4 AS INT) + 1) AS origin,
+  CASE WHEN l_partkey % 3 > 0 THEN 'c' || l_linenumber % 4 END AS cand, CASE WHEN l_suppkey % 3 > 0 THEN 'v' END AS value, l_suppkey % 2 AS n FROM lineitem),
+o AS (SELECT *, CASE WHEN cand IS NULL AND decision = 'MISSING' THEN 'FIELD_STATUS' ELSE origin END AS og FROM d)
+SELECT l_partkey, l_suppkey, l_linenumber, CASE WHEN field = 'nothing' THEN 'unknown review field' WHEN og = 'ELSE' THEN 'unknown origin' WHEN og = 'FIELD_STATUS' AND NOT (decision = 'MISSING' AND cand IS NULL AND value IS NULL) THEN 'status with a value or candidate' WHEN og = 'MACHINE_CANDIDATE' AND coalesce(cand, 'c3') IN ('c2', 'c3') THEN 'unknown candidate'
+ WHEN og = 'MACHINE_CANDIDATE' AND NOT ((field = 'isin' AND cand = 'c0') OR (field = 'reset_fixing' AND cand = 'c1')) THEN 'candidate of another field' WHEN og = 'MANUAL_DISCOVERY' AND cand IS NOT NULL THEN 'discovery with a candidate' WHEN decision = 'CONFIRMED' AND value IS NULL THEN 'confirmed without value'
+ WHEN decision = 'CONFIRMED' AND n = 0 AND og <> 'MACHINE_CANDIDATE' THEN 'confirmed without evidence' WHEN og = 'MANUAL_DISCOVERY' AND n = 0 THEN 'discovery without evidence' END AS error FROM o""")
+def candidate_errors(t: Tables) -> DataFrame:
+    """Decisions against the candidates of their case: one for isin, one for fixing rules, and one that is there twice."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i.cast("int") + 1)
+    d = t.lineitem.select(F.col("l_orderkey").alias("case_id"), "l_linenumber", "l_partkey", "l_suppkey", pick(("isin", "reset_fixing", "nothing"), p % 7 % 3).alias("field"), pick(("CONFIRMED", "MISSING", "CONFLICT"), s % 5 % 3).alias("decision"), pick(("MACHINE_CANDIDATE", "MANUAL_DISCOVERY", "FIELD_STATUS", "ELSE"), p % 4).alias("origin"), F.when(p % 3 > 0, F.concat(F.lit("c"), F.col("l_linenumber") % 4)).alias("candidate_id"), F.when(s % 3 > 0, "v").alias("value"), (s % 2).alias("n_evidence"))
+    one = lambda c, f: F.struct(F.lit(c).alias("candidate_id"), F.lit(f).alias("field"))
+    cands = t.orders.select(F.col("o_orderkey").alias("case_id"), F.explode(F.array(one("c0", "isin"), one("c1", "fixing_rules"), one("c2", "isin"), one("c2", "isin"))).alias("c")).select("case_id", "c.*")
+    return review.candidate_errors(d, cands, documents.SOURCES).select("l_partkey", "l_suppkey", "l_linenumber", "error")
+
+
+@query(f"""WITH {_E}, x AS (SELECT user_id, count(*) FILTER (kind = 'CASE_PAUSED') AS pause_count, CAST(0 AS BIGINT) AS focus_lost_count, count(*) FILTER (kind = 'EVIDENCE_JUMP') AS evidence_jumps, CAST(0 AS BIGINT) AS ui_errors FROM e GROUP BY 1),
+d AS (SELECT user_id, count(*) AS decisions_count, count(*) FILTER (event_id % 2 = 1) AS manual_fields_added, list(DISTINCT 'F' || (event_id % 6)) AS f FROM e WHERE kind = 'CASE_SUBMITTED' GROUP BY 1)
+SELECT x.*, coalesce(decisions_count, 0) AS decisions_count, coalesce(manual_fields_added, 0) AS manual_fields_added, list_filter(['F0', 'F1', 'F5'], lambda c: NOT list_contains(coalesce(f, []), c)) AS unresolved_critical FROM x LEFT JOIN d USING (user_id)""")
+def review_closeouts(t: Tables) -> DataFrame:
+    """What is recorded of each reviewer's log when it is submitted."""
+    e, k = _log(t), F.col("event_id")
+    d = e.where("kind = 'CASE_SUBMITTED'").select("user_id", F.concat(F.lit("F"), k % 6).alias("field"), F.when(k % 2 == 1, "MANUAL_DISCOVERY").otherwise("FIELD_STATUS").alias("origin"))
+    return review.closeouts(e.select("user_id").distinct(), e, d, ("F0", "F1", "F5"), "user_id")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS review_id, o_custkey AS case_id FROM orders), g AS (SELECT c_custkey AS case_id, f.field, list_extract(['CONFIRMED_VALUE', 'CONFLICT', 'MISSING', 'NOT_APPLICABLE', 'DRAFT'], CAST((c_custkey + f.i) % 5 AS INT) + 1) AS status, f.i AS v FROM customer, (VALUES (0, 'isin'), (1, 'currency'), (2, 'maturity')) AS f(i, field) WHERE c_custkey % 7 > 0),
+l AS (SELECT l_orderkey AS review_id, list_extract(['isin', 'currency', 'maturity'], CAST(l_partkey % 3 AS INT) + 1) AS field, l_partkey * 1000000 + l_suppkey * 1000 + l_linenumber * 10 AS o, list_extract(['CONFIRMED', 'CONFLICT', 'MISSING'], CAST(l_suppkey % 3 AS INT) + 1) AS decision, l_suppkey % 2 AS v FROM lineitem),
+m AS (SELECT review_id, field, max(o) AS o FROM l GROUP BY 1, 2), z AS (SELECT DISTINCT review_id, field, decision, v FROM l JOIN m USING (review_id, field, o)),
+u AS (SELECT g.field, g.status, z.decision, coalesce(z.v = g.v, false) AS eq FROM r JOIN g USING (case_id) LEFT JOIN z USING (review_id, field) WHERE g.status <> 'DRAFT')
+SELECT field, CASE status WHEN 'CONFIRMED_VALUE' THEN CASE WHEN decision = 'CONFIRMED' AND eq THEN 'TP' WHEN decision = 'CONFIRMED' THEN 'FP_WRONG_VALUE' ELSE 'FN' END WHEN 'CONFLICT' THEN CASE WHEN decision = 'CONFLICT' THEN 'CONFLICT_OK' WHEN decision = 'CONFIRMED' THEN 'FP_CONFLICT_DENIED' ELSE 'FN' END ELSE CASE WHEN decision = 'CONFIRMED' THEN 'FP_INVENTED' WHEN decision = 'CONFLICT' THEN 'INCORRECT_STATUS' ELSE 'TN' END END AS outcome, count(*) AS n FROM u GROUP BY 1, 2""")
+def review_units(t: Tables) -> DataFrame:
+    """Reviews by the fields of their schema: gold of a scored status, the last decision, and the outcome, values compared by what they denote."""
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i.cast("int") + 1)
+    fields, c = ("isin", "currency", "maturity"), F.col("c_custkey")
+    gold = t.customer.where(c % 7 > 0).select(c.alias("case_id"), F.posexplode(F.array(*map(F.lit, fields))).alias("i", "field")).select("case_id", "field", pick((*review.GOLD, "DRAFT"), (F.col("case_id") + F.col("i")) % 5).alias("status"), F.col("i").cast("string").alias("value"))
+    log = t.lineitem.select(F.col("l_orderkey").alias("review_id"), pick(fields, F.col("l_partkey") % 3).alias("field"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 10).alias("ordinal"), pick(("CONFIRMED", "CONFLICT", "MISSING"), F.col("l_suppkey") % 3).alias("decision"), F.concat((F.col("l_suppkey") % 2).cast("string"), F.lit(".0")).alias("value"))
+    u = review.units(t.orders.select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("case_id")), fields, gold, log)
+    same = F.coalesce(metrics.same_json_column(F.col("value"), F.col("gold_value")), F.lit(False))
+    return u.select("field", metrics.outcome(F.col("gold_status"), F.col("decision"), same).alias("outcome")).groupBy("field", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN u.doc_id IS NULL THEN 'missing' WHEN quality = 0 THEN 'unevidenced' WHEN toxic = 1 THEN 'unverified' ELSE 'complete' END AS issue, lang, count(*) AS n FROM documents d LEFT JOIN labels u ON u.doc_id = d.doc_id GROUP BY 1, 2""")
+def truth_totals(t: Tables) -> DataFrame:
+    """How many units have each issue, by language."""
+    d = _truth_issues(t.documents, t.labels).join(t.documents.select("doc_id", "lang"), "doc_id")
+    return d.groupBy("issue", "lang").agg(F.count("*").alias("n"))
