@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.lexemes import MONTHS_EN, MONTHS_ES
+from factloom.functions.lexemes import MONTHS_EN, MONTHS_ES, scalar_key
 
 
 RANGES = 4096  # ranges of values that a group is counted in
@@ -66,6 +66,67 @@ def acceptance(rows: DataFrame, *by: str) -> DataFrame:
     return g.withColumns({"precision": rate("tp", "tp + fp"), "recall": rate("tp", "tp + fn"), "coverage": rate("tp + fp", "tp + fp + fn")})
 
 
+def elements(o: dict[str, Column]) -> Column:
+    """What an observation (status, class, values, lexeme) claims as keys: its values, without any its lexeme; nothing if it isn't accepted."""
+    said = F.filter(F.transform(F.coalesce(o["values"], F.array().cast("array<string>")), lambda v: F.coalesce(scalar_key(v), F.lit(""))), lambda k: k != "")
+    lexeme = scalar_key(F.coalesce(o["lexeme"], F.lit("")))
+    seen = F.coalesce(o["status"].isin("OBSERVED", "DERIVED"), F.lit(False)) & ~F.coalesce(o["class"].isin("VALUE_UNVERIFIED", "cross_reference"), F.lit(False)) & ~F.coalesce((F.size(o["values"]) == 1) & (F.get(o["values"], 0) == "NOT_APPLICABLE"), F.lit(False))
+    none = F.array().cast("array<string>")
+    return F.when(~seen, none).when(F.size(said) > 0, said).when(lexeme != "", F.array(lexeme)).otherwise(none)
+
+
+def field_scores(rows: DataFrame, *by: str) -> DataFrame:
+    """Scores of fields over all documents and by `cold`: rows (field, cold, scope, want, gold, status, class, values, lexeme).
+
+    Gold without values asks for any; what is claimed of an ABSENT field is false element by element, and invented. Documents of
+    lifecycle scope and fields that don't apply aren't scored.
+    """
+    pred = elements({c: F.col(c) for c in ("status", "class", "values", "lexeme")})
+    gold = F.filter(F.transform(F.coalesce("gold", F.array().cast("array<string>")), lambda v: F.coalesce(scalar_key(v), F.lit(""))), lambda k: k != "")
+    d = rows.where(F.col("want").isin("PRESENT", "MULTI", "ABSENT") & ~F.coalesce(F.col("scope") == "LIFECYCLE", F.lit(False))).withColumns({"_pred": pred, "_gold": gold})
+    n, some, absent = F.size("_pred").cast("long"), F.size("_pred") > 0, F.col("want") == "ABSENT"
+    m, any_ = set_match(F.col("_pred"), F.col("_gold")), F.size("_gold") == 0
+    zero, hit = F.lit(0).cast("long"), some.cast("long")
+    d = d.withColumns({"_tp": F.when(absent, zero).when(any_, hit).otherwise(m["tp"]), "_fp": F.when(absent, n).when(any_, zero).otherwise(m["fp"]), "_fn": F.when(absent, zero).when(any_, 1 - hit).otherwise(m["fn"]), "_tn": absent & ~some, "_invented": absent & some, "_pos": ~absent})
+    g = d.groupingSets([[F.col(c) for c in (*by, "field")], [F.col(c) for c in (*by, "field", "cold")]], *by, "field", "cold").agg(F.grouping("cold").alias("all"), F.count_if("_pos").alias("positive_gold"), F.sum("_tp").alias("tp"), F.sum("_fp").alias("fp"), F.sum("_fn").alias("fn"), F.count_if("_tn").alias("tn"), F.count_if("_invented").alias("invented"))
+    return g.withColumns({"precision": F.expr("tp / greatest(1, tp + fp)"), "recall": F.expr("tp / greatest(1, tp + fn)"), "tier": tier(F.col("positive_gold"))})
+
+
+# Outcomes that change what a critical field means.
+CRITICAL = ("FP_WRONG_VALUE", "FP_INVENTED", "FP_CONFLICT_DENIED")
+
+
+def safety(rows: DataFrame, *by: str) -> DataFrame:
+    """Of the assisted units (mode, critical, outcome, decision, unsupported, evidence_valid): critical errors, unsupported confirmations, and the share with valid evidence."""
+    confirmed = F.coalesce(F.col("decision") == "CONFIRMED", F.lit(False))
+    d = rows.where("mode = 'ASSISTED'").groupBy(*by).agg(F.count_if(F.col("critical") & F.col("outcome").isin(*CRITICAL)).alias("critical_errors"), F.count_if("unsupported").alias("unsupported"), F.count_if(confirmed).alias("confirmed"), F.count_if(confirmed & F.col("evidence_valid")).alias("with_evidence"))
+    return d.withColumn("evidence_rate", F.try_divide("with_evidence", "confirmed"))
+
+
+def navigation_rates(reviews: DataFrame, *by: str) -> DataFrame:
+    """Of the assisted reviews (mode, nav_used, nav_ok, nav_wrongdoc): sums, and the share of navigations that hold."""
+    d = reviews.where("mode = 'ASSISTED'").groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("nav_used", "nav_ok", "nav_wrongdoc")))
+    return d.withColumn("navigation_rate", F.try_divide("nav_ok", "nav_used"))
+
+
+def study_gates(d: DataFrame) -> DataFrame:
+    """Gates of a study and its verdict, each row by itself; too few valid pairs leave the time, and so the verdict, open.
+
+    Columns: pairs, median_ratio, faster, ci_high; assisted and manual precision and recall; critical_errors, unsupported,
+    evidence_rate; navigation_rate, nav_wrongdoc; frozen.
+    """
+    no = lambda c: F.coalesce(c, F.lit(False))
+    gate = lambda *checks: F.when(reduce(and_, map(no, checks)), "PASS").otherwise("FAIL")
+    c = {k: F.col(k) for k in d.columns}
+    d = d.withColumns({
+        "time": F.when(c["pairs"] < 24, "INCONCLUSIVE").otherwise(gate(c["median_ratio"] <= 0.60, c["faster"] >= 21, c["ci_high"] <= 0.80)),
+        "quality": gate(c["assisted_precision"] >= 0.99, c["assisted_precision"] >= c["manual_precision"] - 0.01, c["assisted_recall"] >= c["manual_recall"] - 0.05),
+        "safety": gate(c["critical_errors"] == 0, c["unsupported"] == 0, c["evidence_rate"] == 1.0), "evidence": gate(c["navigation_rate"] >= 0.98, c["nav_wrongdoc"] == 0), "freeze": gate(c["frozen"]),
+    })
+    names = ("time", "quality", "safety", "evidence", "freeze")
+    return d.withColumn("verdict", F.when(F.col("time") == "INCONCLUSIVE", "INCONCLUSIVE").when(reduce(and_, (F.col(n) == "PASS" for n in names)), "PASS").otherwise("FAIL"))
+
+
 def tier(positives: Column) -> Column:
     return F.when(positives < 5, "UNDER_5").when(positives < 15, "5_TO_14").otherwise("15_AND_MORE")
 

@@ -117,3 +117,14 @@ def first_partner(rows: DataFrame, isin: str, key: str) -> DataFrame:
     d = rows.where(F.col(isin) != "").groupBy(isin).agg(F.min(key).alias("first"), F.count_distinct(key).alias("n")).where("n > 1").drop("n")
     other = rows.join(d, isin).where(F.col(key) > F.col("first")).groupBy(isin, "first").agg(F.min(key).alias("partner"))
     return other.select(isin, "first", "partner")
+
+
+def remaining(wanted: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What a driver that was stopped has yet to do: the rows without a result, once each."""
+    return wanted.join(done.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def frozen_versions(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(name, version) of lines `name==version`; comments and other lines are none."""
+    p = r"^\s*([A-Za-z0-9_.\-]+)==([^\s#;]+)"
+    return lines.select(F.lower(F.regexp_extract(line, p, 1)).alias("name"), F.regexp_extract(line, p, 2).alias("version")).where("name <> ''")

@@ -131,3 +131,18 @@ def link_sources(t: Tables) -> DataFrame:
     seen = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("issuer"))
     d = link.enriched(own, seen, "o_custkey", "issuer")
     return d.select("o_orderkey", "s.src_family", "s.src_register", "s.src_suffix", "s.src_role", "s.src_number", F.col("s.src_date").cast("string").alias("src_date"), "c.cand_type", "c.cand_register", "issuer")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 > 0 OR doc_id NOT IN (SELECT doc_id FROM labels)")
+def remaining_documents(t: Tables) -> DataFrame:
+    """Documents that an interrupted run has no result of."""
+    return S.remaining(t.documents.select("doc_id"), t.labels.where("doc_id % 3 = 0"))
+
+
+@query("SELECT 'pkg-' || p_partkey AS name, p_size || '.' || (p_partkey % 10) || '.0' AS version, sha256('pkg-' || p_partkey || '==' || p_size || '.' || (p_partkey % 10) || '.0') AS digest FROM part WHERE p_partkey % 5 > 0")
+def environment_freeze(t: Tables) -> DataFrame:
+    """Packages with their versions, of lines some of which are comments, and a digest of each."""
+    k = F.col("p_partkey")
+    line = F.when(k % 5 == 0, F.concat(F.lit("# Pkg-"), k)).otherwise(F.concat(F.lit(" Pkg-"), k, F.lit("=="), F.col("p_size"), F.lit("."), k % 10, F.lit(".0 # why")))
+    d = S.frozen_versions(t.part.select(line.alias("line")))
+    return d.withColumn("digest", F.sha2(F.concat_ws("==", "name", "version"), 256))
