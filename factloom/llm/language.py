@@ -195,6 +195,13 @@ def automaton(codes: np.ndarray, symbols: int) -> Automaton:
     return Automaton(ways, at, np.frombuffer(only, np.uint32)[rest], targets, root, np.frombuffer(rare, np.uint64).copy(), renamed(rare_to))
 
 
+def _before(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many are set before each place."""
+    count = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=count[1:])
+    return count[at].astype(np.int64)
+
+
 class Parser:
     """The automata of labelled texts put together as one, with a root for each language, and a symbol for each character."""
 
@@ -228,8 +235,9 @@ class Parser:
         self.rare_to = joined([named(k, a.rare_to) for k, a in enumerate(own)], np.uint32)
         self.roots = first_at[:-1].astype(np.uint32)
 
-    def step(self, state: np.ndarray, c: np.ndarray, bit: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def step(self, state: np.ndarray, c: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where a phrase starts: a character that doesn't fit starts one from the root."""
+        bit = np.uint64(1) << np.minimum(c, FEW).astype(np.uint64)
         many = state < self.first
         s, i = np.where(many, state, 0), np.where(many, np.uint32(len(self.only) - 1), state - np.uint32(self.first))
         ways = self.ways[s]
@@ -256,7 +264,6 @@ class Parser:
         place = np.arange(total) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = first[:-1][row] + LANE * place
         size = np.minimum(LANE, first[1:][row] - start)
-        bits = np.uint64(1) << np.minimum(codes, FEW).astype(np.uint64)
         order = np.argsort(-size, kind="stable")  # longest first: the lanes still going are a prefix
         begin, left = start[order], size[order]
         going = np.searchsorted(-left, -np.arange(1, LANE + 1), "right")
@@ -264,18 +271,17 @@ class Parser:
         base = (np.arange(k, dtype=np.uint32) * self.symbols)[:, None]
         for t in range(int(left[0])):
             m = going[t]
-            at = begin[:m] + t
-            state[:, :m], new = self.step(state[:, :m], codes[at], bits[at], base)
+            state[:, :m], new = self.step(state[:, :m], codes[begin[:m] + t], base)
             count[:, :m] += new
         back = np.argsort(order)
         state, count = state[:, back], count[:, back]
         if total > len(n):
-            count += self._joined(codes, bits, start, size, place, state)
+            count += self._joined(codes, start, size, place, state)
         for x in range(k):
             out[x] = np.bincount(row, count[x], len(n))
         return out
 
-    def _joined(self, codes: np.ndarray, bits: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _joined(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """What each lane's count is off by, as it doesn't start where a text does; ends: each lane's last state, mended on the way."""
         off = np.zeros(ends.shape, np.int64)
         lang, lane = map(np.ravel, np.meshgrid(np.arange(len(ends)), np.flatnonzero(place > 0), indexing="ij"))
@@ -286,10 +292,9 @@ class Parser:
             met = np.ones(len(lane), bool)
             t = 0
             while len(live):
-                at = start[lane[live]] + t
-                base = lang[live].astype(np.uint32) * np.uint32(self.symbols)
-                real[live], a = self.step(real[live], codes[at], bits[at], base)
-                own[live], b = self.step(own[live], codes[at], bits[at], base)
+                c, base = codes[start[lane[live]] + t], lang[live].astype(np.uint32) * np.uint32(self.symbols)
+                real[live], a = self.step(real[live], c, base)
+                own[live], b = self.step(own[live], c, base)
                 change[live] += a.astype(np.int64) - b
                 t += 1
                 same, over = real[live] == own[live], size[lane[live]] == t
@@ -309,12 +314,12 @@ class Parser:
         langs, scores, costs = [], [], []
         for i, j, data, off in slices(col, 1 << 22):  # lanes of more texts at once
             text = folded(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32))
-            lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-            letter = np.concatenate([[0], np.cumsum(text > 0)])[lead]
+            lead = _before((data & 0xC0) != 0x80, off)
+            letter = _before(text > 0, lead)
             begin = np.zeros(len(text) + 1, bool)
             begin[lead] = True
             keep = (text > 0) | np.concatenate([[True], text[:-1] > 0]) | begin[:-1]  # one blank of each run
-            first = np.concatenate([[0], np.cumsum(keep)])[lead]
+            first = _before(keep, lead)
             if not self.langs:
                 langs += ["und"] * (j - i)
                 scores.append(np.zeros(j - i))

@@ -26,6 +26,7 @@ from tokenizers import Tokenizer
 
 STAYS = "\u180e"  # white space to some pattern engines
 MARKS = ".,;:!?|"
+KEEP = 700_000  # words remembered by a worker
 FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -37,7 +38,7 @@ class ByteTokens:
     ranks beside it, new parts are encoded by tiktoken, which gives the same ids faster.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, keep: int = 700_000, keep_length: int = 48):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, keep: int = KEEP, keep_length: int = 48):
         tokenizer = Tokenizer.from_file(path)
         special = [str(t) for t in tokenizer.get_added_tokens_decoder().values()]
         slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
@@ -108,10 +109,11 @@ class ByteTokens:
 _TOKENS: dict[tuple, ByteTokens] = {}
 
 
-def tokens(*files: str | None) -> ByteTokens:
-    """The tokenizer, read once in each Python worker."""
+def tokens(*files: str | None, keep: int = KEEP) -> ByteTokens:
+    """The tokenizer, read once in each Python worker, which remembers so many words."""
     if files not in _TOKENS:
         _TOKENS[files] = ByteTokens(*files)
+    _TOKENS[files].keep = keep
     return _TOKENS[files]
 
 
@@ -171,10 +173,11 @@ class Bins:
                     bin_, filled = [], 0
 
 
-def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024, end_id: int = 0, least: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024, end_id: int = 0, least: int = 64, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     path: the tokenizer's file; ranks, pattern: the same vocabulary as ranks with its splitting pattern, if there is one.
+    keep: words that a Python worker remembers (some 200 bytes each), for speed only.
     """
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
@@ -183,7 +186,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | No
     end = array("I", [end_id]).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, bins = tokens(path, ranks, pattern), Bins(capacity, TaskContext.get().partitionId() << 33)
+        t, bins = tokens(path, ranks, pattern, keep=keep), Bins(capacity, TaskContext.get().partitionId() << 33)
         types = None
 
         def batch_of(rows: list) -> pa.RecordBatch:
