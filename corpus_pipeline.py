@@ -19,6 +19,7 @@ from factloom.llm.queries import BYTES
 from factloom.llm.store import new_path, released
 
 ORACLE_SQL = None
+KEEP = 200_000  # words that a worker of the packing stage remembers: other stages' workers live beside it
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row per piece."""
-    return packing.pack(docs, *BYTES)
+    return packing.pack(docs, *BYTES, keep=KEEP)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
