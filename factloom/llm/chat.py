@@ -35,41 +35,46 @@ def _head(role: Column, mine: Column) -> Column:
     return F.concat(F.lit(START), F.when(mine, F.lit("assistant")).when(role == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), role)), F.lit("\n"))
 
 
+def _named(c: Column) -> Column:
+    """A value as text that is never null, so that null keys are joined and grouped like others."""
+    return F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("none"))
+
+
 def _placed(t: DataFrame, per_piece: int) -> DataFrame:
     """Adds the piece that a row of a part is in."""
-    group = ["conv_id", "part"]
-    n = t.groupBy(*group, "turn", "digest").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*group).orderBy(F.col("turn").asc_nulls_first(), "digest")
-    before = n.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("turn").alias("_turn"), F.col("digest").alias("_digest"), (F.sum("n").over(w) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy(*group, "turn", "digest").orderBy("role", "nameless", "said"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("digest") == F.col("_digest"))
-    return t.withColumn("own", own).join(before, same).withColumn("piece", F.floor((F.col("before") + F.col("own") - 1) / per_piece).cast("long")).select(*t.columns, "piece")
+    group = ["conv", "part", "turn_key", "digest"]
+    n = t.groupBy(*group).agg(F.count("*").alias("n"), F.first("turn").alias("turn"))
+    w = Window.partitionBy("conv", "part").orderBy(F.col("turn").asc_nulls_first(), "digest")
+    before = n.select(*group, (F.sum("n").over(w) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("role", "nameless", "said"))
+    return t.withColumn("own", own).join(before, group).withColumn("piece", F.floor((F.col("before") + F.col("own") - 1) / per_piece).cast("long")).drop("own", "before", "turn_key")
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_part: int = TURNS, per_piece: int = ROWS) -> DataFrame:
     """conv_id, speaker, part, piece, at, n_turns, text, mask (`start:length` of each stretch, joined by commas), n_trained."""
     role = F.translate(_safe(F.col(role_col)), "\r\n", "  ")
-    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.when(F.col(role_col).isNull(), "unknown").otherwise(role).alias("role"), _safe(F.col(text_col)).alias("said"), F.col(role_col).isNull().alias("nameless"))
-    t = t.withColumns({"part": F.coalesce(F.floor(F.col("turn") / per_part), F.lit(-1)).cast("long"), "digest": F.left(F.md5(F.concat_ws("\n", "role", "said").cast("binary")), F.lit(DIGESTS))})
-    speakers = t.where("role <> 'system' and not nameless").select(F.col("conv_id").alias("conv"), F.col("role").alias("speaker")).distinct()
-    both = _placed(t, per_piece).join(speakers, F.col("conv_id").eqNullSafe(F.col("conv")))  # each turn once for each speaker of its conversation
+    t = turns.select(_named(F.col(conv_col)).alias("conv"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.when(F.col(role_col).isNull(), "unknown").otherwise(role).alias("role"), _safe(F.col(text_col)).alias("said"), F.col(role_col).isNull().alias("nameless"))
+    t = t.withColumns({"part": F.coalesce(F.floor(F.col("turn") / per_part), F.lit(-1)).cast("long"), "turn_key": _named(F.col("turn")), "digest": F.left(F.md5(F.concat_ws("\n", "role", "said").cast("binary")), F.lit(DIGESTS))})
+    speakers = t.where("role <> 'system' and not nameless").select("conv", F.col("role").alias("speaker")).distinct()
+    both = _placed(t, per_piece).join(speakers, "conv")  # each turn once for each speaker of its conversation
     both = both.withColumn("mine", (F.col("role") == F.col("speaker")) & ~F.col("nameless")).withColumn("head", _head(F.col("role"), F.col("mine")))
-    line = F.struct("turn", "digest", "role", "nameless", "said", F.concat("head", "said", F.lit(END + "\n")).alias("line"), F.length("head").alias("head"), (F.length("said") + len(END)).alias("own"), "mine")
-    key = ["conv_id", "speaker", "part", "piece"]
-    parts = both.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    line = F.struct("turn", "digest", "role", "nameless", "said", "head", "mine")
+    key = ["conv", "speaker", "part", "piece"]
+    parts = both.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("conv_id").alias("conv_id"))
+    whole = lambda x: F.concat(x["head"], x["said"], F.lit(END + "\n"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        span = F.concat_ws(":", (acc["at"] + x["head"]).cast("string"), x["own"].cast("string"))
-        return F.struct((acc["at"] + F.length(x["line"])).alias("at"), F.when(x["mine"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), (acc["n"] + F.when(x["mine"], x["own"]).otherwise(0)).alias("n"))
+        head, own = F.length(x["head"]), F.length(x["said"]) + len(END)
+        span = F.concat_ws(":", (acc["at"] + head).cast("string"), own.cast("string"))
+        return F.struct((acc["at"] + head + own + 1).alias("at"), F.when(x["mine"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), (acc["n"] + F.when(x["mine"], own).otherwise(0)).alias("n"))
 
     done = parts.withColumn("m", F.aggregate("lines", start, step))
-    done = done.select(*key, F.size("lines").cast("long").alias("n_turns"), F.array_join(F.col("lines.line"), "").alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").alias("n_trained"))
+    done = done.select(*key, "conv_id", F.size("lines").cast("long").alias("n_turns"), F.array_join(F.transform("lines", whole), "").alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").alias("n_trained"))
     # where each piece starts, from the lengths alone: one small row a piece
     length = both.groupBy(*key).agg(F.sum(F.length("head") + F.length("said") + len(END) + 1).alias("length"))
-    at = length.select(*(F.col(k).alias("_" + k) for k in key), (F.sum("length").over(Window.partitionBy("conv_id", "speaker").orderBy("part", "piece")) - F.col("length")).alias("at"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("speaker") == F.col("_speaker")) & (F.col("part") == F.col("_part")) & (F.col("piece") == F.col("_piece"))
-    return done.join(at, same).select(*key, "at", "n_turns", "text", "mask", "n_trained")
+    at = length.select(*key, (F.sum("length").over(Window.partitionBy("conv", "speaker").orderBy("part", "piece")) - F.col("length")).alias("at"))
+    return done.join(at, key).select("conv_id", *key[1:], "at", "n_turns", "text", "mask", "n_trained")
 
 
 SQL = f"""
