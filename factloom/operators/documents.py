@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import lexemes as L
 
-# Kinds of blocks by the label that a parser gives them.
+# Kinds of blocks by the label that a parser gives them; all others are OTHER.
 BLOCK_TYPES = {
-    "title": "HEADING", "section_header": "HEADING", "text": "TEXT", "paragraph": "TEXT", "list_item": "LIST_ITEM", "table": "TABLE", "caption": "CAPTION", "footnote": "FOOTNOTE", "page_header": "PAGE_HEADER", "page_footer": "PAGE_FOOTER", "key_value_region": "KEY_VALUE", "picture": "FIGURE",
+    "section_header": "HEADING", "title": "HEADING", "list_item": "LIST_ITEM", "footnote": "FOOTNOTE", "text": "TEXT", "caption": "TEXT", "paragraph": "TEXT", "formula": "TEXT", "page_header": "OTHER", "page_footer": "OTHER", "checkbox_selected": "OTHER", "checkbox_unselected": "OTHER",
+    "picture": "OTHER", "document_index": "OTHER", "code": "TEXT", "form": "OTHER", "key_value_region": "OTHER", "grading_scale": "OTHER", "handwritten_text": "TEXT", "empty_value": "OTHER",
 }
 # Fields of the review schema by family, and the extracted fields that each of them takes candidates from.
 FAMILIES = {
@@ -27,9 +28,14 @@ SOURCES = {
     "protection_barrier": ("barrier",), "strike": ("strike",), "participation": ("participation",), "cap": ("cap",), "redemption": ("redemption_formula",), "settlement": ("settlement_type",),
 }
 EXCERPT = 300
+# The form of the parser's JSON, as far as it is read.
+BOX = "struct<l: double, t: double, r: double, b: double>"
+PROV = f"array<struct<page_no: int, bbox: {BOX}>>"
+PAGE = "struct<page_no: int, size: struct<width: double, height: double>>"
 PARSED = (
-    "struct<pages: array<struct<page_no: int, width: double, height: double>>, texts: array<struct<self_ref: string, label: string, text: string, level: int, parent: string, page_no: int, l: double, t: double, r: double, b: double>>, "
-    "tables: array<struct<self_ref: string, page_no: int, cells: array<struct<text: string, row: int, col: int, l: double, t: double, r: double, b: double>>>>, key_values: array<struct<key: string, value: string, page_no: int>>>"
+    f"struct<pages: map<string, {PAGE}>, texts: array<struct<self_ref: string, label: string, text: string, level: int, parent: struct<`$ref`: string>, prov: {PROV}>>, "
+    f"tables: array<struct<self_ref: string, prov: {PROV}, data: struct<table_cells: array<struct<text: string, bbox: {BOX}, start_row_offset_idx: int, start_col_offset_idx: int>>>>>, "
+    f"key_value_items: array<struct<key: struct<text: string, prov: {PROV}>, value: struct<text: string, prov: {PROV}>>>>"
 )
 
 
@@ -46,30 +52,41 @@ def evidence(prov: Column, text: Column, source: Column, key: Column, sha: Colum
     return F.when(p.isNotNull(), F.struct(source.alias("source"), key.alias("source_record_key"), sha.alias("snapshot_sha256"), p["page"].alias("page"), box.alias("bbox"), F.when(p["start"].isNotNull(), F.array(p["start"], p["end"])).alias("charspan"), F.substring(F.coalesce(text, F.lit("")), 1, EXCERPT).alias("text_excerpt"), F.lit(extractor).alias("extractor")))
 
 
+def parsed_pages(json: Column) -> Column:
+    """Numbers of a document's pages in order, which come as an object by number or as a list."""
+    named = F.transform(F.map_entries(F.from_json(json, PARSED)["pages"]), lambda e: F.coalesce(e["value"]["page_no"], e["key"].cast("int")))
+    listed = F.transform(F.from_json(json, f"struct<pages: array<{PAGE}>>")["pages"], lambda p, i: F.coalesce(p["page_no"], i + 1))
+    return F.coalesce(F.when(F.get_json_object(json, "$.pages[0]").isNotNull(), listed), named)
+
+
 def from_parsed(docs: DataFrame, json_col: str = "json") -> DataFrame:
     """Blocks of documents of a parser's JSON: (doc_id, page, block_id, block_type, text, l, t, r, b, parent, table_id, row, col, level, seq).
 
-    Texts, then tables with their cells, then keys and values, each on its page, or on the document's first page if it has
-    none; `seq` is the order in which they are put there.
+    Texts, then tables with their cells, then keys and values, each on the page of its first provenance, or on the document's first page if
+    that is none of its pages; `seq` is the order in which they are put there.
     """
-    d = docs.select("doc_id", F.from_json(json_col, PARSED).alias("d")).select("doc_id", "d.*")
-    d = d.withColumn("first", F.get("pages", 0)["page_no"])
-    none, no_box = (lambda kind: F.lit(None).cast(kind)), [F.lit(None).cast("double").alias(c) for c in "ltrb"]
+    d = docs.select("doc_id", F.from_json(json_col, PARSED).alias("d"), parsed_pages(F.col(json_col)).alias("known")).select("doc_id", "known", "d.texts", "d.tables", "d.key_value_items")
+    none = lambda kind: F.lit(None).cast(kind)
     kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in BLOCK_TYPES.items() for x in kv)), F.col("x.label")), F.lit("OTHER"))
     ref = lambda c: F.regexp_replace(c, r"^[#/]+", "")
-    place = lambda stage, *more: F.struct(F.lit(stage).alias("stage"), *more)
-    texts = d.select("doc_id", "first", F.posexplode("texts").alias("i", "x")).select(
-        "doc_id", F.coalesce("x.page_no", "first").alias("page"), ref("x.self_ref").alias("block_id"), kind.alias("block_type"), F.coalesce("x.text", F.lit("")).alias("text"), *(F.col(f"x.{c}").alias(c) for c in "ltrb"), ref("x.parent").alias("parent"), none("string").alias("table_id"), none("int").alias("row"), none("int").alias("col"),
-        F.col("x.level").alias("level"), place(0, F.col("i").alias("i"), F.lit(-1).alias("k")).alias("seq"),
+    page = lambda prov: F.when(F.array_contains("known", F.get(prov, 0)["page_no"]), F.get(prov, 0)["page_no"]).otherwise(F.get("known", 0)).alias("page")
+    box = lambda b: [b[c].alias(c) for c in "ltrb"]
+    place = lambda stage, i, k: F.struct(F.lit(stage).alias("stage"), F.col(i).alias("i"), k.alias("k")).alias("seq")
+    texts = d.select("doc_id", "known", F.posexplode("texts").alias("i", "x")).select(
+        "doc_id", page(F.col("x.prov")), ref(F.col("x.self_ref")).alias("block_id"), kind.alias("block_type"), F.coalesce("x.text", F.lit("")).alias("text"), *box(F.get("x.prov", 0)["bbox"]), ref(F.col("x.parent")["$ref"]).alias("parent"), none("string").alias("table_id"), none("int").alias("row"), none("int").alias("col"), F.col("x.level").alias("level"), place(0, "i", F.lit(-1)),
+    )
+    tables = d.select("doc_id", "known", F.posexplode("tables").alias("i", "x")).select("doc_id", page(F.col("x.prov")), "i", "x")
+    heads = tables.select(
+        "doc_id", "page", ref(F.col("x.self_ref")).alias("block_id"), F.lit("OTHER").alias("block_type"), F.lit("").alias("text"), *box(F.get("x.prov", 0)["bbox"]), none("string").alias("parent"), none("string").alias("table_id"), none("int").alias("row"), none("int").alias("col"), none("int").alias("level"), place(1, "i", F.lit(-1)),
+    )
+    cells = tables.select("doc_id", "page", F.concat(F.lit("tables/"), "i").alias("table_id"), "i", F.posexplode("x.data.table_cells").alias("k", "c")).select(
+        "doc_id", "page", F.concat("table_id", F.lit("/cell/"), "k").alias("block_id"), F.lit("TABLE_CELL").alias("block_type"), F.coalesce("c.text", F.lit("")).alias("text"), *box(F.col("c.bbox")), F.col("table_id").alias("parent"), "table_id", F.col("c.start_row_offset_idx").alias("row"), F.col("c.start_col_offset_idx").alias("col"), none("int").alias("level"), place(1, "i", F.col("k")),
     )
-    tables = d.select("doc_id", "first", F.posexplode("tables").alias("i", "x"))
-    page, tid = F.coalesce("x.page_no", "first"), F.concat(F.lit("tables/"), "i")
-    heads = tables.select("doc_id", page.alias("page"), ref("x.self_ref").alias("block_id"), F.lit("TABLE").alias("block_type"), F.lit("").alias("text"), *no_box, none("string").alias("parent"), none("string").alias("table_id"), none("int").alias("row"), none("int").alias("col"), none("int").alias("level"), place(1, F.col("i").alias("i"), F.lit(-1).alias("k")).alias("seq"))
-    cells = tables.select("doc_id", page.alias("page"), tid.alias("table_id"), "i", F.posexplode("x.cells").alias("k", "c")).select(
-        "doc_id", "page", F.concat("table_id", F.lit("/cell/"), "k").alias("block_id"), F.lit("TABLE_CELL").alias("block_type"), F.coalesce("c.text", F.lit("")).alias("text"), *(F.col(f"c.{x}").alias(x) for x in "ltrb"), F.col("table_id").alias("parent"), "table_id", F.col("c.row").alias("row"), F.col("c.col").alias("col"), none("int").alias("level"), place(1, F.col("i").alias("i"), F.col("k").alias("k")).alias("seq"),
+    end = lambda name, x: F.struct(F.lit(name).alias("end"), x["text"].alias("text"), x["prov"].alias("prov"))
+    pairs = d.select("doc_id", "known", F.posexplode("key_value_items").alias("i", "x")).select("doc_id", "known", F.concat(F.lit("key_value_items/"), "i").alias("table_id"), "i", F.posexplode(F.array(end("/key", F.col("x.key")), end("/val", F.col("x.value")))).alias("k", "e"))
+    pairs = pairs.select(
+        "doc_id", page(F.col("e.prov")), F.concat("table_id", "e.end").alias("block_id"), F.lit("OTHER").alias("block_type"), F.coalesce("e.text", F.lit("")).alias("text"), *box(F.get("e.prov", 0)["bbox"]), none("string").alias("parent"), "table_id", none("int").alias("row"), none("int").alias("col"), none("int").alias("level"), place(2, "i", F.col("k")),
     )
-    pairs = d.select("doc_id", "first", F.posexplode("key_values").alias("i", "x")).select("doc_id", F.coalesce("x.page_no", "first").alias("page"), F.concat(F.lit("key_value_items/"), "i").alias("table_id"), "i", F.posexplode(F.array(F.struct(F.lit("/key").alias("end"), F.col("x.key").alias("text")), F.struct(F.lit("/val").alias("end"), F.col("x.value").alias("text")))).alias("k", "e"))
-    pairs = pairs.select("doc_id", "page", F.concat("table_id", "e.end").alias("block_id"), F.lit("KEY_VALUE").alias("block_type"), F.coalesce("e.text", F.lit("")).alias("text"), *no_box, none("string").alias("parent"), "table_id", none("int").alias("row"), none("int").alias("col"), none("int").alias("level"), place(2, F.col("i").alias("i"), F.col("k").alias("k")).alias("seq"))
     return texts.unionByName(heads).unionByName(cells).unionByName(pairs).where("page is not null")
 
 

@@ -12,17 +12,21 @@ from factloom.sources import files
 
 
 def _parsed(t: Tables) -> DataFrame:
-    """A parser's JSON: two pages, texts of which one has no page, a table for even orders, and a key with its value."""
+    """A parser's JSON: two pages, by number or as a list, texts of which one has no page and one an unknown one, a table for even orders, and a key with its value."""
     k = F.col("o_orderkey").cast("string")
-    table = F.lit(', "tables": [{"self_ref": "#/tables/0", "page_no": 2, "cells": [{"text": "a", "row": 0, "col": 0, "l": 1, "t": 9, "r": 5, "b": 8}, {"text": "b", "row": 0, "col": 1}, {"text": "c", "row": 1, "col": 0}, {"text": "d", "row": 1, "col": 1}]}]')
-    texts = F.concat(F.lit('"texts": [{"self_ref": "#/texts/0", "label": "title", "text": "Order '), k, F.lit('", "level": 1, "parent": "#/body", "page_no": 1, "l": 1.5, "t": 90, "r": 50, "b": 80}, {"self_ref": "#/texts/1", "label": "text", "text": "x", "parent": "#/texts/0", "page_no": 1}, {"self_ref": "#/texts/2", "label": "section_header", "text": "y", "page_no": 2}, {"self_ref": "#/texts/3", "label": "odd", "text": null}]'))
-    json = F.concat(F.lit('{"pages": [{"page_no": 1, "width": 100, "height": 200}, {"page_no": 2, "width": 100, "height": 200}], '), texts, F.when(F.col("o_orderkey") % 2 == 0, table).otherwise(F.lit("")), F.lit(', "key_values": [{"key": "Total", "value": "'), k, F.lit('", "page_no": 1}]}'))
+    on = lambda page, box="": f'"prov": [{{"page_no": {page}{box}}}]'
+    pages = F.when(F.col("o_orderkey") % 3 == 0, '"pages": [{"page_no": 1, "size": {"width": 100, "height": 200}}, {"size": {"width": 100, "height": 200}}]').otherwise('"pages": {"1": {"page_no": 1, "size": {"width": 100, "height": 200}}, "2": {"size": {"width": 100, "height": 200}}}')
+    first = on(1, ', "bbox": {"l": 1.5, "t": 90, "r": 50, "b": 80, "coord_origin": "BOTTOMLEFT"}')
+    texts = F.concat(F.lit('"texts": [{"self_ref": "#/texts/0", "label": "title", "text": "Order '), k, F.lit('", "level": 1, "parent": {"$ref": "#/body"}, ' + first + '}, {"self_ref": "#/texts/1", "label": "text", "text": "x", "parent": {"$ref": "#/texts/0"}, ' + on(9) + '}, {"self_ref": "#/texts/2", "label": "section_header", "text": "y", ' + on(2) + '}, {"self_ref": "#/texts/3", "label": "odd", "text": null}]'))
+    cells = ", ".join(f'{{"text": "{x}", "start_row_offset_idx": {r}, "start_col_offset_idx": {c}{b}}}' for x, r, c, b in (("a", 0, 0, ', "bbox": {"l": 1, "t": 9, "r": 5, "b": 8}'), ("b", 0, 1, ""), ("c", 1, 0, ""), ("d", 1, 1, "")))
+    table = F.lit(', "tables": [{"self_ref": "#/tables/0", ' + on(2) + ', "data": {"table_cells": [' + cells + "]}}]")
+    json = F.concat(F.lit("{"), pages, F.lit(", "), texts, F.when(F.col("o_orderkey") % 2 == 0, table).otherwise(F.lit("")), F.lit(', "key_value_items": [{"key": {"text": "Total", ' + on(1) + '}, "value": {"text": "'), k, F.lit('", ' + on(1) + "}}]}"))
     return t.orders.select(F.col("o_orderkey").alias("doc_id"), json.alias("json"))
 
 
-_BLOCKS = """(VALUES (1, 'texts/0', 'HEADING', 'Order #', 'body', NULL, NULL, NULL, 1), (1, 'texts/1', 'TEXT', 'x', 'texts/0', NULL, NULL, NULL, NULL), (2, 'texts/2', 'HEADING', 'y', NULL, NULL, NULL, NULL, NULL), (1, 'texts/3', 'OTHER', '', NULL, NULL, NULL, NULL, NULL), (2, 'tables/0', 'TABLE', '', NULL, NULL, NULL, NULL, NULL),
+_BLOCKS = """(VALUES (1, 'texts/0', 'HEADING', 'Order #', 'body', NULL, NULL, NULL, 1), (1, 'texts/1', 'TEXT', 'x', 'texts/0', NULL, NULL, NULL, NULL), (2, 'texts/2', 'HEADING', 'y', NULL, NULL, NULL, NULL, NULL), (1, 'texts/3', 'OTHER', '', NULL, NULL, NULL, NULL, NULL), (2, 'tables/0', 'OTHER', '', NULL, NULL, NULL, NULL, NULL),
 (2, 'tables/0/cell/0', 'TABLE_CELL', 'a', 'tables/0', 'tables/0', 0, 0, NULL), (2, 'tables/0/cell/1', 'TABLE_CELL', 'b', 'tables/0', 'tables/0', 0, 1, NULL), (2, 'tables/0/cell/2', 'TABLE_CELL', 'c', 'tables/0', 'tables/0', 1, 0, NULL), (2, 'tables/0/cell/3', 'TABLE_CELL', 'd', 'tables/0', 'tables/0', 1, 1, NULL),
-(1, 'key_value_items/0/key', 'KEY_VALUE', 'Total', NULL, 'key_value_items/0', NULL, NULL, NULL), (1, 'key_value_items/0/val', 'KEY_VALUE', '#', NULL, 'key_value_items/0', NULL, NULL, NULL)) AS v(page, block_id, block_type, text, parent, table_id, "row", col, level)"""
+(1, 'key_value_items/0/key', 'OTHER', 'Total', NULL, 'key_value_items/0', NULL, NULL, NULL), (1, 'key_value_items/0/val', 'OTHER', '#', NULL, 'key_value_items/0', NULL, NULL, NULL)) AS v(page, block_id, block_type, text, parent, table_id, "row", col, level)"""
 
 
 @query(f"""SELECT o_orderkey AS doc_id, page, block_id, block_type, replace(text, '#', CAST(o_orderkey AS VARCHAR)) AS text, CASE block_id WHEN 'texts/0' THEN 1.5 WHEN 'tables/0/cell/0' THEN 1.0 END AS l, CASE block_id WHEN 'texts/0' THEN 80.0 WHEN 'tables/0/cell/0' THEN 8.0 END AS b, parent, table_id, "row", col, level
