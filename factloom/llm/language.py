@@ -44,6 +44,7 @@ DOCS = 100  # labelled rows of each language, at most
 LONGEST = 1 << 20  # characters of a labelled row, at most: longer ones are not sampled
 CALIBRATED = 5  # one of so many labelled rows sets the limit instead of being learned from
 MARGIN = 2.0
+SLICE = 1 << 21  # bytes of texts that are followed at once: some 30 bytes of memory for each
 NONE = (1 << 32) - 1  # the symbol of a state without a way on
 FEW = 63  # symbols below have a bit in a state's ways; ways by others are listed apart
 
@@ -312,7 +313,7 @@ class Parser:
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and bits a character of each text; 0 bits where there is no letter."""
         langs, scores, costs = [], [], []
-        for i, j, data, off in slices(col, 1 << 22):  # lanes of more texts at once
+        for i, j, data, off in slices(col, SLICE):
             text = folded(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32))
             lead = _before((data & 0xC0) != 0x80, off)
             letter = _before(text > 0, lead)

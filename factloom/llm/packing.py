@@ -39,20 +39,25 @@ class ByteTokens:
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, keep: int = KEEP, keep_length: int = 48):
-        tokenizer = Tokenizer.from_file(path)
-        special = [str(t) for t in tokenizer.get_added_tokens_decoder().values()]
-        slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self.encode = slow
+        whole = Tokenizer.from_file(path)
+        special = [str(t) for t in whole.get_added_tokens_decoder().values()]
+        self.path, self.whole, self.encode = path, whole, self.slow
         if ranks:
+            self.whole = None  # read again only for texts with marks: it takes more memory than all else here
             rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
             fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank, special_tokens={}).encode_ordinary
             marks = [x for x in ["<|"] if all(x in t for t in special)]
-            self.encode = lambda text: slow(text) if not marks or marks[0] in text else fast(text)
+            self.encode = lambda text: self.slow(text) if not marks or marks[0] in text else fast(text)
         self.known: dict[str, bytes] = {}  # a word: ids of a space and the word; a line end and a word: theirs
         self.tails: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.keep, self.keep_length = keep, keep_length
 
+    def slow(self, text: str) -> list[int]:
+        if self.whole is None:
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def one(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
 
