@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact_dedup, language, licenses, near, packing, pieces, quality, urls, warc
+from factloom.llm import centroids, chat, exact_dedup, language, licenses, near, negatives, packing, pieces, quality, repeats, urls, warc
 from factloom.llm.store import new_path
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -65,7 +66,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_quality_rules, op6_chat_rotation, op7_sentencepiece, op8_warc_revisits, op9_packing, op10_jaccard_join)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", F.coalesce(moved, F.col("label"))))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_quality_rules, op6_chat_rotation, op7_sentencepiece, op8_warc_revisits, op9_packing, op10_jaccard_join, op11_hard_negatives, op12_suffix_dedup, op13_centroid_clustering)}
 
 _WHITE = r"[\x20\x09-\x0D]"
 ORACLE_SQL = {
@@ -76,4 +90,7 @@ k AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sh
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """,
     "op6_chat_rotation": chat.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op12_suffix_dedup": repeats.SQL,
+    "op13_centroid_clustering": centroids.sql(),
 }
