@@ -341,9 +341,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group
 
 SQL = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
-b AS (SELECT doc_id, n, unnest(range(n)) AS i, h FROM d),
-w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY substr(h, 2 * i + 1, {2 * WIDTH}) ORDER BY doc_id, i) > 1 AS later FROM b WHERE i + {WIDTH} <= n),
-g AS (SELECT b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) AS x, coalesce(b.i - max(CASE WHEN w.later THEN w.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i) < {WIDTH}, false) AS gone FROM b LEFT JOIN w USING (doc_id, i)),
+b AS (SELECT doc_id, unnest(range(n)) AS i, unnest(list_transform(range(n), lambda i: substr(h, 2 * i + 1, {2 * WIDTH}))) AS x FROM d),
+w AS (SELECT doc_id, i, substr(x, 1, 2) AS x, length(x) = {2 * WIDTH} AND row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS later FROM b),
+g AS (SELECT doc_id, i, x, coalesce(i - max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < {WIDTH}, false) AS gone FROM w),
 r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
 k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
 SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
