@@ -1,7 +1,8 @@
 """Extraction of labelled fields from laid-out text and tables: candidates, guards, normal forms, one observation a field.
 
 Blocks are (doc_id, ix, page, text), `ix` gapless within a document, and may have boxes (l, t, r, b); table rows are
-(doc_id, table, row, cells). All candidates of all fields come out of one pass over the blocks and one over the rows.
+(doc_id, table, row, cells), with the table's page if cells shall make regions. All candidates of all fields come out of one pass over the
+blocks and one over the rows, each with the span of blocks that it depends on; a region's view holds those whose span lies in it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import lexemes as L
 from factloom.operators import layout
+from factloom.sources.shared import table
 
 
 class Rule(NamedTuple):
@@ -83,7 +85,7 @@ CONVENTION = r"(?iu)(?:Modified\s+)?Following\s+Business\s+Day\s+Convention|Prec
 # Numbers before a label.
 NUMBERING = r"(?:\(\s*[a-zivx0-9]+\s*\)|\d+\.?|[a-z]\))?\s*"
 
-CANDIDATE = ("doc_id", "field", "source", "ix", "k", "raw", "item")
+CANDIDATE = ("doc_id", "field", "source", "ix", "first", "last", "k", "raw", "item")
 EXCERPT = 300  # characters of a block that stand for it as evidence
 
 
@@ -108,17 +110,20 @@ def _parts(d: DataFrame, text: str) -> DataFrame:
     return d.where(~prose).withColumns({"longer": longer, "value": F.when(longer, F.trim(F.regexp_replace("value", "^[^:]*:", ""))).otherwise(F.col("value"))})
 
 
-def _beside(blocks: DataFrame) -> DataFrame:
-    """doc_id, ix, near_ix, near: what stands right of a block, else what a row below it says."""
-    boxes = blocks.select(F.struct("doc_id", "page").alias("page"), "ix", "l", "t", "r", "b", "text")
+def _beside(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, ix, near_ix, near: what stands right of a label (doc_id, ix), else what a row below it says. Only labels are looked from."""
+    boxes = blocks.where("l is not null").select(F.struct("doc_id", "page").alias("page"), "ix", "l", "t", "r", "b", "text")
     text = boxes.select("page", F.col("ix").alias("near_ix"), F.trim("text").alias("near"))
-    right = layout.right_of(boxes).withColumnRenamed("right_ix", "near_ix").join(text, ["page", "near_ix"])
-    below = layout.below(boxes).withColumnRenamed("below_ix", "near_ix").join(text, ["page", "near_ix"]).where(F.col("near").rlike(ROW_BELOW))
+    asked = table(boxes.withColumn("doc_id", F.col("page.doc_id")).join(labels.distinct(), ["doc_id", "ix"]).drop("doc_id"), "asked")
+    right = table(layout.right_of(boxes, probes=asked).withColumnRenamed("right_ix", "near_ix").join(text, ["page", "near_ix"]), "right")
+    rest = asked.join(right.select("page", "ix"), ["page", "ix"], "left_anti")
+    under = layout.below(boxes, probes=rest).withColumnRenamed("below_ix", "near_ix").join(text, ["page", "near_ix"]).where(F.col("near").rlike(ROW_BELOW))
+    under = table(under.select("page", F.col("ix").alias("label_ix"), "near_ix", "near"), "below")
+    far = layout.right_of(boxes, probes=boxes.join(under.select("page", F.col("near_ix").alias("ix")).distinct(), ["page", "ix"])).select("page", F.col("ix").alias("near_ix"), F.col("right_ix").alias("far_ix"))
+    far = far.join(text.select("page", F.col("near_ix").alias("far_ix"), F.col("near").alias("far")), ["page", "far_ix"])
     inline = F.nullif(F.trim(F.regexp_extract("near", r"^[^:]+:\s*(.+)$", 1)), F.lit(""))
-    far = right.select("page", F.col("ix").alias("near_ix"), F.col("near_ix").alias("far_ix"), F.col("near").alias("far"))
-    below = below.join(far, ["page", "near_ix"], "left").select("page", "ix", F.coalesce("far_ix", F.when(inline.isNotNull(), F.col("near_ix"))).alias("near_ix"), F.coalesce("far", inline).alias("near")).where("near is not null")
-    both = right.select("page", "ix", F.lit(0).alias("way"), "near_ix", "near").unionByName(below.withColumn("way", F.lit(1)))
-    return both.groupBy("page", "ix").agg(F.min_by(F.struct("near_ix", "near"), "way").alias("n")).select("page.doc_id", "ix", "n.*")
+    under = under.join(far, ["page", "near_ix"], "left").select("page", F.col("label_ix").alias("ix"), F.coalesce("far_ix", F.when(inline.isNotNull(), F.col("near_ix"))).alias("near_ix"), F.coalesce("far", inline).alias("near")).where("near is not null")
+    return right.select("page", "ix", "near_ix", "near").unionByName(under).select("page.doc_id", "ix", "near_ix", "near")
 
 
 def text_candidates(blocks: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
@@ -141,18 +146,21 @@ def text_candidates(blocks: DataFrame, rules: dict[str, Rule] = RULES) -> DataFr
     stops = F.transform(following, lambda x: _bare(x["text"]).endswith(":") | F.rlike(_bare(x["text"]), F.col("rx")) | _bare(x["text"]).rlike(OTHER_LABEL))
     first = F.array_position(stops, True)
     free = F.when(first == 0, following).otherwise(F.slice(following, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")))
-    one = lambda ix, raw, item: F.struct(ix.alias("ix"), raw.alias("raw"), item.alias("item"))
-    values = F.transform(free, lambda x: one(x["ix"], _bare(x["text"]), x["text"]))
+    one = lambda ix, raw, item, last: F.struct(ix.alias("ix"), raw.alias("raw"), item.alias("item"), last.alias("last"))
+    own = F.col("label.ix")  # the last block of the label itself
+    values = F.transform(free, lambda x: one(x["ix"], _bare(x["text"]), x["text"], x["ix"]))
     if "l" in blocks.columns:
-        near = _beside(blocks)
+        d = table(d.withColumn("free", values).select("doc_id", "ix", "k", "field", "merged", "value", "label", "free"), "labels")
+        bare = d.where("value = ''")
+        near = table(_beside(blocks, bare.select("doc_id", own.alias("ix")).unionByName(bare.where("merged").select("doc_id", "ix"))), "beside")
         for name, at in (("n0", F.when(F.col("merged"), F.col("d.ix"))), ("n1", F.col("label.ix"))):
             n = near.select(F.col("doc_id").alias("_doc"), F.col("ix").alias("_ix"), F.struct("near_ix", "near").alias(name))
             d = d.alias("d").join(n, (F.col("d.doc_id") == F.col("_doc")) & (at == F.col("_ix")) & (F.col("value") == ""), "left").drop("_doc", "_ix")
-        beside = F.coalesce("n0", "n1")
-        values = F.when(beside.isNotNull(), F.array(one(beside["near_ix"], beside["near"], beside["near"]))).otherwise(values)
-    values = F.when(F.col("value") != "", F.array(one(F.col("label.ix"), F.col("value"), F.col("label.text")))).otherwise(values)
+        beside = F.coalesce("n0", "n1")  # boxes are those of the page, whatever the view
+        values = F.when(beside.isNotNull(), F.array(one(beside["near_ix"], beside["near"], beside["near"], own))).otherwise(F.col("free"))
+    values = F.when(F.col("value") != "", F.array(one(own, F.col("value"), F.col("label.text"), own))).otherwise(values)
     d = d.select("doc_id", "field", F.lit(0).alias("source"), F.col("k").alias("part_k"), F.col("ix").alias("label_ix"), F.posexplode(values).alias("j", "v"))
-    return d.select("doc_id", "field", "source", "v.ix", F.array("label_ix", F.col("part_k").cast("long"), F.col("j").cast("long")).alias("k"), "v.raw", "v.item")
+    return d.select("doc_id", "field", "source", "v.ix", F.col("label_ix").alias("first"), "v.last", F.array("label_ix", F.col("part_k").cast("long"), F.col("j").cast("long")).alias("k"), "v.raw", "v.item")
 
 
 def table_candidates(rows: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
@@ -171,7 +179,7 @@ def table_candidates(rows: DataFrame, rules: dict[str, Rule] = RULES) -> DataFra
     parts = F.filter(filled, lambda r: F.coalesce(F.get(r, 0).rlike(ROW_BELOW), F.lit(False)))
     inline = F.when((F.col("value") != "") & (F.col("longer") | (F.col("sep") != "")), F.col("value"))
     raw = F.coalesce(inline, F.get(later, 0), F.try_element_at(F.get(parts, 0), F.lit(-1)), F.lit(""))
-    return d.select("doc_id", "field", F.lit(1).alias("source"), F.lit(None).cast("long").alias("ix"), F.array(F.col("table").cast("long"), F.col("row").cast("long"), F.col("col").cast("long")).alias("k"), raw.alias("raw"), F.lit("").alias("item"))
+    return d.select("doc_id", "field", F.lit(1).alias("source"), *(F.lit(None).cast("long").alias(c) for c in ("ix", "first", "last")), F.array(F.col("table").cast("long"), F.col("row").cast("long"), F.col("col").cast("long")).alias("k"), raw.alias("raw"), F.lit("").alias("item"))
 
 
 def own_candidates(blocks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -182,12 +190,12 @@ def own_candidates(blocks: DataFrame, rows: DataFrame | None = None) -> DataFram
     conventions = lambda c: F.transform(F.regexp_extract_all(c, F.lit(CONVENTION), F.lit(0)), lambda x: entry("business_day_convention", 3, x))
     found = F.concat(F.array_compact(F.array(F.when(code.isNotNull(), entry("isin", 2, code)))), conventions(t))
     d = blocks.select("doc_id", "ix", t.alias("item"), F.posexplode(found).alias("j", "f"))
-    out = d.select("doc_id", "f.field", "f.source", "ix", F.array("ix", F.col("j").cast("long")).alias("k"), "f.raw", "item")
+    out = d.select("doc_id", "f.field", "f.source", "ix", F.col("ix").alias("first"), F.col("ix").alias("last"), F.array("ix", F.col("j").cast("long")).alias("k"), "f.raw", "item")
     if rows is None:
         return out
     cells = rows.select("doc_id", "table", "row", F.posexplode("cells").alias("col", "cell")).select("doc_id", "table", "row", "col", F.posexplode(conventions(_bare(F.col("cell")))).alias("j", "f"))
     place = F.array(*(F.col(c).cast("long") for c in ("table", "row", "col", "j")))
-    return out.unionByName(cells.select("doc_id", "f.field", "f.source", F.lit(None).cast("long").alias("ix"), place.alias("k"), "f.raw", F.lit("").alias("item")))
+    return out.unionByName(cells.select("doc_id", "f.field", "f.source", *(F.lit(None).cast("long").alias(c) for c in ("ix", "first", "last")), place.alias("k"), "f.raw", F.lit("").alias("item")))
 
 
 def _plain(c: Column) -> Column:
@@ -215,7 +223,7 @@ def observed(candidates: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame
     d = d.where("class is not null or normal is not null")
     value = F.when(F.col("class") == "explicit_na", "NOT_APPLICABLE").when(F.col("normal") != L.RAW_ONLY, F.col("normal"))
     excerpt = F.substring(F.coalesce(item, F.lit("")), 1, EXCERPT)
-    return d.select("doc_id", "field", "source", "ix", "k", raw.alias("raw"), value.alias("value"), F.coalesce("class", F.when(F.col("normal") == L.RAW_ONLY, "raw_only").otherwise("anchored")).alias("class"), excerpt.alias("excerpt"))
+    return d.select("doc_id", "field", "source", "ix", "first", "last", "k", raw.alias("raw"), value.alias("value"), F.coalesce("class", F.when(F.col("normal") == L.RAW_ONLY, "raw_only").otherwise("anchored")).alias("class"), excerpt.alias("excerpt"))
 
 
 def settle(observations: DataFrame, rules: dict[str, Rule] = RULES, by: tuple[str, ...] = ("doc_id", "field")) -> DataFrame:
@@ -282,16 +290,18 @@ def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None)
     key, many = L.verbatim_key, F.coalesce(F.col("class") == "multi_aspect", F.lit(False))
     said, own = key(F.coalesce("lexeme", F.lit(""))), F.coalesce("own", F.lit(False))
     asked = F.col("status").isin("OBSERVED", "DERIVED")
-    d = fields.withColumns({"_said": said, "_lost": asked & ~many & (said != "") & ~own})
-    texts = blocks.select(F.col("doc_id").alias("_doc"), key(F.coalesce("text", F.lit(""))).alias("_text"))
+    d = table(fields.withColumns({"_said": said, "_lost": asked & ~many & (said != "") & ~own}), "fields")
+    # only what its own excerpts don't have is looked for, in the documents that it is from
+    lost = d.where("_lost").select("doc_id", "field", "_said")
+    texts = blocks.select("doc_id", F.col("text").alias("c"))
     if rows is not None:
-        texts = texts.unionByName(rows.select(F.col("doc_id").alias("_doc"), F.explode("cells").alias("c")).select("_doc", key(F.coalesce("c", F.lit(""))).alias("_text")))
-    # only what its own excerpts don't have is looked for, so the join is of few rows with their document
-    d = d.join(texts, (F.col("doc_id") == F.col("_doc")) & F.col("_lost") & F.contains("_text", "_said"), "left")
-    d = d.groupBy("doc_id", "field").agg(F.any_value(F.struct(*(c for c in d.columns if c not in ("doc_id", "field", "_text", "_doc")))).alias("r"), F.max(F.col("_text").isNotNull()).alias("_there")).select("doc_id", "field", "r.*", "_there")
+        texts = texts.unionByName(rows.select("doc_id", F.explode("cells").alias("c")))
+    there = texts.join(lost.groupBy("doc_id").agg(F.collect_list(F.struct("field", "_said")).alias("_all")), "doc_id")  # a document has a row for each field at most
+    there = there.withColumn("_text", key(F.coalesce("c", F.lit("")))).select("doc_id", F.explode(F.filter("_all", lambda x: F.contains(F.col("_text"), x["_said"]))["field"]).alias("field"))
+    d = d.join(there.distinct().withColumn("_there", F.lit(True)), ["doc_id", "field"], "left")
     kind = (
         F.when(many, F.when(own, "verified_verbatim").otherwise("VALUE_UNVERIFIED"))
-        .when(F.col("_said") == "", "no_lexeme").when(own, "verified_verbatim").when(F.col("_there"), "verified_verbatim_doclevel").otherwise("VALUE_UNVERIFIED")
+        .when(F.col("_said") == "", "no_lexeme").when(own, "verified_verbatim").when(F.coalesce("_there", F.lit(False)), "verified_verbatim_doclevel").otherwise("VALUE_UNVERIFIED")
     )
     d = d.withColumn("_kind", F.when(asked, kind))
     bad = F.coalesce(F.col("_kind") == "VALUE_UNVERIFIED", F.lit(False))
@@ -301,34 +311,49 @@ def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None)
 
 def extract_documents(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES) -> DataFrame:
     """Fields of classified documents (doc_id, role), verified, by the sections of their role; a role that isn't read gives one row with a note."""
+    docs, blocks = table(docs, "documents"), table(blocks, "blocks")
+    rows = table(rows, "rows") if rows is not None else None
     read = docs.where(F.col("role").isin(*ROLE_SECTIONS))
-    text, role = F.coalesce("text", F.lit("")), F.col("role")
-    by_role = {s: F.coalesce(*(F.when(role == r, text.rlike(own[s])) for r, own in ROLE_SECTIONS.items() if s in own), text.rlike(p)) for s, p in SECTIONS.items()}
-    own = blocks.join(read.select("doc_id", "role"), "doc_id")
-    hits = own.withColumn("section", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(s)) for s, test in by_role.items()))))).drop("role")
-    found = verify(extract_by_section(read, own.drop("role"), rows, rules, hits=hits), blocks, rows).withColumn("note", F.lit(None).cast("string"))
+    role = F.col("role")
+
+    def of_role(c: Column) -> Column:
+        by_role = {s: F.coalesce(*(F.when(role == r, c.rlike(own[s])) for r, own in ROLE_SECTIONS.items() if s in own), c.rlike(p)) for s, p in SECTIONS.items()}
+        return F.array_compact(F.array(*(F.when(test, F.lit(s)) for s, test in by_role.items())))
+
+    roles = read.select("doc_id", "role")
+    own = table(blocks.join(roles, "doc_id"), "read")
+    hits = own.select("doc_id", "ix", "page", F.explode(of_role(F.coalesce("text", F.lit("")))).alias("section"))
+    cells = rows.join(roles, "doc_id") if rows is not None else None
+    if rows is not None and "page" in rows.columns:
+        hits = hits.unionByName(cells.select("doc_id", "page", F.explode("cells").alias("c"), "role").select("doc_id", "page", F.explode(of_role(F.coalesce("c", F.lit("")))).alias("section")), allowMissingColumns=True)
+    found = extract_by_section(read, own.drop("role"), cells.drop("role") if rows is not None else None, rules, hits=hits)
+    found = verify(found, own, cells).withColumn("note", F.lit(None).cast("string"))
     other = docs.where(~F.coalesce(F.col("role").isin(*ROLE_SECTIONS), F.lit(False))).select("doc_id", F.concat(F.lit("no extractor for role "), F.coalesce("role", F.lit("UNKNOWN"))).alias("note"))
     return found.unionByName(other, allowMissingColumns=True)
 
 
 def extract_by_section(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES, sections: dict[str, str] = SECTIONS, hits: DataFrame | None = None) -> DataFrame:
-    """As extract_all, but fields of a section are read in its regions, the one with most hits first; adds failure.
+    """As extract_all, but fields of a section are read in views of its regions, the one with most hits first; adds failure.
 
-    LOCATION_MISS: the document has no region of the section; PARSING_MISS: regions, but no observation. Tables belong to
-    every region. `hits` (doc_id, ix, page, section) replace the patterns of sections. A label's value may come from a block just outside its region only by the blocks beside it.
+    A view sees a region's blocks alone: labels that go on beyond it, and values in blocks beyond it, are not there. Tables belong to
+    every region, and boxes beside a label are those of its page. LOCATION_MISS: the document has no region of the section;
+    PARSING_MISS: regions, but no observation. `hits` (doc_id, ix, page, section) replace the patterns of sections; cells make hits
+    if rows have a page.
     """
-    hits = hits if hits is not None else layout.section_hits(blocks.withColumn("block", F.coalesce("text", F.lit(""))), sections)
-    areas = layout.regions(hits).select("doc_id", "section", "page", "lo", "hi", "score")
-    obs = observed(candidates(blocks, rows, rules), rules).withColumn("section", _of_field({n: r.section for n, r in rules.items()}))
-    a = areas.select(F.col("doc_id").alias("_doc"), F.col("section").alias("_section"), "page", "lo", "hi", "score")
-    inside = F.col("ix").isNull() | ((F.col("ix") >= F.col("lo")) & (F.col("ix") < F.col("hi")))
-    scoped = obs.where("section is not null").join(a, (F.col("doc_id") == F.col("_doc")) & (F.col("section") == F.col("_section")) & inside).drop("_doc", "_section", "lo", "hi")
+    cells = rows if rows is not None and "page" in rows.columns else None
+    hits = hits if hits is not None else layout.section_hits(blocks.withColumn("block", F.coalesce("text", F.lit(""))), sections, cells)
+    areas = table(layout.regions(hits).select("doc_id", "section", F.coalesce("page", F.lit(-1)).cast("long").alias("page"), "lo", "hi", "score"), "regions")
+    everywhere = docs.select("doc_id").distinct().select("doc_id", F.lit("").alias("section"), F.lit(-1).cast("long").alias("page"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("score"))
+    section = F.coalesce(_of_field({n: r.section for n, r in rules.items()}), F.lit(""))
+    obs = observed(candidates(blocks, rows, rules), rules).withColumn("section", section)
+    free = F.col("section") == ""  # fields of no section are read from the whole document
+    obs = obs.withColumns({c: F.when(~free, F.col(c)) for c in ("first", "last")})
     by = ("doc_id", "field", "page", "score")
+    scoped = layout.inside(obs, areas.unionByName(everywhere), ["doc_id", "section"], "first", "last")
     each = settle(scoped.select(*by, "source", "ix", "k", "raw", "value", "class", "excerpt"), rules, by)
     rest = ("status", "class", "values", "lexeme", "blocks", "own")
     best = each.groupBy("doc_id", "field").agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("page"))).alias("r")).select("doc_id", "field", "r.*")
-    whole = settle(obs.where("section is null"), rules)
-    found = day_counts(best.unionByName(whole))
+    found = day_counts(best)
     seen = areas.select("doc_id", "section").distinct().withColumn("located", F.lit(True))
     d = _every_field(docs, rules).withColumn("section", _of_field({n: r.section for n, r in rules.items()})).join(seen, ["doc_id", "section"], "left").join(found, ["doc_id", "field"], "left")
     failure = F.when(F.col("status").isNull(), F.when(F.col("section").isNotNull() & F.col("located").isNull(), "LOCATION_MISS").otherwise("PARSING_MISS"))

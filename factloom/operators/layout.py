@@ -14,15 +14,37 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.select("doc_id", F.col("ix").cast("long").alias("ix"), F.floor(F.col("ix") / per_page).cast("long").alias("page"), "block")
 
 
-def section_hits(blocks: DataFrame, sections: dict[str, str]) -> DataFrame:
-    """Blocks that match a section's pattern, once for each section."""
-    tests = F.array_compact(F.array(*[F.when(F.col("block").rlike(p), F.lit(s)) for s, p in sections.items()]))
-    return blocks.withColumn("section", F.explode(tests))
+def section_hits(blocks: DataFrame, sections: dict[str, str], rows: DataFrame | None = None) -> DataFrame:
+    """Blocks that match a section's pattern, once for each section; with `rows` (doc_id, page, cells) also their cells, which have no place (ix)."""
+    tests = lambda c: F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(s)) for s, p in sections.items()]))
+    hits = blocks.withColumn("section", F.explode(tests(F.col("block"))))
+    if rows is None:
+        return hits
+    cells = rows.select("doc_id", "page", F.explode(F.flatten(F.transform("cells", tests))).alias("section"))
+    return hits.select("doc_id", "ix", "page", "section").unionByName(cells, allowMissingColumns=True)
 
 
 def regions(hits: DataFrame, before: int = 10, after: int = 40) -> DataFrame:
-    """A region for each page with hits: a range of blocks about them, scored by their number."""
-    return hits.groupBy("doc_id", "section", "page").agg(F.greatest(F.min("ix") - before, F.lit(0)).alias("lo"), (F.max("ix") + after).alias("hi"), F.count("*").alias("score"))
+    """A region for each page with hits: a range of blocks about them, scored by their number; empty where only cells are hit."""
+    lo, hi = F.greatest(F.min("ix") - before, F.lit(0)), F.coalesce(F.max("ix") + after, F.lit(0))
+    return hits.groupBy("doc_id", "section", "page").agg(lo.alias("lo"), hi.alias("hi"), F.count("*").alias("score"))
+
+
+BIN = 64  # places in a bin
+
+
+def inside(spans: DataFrame, areas: DataFrame, by: list[str], first: str, last: str) -> DataFrame:
+    """Spans of places (first to last, NULL: no place, so inside all) joined with the areas (lo, up to hi) of the same `by` that hold them whole.
+
+    Bins of places make it an equi-join: an area is there once for each of its bins, and a span is looked for in the bin of its first
+    place alone, so no pair comes twice and a long document is dealt out by its bins.
+    """
+    bins = F.array(F.lit(-1).cast("long"))
+    held = F.when(F.col("hi") > F.col("lo"), F.sequence(F.floor(F.col("lo") / BIN), F.floor((F.col("hi") - 1) / BIN)))
+    a = areas.withColumn("_bin", F.explode(F.concat(bins, F.coalesce(held, F.array().cast("array<bigint>")))))
+    s = spans.withColumn("_bin", F.coalesce(F.floor(F.col(first) / BIN), F.lit(-1)))
+    fits = F.col(first).isNull() | ((F.col(first) >= F.col("lo")) & (F.col(last) < F.col("hi")))
+    return s.join(a, [*by, "_bin"]).where(fits).drop("_bin")
 
 
 def best_regions(found: DataFrame) -> DataFrame:
@@ -62,21 +84,35 @@ def row_values(cells: DataFrame, anchor: str, repeated: int = 3) -> DataFrame:
     return d.where(F.col("text").rlike(anchor) & (F.col("times") < repeated)).select("table", "row", "col", "value")
 
 
-def right_of(boxes: DataFrame, most_dy: float = 6.0) -> DataFrame:
-    """The nearest box to the right of each on its page, at about the same height. boxes: page, ix, l, t, r, b, text."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    mid = lambda x: (F.col(x + ".t") + F.col(x + ".b")) / 2
-    dx = F.col("b.l") - F.col("a.r")
-    pairs = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.ix") != F.col("b.ix")) & (F.abs(mid("a") - mid("b")) <= most_dy) & (F.col("b.l") >= F.col("a.r") - 2) & (F.trim(F.col("b.text")) != ""))
-    return pairs.groupBy(F.col("a.page").alias("page"), F.col("a.ix").alias("ix")).agg(F.min_by("b.ix", F.struct(dx, F.col("b.ix"))).alias("right_ix"))
+def _band(x: Column, size: float) -> Column:
+    return F.floor(x / size).cast("long")
 
 
-def below(boxes: DataFrame, most_dy: float = 30.0, most_dx: float = 120.0) -> DataFrame:
-    """The nearest box below each on its page, about as far left; tops grow upwards."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    dy = F.col("a.t") - F.col("b.t")
-    pairs = a.join(b, (F.col("a.page") == F.col("b.page")) & (dy > 0) & (dy <= most_dy) & (F.abs(F.col("a.l") - F.col("b.l")) < most_dx))
-    return pairs.groupBy(F.col("a.page").alias("page"), F.col("a.ix").alias("ix")).agg(F.min_by("b.ix", F.struct(dy, F.col("b.ix"))).alias("below_ix"))
+def right_of(boxes: DataFrame, most_dy: float = 6.0, probes: DataFrame | None = None) -> DataFrame:
+    """The nearest box to the right of each on its page, at about the same height. boxes, probes (all boxes by default): page, ix, l, t, r, b, text.
+
+    Heights are bands of `most_dy`: a probe looks into its own and the two about it, so it meets the boxes of its line alone.
+    """
+    size = most_dy * 1.001  # a little more, so that rounding can't put what is near two bands away
+    mid = lambda x: (F.col(x + "t") + F.col(x + "b")) / 2
+    a = (boxes if probes is None else probes).select("page", "ix", F.col("r").alias("a_r"), mid("").alias("a_mid")).withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: _band(F.col("a_mid"), size) + k)))
+    b = boxes.where(F.trim("text") != "").select("page", F.col("ix").alias("b_ix"), F.col("l").alias("b_l"), mid("").alias("b_mid")).withColumn("band", _band(F.col("b_mid"), size))
+    pairs = a.join(b, ["page", "band"]).where((F.col("ix") != F.col("b_ix")) & (F.abs(F.col("a_mid") - F.col("b_mid")) <= most_dy) & (F.col("b_l") >= F.col("a_r") - 2))
+    return pairs.groupBy("page", "ix").agg(F.min_by("b_ix", F.struct(F.col("b_l") - F.col("a_r"), F.col("b_ix"))).alias("right_ix"))
+
+
+def below(boxes: DataFrame, most_dy: float = 30.0, most_dx: float = 120.0, probes: DataFrame | None = None) -> DataFrame:
+    """The nearest box below each on its page, about as far left; tops grow upwards.
+
+    Cells of `most_dy` by `most_dx`: a probe looks into its own, the one below, and those left and right of both.
+    """
+    dy, dx = most_dy * 1.001, most_dx * 1.001
+    a = (boxes if probes is None else probes).select("page", "ix", F.col("t").alias("a_t"), F.col("l").alias("a_l"))
+    a = a.withColumn("y", F.explode(F.array(_band(F.col("a_t"), dy), _band(F.col("a_t"), dy) - 1))).withColumn("x", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: _band(F.col("a_l"), dx) + k)))
+    b = boxes.select("page", F.col("ix").alias("b_ix"), F.col("t").alias("b_t"), F.col("l").alias("b_l")).withColumns({"y": _band(F.col("b_t"), dy), "x": _band(F.col("b_l"), dx)})
+    gap = F.col("a_t") - F.col("b_t")
+    pairs = a.join(b, ["page", "y", "x"]).where((gap > 0) & (gap <= most_dy) & (F.abs(F.col("a_l") - F.col("b_l")) < most_dx))
+    return pairs.groupBy("page", "ix").agg(F.min_by("b_ix", F.struct(gap, F.col("b_ix"))).alias("below_ix"))
 
 
 def verbatim(text: Column, lexeme: Column, excerpt: Column, key) -> Column:
