@@ -33,7 +33,7 @@ BOX = "struct<l: double, t: double, r: double, b: double>"
 PROV = f"array<struct<page_no: int, bbox: {BOX}>>"
 PAGE = "struct<page_no: int, size: struct<width: double, height: double>>"
 PARSED = (
-    f"struct<pages: map<string, {PAGE}>, texts: array<struct<self_ref: string, label: string, text: string, level: int, parent: struct<`$ref`: string>, prov: {PROV}>>, "
+    f"struct<pages: variant, texts: array<struct<self_ref: string, label: string, text: string, level: int, parent: struct<`$ref`: string>, prov: {PROV}>>, "
     f"tables: array<struct<self_ref: string, prov: {PROV}, data: struct<table_cells: array<struct<text: string, bbox: {BOX}, start_row_offset_idx: int, start_col_offset_idx: int>>>>>, "
     f"key_value_items: array<struct<key: struct<text: string, prov: {PROV}>, value: struct<text: string, prov: {PROV}>>>>"
 )
@@ -52,42 +52,47 @@ def evidence(prov: Column, text: Column, source: Column, key: Column, sha: Colum
     return F.when(p.isNotNull(), F.struct(source.alias("source"), key.alias("source_record_key"), sha.alias("snapshot_sha256"), p["page"].alias("page"), box.alias("bbox"), F.when(p["start"].isNotNull(), F.array(p["start"], p["end"])).alias("charspan"), F.substring(F.coalesce(text, F.lit("")), 1, EXCERPT).alias("text_excerpt"), F.lit(extractor).alias("extractor")))
 
 
-def parsed_pages(json: Column) -> Column:
-    """Numbers of a document's pages in order, which come as an object by number or as a list."""
-    named = F.transform(F.map_entries(F.from_json(json, PARSED)["pages"]), lambda e: F.coalesce(e["value"]["page_no"], e["key"].cast("int")))
-    listed = F.transform(F.from_json(json, f"struct<pages: array<{PAGE}>>")["pages"], lambda p, i: F.coalesce(p["page_no"], i + 1))
-    return F.coalesce(F.when(F.get_json_object(json, "$.pages[0]").isNotNull(), listed), named)
+def parsed_pages(pages: Column) -> Column:
+    """Numbers of a document's pages in order, which come as an object by number or as a list (a variant)."""
+    named = F.transform(F.map_entries(F.try_variant_get(pages, "$", f"map<string, {PAGE}>")), lambda e: F.coalesce(e["value"]["page_no"], e["key"].cast("int")))
+    listed = F.transform(F.try_variant_get(pages, "$", f"array<{PAGE}>"), lambda p, i: F.coalesce(p["page_no"], i + 1))
+    return F.coalesce(F.when(F.size(listed) > 0, listed), named)
 
 
 def from_parsed(docs: DataFrame, json_col: str = "json") -> DataFrame:
     """Blocks of documents of a parser's JSON: (doc_id, page, block_id, block_type, text, l, t, r, b, parent, table_id, row, col, level, seq).
 
     Texts, then tables with their cells, then keys and values, each on the page of its first provenance, or on the document's first page if
-    that is none of its pages; `seq` is the order in which they are put there.
+    that is none of its pages; `seq` is the order in which they are put there. A document is parsed once: all its blocks come out of
+    one array.
     """
-    d = docs.select("doc_id", F.from_json(json_col, PARSED).alias("d"), parsed_pages(F.col(json_col)).alias("known")).select("doc_id", "known", "d.texts", "d.tables", "d.key_value_items")
+    parsed = docs.select("doc_id", F.explode(F.array(F.from_json(json_col, PARSED))).alias("d"))  # a generator, so the parse isn't repeated for each use
+    d = parsed.select("doc_id", "d.*").withColumn("known", parsed_pages(F.col("pages")))
     none = lambda kind: F.lit(None).cast(kind)
-    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in BLOCK_TYPES.items() for x in kv)), F.col("x.label")), F.lit("OTHER"))
+    kind = lambda label: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in BLOCK_TYPES.items() for x in kv)), label), F.lit("OTHER"))
     ref = lambda c: F.regexp_replace(c, r"^[#/]+", "")
-    page = lambda prov: F.when(F.array_contains("known", F.get(prov, 0)["page_no"]), F.get(prov, 0)["page_no"]).otherwise(F.get("known", 0)).alias("page")
-    box = lambda b: [b[c].alias(c) for c in "ltrb"]
-    place = lambda stage, i, k: F.struct(F.lit(stage).alias("stage"), F.col(i).alias("i"), k.alias("k")).alias("seq")
-    texts = d.select("doc_id", "known", F.posexplode("texts").alias("i", "x")).select(
-        "doc_id", page(F.col("x.prov")), ref(F.col("x.self_ref")).alias("block_id"), kind.alias("block_type"), F.coalesce("x.text", F.lit("")).alias("text"), *box(F.get("x.prov", 0)["bbox"]), ref(F.col("x.parent")["$ref"]).alias("parent"), none("string").alias("table_id"), none("int").alias("row"), none("int").alias("col"), F.col("x.level").alias("level"), place(0, "i", F.lit(-1)),
-    )
-    tables = d.select("doc_id", "known", F.posexplode("tables").alias("i", "x")).select("doc_id", page(F.col("x.prov")), "i", "x")
-    heads = tables.select(
-        "doc_id", "page", ref(F.col("x.self_ref")).alias("block_id"), F.lit("OTHER").alias("block_type"), F.lit("").alias("text"), *box(F.get("x.prov", 0)["bbox"]), none("string").alias("parent"), none("string").alias("table_id"), none("int").alias("row"), none("int").alias("col"), none("int").alias("level"), place(1, "i", F.lit(-1)),
-    )
-    cells = tables.select("doc_id", "page", F.concat(F.lit("tables/"), "i").alias("table_id"), "i", F.posexplode("x.data.table_cells").alias("k", "c")).select(
-        "doc_id", "page", F.concat("table_id", F.lit("/cell/"), "k").alias("block_id"), F.lit("TABLE_CELL").alias("block_type"), F.coalesce("c.text", F.lit("")).alias("text"), *box(F.col("c.bbox")), F.col("table_id").alias("parent"), "table_id", F.col("c.start_row_offset_idx").alias("row"), F.col("c.start_col_offset_idx").alias("col"), none("int").alias("level"), place(1, "i", F.col("k")),
-    )
-    end = lambda name, x: F.struct(F.lit(name).alias("end"), x["text"].alias("text"), x["prov"].alias("prov"))
-    pairs = d.select("doc_id", "known", F.posexplode("key_value_items").alias("i", "x")).select("doc_id", "known", F.concat(F.lit("key_value_items/"), "i").alias("table_id"), "i", F.posexplode(F.array(end("/key", F.col("x.key")), end("/val", F.col("x.value")))).alias("k", "e"))
-    pairs = pairs.select(
-        "doc_id", page(F.col("e.prov")), F.concat("table_id", "e.end").alias("block_id"), F.lit("OTHER").alias("block_type"), F.coalesce("e.text", F.lit("")).alias("text"), *box(F.get("e.prov", 0)["bbox"]), none("string").alias("parent"), "table_id", none("int").alias("row"), none("int").alias("col"), none("int").alias("level"), place(2, "i", F.col("k")),
-    )
-    return texts.unionByName(heads).unionByName(cells).unionByName(pairs).where("page is not null")
+    page = lambda prov: F.when(F.array_contains("known", F.get(prov, 0)["page_no"]), F.get(prov, 0)["page_no"]).otherwise(F.get("known", 0))
+
+    def block(stage: int, i: Column, k: Column | None, on: Column, id_: Column, type_: Column, text: Column, box: Column, parent: Column | None = None, table: Column | None = None, row: Column | None = None, col: Column | None = None, level: Column | None = None) -> Column:
+        or_none = lambda c, t: none(t) if c is None else c.cast(t)
+        seq = F.struct(F.lit(stage).alias("stage"), i.cast("int").alias("i"), (F.lit(-1) if k is None else k).cast("int").alias("k"))
+        return F.struct(on.alias("page"), id_.alias("block_id"), type_.alias("block_type"), F.coalesce(text, F.lit("")).alias("text"), *(box[c].alias(c) for c in "ltrb"), or_none(parent, "string").alias("parent"), or_none(table, "string").alias("table_id"), or_none(row, "int").alias("row"), or_none(col, "int").alias("col"), or_none(level, "int").alias("level"), seq.alias("seq"))
+
+    other, empty = F.lit("OTHER"), lambda c: F.coalesce(c, F.array())
+    texts = F.transform("texts", lambda x, i: block(0, i, None, page(x["prov"]), ref(x["self_ref"]), kind(x["label"]), x["text"], F.get(x["prov"], 0)["bbox"], parent=ref(x["parent"]["$ref"]), level=x["level"]))
+
+    def of_table(x: Column, i: Column) -> Column:
+        name = F.concat(F.lit("tables/"), i.cast("string"))
+        head = block(1, i, None, page(x["prov"]), ref(x["self_ref"]), other, F.lit(""), F.get(x["prov"], 0)["bbox"])
+        cell = lambda c, k: block(1, i, k, page(x["prov"]), F.concat(name, F.lit("/cell/"), k.cast("string")), F.lit("TABLE_CELL"), c["text"], c["bbox"], parent=name, table=name, row=c["start_row_offset_idx"], col=c["start_col_offset_idx"])
+        return F.concat(F.array(head), empty(F.transform(x["data"]["table_cells"], cell)))
+
+    def of_pair(x: Column, i: Column) -> Column:
+        name = F.concat(F.lit("key_value_items/"), i.cast("string"))
+        return F.array(*(block(2, i, F.lit(k), page(x[part]["prov"]), F.concat(name, F.lit(end)), other, x[part]["text"], F.get(x[part]["prov"], 0)["bbox"], table=name) for k, (part, end) in enumerate((("key", "/key"), ("value", "/val")))))
+
+    lists = (texts, F.flatten(F.transform("tables", of_table)), F.flatten(F.transform("key_value_items", of_pair)))
+    return d.select("doc_id", F.inline(F.concat(*map(empty, lists)))).where("page is not null")
 
 
 def relations(blocks: DataFrame, order: str = "seq") -> DataFrame:
@@ -97,23 +102,24 @@ def relations(blocks: DataFrame, order: str = "seq") -> DataFrame:
     table, so as many as tables are wide or high; UNDER_HEADING: the heading before a block, whatever its level.
     """
     w = Window.partitionBy("doc_id").orderBy("page", order)
-    out = lambda d, kind, a, b, origin: d.select("doc_id", F.lit(kind).alias("type"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(origin).alias("origin"))
+    cell = F.when((F.col("block_type") == "TABLE_CELL") & F.col("table_id").isNotNull(), F.col("block_id"))
     heading = F.last(F.when(F.col("block_type") == "HEADING", F.col("block_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    read = blocks.withColumns({"before": F.lag("block_id").over(w), "heading": heading})
-    cells = blocks.where("block_type = 'TABLE_CELL' and table_id is not null").select("doc_id", "table_id", "row", "col", "block_id")
-
-    def same(kind: str, by: str) -> DataFrame:
-        a, b = (cells.select("doc_id", "table_id", by, F.col("block_id").alias(x)) for x in "ab")
-        return out(a.join(b, ["doc_id", "table_id", by]).where("a <> b"), kind, "a", "b", "table")
-
-    found = [
-        out(read.where("before is not null"), "NEXT_TO", "before", "block_id", "geometry"), out(blocks.where("parent <> ''"), "CONTAINS", "parent", "block_id", "backend"),
-        same("SAME_ROW", "row"), same("SAME_COLUMN", "col"), out(read.where("block_type <> 'HEADING' and heading is not null"), "UNDER_HEADING", "heading", "block_id", "reading_order"),
-    ]
-    d = found[0]
-    for x in found[1:]:
-        d = d.unionByName(x)
-    return d
+    mates = lambda by: F.when(cell.isNotNull() & F.col(by).isNotNull(), F.collect_list(cell).over(Window.partitionBy("doc_id", "table_id", by)))
+    d = blocks.withColumns({"_before": F.lag("block_id").over(w), "_heading": heading, "_row": mates("row"), "_col": mates("col")})  # all by document: one shuffle
+    own = F.col("block_id")
+    one = lambda ok, kind, a, b, origin: F.when(ok, F.struct(F.lit(kind).alias("type"), a.alias("a"), b.alias("b"), F.lit(origin).alias("origin")))
+    same = lambda kind, others: F.transform(F.filter(others, lambda x: x != own), lambda x: F.struct(F.lit(kind).alias("type"), own.alias("a"), x.alias("b"), F.lit("table").alias("origin")))
+    single = F.array_compact(F.array(
+        one(F.col("_before").isNotNull(), "NEXT_TO", F.col("_before"), own, "geometry"), one(F.col("parent") != "", "CONTAINS", F.col("parent"), own, "backend"),
+        one((F.col("block_type") != "HEADING") & F.col("_heading").isNotNull(), "UNDER_HEADING", F.col("_heading"), own, "reading_order"),
+    ))
+    empty = lambda c: F.coalesce(c, F.array())
+    return d.select("doc_id", F.inline(F.concat(single, empty(same("SAME_ROW", F.col("_row"))), empty(same("SAME_COLUMN", F.col("_col"))))))
+
+
+def tables_with(rows: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, table) of tables with a cell that the pattern hits. rows: doc_id, table, row, cells."""
+    return rows.where(F.exists("cells", lambda c: F.coalesce(c.rlike(pattern), F.lit(False)))).select("doc_id", "table").distinct()
 
 
 def find(blocks: DataFrame, pattern: str, most: int = 20) -> DataFrame:
