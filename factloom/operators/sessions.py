@@ -12,7 +12,7 @@ from factloom.operators.sampling import hash_order
 def alternating(cases: DataFrame, session: str, key: str, n: int, seed: int) -> DataFrame:
     """Of each session the first n cases in hash order, in turn assisted and manual: session, key, place, mode, status."""
     w = Window.partitionBy(session).orderBy(hash_order(key, seed), key)
-    d = cases.select(session, key).withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < n)
+    d = cases.select(session, key).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("place", F.col("place") - 1)  # cut to n before the shuffle
     return d.withColumns({"mode": F.when(F.col("place") % 2 == 0, "ASSISTED").otherwise("MANUAL"), "status": F.lit("PENDING")})
 
 
@@ -92,26 +92,6 @@ def with_parsed(manifest: DataFrame, parsed: DataFrame, results: DataFrame, key:
     return d.withColumns({"parsed": F.col("_parsed").isNotNull(), "note": note}).drop("_parsed")
 
 
-def family_edges(records: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Edges of the graphs of families: records (id, family, role, ordinal), predictions (source, decision, relation, rule_id, cand_type, cand_number).
-
-    A prediction's target is, of the other records of its source's family whose id holds the number and whose role is that of the candidate's
-    type, the last; a candidate `family` without one is the family's first base prospectus. No link, no edge.
-    """
-    src = records.select(F.col("id").alias("source"), "family")
-    p = predictions.where("decision <> 'NO_LINK'").join(src, "source")
-    node = records.select("family", F.col("id").alias("node"), "role", "ordinal")
-    role = F.when(F.col("cand_type").startswith("base"), "BASE_PROSPECTUS").when(F.col("cand_type").startswith("final"), "FINAL_TERMS")
-    hits = p.where("cand_number <> ''").withColumn("role", role).join(node, ["family", "role"]).where("contains(node, cand_number) and node <> source")
-    last = hits.groupBy("source", "rule_id", "cand_type", "cand_number").agg(F.max_by("node", "ordinal").alias("_last"))
-    base = node.where("role = 'BASE_PROSPECTUS'").groupBy("family").agg(F.min_by("node", "ordinal").alias("_base"))
-    key = [F.col(c).eqNullSafe(F.col("_" + c)) for c in ("source", "rule_id", "cand_type", "cand_number")]
-    last = last.select(*(F.col(c).alias("_" + c) for c in ("source", "rule_id", "cand_type", "cand_number")), "_last")
-    d = p.join(last, key[0] & key[1] & key[2] & key[3], "left").join(base, "family", "left")
-    target = F.coalesce("_last", F.when(F.col("cand_type") == "family", F.col("_base")))
-    return d.where(target.isNotNull()).select("family", "source", target.alias("target"), F.coalesce(F.nullif("relation", F.lit("")), F.lit("RELATES_TO")).alias("relation"), F.col("decision").alias("state"), "rule_id")
-
-
 def first_partner(rows: DataFrame, isin: str, key: str) -> DataFrame:
     """Of each ISIN with several rows, the first row and the first other one, in order of the key."""
     d = rows.where(F.col(isin) != "").groupBy(isin).agg(F.min(key).alias("first"), F.count_distinct(key).alias("n")).where("n > 1").drop("n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import extract, link
+from factloom.operators import extract, graphs, link
 from factloom.operators import sessions as S
 from factloom.plans.registry import Tables, query
 
@@ -111,7 +111,7 @@ def family_edges(t: Tables) -> DataFrame:
     id_ = F.concat(F.lit("FOL_"), k)
     nodes = t.orders.select(id_.alias("id"), F.col("o_custkey").alias("family"), pick(("BASE_PROSPECTUS", "FINAL_TERMS", "SUPPLEMENT"), k % 3).alias("role"), k.alias("ordinal"))
     p = t.orders.select(id_.alias("source"), pick(("AUTO_LINKED", "NO_LINK", "REVIEW_REQUIRED"), k % 5 % 3).alias("decision"), F.when(k % 2 == 0, "SUPPLEMENTS").otherwise("").alias("relation"), F.concat(F.lit("R"), k % 4).alias("rule_id"), pick(("base_prospectus", "final_terms", "family"), k % 7 % 3).alias("cand_type"), F.when(k % 7 % 3 < 2, (F.col("o_custkey") % 10).cast("string")).alias("cand_number"))
-    return S.family_edges(nodes, p)
+    return graphs.family_edges(nodes, p)
 
 
 @query("SELECT isin, min(p_partkey) AS first, list_sort(list(p_partkey))[2] AS partner FROM (SELECT *, p_brand || p_size AS isin FROM part WHERE p_size > 3) GROUP BY 1 HAVING count(*) > 1")
