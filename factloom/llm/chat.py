@@ -5,10 +5,11 @@ the other speakers as users with their names, and system turns as they are. The
 and end mark of that speaker's turns.
 
 Turns stand in the order of turn number, then of a short digest of role and text, then of role and text. A dialogue is
-rendered in parts of TURNS turn numbers, and a part with more than ROWS rows in pieces of ROWS rows, so that no conversation
-meets in one task, also if turn numbers recur or are null. A row's place in its part is a sum of counts of the turn numbers
-and digests before it, of which a part has a bounded number. A piece's mask counts code points from its start; `at` is where the piece
-starts in the whole dialogue, which is the pieces joined in order.
+rendered in parts of TURNS turn numbers, and a part with more than ROWS rows in pieces of ROWS rows. Rows with texts are shuffled twice: to
+the rows of their turn number and digest, and to their piece; they are never shuffled by conversation alone, so a long one is dealt out by
+its pieces. A row's place in its part is a sum of counts of the turn numbers and digests before it, of which a part has a bounded
+number. A piece's mask counts code points from its start; `at` is where the piece starts in the whole dialogue, which is
+the pieces joined in order: it comes from sums of lengths, one small row for each piece, role and speaker.
 
 Null texts count as empty. A null role is a speaker named `unknown` who is never the assistant, whether another speaker has
 that name or not. Null conversation ids form one conversation; null turns come first, in part -1. Repeated rows are rendered
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.store import table
+
 TURNS, ROWS = 64, 256
 DIGESTS = 2  # hex digits of the digest that splits rows of one turn number
 START, END = "<|im_start|>", "<|im_end|>"
@@ -50,17 +53,31 @@ def _placed(t: DataFrame, per_piece: int) -> DataFrame:
     return t.withColumn("own", own).join(before, group).withColumn("piece", F.floor((F.col("before") + F.col("own") - 1) / per_piece).cast("long")).drop("own", "before", "turn_key")
 
 
+def _starts(placed: DataFrame) -> DataFrame:
+    """conv, part, piece, speaker, at: where each piece starts for each speaker, from lengths alone."""
+    piece = ["conv", "part", "piece"]
+    n = placed.groupBy(*piece, "role", "nameless").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    line = lambda mine: F.length(_head(F.col("role"), F.lit(mine))) + len(END) + 1
+    n = table(n.withColumns({"other": F.col("size") + F.col("n") * line(False), "mine": F.col("size") + F.col("n") * line(True)}), "lengths")
+    named = n.where("role <> 'system' and not nameless")
+    speakers = named.select("conv", F.col("role").alias("speaker")).distinct()
+    each = n.groupBy(*piece).agg(F.sum("other").alias("length")).join(speakers, "conv")
+    own = named.select(*piece, F.col("role").alias("speaker"), (F.col("mine") - F.col("other")).alias("more"))
+    d = each.join(own, [*piece, "speaker"], "left").withColumn("length", F.col("length") + F.coalesce("more", F.lit(0)))
+    return d.select(*piece, "speaker", (F.sum("length").over(Window.partitionBy("conv", "speaker").orderBy("part", "piece")) - F.col("length")).alias("at"))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_part: int = TURNS, per_piece: int = ROWS) -> DataFrame:
     """conv_id, speaker, part, piece, at, n_turns, text, mask (`start:length` of each stretch, joined by commas), n_trained."""
     role = F.translate(_safe(F.col(role_col)), "\r\n", "  ")
     t = turns.select(_named(F.col(conv_col)).alias("conv"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.when(F.col(role_col).isNull(), "unknown").otherwise(role).alias("role"), _safe(F.col(text_col)).alias("said"), F.col(role_col).isNull().alias("nameless"))
     t = t.withColumns({"part": F.coalesce(F.floor(F.col("turn") / per_part), F.lit(-1)).cast("long"), "turn_key": _named(F.col("turn")), "digest": F.left(F.md5(F.concat_ws("\n", "role", "said").cast("binary")), F.lit(DIGESTS))})
-    speakers = t.where("role <> 'system' and not nameless").select("conv", F.col("role").alias("speaker")).distinct()
-    both = _placed(t, per_piece).join(speakers, "conv")  # each turn once for each speaker of its conversation
+    placed = table(_placed(t, per_piece).withColumn("size", F.length("said").cast("long")), "placed")
+    both = placed.join(table(_starts(placed), "starts"), ["conv", "part", "piece"])  # each turn once for each speaker, where its piece is
     both = both.withColumn("mine", (F.col("role") == F.col("speaker")) & ~F.col("nameless")).withColumn("head", _head(F.col("role"), F.col("mine")))
     line = F.struct("turn", "digest", "role", "nameless", "said", "head", "mine")
     key = ["conv", "speaker", "part", "piece"]
-    parts = both.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("conv_id").alias("conv_id"))
+    parts = both.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("conv_id").alias("conv_id"), F.first("at").alias("at"))
     whole = lambda x: F.concat(x["head"], x["said"], F.lit(END + "\n"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
 
@@ -70,11 +87,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         return F.struct((acc["at"] + head + own + 1).alias("at"), F.when(x["mine"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), (acc["n"] + F.when(x["mine"], own).otherwise(0)).alias("n"))
 
     done = parts.withColumn("m", F.aggregate("lines", start, step))
-    done = done.select(*key, "conv_id", F.size("lines").cast("long").alias("n_turns"), F.array_join(F.transform("lines", whole), "").alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").alias("n_trained"))
-    # where each piece starts, from the lengths alone: one small row a piece
-    length = both.groupBy(*key).agg(F.sum(F.length("head") + F.length("said") + len(END) + 1).alias("length"))
-    at = length.select(*key, (F.sum("length").over(Window.partitionBy("conv", "speaker").orderBy("part", "piece")) - F.col("length")).alias("at"))
-    return done.join(at, key).select("conv_id", *key[1:], "at", "n_turns", "text", "mask", "n_trained")
+    return done.select("conv_id", *key[1:], "at", F.size("lines").cast("long").alias("n_turns"), F.array_join(F.transform("lines", whole), "").alias("text"), F.array_join("m.spans", ",").alias("mask"), F.col("m.n").alias("n_trained"))
 
 
 SQL = f"""

@@ -82,11 +82,30 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(x, pa.int64()) for x in (n_cp, n_bytes, h1, h2)), pa.array(sha, pa.string())], names=["doc_id", "text_key", "n_cp", "n_bytes", "h1", "h2", "text_sha256"])
 
 
+def _cut(huge: int):
+    """Chunks of texts, in one pass over each; a cut may part the bytes of a character, as only single bytes are deleted."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                raw = memoryview(batch.column("text")[r].as_buffer())
+                sha, n_cp = hashlib.sha256(), 0
+                for at in range(0, len(raw), huge):
+                    part = raw[at : at + huge]
+                    sha.update(_strip(bytes(part)))
+                    n_cp += int(((np.frombuffer(part, np.uint8) & 0xC0) != 0x80).sum())
+                row = [*(batch.column(i).slice(r, 1) for i in (0, 1)), pa.array([n_cp]), pa.array([sha.hexdigest()], pa.string())]
+                for k, at in enumerate(range(0, len(raw), huge)):
+                    yield pa.RecordBatch.from_arrays([*row, pa.array([k], pa.int32()), pa.array([bytes(raw[at : at + huge])], pa.binary())], names=["doc_id", "text_key", "n_cp", "text_sha256", "k", "part"])
+
+    return work
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for raw in batch.column("part").to_pylist():
-            text = _strip(raw.encode())
+        for raw in batch.column("part"):
+            text = _strip(raw.as_py())
             rows.append((len(text), *fingerprint(np.frombuffer(text, np.uint8))))
         cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *cols], names=[*batch.schema.names[:-1], "n", "h1", "h2", "s1", "s2"])
@@ -103,8 +122,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = docs.where(F.length("text") <= huge).mapInArrow(_whole, f"{schema}, n_cp long, n_bytes long, h1 long, h2 long, text_sha256 string")
     # chunks of huge texts go to other tasks; rows with the same id and text give the same chunks, once each and counted
     row = ["doc_id", "text_key", "n_cp", "text_sha256"]
-    big = docs.where(F.length("text") > huge).select("doc_id", "text_key", F.length("text").cast("long").alias("n_cp"), F.sha2(F.translate("text", SPACES, ""), 256).alias("text_sha256"), F.expr(f"transform(sequence(0, cast((length(text) - 1) div {huge} as int)), i -> substring(text, i * {huge} + 1, {huge}))").alias("all"))
-    parts = big.select(*row, F.posexplode("all").alias("k", "part")).repartition(F.col("text_key"), F.col("k"))
+    parts = docs.where(F.length("text") > huge).mapInArrow(_cut(huge), f"{schema}, n_cp long, text_sha256 string, k int, part binary").repartition(F.col("text_key"), F.col("k"))
     hashed = parts.mapInArrow(_chunks, f"{schema}, n_cp long, text_sha256 string, k int, n long, h1 long, h2 long, s1 long, s2 long")
     joined = hashed.groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("k", "n", "h1", "h2", "s1", "s2"))).alias("parts"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).cast("int").alias("times"))
     joined = joined.withColumn("_", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "text_key", "n_cp", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_bytes"), _combined("h1", "s1", P1).alias("h1"), _combined("h2", "s2", P2).alias("h2"), "text_sha256")

@@ -151,18 +151,17 @@ def _negatives(n: int, positives: int):
     return work
 
 
-def _product_of(a: DataFrame, b: DataFrame, reduce, schema: str, same_label: bool) -> DataFrame:
-    """Shards to tiles, partial tiles added and reduced. a, b: shards; blocks are paired all, or within a label."""
-    b_blocks, a_blocks = (x.where("k = 0").groupBy("label" if same_label else F.lit(0).cast("long").alias("label")).agg(F.collect_list("block").alias("blocks")) for x in (b, a))
-    on = F.col("label") if same_label else F.lit(0).cast("long")
-    left = a.withColumn("_label", on).join(b_blocks.withColumnRenamed("label", "_label"), "_label").select("k", F.col("block").alias("i"), F.explode("blocks").alias("j"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("facts").alias("facts_a"), "bounds")
-    right = b.withColumn("_label", on).join(a_blocks.withColumnRenamed("label", "_label"), "_label").select("k", F.col("block").alias("j"), F.explode("blocks").alias("i"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("facts").alias("facts_b"))
+def _product_of(a: DataFrame, b: DataFrame, reduce, schema: str) -> DataFrame:
+    """Shards to tiles, partial tiles added and reduced. a, b: shards; an anchors' block meets the rows' blocks of its label."""
+    a_blocks, b_blocks = (x.where("k = 0").groupBy("label").agg(F.collect_list("block").alias("blocks")) for x in (a, b))
+    left = a.join(b_blocks, "label").select("k", F.col("block").alias("i"), F.explode("blocks").alias("j"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("facts").alias("facts_a"), "bounds")
+    right = b.join(a_blocks, "label").select("k", F.col("block").alias("j"), F.explode("blocks").alias("i"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("facts").alias("facts_b"))
     tiles = left.join(right.hint("shuffle_hash"), ["i", "j", "k"]).select("i", "j", "k", "n_a", "n_b", "part_a", "part_b", "facts_a", "facts_b", "bounds").mapInArrow(_tiles, TILE)
     return tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(reduce, schema)
 
 
 def _blocked(rows: DataFrame, size: int, chunk: int, by_label: bool) -> DataFrame:
-    """Shards of blocks of about `size` rows, written once. Blocks are of one label, or of any rows."""
+    """Shards of blocks of about `size` rows, written once. Blocks are of one label each, or of any rows and then all of label 0."""
     own = F.xxhash64("uid")
     if by_label:
         counts = table(rows.groupBy("label").agg(F.count("*").alias("_n")), "labels")
@@ -170,7 +169,7 @@ def _blocked(rows: DataFrame, size: int, chunk: int, by_label: bool) -> DataFram
     else:
         d = rows.withColumn("block", F.pmod(own, F.lit(max(1, math.ceil(rows.count() / size)))))
     members = F.collect_list(F.struct(*[c for c in d.columns if c != "block"])).alias("members")
-    return table(d.groupBy("block").agg((F.first("label") if by_label else F.lit(None)).cast("long").alias("label"), members).mapInArrow(_shards(chunk), SHARD), "shards")
+    return table(d.groupBy("block").agg((F.first("label") if by_label else F.lit(0)).cast("long").alias("label"), members).mapInArrow(_shards(chunk), SHARD), "shards")
 
 
 def mine(rows: DataFrame, scale: int = SCALE, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding", anchors: int = ANCHORS, block: int = ROWS, chunk: int = CHUNK) -> DataFrame:
@@ -184,7 +183,7 @@ def mine(rows: DataFrame, scale: int = SCALE, every: int = EVERY, positives: int
     src = table(src.withColumn("uid", F.monotonically_increasing_id()), "rows")  # written: the numbers stay as they are
     asked = src.where(F.col("id") % every == 0)
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "id", "other")
-    found = _product_of(_blocked(asked, anchors, chunk, True), _blocked(src, block, chunk, True), _positives(positives), "uid long, anchor_id long, id long, other long, score long", True)
+    found = _product_of(_blocked(asked, anchors, chunk, True), _blocked(src, block, chunk, True), _positives(positives), "uid long, anchor_id long, id long, other long, score long")
     found = found.withColumn("p", F.row_number().over(best)).where(F.col("p") <= positives).withColumn("p", F.col("p") - 1)
     found = table(found.select("uid", "anchor_id", "p", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     # 100 * score >= low * positive and <= high * positive, as bounds in whole numbers
@@ -194,7 +193,7 @@ def mine(rows: DataFrame, scale: int = SCALE, every: int = EVERY, positives: int
     by = found.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("p", F.array(lo, hi)))).alias("_m"))
     bounds = F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda p: F.coalesce(F.element_at("_m", p), empty))
     ready = table(asked.join(by, "uid").withColumn("bounds", bounds).drop("_m"), "anchors")
-    pairs = _product_of(_blocked(ready, anchors, chunk, False), _blocked(src, block, chunk, False), _negatives(negatives, positives), "uid long, p long, id long, other long, score long", False)
+    pairs = _product_of(_blocked(ready, anchors, chunk, False), _blocked(src, block, chunk, False), _negatives(negatives, positives), "uid long, p long, id long, other long, score long")
     best = Window.partitionBy("uid", "p").orderBy(F.desc("score"), "id", "other")
     pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= negatives).select("uid", F.col("p").cast("int").alias("p"), "rank", "id", F.col("score").alias("negative_score"))
     known = lambda c: F.when(F.col(c) != LAST, F.col(c))

@@ -1,69 +1,17 @@
-"""Tables in the folder that driver and executors share, bounded samples, joins that hold where keys are hot, and rows that stay."""
+"""Bounded samples, joins that hold where keys are hot, and rows that stay; tables are written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
+from factloom.sources.shared import new_path, released, shared_dir, table
+
+__all__ = ["SHARE", "WORDS", "bounded_sample", "filtered", "join_groups", "kept_rows", "new_path", "released", "row_hash", "shared_dir", "table", "text_key"]
 SHARE = 1024  # groups that hold more than such a part of all rows are hot: there can't be more of them than that
 WORDS = 1 << 19  # words of 64 bits of a filter of hashes
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs in one process (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    return _OWN["dir"]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone at exit
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    while _MADE:
-        _delete(*_MADE.pop())
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends or the `released` around it does."""
-    path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex[:12]}"
-    _MADE.append((spark, path))
-    return path
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: a lost executor costs no recomputation beyond this table."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def released() -> Iterator[None]:
-    """Removes what was written within: for tables that nothing reads any more then."""
-    before = len(_MADE)
-    yield
-    while len(_MADE) > before:
-        _delete(*_MADE.pop())
-
-
 def bounded_sample(df: DataFrame, key: str, n: int, by: Column | None = None) -> list:
     """About `n` rows of `df` (per value of `by`), those with the smallest hash of key and content: the same rows at any partitioning.
 
@@ -102,13 +50,14 @@ def filtered(rows: DataFrame, h: Column, members: DataFrame, member_h: Column) -
     """(rows whose hash may be one of the members', rows whose hash is none), without a shuffle of the rows.
 
     The members' hashes are bits of WORDS words, so the filter has at most that many rows, whatever the input; where members are
-    more than the bits, it lets most rows through and is of no use, but never wrong.
+    more than the bits, it lets most rows through and is of no use, but never wrong. Rows go as one struct, so their columns may
+    have any names.
     """
-    bits = members.select(F.pmod(member_h, F.lit(WORDS * 64)).alias("_slot")).select(F.shiftright("_slot", 6).alias("_word"), F.expr("shiftleft(1L, cast(_slot & 63 as int))").alias("_bit"))
-    words = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    d = rows.withColumn("_slot", F.pmod(h, F.lit(WORDS * 64))).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
-    hit = F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1L")
-    return d.where(hit).select(rows.columns), d.where(~hit).select(rows.columns)
+    bits = members.select(F.pmod(member_h, F.lit(WORDS * 64)).alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    d = rows.select(F.struct("*").alias("row"), F.pmod(h, F.lit(WORDS * 64)).alias("slot")).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(words), "word", "left")
+    hit = F.expr("coalesce(shiftright(bits, cast(slot & 63 as int)) & 1L, 0L) = 1L")
+    return d.where(hit).select("row.*"), d.where(~hit).select("row.*")
 
 
 def text_key(text: Column) -> Column:
@@ -126,9 +75,10 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text
     Decided by id and text together: another text under the same id is another row. Of rows that are the same in both one stays.
     Rows without a verdict stay. Only rows that may go are shuffled.
     """
-    v = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("_stays"), F.count("*").alias("_n")).where("not _stays or _n > 1")
-    v = table(v.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_stays"), "verdicts")
-    maybe, others = filtered(docs.withColumn("_own", text_key(F.col(text_col))), row_hash(F.col(id_col), F.col("_own")), v, row_hash(F.col("_id"), F.col("_key")))
-    judged = maybe.join(v.hint("merge"), (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    once = judged.where("_stays").dropDuplicates([id_col, "_own"])
-    return others.select(docs.columns).unionByName(judged.where("_stays is null").select(docs.columns)).unionByName(once.select(docs.columns))
+    v = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    v = table(v.select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), "stays"), "verdicts")
+    own = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))  # whatever the columns of docs are called
+    maybe, others = filtered(own, row_hash(F.col("id"), F.col("key")), v, row_hash(F.col("v_id"), F.col("v_key")))
+    judged = maybe.join(v.hint("merge"), (F.col("key") == F.col("v_key")) & F.col("id").eqNullSafe(F.col("v_id")), "left")
+    once = judged.where("stays").dropDuplicates(["id", "key"])
+    return others.select("doc.*").unionByName(judged.where("stays is null").select("doc.*")).unionByName(once.select("doc.*"))
