@@ -13,8 +13,9 @@ Case is folded; what isn't a letter counts as one blank, runs of them as one. Le
 of their own; a letter that no labelled text has is a phrase by itself. Null texts and texts without a letter are
 `und` with score 0; ties go to the language first in the alphabet. Each row is scored alone (repeated rows alike, empty
 tables give none), from its whole text and nothing else. The driver builds the automata, once; tasks get them as a broadcast.
-Labelled rows with null id, text or language are not learned from, nor are single texts above LONGEST characters; without
-any labelled row, all is `und`.
+Labelled rows with null id, text or language are not learned from. Of a language, rows are taken in the order of a hash while LETTERS
+characters last, so none is too long in itself but one that alone is above that; only a language that has no other rows is learned from the
+first LETTERS characters of its shortest one. Without any labelled row, all is `und`. More than LANGUAGES labels are refused.
 
 A text is in no learned language where even the best one costs more bits a character than `limit`, which is MARGIN times the
 dearest of some labelled rows that the automata don't hold. One phrase is free, so a few letters never decide it.
@@ -41,7 +42,8 @@ from factloom.llm.words import slices
 
 LANE = 4096  # characters of a stretch
 DOCS = 100  # labelled rows of each language, at most
-LONGEST = 1 << 20  # characters of a labelled row, at most: longer ones are not sampled
+LETTERS = 2_000_000  # characters of the labelled rows of a language that are learned from, at most
+LANGUAGES = 1000  # labels, at most: the automata of all are sent to every task
 CALIBRATED = 5  # one of so many labelled rows sets the limit instead of being learned from
 MARGIN = 2.0
 SLICE = 1 << 21  # bytes of texts that are followed at once: some 30 bytes of memory for each
@@ -88,12 +90,33 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from the whole texts of a bounded sample of the labelled rows: DOCS of each language, by hash."""
-    text, lang = F.col(text_col), F.col(lang_col)
-    src = docs.where(labelled & lang.isNotNull() & (F.length(text) <= LONGEST)).select(F.col(id_col).alias("id"), text.alias("text"), lang.alias("lang"))
+    """Learns from the whole texts of a bounded sample of the labelled rows: DOCS of each language and LETTERS of their characters at most, by hash.
+
+    What reaches the driver is chosen by sizes first: LETTERS characters a language, whatever the length of its rows.
+    """
+    lang = F.col(lang_col)
+    src = docs.where(labelled & lang.isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
+    src = src.withColumns({"size": F.length("text"), "print": F.xxhash64("text")})
+    if src.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages can't be learned")
+    chosen, left = [], {}
+    for r in bounded_sample(src.where("size > 0").drop("text"), "id", DOCS, F.col("lang")):  # ids, sizes and prints alone
+        if r["size"] <= left.setdefault(r["_by"], LETTERS):
+            left[r["_by"]] -= r["size"]
+            chosen.append((r["_by"], r["id"], r["print"]))
+    # of a language whose sampled rows are all longer, the shortest is learned from, up to LETTERS of its characters
+    short = src.where("size > 0").groupBy("lang").agg(F.min(F.struct("size", "print")).alias("s"), F.min("size").alias("least")).where(F.col("least") > LETTERS)
+    few = [(r["lang"], r["s"]["print"]) for r in short.collect()]  # LANGUAGES rows at most
+    few = docs.sparkSession.createDataFrame(few, f"lang {dict(src.dtypes)['lang']}, print long") if few else None
+    long = src.join(F.broadcast(few), ["lang", "print"]).groupBy("lang").agg(F.first(F.left("text", F.lit(LETTERS))).alias("text")).collect() if few is not None else []
     by: dict[str, list[str]] = {}
-    for r in bounded_sample(src, "id", DOCS, F.col("lang")):
-        by.setdefault(r["_by"], []).append(normal(r["text"]))
+    keys = docs.sparkSession.createDataFrame(chosen, f"lang {dict(src.dtypes)['lang']}, id {dict(src.dtypes)['id']}, print long")  # DOCS a language at most
+    order = {k: i for i, k in enumerate(chosen)}
+    rows = src.join(F.broadcast(keys), ["lang", "id", "print"], "left_semi").dropDuplicates(["lang", "id", "print"]).collect() if chosen else []
+    for r in sorted(rows, key=lambda r: order[r["lang"], r["id"], r["print"]]):
+        by.setdefault(r["lang"], []).append(normal(r["text"]))
+    for r in long:
+        by.setdefault(r["lang"], [normal(r["text"])])
     by = {k: some for k in sorted(by) if (some := [t for t in by[k] if t])}
     apart = {k: ts[::CALIBRATED] if len(ts) >= CALIBRATED else [] for k, ts in by.items()}
     m = LanguageModel({k: " ".join(t for i, t in enumerate(ts) if not apart[k] or i % CALIBRATED) for k, ts in by.items()})

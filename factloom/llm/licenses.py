@@ -1,8 +1,8 @@
 """License scans by canonical digests of entire texts (operator 2), by DataFrame functions only.
 
-A text is put into canonical form: lower case, copyright lines dropped, equivalent spellings made one, and everything that
+A text is put into canonical form: lower case, copyright lines dropped (of a notice that a licence follows in its line, the notice alone), equivalent spellings made one, and everything that
 is neither letter nor digit a single space. The SHA-256 of that form is joined to the digests of known licence texts in the
-same form. The known texts are a short literal list, so its digests are broadcast.
+same form. The known texts are a short literal list, and of long licences the list has the digests of their whole canonical forms; it is broadcast.
 
 Null and empty texts, and texts without letters and digits, have an empty form and no licence. Repeated rows are judged
 alike; an empty table gives none; other columns are ignored. Texts are read whole, whatever their length.
@@ -48,16 +48,26 @@ def known() -> dict[str, list[str]]:
 
 
 KNOWN = known()
+# SHA-256 of the canonical forms of whole licences as they are published.
+DIGESTS = {
+    "Apache-2.0": "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25", "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2", "BSD-3-Clause": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651", "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b", "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d", "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", "MPL-2.0": "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+}
 # Spellings taken as equal.
 SPELLINGS = {"licence": "license", "sub license": "sublicense", "non infringement": "noninfringement", "merchantibility": "merchantability", "favour": "favor", "acknowledgement": "acknowledgment", "organisation": "organization", "copyright owner": "copyright holder", "https ": "http "}
 COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©)[^\n]*"
 RESERVED = r"(^|\n)[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
+# How licences begin that follow a notice in its line.
+OPENINGS = ("permission is hereby granted", "permission to use", "redistribution and use in source", "this software is provided", "this is free and unencumbered", "licensed under the apache", "this source code form", "this program is free software", "this library is free software")
+ONE_LINE = rf"(^|\n)[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©)[^\n]*?(?:[0-9]{{4}}|\(c\)|©)[^\n]*?(?:all rights reserved[^\p{{L}}\p{{N}}\n]*)?({'|'.join(OPENINGS)})"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ONE_LINE, "$1$2")
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT, "\n"), RESERVED, "\n")
     t = F.trim(F.regexp_replace(t, OTHER, " "))
     for a, b in SPELLINGS.items():
@@ -69,15 +79,19 @@ def scan(docs: DataFrame, texts_by_id: dict[str, list[str]] | None = None, id_co
     """doc_id, n_chars (of the canonical form), digest, license_id (null: no known licence) of each row."""
     spark = docs.sparkSession
     texts = spark.createDataFrame([(k, t) for k, ts in (texts_by_id or KNOWN).items() for t in ts], "license_id string, text string")
-    digests = texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    whole = spark.createDataFrame([(v, k) for k, v in (DIGESTS if texts_by_id is None else {}).items()], "digest string, license_id string")
+    digests = texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").unionByName(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     own = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("form"))
     own = own.select("doc_id", F.length("form").cast("long").alias("n_chars"), F.sha2("form", 256).alias("digest"))
     return own.join(F.broadcast(digests), "digest", "left").select("doc_id", "n_chars", "digest", "license_id")
 
 
+BACK = r"\1\2"
+
+
 def _sql(text: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    t = f"lower(coalesce({text}, ''))"
+    t = f"regexp_replace(lower(coalesce({text}, '')), {q(ONE_LINE)}, {q(BACK)}, 'g')"
     t = f"regexp_replace(regexp_replace({t}, {q(COPYRIGHT)}, chr(10), 'g'), {q(RESERVED)}, chr(10), 'g')"
     t = f"trim(regexp_replace({t}, {q(OTHER)}, ' ', 'g'))"
     for a, b in SPELLINGS.items():
@@ -86,8 +100,9 @@ def _sql(text: str) -> str:
 
 
 _VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, ts in KNOWN.items() for t in ts)
+_WHOLE = ", ".join(f"('{v}', '{k}')" for k, v in DIGESTS.items())
 SQL = f"""
-WITH k AS (SELECT sha256({_sql("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {_VALUES}) AS v(license_id, text) GROUP BY 1),
+WITH w AS (SELECT sha256({_sql("text")}) AS digest, license_id FROM (VALUES {_VALUES}) AS v(license_id, text) UNION ALL SELECT * FROM (VALUES {_WHOLE}) AS v(digest, license_id)), k AS (SELECT digest, min(license_id) AS license_id FROM w GROUP BY 1),
 d AS (SELECT doc_id, {_sql("text")} AS form FROM documents)
 SELECT doc_id, length(form) AS n_chars, sha256(form) AS digest, license_id FROM d LEFT JOIN k ON k.digest = sha256(form)
 """
