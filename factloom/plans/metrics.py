@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.lexemes import MONTHS_ES
+from factloom.operators import coverage, documents
 from factloom.operators import metrics as M
 from factloom.plans.registry import Tables, query
 
@@ -92,6 +94,34 @@ def candidate_coverage(t: Tables) -> DataFrame:
     return t.part.join(cand, ["p_partkey", "p_size"], "left").groupBy("p_type").agg(F.count("*").alias("gold"), F.count("hit").alias("covered"))
 
 
+# Written forms of a rate, a date and a currency that denote the same.
+_CODES = (("EUR", "euros", "euro"), ("USD", "dollars", "US dollar"), ("GBP", "libras", "pound sterling"))
+
+
+def _written(kind: Column, n: Column, form: Column) -> Column:
+    """Number n (0 to 11) as a rate, a date in its month, or a currency, in one of three forms."""
+    at = lambda xs, i: F.element_at(F.array(*xs), i.cast("int") + 1)
+    month, rate = F.lpad((n + 1).cast("string"), 2, "0"), (n + 1).cast("string")
+    rates = at([F.concat(rate, F.lit(".5")), F.concat(rate, F.lit(",50")), F.concat(rate, F.lit(".5 per cent of nominal"))], form)
+    dates = at([F.concat(F.lit("2030-"), month, F.lit("-10")), F.concat(F.lit("10/"), month, F.lit("/2030")), F.concat(F.lit("10 de "), at([F.lit(m) for m in MONTHS_ES], n), F.lit(" de 2030"))], form)
+    codes = at([F.array(*map(F.lit, c)) for c in _CODES], n % 3)
+    return F.when(kind == "rate", rates).when(kind == "date", dates).when(kind == "code", F.element_at(codes, form.cast("int") + 1)).otherwise(F.lit("Reuters"))
+
+
+@query("""WITH g AS (SELECT p_partkey AS case_id, f.field, CASE WHEN f.kind = 'code' THEN p_size % 12 % 3 ELSE p_size % 12 END AS v FROM part, (VALUES ('coupon_rate', 'rate'), ('maturity', 'date'), ('currency', 'code'), ('reset_fixing', 'date')) AS f(field, kind)),
+c AS (SELECT l_partkey AS case_id, list_extract(['coupon_rate', 'maturity', 'currency', 'reset_fixing'], CAST(l_linenumber AS INT)) AS field, CASE WHEN l_linenumber = 3 THEN l_suppkey % 12 % 3 ELSE l_suppkey % 12 END AS v FROM lineitem WHERE l_linenumber <= 4)
+SELECT field, count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM c WHERE c.case_id = g.case_id AND c.field = g.field AND c.v = g.v)) AS covered FROM g GROUP BY 1""")
+def gold_coverage(t: Tables) -> DataFrame:
+    """Gold values of each part that a candidate from its order lines denotes, however it is written; one field takes two extracted ones."""
+    kinds = {"coupon_rate": "rate", "maturity": "date", "currency": "code", "reset_dates": "date", "fixing_rules": "text"}
+    one = lambda field, kind: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"))
+    gold = t.part.select("p_partkey", "p_size", F.explode(F.array(one("coupon_rate", "rate"), one("maturity", "date"), one("currency", "code"), one("reset_fixing", "date"))).alias("f"))
+    gold = gold.select(F.col("p_partkey").alias("case_id"), "f.field", _written(F.col("f.kind"), F.col("p_size") % 12, F.col("p_partkey") % 3).alias("value"))
+    of = F.element_at(F.array(*(one(f, k) for f, k in kinds.items())), F.col("l_linenumber").cast("int"))
+    found = t.lineitem.where("l_linenumber <= 5").withColumn("f", of).select(F.col("l_partkey").alias("case_id"), "f.field", _written(F.col("f.kind"), F.col("l_suppkey") % 12, F.col("l_orderkey") % 3).alias("value"))
+    return coverage.coverage(coverage.covered(gold, found, documents.SOURCES), "field").select("field", "gold", "covered")
+
+
 @query("SELECT family, label, prediction, n FROM (SELECT p_brand AS family, p_size % 3 AS label, CAST(floor(p_retailprice) AS INT) % 3 AS prediction, count(*) AS n FROM part GROUP BY 1, 2, 3) WHERE label <> prediction")
 def confusion_errors(t: Tables) -> DataFrame:
     """Off-diagonal counts of a confusion matrix."""
