@@ -6,17 +6,19 @@ import json
 import random
 import re
 import statistics
+import zlib
 from functools import cached_property, reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.lexemes import MONTHS_EN, MONTHS_ES, scalar_key
+from factloom.sources.shared import table
 
-
-RANGES = 4096  # ranges of values that a group is counted in
+PARTS, SAMPLE = 1024, 1 << 14  # ranges of a group's values, and values that set their ends, about
 
 
 def outcome(gold: Column, decision: Column, equal: Column) -> Column:
@@ -131,27 +133,59 @@ def tier(positives: Column) -> Column:
     return F.when(positives < 5, "UNDER_5").when(positives < 15, "5_TO_14").otherwise("15_AND_MORE")
 
 
+def _parts(d: DataFrame, key: list[str]) -> DataFrame:
+    """Counts of equal values in PARTS ranges of each key that hold about as many values each, numbered in order: adds `_part`.
+
+    The ends of the ranges are every so many-th of a sample by hash of at most about SAMPLE distinct values of a key, so what is heaped up or far out
+    doesn't matter: a range holds what lies between two neighbours of the sample.
+    """
+    sizes = d.groupBy(*key).agg(F.count("*").alias("_distinct"))
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in key]
+    near = d.join(sizes.select(*(F.col(c).alias("_" + c) for c in key), "_distinct"), reduce(and_, same)).drop(*("_" + c for c in key))
+    drawn = near.where(F.pmod(F.xxhash64("_v"), F.lit(1 << 30)) < F.lit(float(SAMPLE) * (1 << 30)) / F.col("_distinct"))
+    ends = drawn.groupBy(*key).agg(F.array_sort(F.collect_list("_v")).alias("_all")).withColumn("_step", F.greatest(F.lit(1), F.floor(F.size("_all") / PARTS)).cast("int"))
+    ends = ends.select(*(F.col(c).alias("_" + c) for c in key), F.filter("_all", lambda x, i: (i % F.col("_step")) == 0).alias("_ends"))
+    out = d.join(ends, reduce(and_, same), "left").drop(*("_" + c for c in key))
+    # the number of ends up to the value, by halving: at most as many steps as the table of ends has bits
+    steps = F.sequence(F.lit(0), F.lit(SAMPLE.bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size("_ends"), F.lit(0)).alias("hi"))
+    mid = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
+    half = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get("_ends", mid(s)) <= F.col("_v"), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
+    return out.withColumn("_part", F.aggregate(steps, start, half)["lo"]).drop("_ends")
+
+
+def _values_at(parts: DataFrame, key: list[str], places: DataFrame, n: int) -> DataFrame:
+    """key, `_values`: the values at n places of each key, counted from 1. parts: key, _v, _n, _part; places: key, `_places`.
+
+    Sums over the ranges tell in which of them the places lie, and only those ranges are sorted.
+    """
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col("_" + c)) for c in key])
+    renamed = [F.col(c).alias("_" + c) for c in key]
+    sums = parts.groupBy(*key, "_part").agg(F.sum("_n").alias("_sum"))  # PARTS or so of a key
+    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_sum"))
+    held = sums.join(places.select(*renamed, "_places"), same).where(F.exists("_places", lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_sum"))))
+    held = held.select(*renamed, F.col("_part").alias("_p"), "_before", "_places")  # n ranges of a key at most
+    near = parts.join(held, same & (F.col("_part") == F.col("_p"))).drop(*("_" + c for c in key))
+    near = near.withColumn("_last", F.sum("_n").over(Window.partitionBy(*key, "_part").orderBy("_v")) + F.col("_before"))
+    at = lambda i: F.max(F.when((F.col("_last") >= F.get("_places", i)) & (F.col("_last") - F.col("_n") < F.get("_places", i)), F.col("_v")))
+    return near.groupBy(*key).agg(F.array(*map(at, range(n))).alias("_values"))
+
+
 def order_statistics(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Median, ninth decile as the value at place int(0.9 n) of the sorted ones, largest and sum.
 
-    Equal values are counted first; a group's values are then counted in ranges, so a task sorts a range of one group and
-    no group is gathered. Where a range starts is a sum over the counts of the ranges before it.
+    Equal values are counted first. A group's counts are then put into ranges that hold about as many values each, and only the ranges with the places
+    asked for are sorted. No group is gathered, and a few values far out, or heaps of near ones, make no range larger.
     """
     if not by:
         return order_statistics(rows.withColumn("_one", F.lit(1)), value, "_one").drop("_one")
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ends = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in by]
-    ends = ends.select(*(F.col(c).alias("_" + c) for c in by), "_lo", "_hi", "_all")
-    d = counts.join(ends, reduce(and_, same)).drop(*("_" + c for c in by)).withColumn("_range", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)).otherwise(F.lit(0)))
-    sums = d.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_sum")).select(*(F.col(c).alias("_" + c) for c in by), F.col("_range").alias("_r"), "_before")
-    in_range = reduce(and_, [*same, F.col("_range") == F.col("_r")])
-    last = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v")) + F.col("_before")
-    d = d.join(before, in_range).select(*by, "_v", "_n", "_all", last.alias("_last"))
-    at = lambda place: F.max(F.when((F.col("_last") >= place) & (F.col("_last") - F.col("_n") < place), F.col("_v")))  # noqa: E731  the value at a place from 1 on
-    median = (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2
-    return d.groupBy(*by).agg(median.alias("median"), at(F.when(F.col("_all") == 1, 1).otherwise(F.floor(F.col("_all") * 0.9))).alias("p90"), F.max("_v").alias("most"), F.sum(F.col("_v") * F.col("_n")).alias("total"))
+    counts = table(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "counts")
+    whole = table(counts.groupBy(*by).agg(F.sum("_n").alias("_all"), F.max("_v").alias("most"), F.sum(F.col("_v") * F.col("_n")).alias("total")), "totals")
+    places = F.array(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1, F.when(F.col("_all") == 1, 1).otherwise(F.floor(F.col("_all") * 0.9)))
+    found = _values_at(table(_parts(counts, list(by)), "parts"), list(by), whole.withColumn("_places", places), 3)
+    v = lambda i: F.get("_values", i)
+    found = found.select(*(F.col(c).alias("_" + c) for c in by), ((v(0) + v(1)) / 2).alias("median"), v(2).alias("p90"))
+    return whole.join(found, reduce(and_, [F.col(c).eqNullSafe(F.col("_" + c)) for c in by])).select(*by, "median", "p90", "most", "total")
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -192,10 +226,7 @@ def interval(k: Column, n: Column) -> Column:
 
 
 def bootstrap_median(rows: DataFrame, value: str, by: str, seed: int, times: int = 10_000, most: int = 100_000) -> DataFrame:
-    """Median with its bootstrap interval, each group by itself in one task: groups are paired reviews, a few dozen rows.
-
-    A group with more than `most` values is refused: it would take `times` resamples of them in one task.
-    """
+    """Median with its bootstrap interval. Groups of up to `most` values are resampled one by one, each in a task; larger ones by `ranked_bootstrap`."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         xs, rng = sorted(pdf[value].dropna().tolist()), random.Random(seed)
@@ -203,10 +234,45 @@ def bootstrap_median(rows: DataFrame, value: str, by: str, seed: int, times: int
         low, high = (meds[int(0.025 * times)], meds[int(0.975 * times) - 1]) if meds else (None, None)
         return pd.DataFrame({by: [key[0]], "n": [len(xs)], "median": [statistics.median(xs) if xs else None], "low": [low], "high": [high]})
 
-    size = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
-    small = F.when(F.col("_n") > most, F.raise_error(F.lit(f"a group has more than {most} values")).cast("boolean")).otherwise(True)
-    d = rows.select(by, value).join(size, F.col(by).eqNullSafe(F.col("_by"))).where(small).select(by, value)
-    return d.groupBy(by).applyInPandas(one, f"{rows.select(by).schema.simpleString()[7:-1]}, n long, median double, low double, high double")
+    size = table(rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")), "sizes")
+    of = lambda test: rows.select(by, value).join(size.where(test), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    small = of(F.col("_n") <= most).groupBy(by).applyInPandas(one, f"{rows.select(by).schema.simpleString()[7:-1]}, n long, median double, low double, high double")
+    if size.where(F.col("_n") > most).isEmpty():
+        return small
+    return small.unionByName(ranked_bootstrap(of(F.col("_n") > most), value, by, seed, times))
+
+
+def ranked_bootstrap(rows: DataFrame, value: str, by: str, seed: int, times: int = 10_000) -> DataFrame:
+    """Median with its bootstrap interval for groups of any size, without a resample of the values.
+
+    Of n draws with replacement from n values in order, the place of the j-th smallest is n times the j-th of n uniform numbers, which is a Beta(j, n - j + 1).
+    So a replicate's median is drawn as a place (two neighbouring ones for an even n), a group costs `times` pairs of numbers whatever its size, and only the
+    values at the ends of the interval are looked up, by counted ranges. The distribution is that of resampling, so an end differs from the
+    exact one by what a finite number of replicates leaves open: it lies between the places of levels 0.025 -+ 3 * sqrt(0.025 * 0.975 / times); for even n
+    replicates are put in order by their places, not by the mean of both values, which are neighbours among n.
+    """
+
+    def places(n: pd.Series, key: pd.Series) -> pd.Series:
+        out = []
+        for size, name in zip(n, key, strict=True):
+            rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+            j = (size + 1) // 2
+            u = rng.beta(j, size - j + 1, times)
+            v = u if size % 2 else u + (1 - u) * rng.beta(1, size - j, times)
+            both = np.clip(np.ceil(np.stack([u, v]) * size), 1, size).astype(np.int64)
+            both = both[:, np.lexsort(both[::-1])]
+            out.append([*both[:, int(0.025 * times)].tolist(), *both[:, max(int(0.975 * times) - 1, 0)].tolist()])
+        return pd.Series(out)
+
+    d = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("_v"))
+    counts = table(d.groupBy("g", "_v").agg(F.count("*").alias("_n")), "counts")
+    sizes = table(counts.groupBy("g").agg(F.sum("_n").alias("n")), "sizes")
+    ends = F.pandas_udf(places, "array<long>")(F.col("n"), F.coalesce(F.col("g").cast("string"), F.lit("")))
+    middle = F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    found = _values_at(table(_parts(counts, ["g"]), "parts"), ["g"], table(sizes.withColumn("_places", F.concat(middle, ends)), "places"), 6)
+    mean = lambda i, name: ((F.get("_values", i) + F.get("_values", i + 1)) / 2).alias(name)
+    found = found.select(F.col("g").alias("_g"), mean(0, "median"), mean(2, "low"), mean(4, "high"))
+    return sizes.join(found, F.col("g").eqNullSafe(F.col("_g"))).select(F.col("g").alias(by), "n", "median", "low", "high")
 
 
 # Classes of observations against labels.

@@ -33,11 +33,36 @@ def test_share(spark, digits):
     assert sampling.share(df, "id", 0, 9).count() == 0 and sampling.share(df, "id", 1, 9).count() == 1003 and sampling.share(df.where("false"), "id", 0.5, 9).count() == 0
 
 
-def test_bootstrap_refuses_large_groups(spark):
+def test_bootstrap_of_any_size(spark):
+    """Larger groups are not refused, and their interval is that of resampling, within what a finite number of replicates leaves open."""
     rows = spark.createDataFrame([("a", 0.4), ("a", 0.25)], "k string, x double")
     assert metrics.bootstrap_median(rows, "x", "k", 1, 50).first()["median"] == 0.325
-    with pytest.raises(Exception, match="more than 1 values"):
-        metrics.bootstrap_median(rows, "x", "k", 1, 50, most=1).collect()
+    groups = {"odd": [rng.gauss(0, 1) for _ in range(801)], "even": [rng.expovariate(1) for _ in range(600)], "ties": [1.0] * 300 + [2.0] * 301, None: [rng.random() for _ in range(501)], "small": [1.0, 5.0, 2.0]}
+    rows = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs] + [("odd", None)], "k string, x double").repartition(5)
+    got = {r["k"]: r for r in metrics.bootstrap_median(rows, "x", "k", 7, 2000, most=100).collect()}
+    assert set(got) == set(groups)
+    slack = 3 * (0.025 * 0.975 / 2000) ** 0.5
+    for k, xs in groups.items():
+        r, own = got[k], random.Random(3)
+        assert r["n"] == len(xs) and r["median"] == statistics.median(xs)
+        meds = sorted(statistics.median(own.choices(xs, k=len(xs))) for _ in range(4000))
+        at = lambda q: meds[min(max(int(q * 4000), 0), 3999)]  # noqa: B023, E731
+        assert at(0.025 - 2 * slack) <= r["low"] <= at(0.025 + 2 * slack) and at(0.975 - 2 * slack) <= r["high"] <= at(0.975 + 2 * slack)
+    again = {r["k"]: r for r in metrics.bootstrap_median(rows.repartition(2), "x", "k", 7, 2000, most=100).collect()}
+    assert again == got
+
+
+def test_no_range_of_heavy_tails_is_large(spark):
+    """One value of 1e12 beside many near ones: equal widths would put all others into one range."""
+    xs = [rng.gauss(0, 1) for _ in range(30_000)] + [1e12, -1e15] + [5.0 + i * 1e-9 for i in range(20_000)]
+    rows = spark.createDataFrame([("a", x) for x in xs] + [("b", x) for x in xs[:50]], "k string, x double").repartition(4)
+    counts = rows.groupBy("k", F.col("x").alias("_v")).agg(F.count("*").alias("_n"))
+    sizes = {(r["k"], r["_part"]): r["n"] for r in metrics._parts(counts, ["k"]).groupBy("k", "_part").agg(F.count("*").alias("n")).collect()}
+    assert max(n for (k, _), n in sizes.items() if k == "a") < len(xs) / 100 and len(sizes) > 500
+    order = metrics._parts(counts, ["k"]).where("k = 'a'").groupBy("_part").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).orderBy("_part").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(order, order[1:], strict=False))
+    r = next(r for r in metrics.order_statistics(rows, "x", "k").collect() if r["k"] == "a")
+    assert r["median"] == statistics.median(xs) and r["p90"] == sorted(xs)[int(0.9 * len(xs)) - 1] and r["most"] == 1e12
 
 
 @pytest.mark.parametrize(("a", "b", "same"), [
