@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from factloom.sources import published
+
 # bytes 80 to 9F of windows-1252 as ISO-8859-1 reads them, and what they stand for; five are undefined
 UNDEFINED = "\x81\x8d\x8f\x90\x9d"
 CONTROLS = "".join(chr(i) for i in range(0x80, 0xA0) if chr(i) not in UNDEFINED)
@@ -26,18 +26,19 @@ def read_manifest(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.format("binaryFile").load(path).select(F.inline(rows))
 
 
-_KEPT: dict[str, tuple[list, DataFrame]] = {}
+_KEPT: dict[tuple, tuple[list, DataFrame]] = {}
 
 
 def read_manifest_kept(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A manifest kept in memory until one of its files has another time or size."""
+    key = (path, schema if isinstance(schema, str) else schema.simpleString(), spark.sparkContext.applicationId)
     state = sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").collect())  # one row a file
-    was = _KEPT.get(path)
+    was = _KEPT.get(key)
     if was is None or was[0] != state:
         if was is not None:
             was[1].unpersist()
-        _KEPT[path] = state, read_manifest(spark, path, schema).persist()
-    return _KEPT[path][1]
+        _KEPT[key] = state, read_manifest(spark, path, schema).persist()
+    return _KEPT[key][1]
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -68,17 +69,13 @@ def append_log(rows: DataFrame, path: str, check: bool = True) -> None:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Replaces a table of Parquet files: written aside as a whole, then renamed. A failure in between leaves the old table, or both beside each other."""
-    spark = rows.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    rows.write.parquet(new)
-    at = lambda x: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    was = fs.exists(at(path))
-    if was and not fs.rename(at(path), at(old)) or not fs.rename(at(new), at(path)):
-        raise OSError(f"{path} could not be replaced; the new table is {new}")
-    if was:
-        fs.delete(at(old), True)
+    """Replaces a table as a whole: the rows are a new version beside the old one, and one small file that names it is renamed last. Read it by `read_replaced`."""
+    published.publish(rows, path, path.rstrip("/").rsplit("/", 1)[-1])
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The table as it was last replaced: at any time all of it."""
+    return published.read(spark, path)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -98,7 +98,7 @@ def test_replaced_and_appended(spark, tmp_path):
     at = str(tmp_path / "t")
     for n in (1, 2):
         files.replace_table(spark.range(n), at)
-    assert spark.read.parquet(at).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert files.read_replaced(spark, at).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
     log = tmp_path / "log"
     files.append_log(spark.createDataFrame([(1,)], "k long"), str(log))
     (log / "part-x.json").write_text('{"k": 2')
