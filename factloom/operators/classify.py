@@ -23,7 +23,11 @@ ANCHORS = {
     "BASE_PROSPECTUS": (r"(?iu)factores\s+de\s+riesgo|risk\s+factors", r"(?iu)condiciones\s+de\s+los\s+valores|terms\s+and\s+conditions"),
 }
 DEBT = r"(?iu)BONOS|OBLIG|C[EÉ]DULAS?|PAGAR[ÉE]S?|RENTA\s+FIJA|FTA\b|TITULIZACI"
-HEAD = 4000  # characters of a text that may name its role
+# Fixed value: characters of a text that may name its role.
+HEAD = 4000
+# What the trail of a classification says.
+FROM_ROWS, FROM_SUPPLEMENT, FROM_CHANGE, FROM_PROSPECTUS, FROM_ADMISSION = "surface:CNMV_CCFF row = condiciones finales", "meta:rol=SUPLEMENTO / sufijo .k", "meta:rol=MODIFICACION / sufijo -k", "surface:{} row = folleto base", "surface:CNMV_ADMISSION"
+NO_ANCHORS, NO_ROLE, DENOMINATION = "anchors:none -> confidence stays MEDIUM", "fallback:UNKNOWN -> REVIEW_REQUIRED", "meta:denominacion="
 
 DEFINING, LIFECYCLE, OUT, UNKNOWN = "INSTRUMENT_DEFINING", "LIFECYCLE", "OUT_OF_SCOPE", "UNKNOWN"
 
@@ -33,12 +37,12 @@ def by_metadata(surface: Column, role: Column, register: Column, denomination: C
     is_ = lambda name, scope, signal, debt=False: F.struct(F.lit(name).alias("role"), F.lit(scope).alias("scope"), F.lit(debt).alias("debt"), F.lit(signal).cast("string").alias("signal"))
     said = F.upper(role)
     return (
-        F.when(surface == FINAL_TERMS_ROWS, is_("FINAL_TERMS", DEFINING, "surface:final terms"))
-        .when(said.contains("SUPLEMENTO") | register.rlike(r"\.\d+$"), is_("SUPPLEMENT", LIFECYCLE, "meta:supplement"))
-        .when(said.contains("MODIFICACI") | register.rlike(r"-\d+$"), is_("CORRECTION", LIFECYCLE, "meta:modification"))
-        .when(surface.isin(*PROSPECTUS_ROWS), is_("BASE_PROSPECTUS", DEFINING, "surface:prospectus"))
-        .when((surface == ADMISSION_ROWS) & denomination.rlike(DEBT), is_("SECURITIES_NOTE", DEFINING, "surface:admission", True))
-        .when(surface == ADMISSION_ROWS, is_("ISSUE_DOC", OUT, "surface:admission"))
+        F.when(surface == FINAL_TERMS_ROWS, is_("FINAL_TERMS", DEFINING, FROM_ROWS))
+        .when(said.contains("SUPLEMENTO") | register.rlike(r"\.\d+$"), is_("SUPPLEMENT", LIFECYCLE, FROM_SUPPLEMENT))
+        .when(said.contains("MODIFICACI") | register.rlike(r"-\d+$"), is_("CORRECTION", LIFECYCLE, FROM_CHANGE))
+        .when(surface == PROSPECTUS_ROWS[0], is_("BASE_PROSPECTUS", DEFINING, FROM_PROSPECTUS.format(PROSPECTUS_ROWS[0]))).when(surface == PROSPECTUS_ROWS[1], is_("BASE_PROSPECTUS", DEFINING, FROM_PROSPECTUS.format(PROSPECTUS_ROWS[1])))
+        .when((surface == ADMISSION_ROWS) & denomination.rlike(DEBT), is_("SECURITIES_NOTE", DEFINING, FROM_ADMISSION, True))
+        .when(surface == ADMISSION_ROWS, is_("ISSUE_DOC", OUT, FROM_ADMISSION))
         .otherwise(is_(UNKNOWN, UNKNOWN, None))
     )
 
@@ -85,9 +89,9 @@ def classify(rows: DataFrame) -> DataFrame:
     known = F.col("_meta.debt") | F.col("_upgraded")
     named = F.when(denomination != "", denomination).otherwise(filled("value_type")).rlike(DEBT)
     signals = F.array(
-        F.col("_meta.signal"), F.when(F.col("_meta.debt"), F.concat(F.lit("meta:denomination="), F.substring(denomination, 1, 40))), F.concat(F.lit("title:"), title), F.when(F.col("_upgraded"), F.lit("title_overrides_default:securities_note")),
-        F.when(F.col("_conflict"), F.concat(F.lit("conflict:meta="), meta, F.lit("!="), title)), F.when(hits > 0, F.concat(F.lit("anchors:"), hits.cast("string"))).when((hits == 0) & F.col("_middling"), F.lit("anchors:none")),
-        F.when(named & ~known, F.lit("instrument:DEBT(meta)")), F.when(role == UNKNOWN, F.lit("fallback:UNKNOWN")),
+        F.col("_meta.signal"), F.when(F.col("_meta.debt"), F.concat(F.lit(DENOMINATION), F.substring(denomination, 1, 40))), F.concat(F.lit("title:"), title), F.when(F.col("_upgraded"), F.lit("title_overrides_default:securities_note")),
+        F.when(F.col("_conflict"), F.concat(F.lit("conflict:meta="), meta, F.lit("!="), title)), F.when(hits > 0, F.concat(F.lit("anchors:"), hits.cast("string"))).when((hits == 0) & F.col("_middling"), F.lit(NO_ANCHORS)),
+        F.when(named & ~known, F.lit("instrument:DEBT(meta)")), F.when(role == UNKNOWN, F.lit(NO_ROLE)),
     )
     return d.select(*rows.columns, "role", scope.alias("scope"), F.when(known | named, "DEBT").alias("instrument_class"), confidence.alias("confidence"), F.array_compact(signals).alias("signals"), family_key(surface, F.col("register"), F.col("number")).alias("family_key"))
 

@@ -455,13 +455,20 @@ def same_values(a: object, b: object) -> bool:
     return _same([] if a is None and isinstance(b, list) else a, [] if b is None and isinstance(a, list) else b)
 
 
+def _plain_number(json_text: Column) -> Column:
+    """The number that a JSON scalar plainly is, as a number or as text with a point or comma; else NULL."""
+    return F.when(json_text.rlike(r'^(-?\d{1,15}(\.\d{1,10})?|"-?\d{1,15}([.,]\d{1,10})?")$'), F.translate(json_text, ',"', ".").cast("double"))
+
+
 def same_json_column(a: Column, b: Column) -> Column:
-    """Whether two columns of JSON hold the same values. Equal texts are settled in Spark; what is left goes to Python."""
+    """Whether two columns of JSON hold the same values. Equal texts, and pairs of plain numbers, are settled in Spark; what is left goes to Python."""
 
     def work(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else same_values(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)])
 
-    return F.when(a == b, F.lit(True)).otherwise(F.pandas_udf(work, "boolean")(F.when(a != b, a), F.when(a != b, b)))
+    numbers = _plain_number(a).isNotNull() & _plain_number(b).isNotNull()
+    rest = (a != b) & ~numbers
+    return F.when(a == b, F.lit(True)).when(numbers, _plain_number(a) == _plain_number(b)).otherwise(F.pandas_udf(work, "boolean")(F.when(rest, a), F.when(rest, b)))
 
 
 def same_values_column(a: Column, b: Column) -> Column:

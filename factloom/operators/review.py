@@ -52,14 +52,6 @@ def first_error(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for ok, message in checks])
 
 
-def pointer_error(p: dict[str, Column]) -> Column:
-    """What is wrong with a pointer: its document, page, box, excerpt or digest, in this order."""
-    return first_error(
-        (p["doc_id"].isNotNull(), "no document"), (p["authorized"], "not authorized"), (p["page"] >= 1, "bad page"), (p["excerpt"] != "", "no excerpt"), (p["sha"].rlike("^[0-9a-f]{64}$"), "bad digest"),
-        (p["doc_sha"].isNotNull(), "unknown document"), (p["sha"] == p["doc_sha"], "other digest"), (p["page"] <= p["n_pages"], "page out of range"), (F.contains(p["page_text"], p["excerpt"]), "excerpt not on page"),
-    )
-
-
 def decision_error(d: dict[str, Column]) -> Column:
     """Which rule a decision breaks: value and evidence of what is confirmed, origin of what is found by hand, status of the rest."""
     confirmed = d["decision"] == "CONFIRMED"

@@ -72,14 +72,15 @@ def _boxed(t: Tables) -> DataFrame:
     return d.withColumns({"l": F.lit(10.0), "r": F.when(F.col("ix") % 4 == 1, 150.0).otherwise(90.0), "t": top, "b": F.when(F.col("ix") % 4 == 2, top + 1).otherwise(top - 10)})
 
 
-@query(rf"""WITH {_B}, s AS (SELECT doc_id AS spec_id, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 9999 ELSE 0 END AS page, CASE WHEN doc_id % 3 = 0 THEN 'zzqq' ELSE lower(left(trim(text), 6)) END AS match FROM documents),
+@query(rf"""WITH {_B}, s AS (SELECT doc_id AS spec_id, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 9999 ELSE doc_id % ((n + 9) // 10) END AS page, CASE WHEN doc_id % 3 = 0 THEN 'zzqq' ELSE lower(left(trim(x[10 * CAST(doc_id % ((n + 9) // 10) AS INT) + 1]), 6)) END AS match FROM (SELECT doc_id, string_split(text, chr(10)) AS x, len(string_split(text, chr(10))) AS n FROM documents)),
 h AS (SELECT spec_id, min(ix) AS ix FROM s JOIN b USING (doc_id, page) WHERE trim(text) <> '' AND contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(match, '\s+', ' ', 'g')))) GROUP BY 1)
 SELECT spec_id, CASE WHEN s.doc_id >= 1000000000 THEN 'no document' WHEN s.page = 9999 THEN 'no page' WHEN h.ix IS NULL THEN 'no block' END AS error, trim(b.text) AS excerpt, CASE WHEN h.ix % 4 NOT IN (1, 2) THEN [10.0, 200.0 - h.ix % 10 * 20, 90.0, 190.0 - h.ix % 10 * 20] END AS bbox
 FROM s LEFT JOIN h USING (spec_id) LEFT JOIN b ON b.doc_id = s.doc_id AND b.ix = h.ix""")
 def pointer_resolution(t: Tables) -> DataFrame:
-    """The block that a page and a text point to; some boxes don't lie on their page."""
-    k, blocks = F.col("doc_id"), _boxed(t)
-    specs = t.documents.select(k.alias("spec_id"), F.when(k % 7 == 0, k + 1000000000).otherwise(k).alias("doc_id"), F.when(k % 5 == 0, 9999).otherwise(0).cast("long").alias("page"), F.when(k % 3 == 0, "zzqq").otherwise(F.lower(F.left(F.trim("text"), F.lit(6)))).alias("match"))
+    """The block that a page and a text point to, on all pages; some boxes don't lie on their page."""
+    k, blocks, lines = F.col("doc_id"), _boxed(t), F.split("text", "\n")
+    own = k % F.ceil(F.size(lines) / 10)
+    specs = t.documents.select(k.alias("spec_id"), F.when(k % 7 == 0, k + 1000000000).otherwise(k).alias("doc_id"), F.when(k % 5 == 0, 9999).otherwise(own).cast("long").alias("page"), F.when(k % 3 == 0, "zzqq").otherwise(F.lower(F.left(F.trim(F.get(lines, (own * 10).cast("int"))), F.lit(6)))).alias("match"))
     pages = blocks.groupBy("doc_id", "page").agg(F.lit(100.0).alias("width"), F.lit(200.0).alias("height"))
     return D.resolve_pointers(specs, blocks, pages).select("spec_id", "error", "excerpt", "bbox")
 

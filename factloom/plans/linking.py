@@ -193,26 +193,26 @@ OTHER | - | # | - | - | - | ~Final terms
 )
 _CLASSES = _cases(
     """
-FINAL_TERMS | INSTRUMENT_DEFINING | - | HIGH | surface:final terms | PROG_P#
-FINAL_TERMS | INSTRUMENT_DEFINING | DEBT | HIGH | surface:final terms,title:FINAL_TERMS,anchors:2,instrument:DEBT(meta) | PROG_#
-FINAL_TERMS | INSTRUMENT_DEFINING | - | HIGH | surface:final terms,title:BASE_PROSPECTUS,conflict:meta=FINAL_TERMS!=BASE_PROSPECTUS,anchors:1 | PROG_#
-FINAL_TERMS | INSTRUMENT_DEFINING | - | MEDIUM | surface:final terms,title:SECURITIES_NOTE,conflict:meta=FINAL_TERMS!=SECURITIES_NOTE,anchors:none | PROG_#
-SUPPLEMENT | LIFECYCLE | - | HIGH | meta:supplement | PROG_#
-SUPPLEMENT | LIFECYCLE | - | HIGH | meta:supplement,title:SUPPLEMENT | PROG_#
-CORRECTION | LIFECYCLE | - | HIGH | meta:modification | PROG_#
-CORRECTION | LIFECYCLE | - | HIGH | meta:modification,title:CORRECTION | PROG_#
-BASE_PROSPECTUS | INSTRUMENT_DEFINING | - | HIGH | surface:prospectus,anchors:2 | PROG_#
-BASE_PROSPECTUS | INSTRUMENT_DEFINING | - | HIGH | surface:prospectus,title:FINAL_TERMS,conflict:meta=BASE_PROSPECTUS!=FINAL_TERMS,anchors:1 | PROG_#
-SECURITIES_NOTE | INSTRUMENT_DEFINING | DEBT | HIGH | surface:admission,meta:denomination=Bonos simples | ISSUE_ADM_#
-ISSUE_DOC | OUT_OF_SCOPE | - | HIGH | surface:admission | ISSUE_ADM_#
-SECURITIES_NOTE | INSTRUMENT_DEFINING | DEBT | HIGH | surface:admission,title:SECURITIES_NOTE,title_overrides_default:securities_note,anchors:1 | -
-ISSUE_DOC | OUT_OF_SCOPE | - | MEDIUM | surface:admission,title:BASE_PROSPECTUS,conflict:meta=ISSUE_DOC!=BASE_PROSPECTUS | ISSUE_ADM_#
-UNKNOWN | UNKNOWN | - | LOW | fallback:UNKNOWN | PROG_#
+FINAL_TERMS | INSTRUMENT_DEFINING | - | HIGH | surface:CNMV_CCFF row = condiciones finales | PROG_P#
+FINAL_TERMS | INSTRUMENT_DEFINING | DEBT | HIGH | surface:CNMV_CCFF row = condiciones finales,title:FINAL_TERMS,anchors:2,instrument:DEBT(meta) | PROG_#
+FINAL_TERMS | INSTRUMENT_DEFINING | - | HIGH | surface:CNMV_CCFF row = condiciones finales,title:BASE_PROSPECTUS,conflict:meta=FINAL_TERMS!=BASE_PROSPECTUS,anchors:1 | PROG_#
+FINAL_TERMS | INSTRUMENT_DEFINING | - | MEDIUM | surface:CNMV_CCFF row = condiciones finales,title:SECURITIES_NOTE,conflict:meta=FINAL_TERMS!=SECURITIES_NOTE,anchors:none -> confidence stays MEDIUM | PROG_#
+SUPPLEMENT | LIFECYCLE | - | HIGH | meta:rol=SUPLEMENTO / sufijo .k | PROG_#
+SUPPLEMENT | LIFECYCLE | - | HIGH | meta:rol=SUPLEMENTO / sufijo .k,title:SUPPLEMENT | PROG_#
+CORRECTION | LIFECYCLE | - | HIGH | meta:rol=MODIFICACION / sufijo -k | PROG_#
+CORRECTION | LIFECYCLE | - | HIGH | meta:rol=MODIFICACION / sufijo -k,title:CORRECTION | PROG_#
+BASE_PROSPECTUS | INSTRUMENT_DEFINING | - | HIGH | surface:CNMV_FOLLETOS_EMISION row = folleto base,anchors:2 | PROG_#
+BASE_PROSPECTUS | INSTRUMENT_DEFINING | - | HIGH | surface:CNMV_FOLLETO_DETAIL row = folleto base,title:FINAL_TERMS,conflict:meta=BASE_PROSPECTUS!=FINAL_TERMS,anchors:1 | PROG_#
+SECURITIES_NOTE | INSTRUMENT_DEFINING | DEBT | HIGH | surface:CNMV_ADMISSION,meta:denominacion=Bonos simples | ISSUE_ADM_#
+ISSUE_DOC | OUT_OF_SCOPE | - | HIGH | surface:CNMV_ADMISSION | ISSUE_ADM_#
+SECURITIES_NOTE | INSTRUMENT_DEFINING | DEBT | HIGH | surface:CNMV_ADMISSION,title:SECURITIES_NOTE,title_overrides_default:securities_note,anchors:1 | -
+ISSUE_DOC | OUT_OF_SCOPE | - | MEDIUM | surface:CNMV_ADMISSION,title:BASE_PROSPECTUS,conflict:meta=ISSUE_DOC!=BASE_PROSPECTUS | ISSUE_ADM_#
+UNKNOWN | UNKNOWN | - | LOW | fallback:UNKNOWN -> REVIEW_REQUIRED | PROG_#
 SUPPLEMENT | LIFECYCLE | - | MEDIUM | title:SUPPLEMENT | -
 FINAL_TERMS | INSTRUMENT_DEFINING | DEBT | HIGH | title:FINAL_TERMS,anchors:1,instrument:DEBT(meta) | PROG_#
-BASE_PROSPECTUS | INSTRUMENT_DEFINING | - | MEDIUM | title:BASE_PROSPECTUS,anchors:none | PROG_N#
+BASE_PROSPECTUS | INSTRUMENT_DEFINING | - | MEDIUM | title:BASE_PROSPECTUS,anchors:none -> confidence stays MEDIUM | PROG_N#
 CORRECTION | UNKNOWN | - | MEDIUM | title:CORRECTION | PROG_#
-UNKNOWN | UNKNOWN | - | LOW | fallback:UNKNOWN | PROG_#
+UNKNOWN | UNKNOWN | - | LOW | fallback:UNKNOWN -> REVIEW_REQUIRED | PROG_#
 """,
     "role scope instrument_class confidence signals family_key",
 )

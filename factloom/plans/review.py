@@ -43,40 +43,6 @@ def event_order_violations(t: Tables) -> DataFrame:
     return review.order_violations(t.events.select("event_id", "user_id", "value"), "value", "event_id", "user_id")
 
 
-@query(r"""
-WITH d AS (SELECT doc_id, text, sha256(text) AS sha, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id END AS pointed, doc_id % 5 <> 0 AS authorized, CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 9 = 0 THEN 100000 ELSE 1 END AS page, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'zzqq' ELSE left(text, 12) END AS excerpt FROM documents),
-p AS (SELECT *, (len(string_split(text, chr(10))) + 9) // 10 AS n_pages, array_to_string(string_split(text, chr(10))[1:10], chr(10)) AS page_text FROM d)
-SELECT doc_id, CASE WHEN pointed IS NULL THEN 'no document' WHEN NOT authorized THEN 'not authorized' WHEN page < 1 THEN 'bad page' WHEN excerpt = '' THEN 'no excerpt' WHEN doc_id % 17 = 0 THEN 'bad digest' WHEN doc_id % 19 = 0 THEN 'other digest' WHEN page > n_pages THEN 'page out of range' WHEN NOT contains(page_text, excerpt) THEN 'excerpt not on page' END AS error FROM p""")
-def pointer_validation(t: Tables) -> DataFrame:
-    """Pointers into documents, some of them broken in one way or several."""
-    k = F.col("doc_id")
-    return _pointer_errors(t, F.lit(1), F.when(k % 13 == 0, "").when(k % 4 == 0, "zzqq").otherwise(F.left("text", F.lit(12))))
-
-
-def _pointer_errors(t: Tables, page: Column, excerpt: Column) -> DataFrame:
-    """One pointer a document, to a page of ten lines."""
-    k = F.col("doc_id")
-    pages = layout.line_blocks(t.documents, per_page=10).groupBy("doc_id", (F.col("page") + 1).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ix", "block")))["block"], "\n").alias("page_text"))
-    d = t.documents.select("doc_id", "text", F.sha2("text", 256).alias("doc_sha"), F.ceil(F.size(F.split("text", "\n")) / 10).alias("n_pages"))
-    d = d.withColumn("page", F.when(k % 7 == 0, 0).when(k % 9 == 0, 100000).otherwise(page).cast("long")).join(pages, ["doc_id", "page"], "left").withColumn("page_text", F.coalesce("page_text", F.lit("none")))
-    sha = F.when(k % 17 == 0, "xyz").when(k % 19 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("doc_sha"))
-    p = {"doc_id": F.when(k % 11 != 0, k), "authorized": k % 5 != 0, "page": F.col("page"), "excerpt": excerpt, "sha": sha, "doc_sha": F.col("doc_sha"), "n_pages": F.col("n_pages"), "page_text": F.col("page_text")}
-    return d.select("doc_id", review.pointer_error(p).alias("error"))
-
-
-@query(r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS x, (len(string_split(text, chr(10))) + 9) // 10 AS n_pages FROM documents),
-g AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 9 = 0 THEN 100000 ELSE doc_id % n_pages + 1 END AS page FROM d),
-p AS (SELECT *, CASE WHEN page BETWEEN 1 AND n_pages THEN array_to_string(x[10 * page - 9 : 10 * page], chr(10)) ELSE 'none' END AS page_text FROM g),
-q AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'zzqq' WHEN doc_id % 3 = 0 THEN left(text, 12) ELSE left(page_text, 12) END AS excerpt FROM p)
-SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no document' WHEN doc_id % 5 = 0 THEN 'not authorized' WHEN page < 1 THEN 'bad page' WHEN excerpt = '' THEN 'no excerpt' WHEN doc_id % 17 = 0 THEN 'bad digest' WHEN doc_id % 19 = 0 THEN 'other digest' WHEN page > n_pages THEN 'page out of range' WHEN NOT contains(page_text, excerpt) THEN 'excerpt not on page' END AS error FROM q""")
-def pointer_validation_all_pages(t: Tables) -> DataFrame:
-    """Pointers to all pages of documents, some with an excerpt of another page."""
-    k = F.col("doc_id")
-    excerpt = F.when(k % 13 == 0, "").when(k % 4 == 0, "zzqq").when(k % 3 == 0, F.left("text", F.lit(12))).otherwise(F.left("page_text", F.lit(12)))
-    return _pointer_errors(t, k % F.col("n_pages") + 1, excerpt)
-
-
 @query(r"""
 WITH d AS (SELECT user_id, CASE WHEN event_id % 23 = 0 THEN 'BOGUS' ELSE list_extract(['CONFIRMED','CONFLICT','MISSING','NOT_APPLICABLE'], CAST(event_id % 4 AS INT) + 1) END AS decision, event_id % 5 = 0 AS no_value, event_id % 3 AS n_evidence, list_extract(['MANUAL_DISCOVERY','FIELD_STATUS','MACHINE_CANDIDATE'], CAST(user_id % 3 AS INT) + 1) AS origin FROM events),
 e AS (SELECT CASE WHEN decision = 'BOGUS' THEN 'bad decision' WHEN decision = 'CONFIRMED' AND no_value THEN 'confirmed without value' WHEN decision = 'CONFIRMED' AND n_evidence = 0 THEN 'confirmed without evidence' WHEN origin = 'MANUAL_DISCOVERY' AND n_evidence = 0 THEN 'discovery without evidence' WHEN origin = 'FIELD_STATUS' AND decision NOT IN ('MISSING', 'NOT_APPLICABLE') THEN 'status of a value' END AS error FROM d)
@@ -95,14 +61,6 @@ def evidence_audit(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.count_if(F.col("l_partkey") % 50 == 0).alias("wrong_document"), F.try_divide(F.count_if(ok), F.count("*")).alias("rate"))
 
 
-@query("""
-WITH u AS (SELECT doc_id, quality, toxic FROM labels), s AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)
-SELECT s.doc_id, CASE WHEN u.doc_id IS NULL THEN 'missing' WHEN quality = 0 THEN 'unevidenced' WHEN toxic = 1 THEN 'unverified' ELSE 'complete' END AS issue FROM s LEFT JOIN u USING (doc_id)""")
-def truth_issues(t: Tables) -> DataFrame:
-    """Issues of sealed cases: no unit, one without evidence, one not verified."""
-    return _truth_issues(t.documents.where("doc_id % 2 = 0"), t.labels)
-
-
 def _truth_issues(cases: DataFrame, units: DataFrame) -> DataFrame:
     s = cases.select("doc_id").join(units, "doc_id", "left")
     return s.select("doc_id", F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 0, "unevidenced").when(F.col("toxic") == 1, "unverified").otherwise("complete").alias("issue"))

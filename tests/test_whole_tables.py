@@ -15,9 +15,9 @@ def test_every_document_and_customer(spark):
 
 def test_pointers_past_the_first_page(spark, tmp_path):
     text = "\n".join(f"line {i} of it" for i in range(25))
-    rows = [(2, text), (1, text), (3, text), (6, text)]  # pages 3, 2, 1, 1 of 3; 3 and 6 quote the first page
-    spark.createDataFrame([*rows, (46, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r["doc_id"]: r["error"] for r in QUERIES["pointer_validation_all_pages"](spark, str(tmp_path)).collect()} == {1: None, 2: None, 3: None, 6: None, 46: None}
-    spark.createDataFrame([(123, text + "\n" * 10)], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
-    got = QUERIES["pointer_validation_all_pages"](spark, f"{tmp_path}/b").first()
-    assert got["error"] == "excerpt not on page"  # of 4 pages the last, with an excerpt of the first
+    rows = [(2, text), (1, text), (5, text), (6, text)]  # pages 3, 2, 3, 1 of 3
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["error"] for r in QUERIES["pointer_rules"](spark, str(tmp_path)).collect()} == {1: None, 2: None, 5: "bbox outside page bounds", 6: "bbox outside page bounds"}
+    spark.createDataFrame([(20, text), (8, "x"), (10, "one page")], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = {r["doc_id"]: r["error"] for r in QUERIES["pointer_rules"](spark, f"{tmp_path}/b").collect()}
+    assert got == {20: "excerpt not present in page text", 8: "excerpt not present in page text", 10: None}
