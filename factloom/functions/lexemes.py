@@ -253,7 +253,8 @@ def register_date(c: Column) -> Column:
 
 
 def valid_id(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^[A-Za-z0-9_.\-]{1,200}$"), F.lit(False))
+    """Whether it is an id of a document or case as a whole: a letter or digit, then up to 199 of those, `_` and `-`."""
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,199}\z"), F.lit(False))
 
 
 def schedule_months(c: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import lexemes as L
 from factloom.operators import documents, metrics
 from factloom.operators.review import GOLD, first_error, latest
 
@@ -36,7 +37,7 @@ def pointer_error(p: dict[str, Column]) -> Column:
     inside = (at(0) >= 0) & (at(0) < at(2)) & (at(2) <= p["width"] * 1.02) & (at(3) >= 0) & (at(3) < at(1)) & (at(1) <= p["height"] * 1.02)
     said = F.contains(folded(p["page_text"]), folded(p["excerpt"]))
     return first_error(
-        (p["doc_id"].rlike("^[A-Za-z0-9][A-Za-z0-9_-]{0,199}$"), "document not found: invalid id"), (p["authorized"], "document not authorized for case"), (p["page"] >= 1, "page must be a positive integer"),
+        (L.valid_id(p["doc_id"]), "document not found: invalid id"), (p["authorized"], "document not authorized for case"), (p["page"] >= 1, "page must be a positive integer"),
         (box.isNull() | (F.size(box) == 4) & finite, "bbox must contain four finite numbers"), (p["sha"].isNull() | p["sha"].rlike("^[0-9a-f]{64}$"), "invalid sha256"), (p["doc_sha"].isNotNull(), "document not found"),
         (p["known_sha"].isNull() | (p["known_sha"] == p["doc_sha"]), "snapshot sha256 mismatch"), (p["sha"].isNull() | (p["sha"] == p["doc_sha"]), "sha256 mismatch vs source"), (p["width"].isNotNull(), "page out of range"),
         (box.isNull() | inside, "bbox outside page bounds"), (p["excerpt"].isNull() | (p["excerpt"] == "") | said, "excerpt not present in page text"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import lexemes as L
 from factloom.operators import classify as C
 from factloom.operators import link, reconcile, sampling
-from factloom.plans.registry import Tables, query
+from factloom.plans.registry import ORACLE_SQL, Tables, query
 
 
 @query("""
@@ -53,6 +53,15 @@ def classify_documents(t: Tables) -> DataFrame:
     return C.classify(_registry(t)).select("row_id", "role", "scope", "instrument_class", "confidence", F.array_join("signals", ",").alias("signals"), "family_key")
 
 
+@query(ORACLE_SQL["classify_documents"])
+def classify_records(t: Tables) -> DataFrame:
+    """The same rows, as records that were acquired, put into the classifier's form first."""
+    names = {"acquisition_surface": "surface", "rol": "role_text", "registro_oficial": "register", "denominacion": "denomination", "numfol": "number"}
+    r = {k: F.col(v) for k, v in names.items()} | {"tipo_valor": F.lit(None).cast("string")}
+    d = _registry(t).select("row_id", C.document_of_record(r, F.col("text")).alias("d")).select("row_id", "d.*")
+    return C.classify(d).select("row_id", "role", "scope", "instrument_class", "confidence", F.array_join("signals", ",").alias("signals"), "family_key")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_linenumber % 2 = 0 THEN 'SUPPLEMENTS' ELSE 'MODIFIES' END AS relation FROM lineitem""")
 def lifecycle_edges(t: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import gold, layout
 from factloom.plans.registry import Tables, query
-from factloom.sources import published
+from factloom.sources import files, published
 from factloom.streaming import guard
 
 
@@ -123,6 +123,16 @@ def sealed_candidates(t: Tables) -> DataFrame:
     return published.sealed_error(d, seals).select("doc_id", "error")
 
 
+@query("""SELECT 'N' || doc_id AS name, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'missing' ELSE 'sha mismatch' END AS error FROM documents WHERE text IS NOT NULL AND (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0)""")
+def freeze_check(t: Tables) -> DataFrame:
+    """Frozen documents that are missing now, or have other bytes."""
+    k = F.col("doc_id")
+    d = t.documents.where("text is not null").select("doc_id", "text", F.concat(F.lit("p/"), k).alias("path"))
+    frozen = d.select(F.concat(F.lit("N"), k).alias("name"), F.when(k % 13 == 0, F.concat("path", F.lit("x"))).otherwise(F.col("path")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    now = d.where(k % 11 != 0).select("path", F.sha2(F.when(k % 7 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("sha256"))
+    return files.freeze_errors(frozen, now)
+
+
 _EV = "v AS (SELECT event_id, user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, CAST(round(value * 100) AS BIGINT) AS ts, CASE WHEN event_id % 29 = 0 THEN 'BOGUS' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'CASE_SUBMITTED' ELSE 'PDF_SEARCH' END AS kind, event_id % 2 = 0 AS ok FROM events)"
 
 

@@ -83,6 +83,20 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
+def digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, sha256) of all files below a folder whose names fit, by their paths within it: modules, manifests or documents that are frozen."""
+    root = path.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return files.select(F.substring_index(F.replace("path", F.lit("file:///"), F.lit("file:/")), root.removeprefix("file://") + "/", -1).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def freeze_errors(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """(name, error) of what is frozen (name, path, sha256) and is `missing` now (path, sha256), or has another digest (`sha mismatch`)."""
+    d = frozen.join(now.select("path", F.col("sha256").alias("_now")), "path", "left")
+    error = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("sha256"), "sha mismatch")
+    return d.select("name", error.alias("error")).where("error is not null")
+
+
 def write_sealed(rows: DataFrame, path: str, by: str) -> None:
     """Writes results as JSON, and beside them the digest of each file and what they were made by."""
     rows.write.json(f"{path}/results")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import lexemes as L
+
 POINTER = "CURRENT"
 OWN = "candidate_file_sha256"
 
@@ -118,8 +120,7 @@ def sealed_error(files: DataFrame, seals: DataFrame) -> DataFrame:
     seals: case_id, sha256. A file of no sealed case and one with other bytes are `candidate seal mismatch`; content that isn't what its own field declares, or
     another id within, is `candidate content seal mismatch`, also where the file's digest fits.
     """
-    valid = F.coalesce(F.col("case_id").rlike("^[A-Za-z0-9][A-Za-z0-9_-]{0,199}$"), F.lit(False))
     own = F.get_json_object("content", f"$.{OWN}").eqNullSafe(canonical_digest(F.col("content"))) & F.get_json_object("content", "$.case_id").eqNullSafe(F.col("case_id"))
     d = files.join(seals.select("case_id", F.col("sha256").alias("_sealed")), "case_id", "left")
-    error = F.when(~valid, "invalid case id").when(~F.coalesce(F.col("_sealed") == F.sha2("content", 256), F.lit(False)), "candidate seal mismatch").when(~own, "candidate content seal mismatch")
+    error = F.when(~L.valid_id(F.col("case_id")), "invalid case id").when(~F.coalesce(F.col("_sealed") == F.sha2("content", 256), F.lit(False)), "candidate seal mismatch").when(~own, "candidate content seal mismatch")
     return d.withColumn("error", error).drop("_sealed")

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import lexemes as L
 from factloom.operators import documents, gold, graphs, metrics
 from factloom.sources import files, published
 from factloom.streaming import guard
@@ -220,3 +221,22 @@ def test_stream_equals_batch(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     batch = guard.judged(spark.createDataFrame(rows, KINDS)).select("key", "seq", "kind", "ts", "verdict")
     assert sorted(map(str, map(tuple, out.select(batch.columns).collect()))) == sorted(map(str, map(tuple, batch.collect())))
+
+
+@pytest.mark.parametrize(("text", "want"), [("A", True), ("a_-9", True), ("a" * 200, True), ("a" * 201, False), ("", False), (None, False), ("-a", False), ("_a", False), ("a.b", False), ("a\n", False), ("é", False)])
+def test_valid_id(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(L.valid_id(F.col("t")).alias("v")).first()["v"] is want
+
+
+def test_frozen_modules(spark, tmp_path):
+    (tmp_path / "m" / "deep").mkdir(parents=True)
+    for name in ("a.py", "deep/b.py", "deep/c.txt"):
+        (tmp_path / "m" / name).write_text(name)
+    frozen = files.digests(spark, f"file://{tmp_path}/m", "*.py").withColumn("name", F.col("path"))
+    rows = {r["path"]: r["sha256"] for r in frozen.collect()}
+    assert rows == {n: hashlib.sha256(n.encode()).hexdigest() for n in ("a.py", "deep/b.py")}
+    frozen = spark.createDataFrame([(k, k, v) for k, v in rows.items()], "name string, path string, sha256 string")
+    assert files.freeze_errors(frozen, files.digests(spark, f"file://{tmp_path}/m")).isEmpty()
+    (tmp_path / "m" / "a.py").write_text("changed")
+    (tmp_path / "m" / "deep" / "b.py").unlink()
+    assert {r["name"]: r["error"] for r in files.freeze_errors(frozen, files.digests(spark, f"{tmp_path}/m")).collect()} == {"a.py": "sha mismatch", "deep/b.py": "missing"}
