@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.stretches import WIDTH, neighbours, running_max
+
 # Kinds of events, and statuses of gold units that are scored.
 EVENTS = (
     "CASE_OPENED", "CASE_PAUSED", "CASE_RESUMED", "CASE_SUBMITTED", "FOCUS_LOST", "FOCUS_GAINED", "DOCUMENT_OPENED", "GRAPH_EDGE_FOLLOWED", "EVIDENCE_JUMP", "PDF_SEARCH", "CANDIDATE_CONFIRMED", "CANDIDATE_REJECTED",
@@ -20,31 +25,34 @@ def latest(log: DataFrame, order: str, *key: str) -> DataFrame:
     return log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*key, "r.*")
 
 
-def active_seconds(events: DataFrame, kind: str, ts: str, order: str, *key: str, now: Column | None = None) -> DataFrame:
+def active_seconds(events: DataFrame, kind: str, ts: str, order: str, *key: str, now: Column | None = None, width: int = WIDTH) -> DataFrame:
     """Microseconds between openers and the closers that follow; an open end lasts until `now`, by default the key's last event.
 
-    Runs of events of one side count as their first.
+    Runs of events of one side count as their first. `order` is an integer.
     """
-    w = Window.partitionBy(*key).orderBy(order)
     side = F.when(F.col(kind).isin(*OPEN), 1).when(F.col(kind).isin(*CLOSE), 0)
-    d = events.withColumn("_last", F.max(ts).over(Window.partitionBy(*key))).withColumn("_side", side).where("_side is not null")
-    d = d.withColumn("_was", F.lag("_side").over(w)).where("_was is null or _was <> _side").withColumn("_next", F.lead(ts).over(w)).where("_side = 1")
-    end = F.coalesce("_next", now if now is not None else F.col("_last"))
-    return d.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), F.unix_micros(end) - F.unix_micros(ts))).alias("active_us"), F.count("*").alias("n_intervals"))
+    d = neighbours(events.select(*key, ts, order, side.alias("_side")).where("_side is not null"), F.col("_side"), order, *key, width=width)
+    d = neighbours(d.where("_was is null or _was <> _side").drop("_was", "_next"), F.col(ts), order, *key, width=width).where("_side = 1")
+    lasted = lambda end: F.greatest(F.lit(0), F.unix_micros(end) - F.unix_micros(ts))
+    spent = d.groupBy(*key).agg(F.sum(F.when(F.col("_next").isNotNull(), lasted("_next"))).alias("_closed"), F.max(F.when(F.col("_next").isNull(), F.col(ts))).alias("_open"), F.count("*").alias("n_intervals"))
+    last = events.groupBy(*(F.col(c).alias("_k_" + c) for c in key)).agg(F.max(ts).alias("_last"))
+    d = spent.join(last, reduce(and_, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in key]))
+    end = F.greatest(F.lit(0), F.unix_micros(now if now is not None else F.col("_last")) - F.unix_micros("_open"))
+    return d.select(*key, (F.coalesce("_closed", F.lit(0)) + F.coalesce(end, F.lit(0))).cast("long").alias("active_us"), "n_intervals")
 
 
-def timing_status(events: DataFrame, kind: str, ts: str, order: str, *key: str, most_s: float = 300) -> DataFrame:
-    """INVALID_TIMING where a pause isn't followed by an opener or a submission within `most_s`."""
-    w = Window.partitionBy(*key).orderBy(order)
-    d = events.where(F.col(kind).isin(*OPEN, *CLOSE)).withColumns({"_pause": F.col(kind) == "CASE_PAUSED", "_was": F.coalesce(F.lag(kind).over(w) == "CASE_PAUSED", F.lit(False))})
-    d = d.where(~(F.col("_pause") & F.col("_was"))).withColumn("_gap", F.when(F.col("_pause"), F.lead(ts).over(w).cast("double") - F.col(ts).cast("double")))
-    return d.groupBy(*key).agg(F.when(F.coalesce(F.max("_gap"), F.lit(0.0)) > most_s, "INVALID_TIMING").otherwise("VALID").alias("timing"), F.max("_gap").alias("longest_pause"))
+def timing_status(events: DataFrame, kind: str, ts: str, order: str, *key: str, most_s: float = 300, width: int = WIDTH) -> DataFrame:
+    """INVALID_TIMING where a pause isn't followed by an opener or a submission within `most_s`. `order` is an integer."""
+    d = events.where(F.col(kind).isin(*OPEN, *CLOSE)).select(*key, ts, order, (F.col(kind) == "CASE_PAUSED").alias("_pause"))
+    d = neighbours(d, F.col("_pause"), order, *key, width=width)
+    d = neighbours(d.where(~(F.col("_pause") & F.coalesce("_was", F.lit(False)))).drop("_was", "_next"), F.col(ts), order, *key, width=width)
+    gap = F.when(F.col("_pause"), F.col("_next").cast("double") - F.col(ts).cast("double"))
+    return d.groupBy(*key).agg(F.when(F.coalesce(F.max(gap), F.lit(0.0)) > most_s, "INVALID_TIMING").otherwise("VALID").alias("timing"), F.max(gap).alias("longest_pause"))
 
 
-def order_violations(events: DataFrame, ts: str, order: str, *key: str) -> DataFrame:
-    """Events earlier than the one before them in the log."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return events.withColumn("_before", F.lag(ts).over(w)).where(F.col("_before") > F.col(ts)).drop("_before")
+def order_violations(events: DataFrame, ts: str, order: str, *key: str, width: int = WIDTH) -> DataFrame:
+    """Events earlier than the one before them in the log. `order` is an integer."""
+    return neighbours(events, F.struct(F.col(ts).alias("ts")), order, *key, width=width).where(F.col("_was.ts") > F.col(ts)).drop("_was", "_next")
 
 
 def first_error(*checks: tuple[Column, str]) -> Column:
@@ -90,13 +98,12 @@ def masked(cases: DataFrame, mode: str, *hidden: str) -> DataFrame:
     return cases.withColumns({c: F.when(F.col(mode) != "MANUAL", F.col(c)) for c in hidden})
 
 
-def event_errors(events: DataFrame, kind: str, ts: str, order: str, *key: str, submitted: str = "CASE_SUBMITTED") -> DataFrame:
-    """Adds `error` to a log: a kind that doesn't exist, an event after the submission, or one earlier than the event before it."""
-    w = Window.partitionBy(*key).orderBy(order)
-    after = F.max(F.col(kind) == submitted).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = events.withColumns({"_after": after, "_before": F.lag(ts).over(w)})
-    error = first_error((F.col(kind).isin(*EVENTS), "unknown event type"), (~F.coalesce("_after", F.lit(False)), "review already submitted"), (F.coalesce(F.col(ts) >= F.col("_before"), F.lit(True)), "earlier than the event before"))
-    return d.withColumn("error", error).drop("_after", "_before")
+def event_errors(events: DataFrame, kind: str, ts: str, order: str, *key: str, submitted: str = "CASE_SUBMITTED", width: int = WIDTH) -> DataFrame:
+    """Adds `error` to a log: a kind that doesn't exist, an event after the submission, or one earlier than the event before it. `order` is an integer."""
+    d = running_max(events, {"_after": F.col(kind) == submitted}, order, *key, width=width)
+    d = neighbours(d, F.struct(F.col(ts).alias("ts")), order, *key, width=width)
+    error = first_error((F.col(kind).isin(*EVENTS), "unknown event type"), (~F.coalesce("_after", F.lit(False)), "review already submitted"), (F.coalesce(F.col(ts) >= F.col("_was.ts"), F.lit(True)), "earlier than the event before"))
+    return d.withColumn("error", error).drop("_after", "_was", "_next")
 
 
 def candidate_errors(decisions: DataFrame, candidates: DataFrame, takes: dict[str, tuple[str, ...]]) -> DataFrame:

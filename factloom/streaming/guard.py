@@ -13,31 +13,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from factloom.operators.review import EVENTS
+from factloom.operators.stretches import WIDTH, running_max
 
 SUBMIT = "CASE_SUBMITTED"
 UNKNOWN, SUBMITTED, EARLIER, BROKEN = "unknown event_type", "review already submitted", "event timestamp precedes previous event", "BROKEN_EVIDENCE"
 OUT = "key {key}, seq long, kind string, ts long, verdict string"
 
 
-def judged(events: DataFrame, key: str = "key") -> DataFrame:
+def judged(events: DataFrame, key: str = "key", width: int = WIDTH) -> DataFrame:
     """Adds `verdict` to events (key, seq, kind, ts, evidence_ok); repeated rows of a place are one."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     d = events.dropDuplicates([key, "seq"])
     known = F.col("kind").isin(*EVENTS)
-    d = d.withColumn("_last", F.max(F.when(known, F.col("ts"))).over(w))  # refused ones are earlier, so they never are the latest
+    d = running_max(d, {"_last": F.when(known, F.col("ts"))}, "seq", key, width=width)  # refused ones are earlier, so they never are the latest
     early = F.coalesce(F.col("ts") < F.col("_last"), F.lit(False))
     whole = F.coalesce("evidence_ok", F.lit(True))
-    d = d.withColumn("_sent", F.coalesce((F.col("kind") == SUBMIT) & ~early & whole, F.lit(False))).withColumn("_done", F.coalesce(F.max("_sent").over(w), F.lit(False)))
+    d = running_max(d, {"_done": F.coalesce((F.col("kind") == SUBMIT) & ~early & whole, F.lit(False))}, "seq", key, width=width).withColumn("_done", F.coalesce("_done", F.lit(False)))
     verdict: Column = (
         F.when(~F.coalesce(known, F.lit(False)), UNKNOWN).when(F.col("_done"), F.when(F.col("kind") == SUBMIT, "REPEATED").otherwise(SUBMITTED))
         .when(early, EARLIER).when((F.col("kind") == SUBMIT) & ~whole, BROKEN).otherwise("ACCEPTED")
     )
-    return d.withColumn("verdict", verdict).drop("_last", "_sent", "_done")
+    return d.withColumn("verdict", verdict).drop("_last", "_done")
 
 
 class Guard(StatefulProcessor):
