@@ -104,11 +104,13 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
         if r["size"] <= left.setdefault(r["_by"], LETTERS):
             left[r["_by"]] -= r["size"]
             chosen.append((r["_by"], r["id"], r["print"]))
-    # of a language whose sampled rows are all longer, the shortest is learned from, up to LETTERS of its characters
-    short = src.where("size > 0").groupBy("lang").agg(F.min(F.struct("size", "print")).alias("s"), F.min("size").alias("least")).where(F.col("least") > LETTERS)
-    few = [(r["lang"], r["s"]["print"]) for r in short.collect()]  # LANGUAGES rows at most
-    few = docs.sparkSession.createDataFrame(few, f"lang {dict(src.dtypes)['lang']}, print long") if few else None
-    long = src.join(F.broadcast(few), ["lang", "print"]).groupBy("lang").agg(F.first(F.left("text", F.lit(LETTERS))).alias("text")).collect() if few is not None else []
+    # of a language whose sampled rows are all longer, the shortest row is learned from, up to LETTERS of its characters
+    long = []
+    if lacking := sorted(left.keys() - {k for k, *_ in chosen}):
+        d = src.where((F.col("size") > 0) & F.col("lang").isin(lacking))
+        few = [(r["lang"], r["s"]["print"]) for r in d.groupBy("lang").agg(F.min(F.struct("size", "print")).alias("s")).collect()]
+        few = docs.sparkSession.createDataFrame(few, f"lang {dict(src.dtypes)['lang']}, print long")
+        long = src.join(F.broadcast(few), ["lang", "print"]).groupBy("lang").agg(F.first(F.left("text", F.lit(LETTERS))).alias("text")).collect()
     by: dict[str, list[str]] = {}
     keys = docs.sparkSession.createDataFrame(chosen, f"lang {dict(src.dtypes)['lang']}, id {dict(src.dtypes)['id']}, print long")  # DOCS a language at most
     order = {k: i for i, k in enumerate(chosen)}
