@@ -50,14 +50,25 @@ def filtered(rows: DataFrame, h: Column, members: DataFrame, member_h: Column) -
     """(rows whose hash may be one of the members', rows whose hash is none), without a shuffle of the rows.
 
     The members' hashes are bits of WORDS words, so the filter has at most that many rows, whatever the input; where members are
-    more than the bits, it lets most rows through and is of no use, but never wrong. Rows go as one struct, so their columns may
-    have any names.
+    more than the bits, it lets most rows through and is of no use, but never wrong. The rows' columns may have
+    any names.
     """
     bits = members.select(F.pmod(member_h, F.lit(WORDS * 64)).alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    d = rows.select(F.struct("*").alias("row"), F.pmod(h, F.lit(WORDS * 64)).alias("slot")).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(words), "word", "left")
+    own = _numbered(rows, {"slot": F.pmod(h, F.lit(WORDS * 64))})
+    d = own.withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(words), "word", "left")
     hit = F.expr("coalesce(shiftright(bits, cast(slot & 63 as int)) & 1L, 0L) = 1L")
-    return d.where(hit).select("row.*"), d.where(~hit).select("row.*")
+    return _named(d.where(hit), rows), _named(d.where(~hit), rows)
+
+
+def _numbered(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """The columns as c0, c1, ..., whatever they were called, and more columns beside them."""
+    return rows.select("*", *more.values()).toDF(*(f"c{i}" for i in range(len(rows.columns))), *more)
+
+
+def _named(d: DataFrame, rows: DataFrame) -> DataFrame:
+    """Only the numbered columns, under the names that they have in `rows`."""
+    return d.select(*(f"c{i}" for i in range(len(rows.columns)))).toDF(*rows.columns)
 
 
 def text_key(text: Column) -> Column:
@@ -77,8 +88,8 @@ def kept_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text
     """
     v = verdicts.groupBy("doc_id", "text_key").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
     v = table(v.select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), "stays"), "verdicts")
-    own = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))  # whatever the columns of docs are called
+    own = _numbered(docs, {"id": F.col(id_col), "key": text_key(F.col(text_col))})  # whatever the columns of docs are called
     maybe, others = filtered(own, row_hash(F.col("id"), F.col("key")), v, row_hash(F.col("v_id"), F.col("v_key")))
     judged = maybe.join(v.hint("merge"), (F.col("key") == F.col("v_key")) & F.col("id").eqNullSafe(F.col("v_id")), "left")
     once = judged.where("stays").dropDuplicates(["id", "key"])
-    return others.select("doc.*").unionByName(judged.where("stays is null").select("doc.*")).unionByName(once.select("doc.*"))
+    return _named(others, docs).unionByName(_named(judged.where("stays is null"), docs)).unionByName(_named(once, docs))
