@@ -110,7 +110,7 @@ def norm_date(c: Column) -> Column:
     iso = lambda y, m, d: F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
     words = r"(?iu)(\d{1,2})\s+(?:de[l]?\s+)?([A-Za-záéíóú]+)\s+(?:de[l]?\s+)?(\d{4})"
     names = F.create_map(*[F.lit(x) for table in (MONTHS_EN, MONTHS_ES) for i, n in enumerate(table) for x in (n, str(i + 1))])
-    written = let(_groups(s, words, 3), lambda g: let(F.try_element_at(names, F.regexp_replace(F.lower(g[1]), "[^a-z]", "")), lambda month: F.when(month.isNotNull(), iso(g[2], month, g[0]))))
+    written = let(_groups(s, words, 3), lambda g: let(let(F.regexp_replace(F.lower(g[1]), "[^a-z]", ""), lambda name: F.try_element_at(names, name)), lambda month: F.when(month.isNotNull(), iso(g[2], month, g[0]))))
     return F.when(s.rlike(digits), let(_groups(s, digits, 3), lambda g: F.when(g[1].cast("int") <= 12, iso(g[2], g[1], g[0])))).otherwise(written)
 
 

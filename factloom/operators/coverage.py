@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.lexemes import let
 from factloom.operators import metrics
 
 ODD = "odd"  # key of values whose letters can't be told here
@@ -26,7 +27,7 @@ def _numbers(text: Column) -> Column:
 def _date(text: Column) -> Column:
     """Year, month and day of a text that opens with a date, as it is written."""
     part = lambda p, *groups: F.when(text.rlike(p), F.concat_ws("-", *(F.lpad(F.regexp_extract(text, p, g) if isinstance(g, int) else g, n, "0") for g, n in zip(groups, (4, 2, 2), strict=True))))
-    month = lambda p, g: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv)), F.regexp_extract(text, p, g)), F.lit("00"))
+    month = lambda p, g: F.coalesce(let(F.regexp_extract(text, p, g), lambda name: F.try_element_at(F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv)), name)), F.lit("00"))
     worded, english = r"^(\d{1,2})(?: de)? ([a-z]+)(?: de)? (\d{4})\b", r"^([a-z]+) (\d{1,2}),? (\d{4})\b"
     return F.coalesce(part(r"^(\d{4})-(\d{1,2})-(\d{1,2})\b", 1, 2, 3), part(worded, 3, month(worded, 2), 1), part(english, 3, month(english, 1), 2), part(r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})\b", 3, 2, 1))
 
@@ -39,7 +40,7 @@ def keys(value: Column) -> Column:
     """
     text = F.lower(F.trim(F.regexp_replace(value, r"\s+", " ")))
     number = F.replace(F.trim(value), F.lit(","), F.lit(".")).try_cast("double")
-    code = F.try_element_at(F.create_map(*(F.lit(x) for name, code in metrics._CODES.items() for x in (name, code))), text)
+    code = let(text, lambda name: F.try_element_at(F.create_map(*(F.lit(x) for kv in metrics._CODES.items() for x in kv)), name))  # a lookup is rewritten to comparisons, of which each would work its key out
     letters = F.nullif(F.regexp_replace(text, "[^a-z0-9]", ""), F.lit(""))
     shape = F.when(text.startswith("["), "list").when(text.startswith("{"), "object")
     scalar = F.array(F.concat(F.lit("n"), (number + 0.0).cast("string")), F.concat(F.lit("d"), _date(text)), F.concat(F.lit("c"), code), F.concat(F.lit("l"), letters), F.concat(F.lit("s"), F.array_join(F.transform(_numbers(value), lambda x: x.cast("string")), ",")))

@@ -7,6 +7,7 @@ blocks and one over the rows, each with the span of blocks that it depends on; a
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,9 +103,59 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), BULLETS, "")
 
 
-def _parts(d: DataFrame, text: str) -> DataFrame:
-    """Adds sep and value of a labelled text, without those that go on as prose."""
-    d = d.withColumns({"sep": F.expr(f"regexp_extract({text}, rx, 1)"), "value": F.trim(F.expr(f"regexp_extract({text}, rx, 2)"))})
+def _heads(label: str) -> set[str] | None:
+    """The first two characters that a text of a label can have, those that are ASCII in lower case; None if its pattern doesn't tell."""
+    one = r"(\[[^\]\\^-]+\]|[^\W\d_])"
+    m, rest = re.match(rf"(?:\\b)?{one}{one}(?![?*+{{])", label), label
+    while (less := re.sub(r"\((?:[^()\\]|\\.)*\)", "", rest)) != rest:
+        rest = less
+    return {(a + b).lower() for a in m[1].strip("[]") for b in m[2].strip("[]") if (a + b).isascii()} if m and "|" not in rest else None
+
+
+def _may_open(text: Column, rules: dict[str, Rule]) -> Column:
+    """A bit for each rule of which a label may open the text, by its first two characters after numbers: a pattern is tried only where they fit."""
+    at: dict[str, int] = {}
+    own = [[_heads(x) for x in r.labels] for r in rules.values()]
+    any_ = sum(1 << i for i, hs in enumerate(own) if None in hs)
+    for i, hs in enumerate(own):
+        for h in set().union(*(h for h in hs if h)):
+            at[h] = at.get(h, any_) | 1 << i
+    every = F.lit(-1).cast("long")
+    if len(rules) > 62 or not at:
+        return every
+    known = F.create_map(*(x for h, b in at.items() for x in (F.lit(h), F.lit(b).cast("long"))))
+    bits = lambda h: F.when(h.rlike(r"[^\x00-\x7F]"), every).otherwise(F.coalesce(F.try_element_at(known, h), F.lit(any_).cast("long")))  # noqa: E731  # other letters may be forms of ASCII ones
+    return L.let(F.lower(F.regexp_extract(text, rf"(?ius)^{NUMBERING}(.{{0,2}})", 1)), bits)  # a lookup is rewritten to comparisons, of which each would work its key out
+
+
+def _labels(texts: list[Column], rules: dict[str, Rule]) -> Column:
+    """Array of field, which (the first of the texts that one of its labels opens), sep and value. Patterns are literals, so each is compiled once."""
+    facts = F.struct(*(t.alias(f"t{k}") for k, t in enumerate(texts)), *(_may_open(t, rules).alias(f"m{k}") for k, t in enumerate(texts)))
+
+    def of(x: Column) -> Column:
+        found = []
+        for i, (name, rule) in enumerate(rules.items()):
+            rx, c = pattern(rule), F
+            for k in range(len(texts)):
+                t = x[f"t{k}"]
+                hit = F.struct(F.lit(name).alias("field"), F.lit(k).alias("which"), F.regexp_extract(t, rx, 1).alias("sep"), F.trim(F.regexp_extract(t, rx, 2)).alias("value"))
+                c = c.when((x[f"m{k}"].bitwiseAND(F.lit(1 << min(i, 62)).cast("long") if len(rules) <= 62 else F.lit(-1).cast("long")) != 0) & t.rlike(rx), hit)
+            found.append(c)
+        return F.array_compact(F.array(*found))
+
+    return L.let(facts, of)
+
+
+def _is_label(text: Column, rules: dict[str, Rule]) -> Column:
+    """Whether a label of the row's field opens a text."""
+    c = F
+    for name, rule in rules.items():
+        c = c.when(F.col("field") == name, text.rlike(pattern(rule)))
+    return c
+
+
+def _parts(d: DataFrame) -> DataFrame:
+    """Values (sep, value) of labelled texts, without those that go on as prose."""
     longer = (F.col("sep") == "") & F.contains("value", F.lit(":"))
     prose = (F.col("sep") == "") & ~longer & F.col("value").rlike(r"""^['"‘“`]*\s*\p{Ll}""")
     return d.where(~prose).withColumns({"longer": longer, "value": F.when(longer, F.trim(F.regexp_replace("value", "^[^:]*:", ""))).otherwise(F.col("value"))})
@@ -137,20 +188,18 @@ def text_candidates(blocks: DataFrame, rules: dict[str, Rule] = RULES) -> DataFr
     d = b.select("doc_id", "ix", "text", F.array(*[F.lead(F.struct("ix", "text"), k).over(w) for k in (1, 2, 3, 4)]).alias("nexts"))
     d = d.select("*", F.posexplode(F.split("text", "[·•▪◦‣]")).alias("k", "part")).withColumn("part", _bare(F.col("part"))).where("part <> ''")
     d = d.withColumn("joined", F.when(F.get("nexts", 0).isNotNull(), F.concat("part", F.lit(" "), _bare(F.get("nexts", 0)["text"]))))
-    hit = lambda name, rx: F.when(F.col("part").rlike(rx), F.struct(F.lit(name).alias("field"), F.lit(False).alias("merged"))).when(F.col("joined").rlike(rx), F.struct(F.lit(name).alias("field"), F.lit(True).alias("merged")))
-    d = d.select("*", F.inline_outer(F.array_compact(F.array(*[hit(n, pattern(r)) for n, r in rules.items()])))).where("field is not null")  # outer: no filter is inferred that would match all labels twice
-    d = d.withColumns({"rx": _of_field({n: pattern(r) for n, r in rules.items()}), "labelled": F.when(F.col("merged"), F.col("joined")).otherwise(F.col("part"))})
-    d = _parts(d, "labelled").withColumn("value", F.when(F.col("merged") & F.col("value").endswith(":"), "").otherwise(F.col("value")))
+    d = d.select("*", F.inline_outer(_labels([F.col("part"), F.col("joined")], rules))).where("field is not null")  # outer: no filter is inferred that would match all labels twice
+    d = _parts(d.withColumn("merged", F.col("which") == 1)).withColumn("value", F.when(F.col("merged") & F.col("value").endswith(":"), "").otherwise(F.col("value")))
     d = d.withColumn("label", F.when(F.col("merged"), F.get("nexts", 0)).otherwise(F.struct("ix", "text")))
     following = F.filter(F.when(F.col("merged"), F.slice("nexts", 2, 3)).otherwise(F.slice("nexts", 1, 3)), lambda x: x.isNotNull() & (_bare(x["text"]) != ""))
-    stops = F.transform(following, lambda x: _bare(x["text"]).endswith(":") | F.rlike(_bare(x["text"]), F.col("rx")) | _bare(x["text"]).rlike(OTHER_LABEL))
+    stops = F.transform(following, lambda x: _bare(x["text"]).endswith(":") | _bare(x["text"]).rlike(OTHER_LABEL) | _is_label(_bare(x["text"]), rules))
     first = F.array_position(stops, True)
     free = F.when(first == 0, following).otherwise(F.slice(following, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")))
     one = lambda ix, raw, item, last: F.struct(ix.alias("ix"), raw.alias("raw"), item.alias("item"), last.alias("last"))
     own = F.col("label.ix")  # the last block of the label itself
     values = F.transform(free, lambda x: one(x["ix"], _bare(x["text"]), x["text"], x["ix"]))
     if "l" in blocks.columns:
-        d = table(d.withColumn("free", values).select("doc_id", "ix", "k", "field", "merged", "value", "label", "free"), "labels")
+        d = table(d.withColumn("free", F.when(F.col("value") == "", values)).select("doc_id", "ix", "k", "field", "merged", "value", "label", "free"), "labels")
         bare = d.where("value = ''")
         near = table(_beside(blocks, bare.select("doc_id", own.alias("ix")).unionByName(bare.where("merged").select("doc_id", "ix"))), "beside")
         for name, at in (("n0", F.when(F.col("merged"), F.col("d.ix"))), ("n1", F.col("label.ix"))):
@@ -171,10 +220,9 @@ def table_candidates(rows: DataFrame, rules: dict[str, Rule] = RULES) -> DataFra
     w = Window.partitionBy("doc_id", "table").orderBy("row")
     d = rows.select("*", F.array(F.lead("cells", 1).over(w), F.lead("cells", 2).over(w)).alias("nexts"))
     d = d.select("*", F.posexplode("cells").alias("col", "cell")).withColumn("cell", _bare(F.col("cell"))).where("cell <> ''")
-    d = d.withColumn("field", F.explode_outer(F.array_compact(F.array(*[F.when(F.col("cell").rlike(pattern(r)), F.lit(n)) for n, r in rules.items()])))).where("field is not null")
-    d = d.withColumn("rx", _of_field({n: pattern(r) for n, r in rules.items()})).withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "table", "field", F.lower(F.trim("cell"))))).where("times < 3")
-    d = _parts(d, "cell")
-    later = F.filter(F.slice("cells", F.col("col") + 2, F.size("cells")), lambda x: (F.coalesce(x, F.lit("")) != "") & ~F.rlike(x, F.col("rx")))
+    d = d.select("*", F.inline_outer(_labels([F.col("cell")], rules))).where("field is not null").withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "table", "field", F.lower(F.trim("cell"))))).where("times < 3")
+    d = _parts(d)
+    later = F.filter(F.slice("cells", F.col("col") + 2, F.size("cells")), lambda x: (F.coalesce(x, F.lit("")) != "") & ~_is_label(x, rules))
     filled = F.transform(F.filter("nexts", lambda r: r.isNotNull()), lambda r: F.filter(r, lambda x: F.coalesce(x, F.lit("")) != ""))
     parts = F.filter(filled, lambda r: F.coalesce(F.get(r, 0).rlike(ROW_BELOW), F.lit(False)))
     inline = F.when((F.col("value") != "") & (F.col("longer") | (F.col("sep") != "")), F.col("value"))
@@ -210,13 +258,16 @@ def observed(candidates: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame
     raw, item, kind = F.trim("raw"), F.col("item"), F.col("kind")
     guard = (F.col("raw") != "") & ~F.col("raw").rlike(PHRASE) & ~(F.col("raw").rlike(TEMPLATE) & ~F.col("raw").rlike(r"\d")) & ~F.col("raw").rlike(LABEL_PART)
     d = candidates.where(guard).withColumn("kind", _of_field({n: r.kind for n, r in rules.items()}))
-    percent = _plain(L.norm_percent(raw))
-    money = L.let(L.norm_money(raw), lambda m: F.when(m.isNotNull(), F.concat_ws("|", _plain(m["amount"]), m["currency"])))
-    normal = (
-        F.when(kind == "isin", F.coalesce(L.found(raw, L.ISIN), L.found(item, L.ISIN))).when(kind == "currency", L.norm_currency(raw)).when(kind == "date", L.norm_date(raw)).when(kind == "money", money).when(kind == "percent", percent)
-        .when(kind == "benchmark", F.coalesce(L.norm_benchmark(raw), L.norm_benchmark(item))).when(kind == "spread", _plain(L.norm_spread(raw))).when(kind == "frequency", L.norm_frequency(raw)).when(kind == "dates_or_text", L.or_raw(L.norm_date(raw), raw))
-        .when(kind == "text_or_percent", L.or_raw(percent, raw)).when(kind == "ranking", L.norm_ranking(raw)).when(kind == "subordination", L.norm_subordination(raw)).when(kind == "applicability", L.norm_applicability(raw)).otherwise(raw)
-    )
+    def normal_of(raw: Column, item: Column, kind: Column) -> Column:
+        percent = _plain(L.norm_percent(raw))
+        money = L.let(L.norm_money(raw), lambda m: F.when(m.isNotNull(), F.concat_ws("|", _plain(m["amount"]), m["currency"])))
+        return (
+            F.when(kind == "isin", F.coalesce(L.found(raw, L.ISIN), L.found(item, L.ISIN))).when(kind == "currency", L.norm_currency(raw)).when(kind == "date", L.norm_date(raw)).when(kind == "money", money).when(kind == "percent", percent)
+            .when(kind == "benchmark", F.coalesce(L.norm_benchmark(raw), L.norm_benchmark(item))).when(kind == "spread", _plain(L.norm_spread(raw))).when(kind == "frequency", L.norm_frequency(raw)).when(kind == "dates_or_text", L.or_raw(L.norm_date(raw), raw))
+            .when(kind == "text_or_percent", L.or_raw(percent, raw)).when(kind == "ranking", L.norm_ranking(raw)).when(kind == "subordination", L.norm_subordination(raw)).when(kind == "applicability", L.norm_applicability(raw)).otherwise(raw)
+        )
+
+    normal = L.let(F.struct(raw.alias("raw"), "item", "kind"), lambda x: normal_of(x["raw"], x["item"], x["kind"]))  # beside the generated code, which would be too long to be compiled
     named = F.when(L.is_na(raw), "explicit_na").when(raw.rlike(REFERENCE), "cross_reference")
     d = d.select("*", F.explode(F.array(named)).alias("class"))
     d = d.select("*", F.explode_outer(F.array(F.when(F.col("class").isNull(), normal))).alias("normal"))  # a generator, so the filter isn't pushed below it and normal forms are worked out once

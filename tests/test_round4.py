@@ -9,3 +9,18 @@ def test_lines_beyond_the_fifth_have_no_field(spark):
     """Whatever order the filters run in: the field alone, without one on the line's number."""
     got = spark.range(1, 8).select("id", metric_plans._extracted(F.col("id"))["field"].alias("f")).where("f is not null").collect()
     assert sorted(r["id"] for r in got) == [1, 2, 3, 4, 5]
+
+
+def test_labels_by_their_first_letters(spark):
+    """Patterns are tried only where a label's first two letters fit, and find what trying each of them finds."""
+    from factloom.operators import extract
+
+    texts = ["ISIN: XS1", "(a) Issue Date: 1/2/2020", "12. Código ISIN ES1", "b) Índice de referencia: x", "ıssue date: x", "Status of the Noteſ: Senior", "ſtrike Price: 5", "€STR", "Interest Basis: Fixed", "Nothing", "", "I", " (iv) Rate of Interest 5", "ÍNDICE DE REFERENCIA", "Tipo de interés: 5%", "3 Cap: 4", "margin: x", "Knock-in Barrier: 60%"]
+    rules = extract.RULES
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", extract._labels([F.col("t")], rules).alias("x"), F.array_compact(F.array(*(F.when(F.col("t").rlike(extract.pattern(r)), F.struct(F.lit(n).alias("field"), F.regexp_extract("t", extract.pattern(r), 1).alias("sep"), F.trim(F.regexp_extract("t", extract.pattern(r), 2)).alias("value"))) for n, r in rules.items()))).alias("want"), F.bit_count(extract._may_open(F.col("t"), rules)).alias("tried"))
+    rows = d.collect()
+    for r in rows:
+        assert [(x["field"], x["sep"], x["value"]) for x in r["x"]] == [tuple(x) for x in r["want"]], r["t"]
+    assert sum(len(r["x"]) for r in rows) > 12
+    assert all(r["tried"] <= 8 for r in rows if r["t"].isascii())
+    assert extract._heads("Ab?c") is None and extract._heads("Ab|Cd") is None and extract._heads(r"\b[CD]ode(?:x|y)") == {"co", "do"}
