@@ -12,21 +12,40 @@ EXPECTED = {"FINAL_TERMS": ("BASE_PROSPECTUS", "ADMISSION"), "ISSUE_DOC": ("ADMI
 LONGEST = 200  # characters of an id
 
 
+HOT = 1024  # a family with more than so small a part of all rows is hot; there can't be more of them
+
+
+def _hot(rows: DataFrame) -> list:
+    """Families with more than a HOT-th of the rows: HOT at most."""
+    sizes = rows.where("family is not null").groupBy("family").agg(F.count("*").alias("n"))
+    few = sizes.join(F.broadcast(sizes.agg(F.sum("n").alias("all"))), F.col("n") * HOT > F.col("all"))
+    return [r["family"] for r in few.select("family").collect()]
+
+
+def _by_family(rows: DataFrame, facts: DataFrame, hot: list, how: str = "inner") -> DataFrame:
+    """rows joined with facts (one row a family): those of hot families by broadcast of their few facts, so that no task gets a whole one, all others by shuffle."""
+    if not hot:
+        return rows.join(facts, "family", how)
+    is_hot = F.coalesce(F.col("family").isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), "family", how).unionByName(rows.where(~is_hot).join(facts, "family", how))
+
+
 def _role_of(cand_type: Column) -> Column:
     """The role that a candidate's type looks for."""
     return F.when(cand_type.startswith("base"), "BASE_PROSPECTUS").when(cand_type.startswith("final"), "FINAL_TERMS")
 
 
-def targets_by_number(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+def targets_by_number(nodes: DataFrame, asked: DataFrame, hot: list | None = None) -> DataFrame:
     """Adds `target` to asked (family, role, number, source): of the family's nodes of the role whose id holds the number, but for the source, the last.
 
     nodes: family, id, role, ordinal. The index has each piece of an id that is as long as a number asked for in its family, with the
     last two nodes that have it: a number is looked up by equality, so no family is paired with itself, however large it is.
     """
+    hot = _hot(nodes) if hot is None else hot
     sizes = asked.where(F.length("number").between(1, LONGEST)).groupBy("family").agg(F.collect_set(F.length("number")).alias("sizes"))  # at most LONGEST of them
     ids = nodes.where(F.col("role").isin("BASE_PROSPECTUS", "FINAL_TERMS")).groupBy("family", "role", "id").agg(F.max("ordinal").alias("ordinal"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("id") - n + 1, F.lit(1))), lambda i: F.substring(F.col("id"), i, n))
-    pieces = ids.join(sizes, "family").select("family", "role", "id", "ordinal", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("id")), cut)))).alias("number"))
+    pieces = _by_family(ids, sizes, hot).select("family", "role", "id", "ordinal", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("id")), cut)))).alias("number"))
     top = Window.partitionBy("family", "role", "number").orderBy(F.desc("ordinal"), F.desc("id"))
     last = pieces.withColumn("_k", F.row_number().over(top)).where("_k <= 2")  # kept to two before the shuffle as well
     index = last.groupBy("family", "role", "number").agg(F.max(F.when(F.col("_k") == 1, F.col("id"))).alias("_last"), F.max(F.when(F.col("_k") == 2, F.col("id"))).alias("_other"))
@@ -41,9 +60,10 @@ def family_edges(records: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     p = predictions.where("decision <> 'NO_LINK'").join(records.select(F.col("id").alias("source"), "family").distinct(), "source")
     p = p.withColumns({"role": _role_of(F.col("cand_type")), "number": F.col("cand_number")})
-    d = targets_by_number(records.select("family", "id", "role", "ordinal"), p)
+    hot = _hot(records)
+    d = targets_by_number(records.select("family", "id", "role", "ordinal"), p, hot)
     base = records.where("role = 'BASE_PROSPECTUS'").groupBy("family").agg(F.min_by("id", "ordinal").alias("_base"))
-    d = d.join(base, "family", "left").withColumn("target", F.coalesce("target", F.when(F.col("cand_type") == "family", F.col("_base")))).where("target is not null")
+    d = _by_family(d, base, hot, "left").withColumn("target", F.coalesce("target", F.when(F.col("cand_type") == "family", F.col("_base")))).where("target is not null")
     return d.select("family", "source", "target", F.coalesce(F.nullif("relation", F.lit("")), F.lit("RELATES_TO")).alias("relation"), F.col("decision").alias("state"), "rule_id")
 
 
@@ -54,7 +74,8 @@ def family_status(cases: DataFrame, records: DataFrame, edges: DataFrame) -> Dat
     """
     own = records.groupBy("family").agg(F.count("*").alias("n_nodes"), F.collect_set("role").alias("_roles"))  # a few roles
     links = edges.groupBy("family").agg(F.count("*").alias("n_edges"), F.count_if(F.col("state") == "REVIEW_REQUIRED").alias("n_review"))
-    d = cases.select("doc_id").join(records.select(F.col("id").alias("doc_id"), "family", "role"), "doc_id", "left").join(own, "family", "left").join(links, "family", "left")
+    d = cases.select("doc_id").join(records.select(F.col("id").alias("doc_id"), "family", "role"), "doc_id", "left")
+    d = _by_family(d, own.join(links, "family", "left"), _hot(records), "left")  # cases of no family are not hot
     wanted = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in EXPECTED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("role")), F.array().cast("array<string>"))
     missing = F.when(F.col("family").isNull(), F.array(F.lit("FAMILY_UNKNOWN"))).otherwise(F.array_except(wanted, F.col("_roles")))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

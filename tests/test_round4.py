@@ -24,3 +24,17 @@ def test_labels_by_their_first_letters(spark):
     assert sum(len(r["x"]) for r in rows) > 12
     assert all(r["tried"] <= 8 for r in rows if r["t"].isascii())
     assert extract._heads("Ab?c") is None and extract._heads("Ab|Cd") is None and extract._heads(r"\b[CD]ode(?:x|y)") == {"co", "do"}
+
+
+def test_hot_families_are_joined_by_broadcast(spark):
+    """A family with most rows goes to no single task; families that are NULL or absent stay as a plain join leaves them."""
+    from factloom.operators import graphs
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 2500, -1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).cast("long").alias("family"))
+    facts = rows.where("family is not null and family % 3 <> 0").select("family").distinct().withColumn("x", F.col("family") * 2)
+    hot = graphs._hot(rows)
+    assert hot == [-1]
+    for how in ("inner", "left"):
+        got = sorted((r["id"], r["family"], r["x"]) for r in graphs._by_family(rows, facts, hot, how).collect())
+        assert got == sorted((r["id"], r["family"], r["x"]) for r in rows.join(facts, "family", how).select("id", "family", "x").collect())
+    assert graphs._hot(rows.where("id < 0")) == []
