@@ -2,14 +2,14 @@
 
 Scores are whole-number inner products of anchors with rows. Both matrices are sharded: rows in blocks of about ROWS, anchors
 in blocks of about ANCHORS, and their dimensions in chunks of CHUNK. A shard goes to each tile (i, j) of its block row or block column, as in
-SUMMA; tile and chunk together are the key of an equi-join, and each match multiplies two shards into a partial tile of
-int64 scores. Partial tiles are shuffled to their tile and added there as they stream in, so a task holds two tiles. An
-added tile is reduced at once to a few rows for each anchor, and the last choice among the tiles is a window by anchor.
+SUMMA, in the least whole numbers that hold it. At their tile shards come in order of their chunks: each pair is multiplied and
+added as it streams in, so a task holds two tiles, and no score is shuffled or written. An added tile is reduced at once to a few
+rows for each anchor, and the last choice among the tiles is a window by anchor.
 
 There are two such products. In the first, blocks hold one label each, and an anchor block meets the blocks of its own label
 only: it gives the positives. In the second, all anchors, which now carry their windows of scores, meet all rows. Labels with
 many rows have many blocks, so no label is gathered anywhere. The number of scores is anchors times rows, as the operator asks,
-and none is written but for the shuffle of partial tiles.
+and what is shuffled for them are shards: a row once for each block of anchors, an anchor once for each block of rows.
 
 Rows with a null label, a null vector, a null or non-finite component, or one that is too large for exact scores (`largest`) take no part.
 Vectors of different lengths are scored as if the shorter one went on with zeros. A null id is no anchor and comes last
@@ -43,10 +43,10 @@ def largest(dims: int) -> int:
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a times b transposed, exact: in doubles where no sum can leave 2^53, else in int64."""
-    top = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    top = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]  # no least value of its type is there, see _shards
     if top < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def _shards(chunk: int):
@@ -66,49 +66,45 @@ def _shards(chunk: int):
                 facts = np.stack([m.field("uid").to_numpy()[order], ids[order], m.field("label").to_numpy()[order].astype(np.int64)])
                 own = m.field("bounds").take(pa.array(order)).to_pylist() if "bounds" in [f.name for f in m.type] else []
                 bounds = np.array([[y for x in [*(b or [])] for y in x] for b in own], np.int64).tobytes() if own else b""
+                top = int(np.abs(full).max(initial=0))
+                size = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+                full = full.astype(f"i{size}")
                 for k in range(0, width, chunk):
                     part = full[:, k : k + chunk]
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([label.as_py()], pa.int64()), pa.array([k // chunk], pa.int32()), pa.array([len(n)], pa.int32()), pa.array([np.ascontiguousarray(part).tobytes()], pa.binary()), pa.array([facts.tobytes() if not k else None], pa.binary()), pa.array([bounds if not k else None], pa.binary())], names=["block", "label", "k", "n", "part", "facts", "bounds"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([label.as_py()], pa.int64()), pa.array([k // chunk], pa.int32()), pa.array([len(n)], pa.int32()), pa.array([size], pa.int32()), pa.array([np.ascontiguousarray(part).tobytes()], pa.binary()), pa.array([facts.tobytes() if not k else None], pa.binary()), pa.array([bounds if not k else None], pa.binary())], names=["block", "label", "k", "n", "size", "part", "facts", "bounds"])
 
     return work
 
 
-SHARD = "block long, label long, k int, n int, part binary, facts binary, bounds binary"
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial tiles of scores, one for each pair of shards of a chunk."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            at = {name: batch.column(name)[r] for name in batch.schema.names}
-            na, nb = at["n_a"].as_py(), at["n_b"].as_py()
-            a, b = (np.frombuffer(at[x].as_buffer(), np.int64).reshape(n, -1) for x, n in (("part_a", na), ("part_b", nb)))
-            w = min(a.shape[1], b.shape[1])  # beyond the shorter one there are only zeros
-            tile = _product(a[:, :w], b[:, :w])
-            keep = ["i", "j", "n_a", "n_b", "facts_a", "facts_b", "bounds"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(r, 1) for x in keep), pa.array([tile.tobytes()], pa.binary())], names=[*keep, "tile"])
-
-
-TILE = "i long, j long, n_a int, n_b int, facts_a binary, facts_b binary, bounds binary, tile binary"
+SHARD = "block long, label long, k int, n int, size int, part binary, facts binary, bounds binary"
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(scores, anchors' facts, rows' facts, bounds) of each tile, of partial tiles sorted by tile: two tiles are held at a time."""
-    key = total = facts = None
+    """(scores, anchors' facts, rows' facts, bounds) of each tile, of shards sorted by tile, chunk and side: two tiles are held at a time."""
+    key = total = held = None
+    facts: dict[str, np.ndarray] = {}
+    done = lambda: (total, facts["a"].reshape(3, -1), facts["b"].reshape(3, -1), facts["bounds"])
     for batch in batches:
         for r in range(batch.num_rows):
             at = {name: batch.column(name)[r] for name in batch.schema.names}
-            own = (at["i"].as_py(), at["j"].as_py())
+            own, k, b = (at["i"].as_py(), at["j"].as_py()), at["k"].as_py(), at["side"].as_py()
             if own != key:
                 if key:
-                    yield (total, *facts)
-                key, total, facts = own, np.zeros((at["n_a"].as_py(), at["n_b"].as_py()), np.int64), None
-            total += np.frombuffer(at["tile"].as_buffer(), np.int64).reshape(total.shape)
-            if at["facts_a"].is_valid and at["facts_b"].is_valid:
-                facts = [np.frombuffer(at[x].as_buffer(), np.int64) for x in ("facts_a", "facts_b", "bounds")]
-                facts = [facts[0].reshape(3, -1), facts[1].reshape(3, -1), facts[2]]
+                    yield done()
+                key, total, held, facts = own, None, None, {}
+            part = np.frombuffer(at["part"].as_buffer(), f"i{at['size'].as_py()}").reshape(at["n"].as_py(), -1)
+            if not k:  # every block has a first chunk
+                facts["b" if b else "a"] = np.frombuffer(at["facts"].as_buffer(), np.int64)
+                if not b:
+                    facts["bounds"] = np.frombuffer(at["bounds"].as_buffer(), np.int64)
+            if not b:
+                held = k, part
+            elif held and held[0] == k:  # beyond the shorter vectors there are only zeros
+                w = min(held[1].shape[1], part.shape[1])
+                tile = _product(held[1][:, :w], part[:, :w])
+                total = tile if total is None else np.add(total, tile, out=total)
     if key:
-        yield (total, *facts)
+        yield done()
 
 
 def _highest(scores: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -152,12 +148,11 @@ def _negatives(n: int, positives: int):
 
 
 def _product_of(a: DataFrame, b: DataFrame, reduce, schema: str) -> DataFrame:
-    """Shards to tiles, partial tiles added and reduced. a, b: shards; an anchors' block meets the rows' blocks of its label."""
+    """Shards to tiles, multiplied, added and reduced there. a, b: shards; an anchors' block meets the rows' blocks of its label."""
     a_blocks, b_blocks = (x.where("k = 0").groupBy("label").agg(F.collect_list("block").alias("blocks")) for x in (a, b))
-    left = a.join(b_blocks, "label").select("k", F.col("block").alias("i"), F.explode("blocks").alias("j"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("facts").alias("facts_a"), "bounds")
-    right = b.join(a_blocks, "label").select("k", F.col("block").alias("j"), F.explode("blocks").alias("i"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("facts").alias("facts_b"))
-    tiles = left.join(right.hint("shuffle_hash"), ["i", "j", "k"]).select("i", "j", "k", "n_a", "n_b", "part_a", "part_b", "facts_a", "facts_b", "bounds").mapInArrow(_tiles, TILE)
-    return tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(reduce, schema)
+    left = a.join(b_blocks, "label").select(F.col("block").alias("i"), F.explode("blocks").alias("j"), "k", F.lit(0).alias("side"), "n", "size", "part", "facts", "bounds")
+    right = b.join(a_blocks, "label").select(F.explode("blocks").alias("i"), F.col("block").alias("j"), "k", F.lit(1).alias("side"), "n", "size", "part", "facts", F.lit(None).cast("binary").alias("bounds"))
+    return left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j", "k", "side").mapInArrow(reduce, schema)
 
 
 def _blocked(rows: DataFrame, size: int, chunk: int, by_label: bool) -> DataFrame:

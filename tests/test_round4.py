@@ -38,3 +38,20 @@ def test_hot_families_are_joined_by_broadcast(spark):
         got = sorted((r["id"], r["family"], r["x"]) for r in graphs._by_family(rows, facts, hot, how).collect())
         assert got == sorted((r["id"], r["family"], r["x"]) for r in rows.join(facts, "family", how).select("id", "family", "x").collect())
     assert graphs._hot(rows.where("id < 0")) == []
+
+
+def test_no_score_is_shuffled(spark):
+    """Tiles are added where shards meet: what is shuffled for a block is its shards, in as few bytes as hold them, and chunks give what whole vectors give."""
+    import numpy as np
+
+    from factloom.llm import negatives
+
+    rng = np.random.default_rng(3)
+    big = [1.0] * 100 + [1000.0] * 10 + [128.0] * 10  # 128 * 256 = 2^15: one more than two bytes hold
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=7 if i % 2 else 5) * big[i % 120]]) for i in range(360)] + [(900, 0, [-128.0] * 7), (901, 1, [-128.0] * 7)]
+    d = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    whole, parts = (sorted(map(tuple, negatives.mine(d, anchors=8, block=32, chunk=c).collect())) for c in (64, 2))
+    assert whole == parts and len(whole) > 10
+    few = spark.createDataFrame([(1, 0, 0, [3] * 64), (2, 1, 0, [4] * 64)], "id long, uid long, label long, v array<long>")
+    shards = negatives._blocked(few, 8, 32, False).collect()
+    assert [(r["k"], r["size"], len(r["part"])) for r in sorted(shards, key=lambda r: r["k"])] == [(0, 2, 2 * 32 * 2), (1, 2, 2 * 32 * 2)]
