@@ -9,6 +9,7 @@ from factloom.operators import documents as D
 from factloom.operators import extract, layout, reconcile, sessions
 from factloom.plans.registry import Tables, query
 from factloom.sources import files
+from factloom.sources.shared import dealt
 
 
 def _parsed(t: Tables) -> DataFrame:
@@ -21,7 +22,8 @@ def _parsed(t: Tables) -> DataFrame:
     cells = ", ".join(f'{{"text": "{x}", "start_row_offset_idx": {r}, "start_col_offset_idx": {c}{b}}}' for x, r, c, b in (("a", 0, 0, ', "bbox": {"l": 1, "t": 9, "r": 5, "b": 8}'), ("b", 0, 1, ""), ("c", 1, 0, ""), ("d", 1, 1, "")))
     table = F.lit(', "tables": [{"self_ref": "#/tables/0", ' + on(2) + ', "data": {"table_cells": [' + cells + "]}}]")
     json = F.concat(F.lit("{"), pages, F.lit(", "), texts, F.when(F.col("o_orderkey") % 2 == 0, table).otherwise(F.lit("")), F.lit(', "key_value_items": [{"key": {"text": "Total", ' + on(1) + '}, "value": {"text": "'), k, F.lit('", ' + on(1) + "}}]}"))
-    return t.orders.select(F.col("o_orderkey").alias("doc_id"), json.alias("json"))
+    orders = dealt(t.orders.select("o_orderkey"), "o_orderkey", each=len(_NEXT))  # by document before there is any JSON: parsed and related where they lie
+    return orders.select(F.col("o_orderkey").alias("doc_id"), json.alias("json"))
 
 
 _BLOCKS = """(VALUES (1, 'texts/0', 'HEADING', 'Order #', 'body', NULL, NULL, NULL, 1), (1, 'texts/1', 'TEXT', 'x', 'texts/0', NULL, NULL, NULL, NULL), (2, 'texts/2', 'HEADING', 'y', NULL, NULL, NULL, NULL, NULL), (1, 'texts/3', 'OTHER', '', NULL, NULL, NULL, NULL, NULL), (2, 'tables/0', 'OTHER', '', NULL, NULL, NULL, NULL, NULL),

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 1 << 18  # rows that a task works on, about
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -52,6 +53,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(rows: DataFrame, each: int = 1) -> int:
+    """Tasks for a table of which every row becomes `each` rows: their number grows with the table, so what one of them works on doesn't.
+
+    At least as many as other shuffles have, else a join would shuffle the rows anew.
+    """
+    return max(-(-rows.count() * each // ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(rows: DataFrame, *by: str, each: int = 1) -> DataFrame:
+    """Rows dealt out by some columns to as many `tasks` as they ask for, however few and large the files' pieces are. Narrow rows: they are shuffled."""
+    return rows.repartition(tasks(rows, each), *by)
+
+
 @contextlib.contextmanager
 def released() -> Iterator[None]:
     """Removes what was written within: for tables that nothing reads any more then."""
