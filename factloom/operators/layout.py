@@ -88,7 +88,12 @@ def _band(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def right_of(boxes: DataFrame, most_dy: float = 6.0, probes: DataFrame | None = None) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, cell: list[str], tasks: int | None) -> DataFrame:
+    """Probes and boxes of the same cell; with `tasks` both are dealt out to so many, however small they are when packed."""
+    return (a if tasks is None else a.repartition(tasks, *cell)).join(b if tasks is None else b.repartition(tasks, *cell), cell)
+
+
+def right_of(boxes: DataFrame, most_dy: float = 6.0, probes: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """The nearest box to the right of each on its page, at about the same height. boxes, probes (all boxes by default): page, ix, l, t, r, b, text.
 
     Heights are bands of `most_dy`: a probe looks into its own and the two about it, so it meets the boxes of its line alone.
@@ -97,11 +102,11 @@ def right_of(boxes: DataFrame, most_dy: float = 6.0, probes: DataFrame | None =
     mid = lambda x: (F.col(x + "t") + F.col(x + "b")) / 2
     a = (boxes if probes is None else probes).select("page", "ix", F.col("r").alias("a_r"), mid("").alias("a_mid")).withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: _band(F.col("a_mid"), size) + k)))
     b = boxes.where(F.trim("text") != "").select("page", F.col("ix").alias("b_ix"), F.col("l").alias("b_l"), mid("").alias("b_mid")).withColumn("band", _band(F.col("b_mid"), size))
-    pairs = a.join(b, ["page", "band"]).where((F.col("ix") != F.col("b_ix")) & (F.abs(F.col("a_mid") - F.col("b_mid")) <= most_dy) & (F.col("b_l") >= F.col("a_r") - 2))
+    pairs = _met(a, b, ["page", "band"], tasks).where((F.col("ix") != F.col("b_ix")) & (F.abs(F.col("a_mid") - F.col("b_mid")) <= most_dy) & (F.col("b_l") >= F.col("a_r") - 2))
     return pairs.groupBy("page", "ix").agg(F.min_by("b_ix", F.struct(F.col("b_l") - F.col("a_r"), F.col("b_ix"))).alias("right_ix"))
 
 
-def below(boxes: DataFrame, most_dy: float = 30.0, most_dx: float = 120.0, probes: DataFrame | None = None) -> DataFrame:
+def below(boxes: DataFrame, most_dy: float = 30.0, most_dx: float = 120.0, probes: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """The nearest box below each on its page, about as far left; tops grow upwards.
 
     Cells of `most_dy` by `most_dx`: a probe looks into its own, the one below, and those left and right of both.
@@ -111,7 +116,7 @@ def below(boxes: DataFrame, most_dy: float = 30.0, most_dx: float = 120.0, probe
     a = a.withColumn("y", F.explode(F.array(_band(F.col("a_t"), dy), _band(F.col("a_t"), dy) - 1))).withColumn("x", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: _band(F.col("a_l"), dx) + k)))
     b = boxes.select("page", F.col("ix").alias("b_ix"), F.col("t").alias("b_t"), F.col("l").alias("b_l")).withColumns({"y": _band(F.col("b_t"), dy), "x": _band(F.col("b_l"), dx)})
     gap = F.col("a_t") - F.col("b_t")
-    pairs = a.join(b, ["page", "y", "x"]).where((gap > 0) & (gap <= most_dy) & (F.abs(F.col("a_l") - F.col("b_l")) < most_dx))
+    pairs = _met(a, b, ["page", "y", "x"], tasks).where((gap > 0) & (gap <= most_dy) & (F.abs(F.col("a_l") - F.col("b_l")) < most_dx))
     return pairs.groupBy("page", "ix").agg(F.min_by("b_ix", F.struct(gap, F.col("b_ix"))).alias("below_ix"))
 
 

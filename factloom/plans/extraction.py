@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import lexemes as L
 from factloom.operators import layout
 from factloom.plans.registry import Tables, query
+from factloom.sources.shared import tasks
 
 _SECTIONS = {"the": r"(?i)^the\b", "und": r"(?i)(^|[^a-z])und([^a-z]|$)", "de": r"(?i)^de\b"}
 _B = "b AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS ix, CAST((i - 1) // 10 AS BIGINT) AS page, x[i] AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS u(i))"
@@ -91,12 +92,12 @@ _X = "x AS (SELECT p_partkey // 100 AS page, p_partkey AS ix, CAST(p_partkey % 1
 
 @query(f"WITH {_X}, j AS (SELECT a.page, a.ix, b.ix AS right_ix, row_number() OVER (PARTITION BY a.page, a.ix ORDER BY b.l - a.r, b.ix) AS n FROM x a JOIN x b ON a.page = b.page AND a.ix <> b.ix AND abs(a.t - b.t) <= 6 AND b.l >= a.r - 2 AND NOT b.blank) SELECT page, ix, right_ix FROM j WHERE n = 1")
 def spatial_right_of(t: Tables) -> DataFrame:
-    return layout.right_of(_boxes(t))
+    return layout.right_of(_boxes(t), tasks=tasks(t.part, 3))
 
 
 @query(f"WITH {_X}, j AS (SELECT a.page, a.ix, b.ix AS below_ix, row_number() OVER (PARTITION BY a.page, a.ix ORDER BY a.t - b.t, b.ix) AS n FROM x a JOIN x b ON a.page = b.page AND a.t > b.t AND a.t - b.t <= 30 AND abs(a.l - b.l) < 120) SELECT page, ix, below_ix FROM j WHERE n = 1")
 def spatial_below(t: Tables) -> DataFrame:
-    return layout.below(_boxes(t))
+    return layout.below(_boxes(t), tasks=tasks(t.part, 6))
 
 
 @query("""

@@ -3,6 +3,9 @@
 import pytest
 
 import __spark_entry__ as E
+from factloom.operators import layout
+from factloom.plans import extraction
+from factloom.plans.registry import Tables
 from factloom.sources import shared
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +23,9 @@ def parts(spark, query):
 
 def test_relations_of_documents_grow_by_tasks(spark, few):
     assert parts(spark, "ir_relations_all") >= spark.read.parquet(f"{SF}/orders.parquet").count() * 11 // 100
+
+def test_boxes_meet_in_tasks_that_grow_with_them(spark, few):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    boxes = extraction._boxes(Tables(spark, SF))
+    met = layout._met(boxes, boxes, ["page", "l"], shared.tasks(part, 6))
+    assert met.rdd.getNumPartitions() == part.count() * 6 // 100
