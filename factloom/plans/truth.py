@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import gold, layout
 from factloom.plans.registry import Tables, query
 from factloom.sources import files, published
+from factloom.sources.shared import dealt
 from factloom.streaming import guard
 
 
@@ -71,7 +72,8 @@ u AS (SELECT case_id, field, arg_max(status, o) AS status, arg_max(n_pointers, o
 
 def _truth(t: Tables) -> tuple[DataFrame, DataFrame]:
     sealed = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("case_id"))
-    log = t.lineitem.select(F.col("l_orderkey").alias("case_id"), _pick(_SOME, F.col("l_partkey") % 5).alias("field"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("ordinal"), _pick(("CONFIRMED_VALUE", "CONFLICT", "MISSING"), F.col("l_suppkey") % 3).alias("status"), (F.col("l_quantity").cast("int") % 3).alias("n_pointers"), (F.col("l_returnflag") == "N").alias("critical_verified"))
+    lines = dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")  # a case's rows together: its last units need no other shuffle
+    log = lines.select(F.col("l_orderkey").alias("case_id"), _pick(_SOME, F.col("l_partkey") % 5).alias("field"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("ordinal"), _pick(("CONFIRMED_VALUE", "CONFLICT", "MISSING"), F.col("l_suppkey") % 3).alias("status"), (F.col("l_quantity").cast("int") % 3).alias("n_pointers"), (F.col("l_returnflag") == "N").alias("critical_verified"))
     return sealed, gold.truth_units(sealed, log)
 
 

@@ -29,3 +29,6 @@ def test_boxes_meet_in_tasks_that_grow_with_them(spark, few):
     boxes = extraction._boxes(Tables(spark, SF))
     met = layout._met(boxes, boxes, ["page", "l"], shared.tasks(part, 6))
     assert met.rdd.getNumPartitions() == part.count() * 6 // 100
+
+def test_units_of_cases_grow_by_tasks(spark, few):
+    assert parts(spark, "truth_case_issues") >= spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100
