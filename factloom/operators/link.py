@@ -145,22 +145,29 @@ def family_key(key: Column, register: Column, family: Column) -> Column:
     return F.when(issue, F.concat(F.lit("ISSUE_ADM_"), some)).otherwise(F.concat(F.lit("PROG_"), L.base_register(some)))
 
 
+def _key(value: Column, rows: DataFrame | None = None) -> Column:
+    """A key to join on; with `rows`, one of its own for each row where the value is NULL: it matches nothing either, but such rows don't all go to one task."""
+    key = F.concat(F.lit("="), value)
+    return key if rows is None else F.coalesce(key, F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string")))
+
+
 def with_knowledge(pairs: DataFrame, prospectuses: DataFrame, admissions: DataFrame) -> DataFrame:
     """Adds what the rules look up to pairs of src_register, src_date, src_isin, cand_register and cand_version (dates are dates).
 
     prospectuses: register, suffix, date, role, issuer, ordinal; of one register the last row counts, of one version the
     first. admissions: isin. Adds cand_known, cand_role, cand_issuer, cand_date (of the version), earlier_supplements, isin_siblings.
     """
-    rows = prospectuses.groupBy(F.col("register").alias("cand_register")).agg(F.max_by(F.struct("role", "issuer"), "ordinal").alias("_row"))
-    versions = prospectuses.where("suffix is not null").groupBy(F.col("register").alias("cand_register"), F.col("suffix").alias("_suffix")).agg(F.min_by(F.struct("date"), "ordinal")["date"].alias("cand_date"))
+    known = prospectuses.withColumn("_reg", _key(F.col("register")))
+    rows = known.groupBy("_reg").agg(F.max_by(F.struct("role", "issuer"), "ordinal").alias("_row"))
+    versions = known.where("suffix is not null").groupBy("_reg", F.col("suffix").alias("_suffix")).agg(F.min_by(F.struct("date"), "ordinal")["date"].alias("cand_date"))
     kind = F.when(F.substring_index("cand_version", ".", 1) == "supplement", ".").otherwise("-")
-    d = pairs.withColumn("_suffix", F.concat(kind, F.regexp_extract("cand_version", r"^[^.]*\.?(.*)$", 1)))
-    d = d.join(rows, "cand_register", "left").join(versions, ["cand_register", "_suffix"], "left")
-    supplements = prospectuses.where(F.col("suffix").startswith(".") & F.col("date").isNotNull()).groupBy(F.col("register").alias("cand_register"), "date").agg(F.count("*").alias("n"))
-    asked = pairs.select("cand_register", "src_date").where("cand_register is not null and src_date is not null").distinct()
-    earlier = asked.join(supplements, "cand_register").where(F.col("date") < F.col("src_date")).groupBy("cand_register", "src_date").agg(F.sum("n").alias("earlier_supplements"))
-    siblings = admissions.where("isin <> ''").groupBy(F.col("isin").alias("src_isin")).agg(F.count("*").alias("isin_siblings"))
-    d = d.join(earlier, ["cand_register", "src_date"], "left").join(siblings, "src_isin", "left")
+    d = pairs.withColumns({"_suffix": F.concat(kind, F.regexp_extract("cand_version", r"^[^.]*\.?(.*)$", 1)), "_reg": _key(F.col("cand_register"), pairs), "_isin": _key(F.col("src_isin"), pairs)})
+    d = d.join(rows, "_reg", "left").join(versions, ["_reg", "_suffix"], "left")
+    supplements = known.where(F.col("suffix").startswith(".") & F.col("date").isNotNull()).groupBy("_reg", "date").agg(F.count("*").alias("n"))
+    asked = pairs.where("cand_register is not null and src_date is not null").select(_key(F.col("cand_register")).alias("_reg"), "src_date").distinct()
+    earlier = asked.join(supplements, "_reg").where(F.col("date") < F.col("src_date")).groupBy("_reg", "src_date").agg(F.sum("n").alias("earlier_supplements"))
+    siblings = admissions.where("isin <> ''").groupBy(_key(F.col("isin")).alias("_isin")).agg(F.count("*").alias("isin_siblings"))
+    d = d.join(earlier, ["_reg", "src_date"], "left").join(siblings, "_isin", "left")
     zero = F.lit(0).cast("long")
     return d.select(*pairs.columns, F.col("_row").isNotNull().alias("cand_known"), F.col("_row.role").alias("cand_role"), F.col("_row.issuer").alias("cand_issuer"), "cand_date", F.coalesce("earlier_supplements", zero).alias("earlier_supplements"), F.coalesce("isin_siblings", zero).alias("isin_siblings"))
 

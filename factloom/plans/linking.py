@@ -9,6 +9,7 @@ from factloom.functions import lexemes as L
 from factloom.operators import classify as C
 from factloom.operators import link
 from factloom.plans.registry import Tables, query
+from factloom.sources.shared import dealt
 
 
 def _cases(lines: str, names: str) -> list[tuple[str | None, ...]]:
@@ -145,7 +146,8 @@ def _spread(t: Tables, rows: list[tuple[str | None, ...]], names: str, each: boo
     """A row of the table for each order, or all of them for each, with the order's key in place of `#`."""
     cols = names.split()
     table = t.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "case int, " + ", ".join(f"{c} string" for c in cols))
-    orders = t.orders.select("o_orderkey") if each else t.orders.select("o_orderkey", (F.col("o_orderkey") % len(rows)).cast("int").alias("case"))
+    orders = dealt(t.orders.select("o_orderkey"), "o_orderkey", each=len(rows) if each else 1)
+    orders = orders if each else orders.select("o_orderkey", (F.col("o_orderkey") % len(rows)).cast("int").alias("case"))
     if each:
         d = orders.withColumn("case", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1)))).join(F.broadcast(table), "case")  # a literal table
     else:
