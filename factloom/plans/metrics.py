@@ -9,6 +9,7 @@ from factloom.functions.lexemes import MONTHS_ES
 from factloom.operators import coverage, documents
 from factloom.operators import metrics as M
 from factloom.plans.registry import Tables, query
+from factloom.sources.shared import dealt
 
 _O = """o AS (SELECT l_orderkey, l_returnflag AS mode, l_linestatus AS stratum, l_shipinstruct_ AS family, CASE gold WHEN 'CONFIRMED_VALUE' THEN CASE WHEN dec = 'CONFIRMED' AND eq THEN 'TP' WHEN dec = 'CONFIRMED' THEN 'FP_WRONG_VALUE' ELSE 'FN' END WHEN 'CONFLICT' THEN CASE WHEN dec = 'CONFLICT' THEN 'CONFLICT_OK' WHEN dec = 'CONFIRMED' THEN 'FP_CONFLICT_DENIED' ELSE 'FN' END ELSE CASE WHEN dec = 'CONFIRMED' THEN 'FP_INVENTED' WHEN dec = 'CONFLICT' THEN 'INCORRECT_STATUS' ELSE 'TN' END END AS outcome
 FROM (SELECT *, l_linenumber % 2 AS l_shipinstruct_, list_extract(['CONFIRMED_VALUE','CONFIRMED_VALUE','CONFLICT','MISSING'], CAST(l_partkey % 4 AS INT) + 1) AS gold, list_extract(['CONFIRMED','CONFIRMED','CONFLICT','MISSING',NULL], CAST(l_suppkey % 5 AS INT) + 1) AS dec, l_quantity > 20 AS eq FROM lineitem))"""
@@ -150,4 +151,5 @@ def value_equal_multiset(t: Tables) -> DataFrame:
     """Lists of lexemes compared in any order, numbers by value."""
     size = F.col("p_size").cast("string")
     a, b = F.array(size, F.upper("p_brand"), F.lit("2.50")), F.array(F.lit("2,5"), F.concat(size, F.when(F.col("p_partkey") % 3 == 0, ".1").otherwise(".0")), F.lower("p_brand"))
-    return t.part.select("p_partkey", M.same_values_column(a, b).alias("same"))
+    part = dealt(t.part.select("p_partkey", "p_size", "p_brand"), "p_partkey")  # else one piece of the file is one task of Python
+    return part.select("p_partkey", M.same_values_column(a, b).alias("same"))

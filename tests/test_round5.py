@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from factloom.operators import layout, link
-from factloom.plans import extraction
+from factloom.plans import extraction, fields
 from factloom.plans.registry import Tables
 from factloom.sources import shared
 
@@ -53,3 +53,14 @@ def test_pairs_without_a_key_are_dealt_out(spark):
             spark.conf.set(k, v)
     assert len(rows) == 1000 and not any(r["cand_known"] or r["isin_siblings"] or r["earlier_supplements"] for r in rows)
     assert max(Counter(r["at"] for r in rows).values()) < 500
+
+
+def test_lists_are_compared_in_many_tasks(spark, few):
+    assert parts(spark, "value_equal_multiset") >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_documents_are_extracted_in_many_tasks(spark, few, monkeypatch):
+    seen = []
+    monkeypatch.setattr(fields.extract, "extract_documents", lambda *frames: seen.extend(frames) or frames[1].selectExpr("doc_id", "'' as field", "'' as status", "'' as class", "array('') as values", "'' as failure", "'' as note"))
+    parts(spark, "extract_documents")
+    assert all(d.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) for d in seen)
