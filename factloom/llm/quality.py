@@ -1,13 +1,12 @@
 """Quality rules by hashed n-gram log-likelihood ratio (operator 5).
 
-Words and pairs of words are hashed into buckets. Two multinomials over the buckets are counted: of the trusted target (a
-bounded sample of rows labelled good) and of the raw corpus (all rows, those without an id too). A text's score is the mean
+Words and pairs of words are hashed into buckets. Two multinomials over the buckets are counted: of the trusted target (all
+rows labelled good) and of the raw corpus (all rows, those without an id too). A text's score is the mean
 over its n-grams of log p(target) - log p(raw). Every row is judged by the same thresholds: base rules (few words, many
 repeated ones), and a score under the limit. The limit is set from the scores of trusted rows that the target was not counted
 from (one of CALIBRATED) and lies below all but a fixed share of them.
 
-Counts are gathered as one vector for each task and summed by bucket, so the shuffle grows with the tasks and never with
-the groups; what reaches the driver is a table of BUCKETS rows. Null texts count as empty: no words, base rule failed, not
+Counts are gathered as one vector for each task and summed by bucket, and texts are shuffled only where they are labelled; what reaches the driver is a table of BUCKETS rows. Null texts count as empty: no words, base rule failed, not
 kept. Repeated rows are judged alike. Without trusted rows, the base rules alone decide. Texts are read whole.
 """
 
@@ -18,18 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.store import bounded_sample
+from factloom.llm.store import filtered, table
 from factloom.llm.words import Words, slices
 
 BUCKETS = 1 << 16
-TRUSTED = 10_000  # labelled rows learned from, at most
+TRUSTED = 10_000  # a size of trusted rows for tests: all are learned from, however many
+PARTS = 1 << 12  # ranges of hashes
 CALIBRATED = 4  # one of so many of them sets the limit
 SMOOTHING = 0.5  # added to each bucket's count
-REJECTED = 0.001  # share of the trusted sample under the limit, before the margin
+REJECTED = 0.001  # share of the trusted rows apart under the limit, before the margin
 MARGIN = 0.15  # nats an n-gram below that
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = np.zeros(256, np.uint8)
@@ -51,19 +50,31 @@ def _buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w.hash >> shift, pair[inside] >> shift]).astype(np.int64), np.concatenate([row, row[: len(pair)][inside]])
 
 
-def _counted(trusted: np.ndarray):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            known = pc.is_in(batch.column("doc_id"), pa.array(trusted)).to_numpy(zero_copy_only=False)
-            for i, j, data, off in slices(batch.column("text")):
-                b, row = _buckets(Words(data, off))
-                raw += np.bincount(b, minlength=BUCKETS)
-                good += np.bincount(b[known[i:j][row]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, raw[some], good[some])], names=["bucket", "raw", "good"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for *_, data, off in slices(batch.column("text")):
+            n += np.bincount(_buckets(Words(data, off))[0], minlength=BUCKETS)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["bucket", "n"])
+
+
+def _totals(texts: DataFrame) -> np.ndarray:
+    """Count of each bucket in all texts, smoothed."""
+    out = np.full(BUCKETS, SMOOTHING)
+    for r in texts.select("text").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        out[r["bucket"]] += r["n"]
+    return out
 
-    return work
+
+def _apart(good: DataFrame) -> DataFrame:
+    """(doc_id, apart): of all trusted ids in the order of their hashes every CALIBRATED-th is apart. Places are counted within PARTS ranges of hashes."""
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
+    d = good.withColumns({"_h": h, "_part": F.shiftright(h, 50)})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTS rows at most
+    ends = d.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", F.col("doc_id").cast("string"))) - 1 + F.col("_before")
+    return d.join(F.broadcast(ends), "_part").select("doc_id", (place % CALIBRATED == 0).alias("apart"))
 
 
 def _scores(w: Words, ratio: np.ndarray) -> np.ndarray:
@@ -75,16 +86,17 @@ def _scores(w: Words, ratio: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """labels: (doc_id, quality); quality 1 is trusted. Ids are whole numbers."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    sample = [r["doc_id"] for r in bounded_sample(good, "doc_id", TRUSTED)]
-    trusted = np.array(sorted(x for i, x in enumerate(sample) if i % CALIBRATED or len(sample) < CALIBRATED), np.int64)
-    apart = np.array(sorted(sample[::CALIBRATED] if len(sample) >= CALIBRATED else sample), np.int64)
-    counts = src.mapInArrow(_counted(trusted), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
-    for r in counts.collect():  # BUCKETS rows at most
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["good"]
-    if not len(trusted) or target.sum() <= BUCKETS * SMOOTHING:
+    good = table(_apart(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()), "trusted")
+    few = good.count() < CALIBRATED
+    learned, apart = (good, good) if few else (good.where("not apart"), good.where("apart"))
+
+    def own(ids: DataFrame) -> DataFrame:
+        """The rows of some ids: only texts that may be theirs are shuffled."""
+        maybe, _ = filtered(src, F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"))
+        return maybe.join(ids, "doc_id", "left_semi")
+
+    raw, target = _totals(src), _totals(own(learned))
+    if target.sum() <= BUCKETS * SMOOTHING:
         return QualityModel(np.zeros(BUCKETS, np.float32).tobytes(), float("-inf"))
     ratio = (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
 
@@ -93,9 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = [_scores(w, ratio)[w.counts() >= LEAST_WORDS] for *_, data, off in slices(batch.column("text")) for w in [Words(data, off)]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["score"])
 
-    ids = docs.sparkSession.createDataFrame([(int(x),) for x in apart], "doc_id long")  # TRUSTED rows at most
-    own = src.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(scored, "score double")
-    limit = own.agg(F.percentile_approx("score", REJECTED, 10_000).alias("x")).first()["x"]
+    scores = own(apart).select("text").mapInArrow(scored, "score double")
+    limit = scores.agg(F.percentile_approx("score", REJECTED, 10_000).alias("x")).first()["x"]
     return QualityModel(ratio.tobytes(), float("-inf") if limit is None else float(limit) - MARGIN)
 
 

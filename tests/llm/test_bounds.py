@@ -123,3 +123,14 @@ def test_every_listed_licence_in_four_spellings(spark):
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
     assert dict(con.execute(f"SELECT doc_id, license_id FROM ({licenses.SQL})").fetchall()) == want
+
+
+def test_all_trusted_rows_are_counted(spark, monkeypatch):
+    """A bound of trusted rows changes nothing: the target and the limit are of all of them."""
+    from factloom.llm import quality
+
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat(concat('w', id, ' and x', id % 7, ' '), 60) as text")
+    labels = spark.range(60).selectExpr("id as doc_id", "1 as quality")
+    whole = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "TRUSTED", 8)
+    assert quality.fit(docs, labels) == whole
