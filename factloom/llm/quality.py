@@ -6,7 +6,9 @@ over its n-grams of log p(target) - log p(raw). Every row is judged by the same
 repeated ones), and a score under the limit. The limit is set from the scores of trusted rows that the target was not counted
 from (one of CALIBRATED) and lies below all but a fixed share of them.
 
-Counts are gathered as one vector for each task and summed by bucket, and texts are shuffled only where they are labelled; what reaches the driver is a table of BUCKETS rows. Null texts count as empty: no words, base rule failed, not
+Counts are gathered as one vector for each task and summed by bucket, where the texts lie: of all rows that a filter of the trusted ids
+lets through, less those of the rows that it should have held back, whose texts alone are shuffled. Scores are shuffled without their texts. What reaches the
+driver is a table of BUCKETS rows. Null texts count as empty: no words, base rule failed, not
 kept. Repeated rows are judged alike. Without trusted rows, the base rules alone decide. Texts are read whole.
 """
 
@@ -60,13 +62,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _totals(texts: DataFrame) -> np.ndarray:
-    """Count of each bucket in all texts, smoothed."""
-    out = np.full(BUCKETS, SMOOTHING)
+    """Count of each bucket in all texts."""
+    out = np.zeros(BUCKETS)
     for r in texts.select("text").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         out[r["bucket"]] += r["n"]
     return out
 
 
+def _maybe(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows that may have one of some ids, where they lie: all that have, and few others."""
+    return filtered(src, F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"))[0]
+
+
+def _target(src: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Count of each bucket in the rows of some ids (one row each, a written table).
+
+    Rows that may be theirs are counted where they lie, and what isn't theirs is taken off again. Ids alone tell which those are; only their
+    texts are shuffled. Where the filter holds so little back that they are more than the ids, the ids' own texts are shuffled.
+    """
+    src = src.where("doc_id is not null")
+    maybe = _maybe(src, ids)
+    others = table(maybe.select("doc_id").distinct().join(ids, "doc_id", "left_anti"), "others")
+    own = lambda rows, some: _totals(_maybe(rows, some).join(some, "doc_id", "left_semi"))
+    n = others.count()
+    if n > ids.count():
+        return own(src, ids)
+    return _totals(maybe) - own(maybe, others) if n else _totals(maybe)
+
+
 def _apart(good: DataFrame) -> DataFrame:
     """(doc_id, apart): of all trusted ids in the order of their hashes every CALIBRATED-th is apart. Places are counted within PARTS ranges of hashes."""
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
@@ -90,22 +113,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = good.count() < CALIBRATED
     learned, apart = (good, good) if few else (good.where("not apart"), good.where("apart"))
 
-    def own(ids: DataFrame) -> DataFrame:
-        """The rows of some ids: only texts that may be theirs are shuffled."""
-        maybe, _ = filtered(src, F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"))
-        return maybe.join(ids, "doc_id", "left_semi")
-
-    raw, target = _totals(src), _totals(own(learned))
-    if target.sum() <= BUCKETS * SMOOTHING:
+    raw, target = _totals(src), _target(src, learned)
+    if not target.sum():
         return QualityModel(np.zeros(BUCKETS, np.float32).tobytes(), float("-inf"))
+    raw, target = raw + SMOOTHING, target + SMOOTHING
     ratio = (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_scores(w, ratio)[w.counts() >= LEAST_WORDS] for *_, data, off in slices(batch.column("text")) for w in [Words(data, off)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["score"])
-
-    scores = own(apart).select("text").mapInArrow(scored, "score double")
+            long, out = [], []
+            for *_, data, off in slices(batch.column("text")):
+                w = Words(data, off)
+                long.append(w.counts() >= LEAST_WORDS)
+                out.append(_scores(w, ratio)[long[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(np.concatenate(long) if long else np.zeros(0, bool))), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+
+    scores = _maybe(src, apart).mapInArrow(scored, "doc_id long, score double").join(apart, "doc_id", "left_semi")
     limit = scores.agg(F.percentile_approx("score", REJECTED, 10_000).alias("x")).first()["x"]
     return QualityModel(ratio.tobytes(), float("-inf") if limit is None else float(limit) - MARGIN)
 
