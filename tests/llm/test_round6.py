@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from factloom.llm import quality, store
+from factloom.llm import quality, store, urls
 
 rng = random.Random(17)
 
@@ -52,3 +52,24 @@ def test_quality_counts_behind_a_poor_filter(spark, monkeypatch, trusted):
         got = quality._target(docs, store.table(ids, "ids"))
     want = quality._totals(spark.createDataFrame([r for r in rows if r[0] is not None and r[0] < trusted], "doc_id long, text string"))
     assert np.array_equal(got, want) and want.sum()
+
+
+def test_urls_learn_from_all(spark):
+    """12,000 accepted URLs, of which the models learn from all but a quarter (from 3,750 at most before)."""
+    rules = [("allow", "org/"), ("block", "com/de/")]
+    rows = [(i, f"http://a.org/{i:05d}") for i in range(12_000)] + [(20_000 + i, f"http://b.com/de/{i:05d}") for i in range(40)]
+    model = urls.fit(spark.createDataFrame(rows, "page_id long, url string").repartition(5), rules)
+    counts = {r["gram"]: (r["yes"], r["no"]) for r in model.grams.where("gram in ('\x03', 'org/', '00000', '00001', '0001\x03')").collect()}
+    ends = [f"{i:05d}" for i in range(12_000) if i % urls.CALIBRATED]
+    assert counts["\x03"] == (9000, 30) and counts["org/"] == (9000, 0) and "00000" not in counts and counts["00001"] == (1, 1)
+    assert counts["0001\x03"] == (sum(x.endswith("0001") for x in ends), 1)
+
+
+def test_url_limit_counts_ties_together(spark):
+    """URLs with one difference are on one side of the limit, across ranges too."""
+    values = [rng.randint(-6, 6) / 4 for _ in range(60)]
+    rows = [(x + rng.choice((0, 0.25)) > 0, x) for x in values]
+    yes, no = sum(a for a, _ in rows), sum(not a for a, _ in rows)
+    got = urls._limit(store.table(spark.createDataFrame(rows, "allowed boolean, difference double").repartition(3), "scored"), yes, no)
+    errors = lambda at: sum(x < at for a, x in rows if a) * no + sum(x >= at for a, x in rows if not a) * yes
+    assert errors(got) == min(map(errors, [*(x - 0.01 for x in values), 9]))
