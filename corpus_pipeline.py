@@ -18,31 +18,44 @@ from factloom.llm.queries import BYTES
 from factloom.llm.store import new_path, released
 
 ORACLE_SQL = None
+BATCH = 1_000  # rows that the JVM and its Python workers hand each other at once: both hold a batch of whole texts, in each task, on the way there and back
 KEEP = 200_000  # words that a worker of the packing stage remembers: other stages' workers live beside it
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Each stage says so, as its rows are written later, by whoever calls it. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rules or the likelihood ratio reject go."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in none of the learned languages go; a language that is NULL becomes the one that was found."""
+    small_batches(spark)
     return language.keep_known(docs, language.fit(docs, ~language.held_out()))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
+    small_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar texts one row stays."""
+    small_batches(spark)
     return near.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row per piece."""
+    small_batches(spark)
     return packing.pack(docs, *BYTES, keep=KEEP)
 
 

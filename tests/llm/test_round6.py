@@ -5,8 +5,10 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from factloom.llm import quality, store, urls
 
 rng = random.Random(17)
@@ -73,3 +75,18 @@ def test_url_limit_counts_ties_together(spark):
     got = urls._limit(store.table(spark.createDataFrame(rows, "allowed boolean, difference double").repartition(3), "scored"), yes, no)
     errors = lambda at: sum(x < at for a, x in rows if a) * no + sum(x >= at for a, x in rows if not a) * yes
     assert errors(got) == min(map(errors, [*(x - 0.01 for x in values), 9]))
+
+
+def test_pipeline_hands_over_small_batches(spark):
+    """Each stage bounds the rows that Python gets at once (10,000 whole texts before), whoever writes its result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    docs = spark.range(2500).repartition(1).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    try:
+        for before, most in ((was, corpus_pipeline.BATCH), ("7", 7), ("0", corpus_pipeline.BATCH)):
+            spark.conf.set(key, before)
+            corpus_pipeline.packed(spark, docs, "")
+            sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+            assert max(r["n"] for r in sizes.collect()) == most
+    finally:
+        spark.conf.set(key, was)
