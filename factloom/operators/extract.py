@@ -7,6 +7,7 @@ blocks and one over the rows, each with the span of blocks that it depends on; a
 
 from __future__ import annotations
 
+import itertools
 import re
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import lexemes as L
 from factloom.operators import layout
-from factloom.sources.shared import table
+from factloom.sources.shared import table, tasks
 
 
 class Rule(NamedTuple):
@@ -83,16 +84,24 @@ REFERENCE = r"(?iu)^\s*(?:see|as\s+per|as\s+set\s+out|v[eé]ase|seg[uú]n|confor
 ROW_BELOW = r"(?iu)^\s*(?:\([a-z0-9]+\)|series|tranche|total|importe|nominal)\b"
 BULLETS = r"^[•●·▪◦‣\-\*o\s]+"
 CONVENTION = r"(?iu)(?:Modified\s+)?Following\s+Business\s+Day\s+Convention|Preceding\s+Business\s+Day\s+Convention|FRN\s+Convention|Convenci[oó]n\s+del?\s+Siguiente\s+D[ií]a\s+H[aá]bil|Convenci[oó]n\s+del?\s+D[ií]a\s+H[aá]bil\s+(?:Anterior|Precedente|Siguiente\s+Modificada?)|Siguiente\s+D[ií]a\s+H[aá]bil\s*\(?\s*Following\s+Business\s+Day\s+Convention\s*\)?"
+CONVENTION_WORDS = ("conven", "siguiente")  # each convention has one of them
 # Numbers before a label.
 NUMBERING = r"(?:\(\s*[a-zivx0-9]+\s*\)|\d+\.?|[a-z]\))?\s*"
 
 CANDIDATE = ("doc_id", "field", "source", "ix", "first", "last", "k", "raw", "item")
+ENTRY = ("source", "k", "ix", "raw", "value", "class", "excerpt")
+SETTLED = ("status", "class", "values", "lexeme", "blocks", "own")
 EXCERPT = 300  # characters of a block that stand for it as evidence
 
 
 def pattern(rule: Rule) -> str:
     """Groups: separator, value."""
-    return rf"(?iu)^{NUMBERING}(?:{'|'.join(rule.labels)})\s*([:\-]?)\s*(.{{0,200}})"
+    return rf"{opening(rule)}\s*([:\-]?)\s*(.{{0,200}})"
+
+
+def opening(rule: Rule) -> str:
+    """A label and the number before it. What `pattern` has after it fits anything, so it matches the same texts as far."""
+    return rf"(?iu)^{NUMBERING}(?:{'|'.join(rule.labels)})"
 
 
 def _of_field(values: dict[str, str | None], field: str = "field") -> Column:
@@ -103,54 +112,84 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), BULLETS, "")
 
 
-def _heads(label: str) -> set[str] | None:
-    """The first two characters that a text of a label can have, those that are ASCII in lower case; None if its pattern doesn't tell."""
+def _heads(label: str, letters: int = 2) -> set[str] | None:
+    """The first characters that a text of a label can have, those that are ASCII in lower case; None if its pattern doesn't tell."""
     one = r"(\[[^\]\\^-]+\]|[^\W\d_])"
-    m, rest = re.match(rf"(?:\\b)?{one}{one}(?![?*+{{])", label), label
+    m, rest = re.match(rf"(?:\\b)?{one * letters}(?![?*+{{])", label), label
     while (less := re.sub(r"\((?:[^()\\]|\\.)*\)", "", rest)) != rest:
         rest = less
-    return {(a + b).lower() for a in m[1].strip("[]") for b in m[2].strip("[]") if (a + b).isascii()} if m and "|" not in rest else None
+    if "|" not in rest and re.match(r"[^\x00-\x7F\w]+\w", label):
+        return set()  # opens with a sign that is no form of an ASCII one
+    return {h.lower() for h in map("".join, itertools.product(*(x.strip("[]") for x in m.groups()))) if h.isascii()} if m and "|" not in rest else None
 
 
 def _may_open(text: Column, rules: dict[str, Rule]) -> Column:
-    """A bit for each rule of which a label may open the text, by its first two characters after numbers: a pattern is tried only where they fit."""
-    at: dict[str, int] = {}
-    own = [[_heads(x) for x in r.labels] for r in rules.values()]
-    any_ = sum(1 << i for i, hs in enumerate(own) if None in hs)
-    for i, hs in enumerate(own):
-        for h in set().union(*(h for h in hs if h)):
-            at[h] = at.get(h, any_) | 1 << i
+    """A bit for each rule of which a label may open the text, by its first three characters after numbers (two, where a label tells no more): a pattern is tried only where they fit."""
+    own = [(1 << i, _heads(x), _heads(x, 3)) for i, r in enumerate(rules.values()) for x in r.labels]
+    any_, short, at = 0, {}, {}
+    for b, two, three in own:
+        any_ |= b if two is None else 0
+        for h in two or () if three is None else ():
+            short[h] = short.get(h, 0) | b
+    for b, two, three in own:
+        for h in three or ():
+            at[h] = at.get(h, any_ | short.get(h[:2], 0)) | b
     every = F.lit(-1).cast("long")
     if len(rules) > 62 or not at:
         return every
-    known = F.create_map(*(x for h, b in at.items() for x in (F.lit(h), F.lit(b).cast("long"))))
-    bits = lambda h: F.when(h.rlike(r"[^\x00-\x7F]"), every).otherwise(F.coalesce(F.try_element_at(known, h), F.lit(any_).cast("long")))  # noqa: E731  # other letters may be forms of ASCII ones
-    return L.let(F.lower(F.regexp_extract(text, rf"(?ius)^{NUMBERING}(.{{0,2}})", 1)), bits)  # a lookup is rewritten to comparisons, of which each would work its key out
+    known = lambda bits: F.create_map(*(x for h, b in bits.items() for x in (F.lit(h), F.lit(b).cast("long"))))
 
+    def bits(h: Column) -> Column:
+        two = [F.try_element_at(known({k: b | any_ for k, b in short.items()}), F.substring(h, 1, 2))] if short else []
+        return F.when(h.rlike(r"[^\x00-\x7F]"), every).otherwise(F.coalesce(F.try_element_at(known(at), h), *two, F.lit(any_).cast("long")))  # other letters may be forms of ASCII ones
+
+    return L.let(F.lower(F.regexp_extract(text, rf"(?ius)^{NUMBERING}(.{{0,3}})", 1)), bits)  # a lookup is rewritten to comparisons, of which each would work its key out
 
-def _labels(texts: list[Column], rules: dict[str, Rule]) -> Column:
-    """Array of field, which (the first of the texts that one of its labels opens), sep and value. Patterns are literals, so each is compiled once."""
-    facts = F.struct(*(t.alias(f"t{k}") for k, t in enumerate(texts)), *(_may_open(t, rules).alias(f"m{k}") for k, t in enumerate(texts)))
 
-    def of(x: Column) -> Column:
-        found = []
-        for i, (name, rule) in enumerate(rules.items()):
-            rx, c = pattern(rule), F
-            for k in range(len(texts)):
-                t = x[f"t{k}"]
-                hit = F.struct(F.lit(name).alias("field"), F.lit(k).alias("which"), F.regexp_extract(t, rx, 1).alias("sep"), F.trim(F.regexp_extract(t, rx, 2)).alias("value"))
-                c = c.when((x[f"m{k}"].bitwiseAND(F.lit(1 << min(i, 62)).cast("long") if len(rules) <= 62 else F.lit(-1).cast("long")) != 0) & t.rlike(rx), hit)
-            found.append(c)
-        return F.array_compact(F.array(*found))
+SOME = 4  # rules that are passed over at once
 
-    return L.let(facts, of)
+
+def _labels(texts: list[Column], rules: dict[str, Rule]) -> Column:
+    """Array of field, which (the first of the texts that one of its labels opens), sep and value. Patterns are literals, so each is compiled once.
+
+    What follows a label is found as a text after the numbers of its rule and text (an array of structs would have its type worked out for
+    each row), and is taken apart by one plain pattern, which fits whatever follows.
+    """
+    facts = F.struct(*(t.alias(f"t{k}") for k, t in enumerate(texts)), *(_may_open(t, rules).alias(f"m{k}") for k, t in enumerate(texts)))
+    n, few = len(texts), len(rules) <= 62
+    opens = list(enumerate(map(opening, rules.values())))
+
+    def of(x: Column, i: int, rx: str) -> Column:
+        c = F
+        for k in range(n):
+            t = x[f"t{k}"]
+            rest = F.substr(t, F.length(F.regexp_extract(t, rx, 0)) + 1)
+            c = c.when((x[f"m{k}"].bitwiseAND(F.lit(1 << i if few else -1).cast("long")) != 0) & t.rlike(rx), F.concat(F.lit(f"{i:04d}{k:02d}"), rest))
+        return c
+
+    def rests(x: Column) -> Column:
+        may = x["m0"]
+        for k in range(1, n):
+            may = may.bitwiseOR(x[f"m{k}"])
+        none, parts = F.array().cast("array<string>"), []
+        for at in range(0, len(opens), SOME):
+            some = opens[at : at + SOME]
+            parts.append(F.when(may.bitwiseAND(F.lit(sum(1 << i for i, _ in some) if few else -1).cast("long")) != 0, F.array(*(of(x, i, rx) for i, rx in some))).otherwise(none))
+        return F.filter(F.flatten(F.array(*parts)), lambda r: r.isNotNull())
+
+    def label(r: Column) -> Column:
+        number = lambda at, size: F.substring(r, at, size).cast("int")
+        after = lambda g: F.regexp_extract(F.substr(r, F.lit(7)), r"^\s*([:\-]?)\s*(.{0,200})", g)
+        return F.struct(F.element_at(F.array(*map(F.lit, rules)), number(1, 4) + 1).alias("field"), number(5, 2).alias("which"), after(1).alias("sep"), F.trim(after(2)).alias("value"))
+
+    return L.let(facts, lambda x: F.transform(rests(x), label))
 
 
 def _is_label(text: Column, rules: dict[str, Rule]) -> Column:
     """Whether a label of the row's field opens a text."""
     c = F
     for name, rule in rules.items():
-        c = c.when(F.col("field") == name, text.rlike(pattern(rule)))
+        c = c.when(F.col("field") == name, text.rlike(opening(rule)))
     return c
 
 
@@ -233,9 +272,9 @@ def table_candidates(rows: DataFrame, rules: dict[str, Rule] = RULES) -> DataFra
 def own_candidates(blocks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """What stands for itself: conventions of business days in any block or cell (source 3), and security codes in blocks (source 2), which count where no label has one."""
     t = F.trim(F.coalesce("text", F.lit("")))
-    code = F.when(t.rlike(f"^{L.ISIN}$"), t).when(t.rlike("(?i)ISIN"), L.found(t, L.ISIN))
+    code = F.when(t.rlike(f"^{L.ISIN}$"), t).when(layout.may_hold(t, "(?i)ISIN") & t.rlike("(?i)ISIN"), L.found(t, L.ISIN))
     entry = lambda name, source, raw: F.struct(F.lit(name).alias("field"), F.lit(source).alias("source"), raw.alias("raw"))
-    conventions = lambda c: F.transform(F.regexp_extract_all(c, F.lit(CONVENTION), F.lit(0)), lambda x: entry("business_day_convention", 3, x))
+    conventions = lambda c: F.transform(F.when(layout.may_hold(c, "|".join(CONVENTION_WORDS)), F.regexp_extract_all(c, F.lit(CONVENTION), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda x: entry("business_day_convention", 3, x))
     found = F.concat(F.array_compact(F.array(F.when(code.isNotNull(), entry("isin", 2, code)))), conventions(t))
     d = blocks.select("doc_id", "ix", t.alias("item"), F.posexplode(found).alias("j", "f"))
     out = d.select("doc_id", "f.field", "f.source", "ix", F.col("ix").alias("first"), F.col("ix").alias("last"), F.array("ix", F.col("j").cast("long")).alias("k"), "f.raw", "item")
@@ -256,7 +295,7 @@ def observed(candidates: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame
     A lexeme that its field's normaliser doesn't know is no observation.
     """
     raw, item, kind = F.trim("raw"), F.col("item"), F.col("kind")
-    guard = (F.col("raw") != "") & ~F.col("raw").rlike(PHRASE) & ~(F.col("raw").rlike(TEMPLATE) & ~F.col("raw").rlike(r"\d")) & ~F.col("raw").rlike(LABEL_PART)
+    guard = (F.col("raw") != "") & ~F.col("raw").rlike(PHRASE) & ~(F.contains("raw", F.lit("[")) & F.col("raw").rlike(TEMPLATE) & ~F.col("raw").rlike(r"\d")) & ~F.col("raw").rlike(LABEL_PART)
     d = candidates.where(guard).withColumn("kind", _of_field({n: r.kind for n, r in rules.items()}))
     def normal_of(raw: Column, item: Column, kind: Column) -> Column:
         percent = _plain(L.norm_percent(raw))
@@ -283,14 +322,30 @@ def settle(observations: DataFrame, rules: dict[str, Rule] = RULES, by: tuple[st
     What doesn't apply goes beside others; one value stands; values inside others go; several are a list where the
     field may have several, else a conflict. A group is what one document says of one field.
     """
-    entry, key = F.struct("source", "k", "ix", "raw", "value", "class", "excerpt"), L.verbatim_key
-    has_label = F.max(F.col("source") != 2)
-    g = observations.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("all"), has_label.alias("labelled"))
-    g = g.withColumn("all", F.when(F.col("labelled"), F.filter("all", lambda x: x["source"] != 2)).otherwise(F.col("all")))
+    return _settled(observations.groupBy(*by).agg(F.collect_list(F.struct(*ENTRY)).alias("all")), rules, by)
+
+
+def settle_best(scoped: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
+    """As settle by document and field, from the observations of one region alone: of those that have any, the one with the highest score, then the first page.
+
+    What others say isn't settled. A group is what one document says of one field in all regions.
+    """
+    rank = F.struct("score", (-F.col("page")).alias("page"))
+    g = scoped.groupBy("doc_id", "field").agg(F.max(rank).alias("best"), F.collect_list(F.struct(rank.alias("rank"), F.struct(*ENTRY).alias("entry"))).alias("all"))
+    return _settled(g.select("doc_id", "field", F.transform(F.filter("all", lambda x: x["rank"] == F.col("best")), lambda x: x["entry"]).alias("all")), rules, ("doc_id", "field"))
+
+
+def _settled(gathered: DataFrame, rules: dict[str, Rule], by: tuple[str, ...]) -> DataFrame:
+    key = L.verbatim_key
+    several = F.size("all") > 1  # of one entry nothing is to be left out
+    g = gathered.withColumn("all", F.when(several, F.array_sort("all")).otherwise(F.col("all")))
+    labelled = F.filter("all", lambda x: x["source"] != 2)
+    g = g.withColumn("all", F.when(several & F.exists("all", lambda x: x["source"] == 2) & F.exists("all", lambda x: x["source"] != 2), labelled).otherwise(F.col("all")))
     some = F.filter("all", lambda x: ~x["value"].eqNullSafe(F.lit("NOT_APPLICABLE")))
-    g = g.withColumn("obs", F.when(F.size(some) > 0, some).otherwise(F.col("all")))
+    g = g.withColumn("obs", F.when(several & F.exists("all", lambda x: x["value"].eqNullSafe(F.lit("NOT_APPLICABLE"))) & (F.size(some) > 0), some).otherwise(F.col("all")))
     g = g.withColumn("valued", F.filter("obs", lambda x: x["value"].isNotNull())).withColumn("names", F.array_distinct(F.transform("valued", lambda x: x["value"])))
-    g = g.withColumn("kept", F.filter("obs", lambda x: x["value"].isNull() | ~F.exists("names", lambda y: (y != x["value"]) & F.contains(y, x["value"]))))
+    whole = F.filter("obs", lambda x: x["value"].isNull() | ~F.exists("names", lambda y: (y != x["value"]) & F.contains(y, x["value"])))
+    g = g.withColumn("kept", F.when(F.size("names") > 1, whole).otherwise(F.col("obs")))
     kinds = F.size(F.array_distinct(F.transform("kept", lambda x: F.coalesce(x["value"], F.lit("\0")))))
     multi = _of_field({n: str(r.multi) for n, r in rules.items()}) == "True"
     one = F.when(F.size("names") == 1, F.get("valued", 0)).when(F.size("names") == 0, F.get("obs", 0)).when(kinds == 1, F.get("kept", 0))
@@ -299,7 +354,8 @@ def settle(observations: DataFrame, rules: dict[str, Rule] = RULES, by: tuple[st
     values = F.when(F.col("one").isNotNull(), F.array_compact(F.array("one.value"))).otherwise(F.transform("kept", lambda x: F.when(F.col("multi"), F.coalesce(x["value"], x["raw"])).otherwise(x["value"])))
     evidence = F.when(F.size("names") == 1, F.col("obs")).when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("kept"))
     g = g.withColumn("evidence", evidence)
-    own = F.exists("evidence", lambda x: (x["excerpt"] != "") & (F.col("one").isNull() | F.contains(key(x["excerpt"]), key(F.col("one.raw")))))
+    plain = F.octet_length("one.raw") == F.length("one.raw")  # ASCII, so lower case doesn't hang on what stands about it: what is there as it is, is there by its key
+    own = F.exists("evidence", lambda x: (x["excerpt"] != "") & (F.col("one").isNull() | (plain & F.contains(x["excerpt"], F.col("one.raw"))) | F.contains(key(x["excerpt"]), key(F.col("one.raw")))))
     return g.select(*by, status.alias("status"), F.when(F.col("one").isNotNull(), F.col("one.class")).when(F.col("multi"), "multi_aspect").alias("class"), values.alias("values"), F.col("one.raw").alias("lexeme"), F.transform("evidence", lambda x: x["ix"]).alias("blocks"), own.alias("own"))
 
 
@@ -341,7 +397,7 @@ def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None)
     key, many = L.verbatim_key, F.coalesce(F.col("class") == "multi_aspect", F.lit(False))
     said, own = key(F.coalesce("lexeme", F.lit(""))), F.coalesce("own", F.lit(False))
     asked = F.col("status").isin("OBSERVED", "DERIVED")
-    d = table(fields.withColumns({"_said": said, "_lost": asked & ~many & (said != "") & ~own}), "fields")
+    d = table(fields.withColumns({"_said": said, "_lost": F.coalesce(asked & ~many & (said != "") & ~own, F.lit(False))}), "fields")
     # only what its own excerpts don't have is looked for, in the documents that it is from
     lost = d.where("_lost").select("doc_id", "field", "_said")
     texts = blocks.select("doc_id", F.col("text").alias("c"))
@@ -349,7 +405,8 @@ def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None)
         texts = texts.unionByName(rows.select("doc_id", F.explode("cells").alias("c")))
     there = texts.join(lost.groupBy("doc_id").agg(F.collect_list(F.struct("field", "_said")).alias("_all")), "doc_id")  # a document has a row for each field at most
     there = there.withColumn("_text", key(F.coalesce("c", F.lit("")))).select("doc_id", F.explode(F.filter("_all", lambda x: F.contains(F.col("_text"), x["_said"]))["field"]).alias("field"))
-    d = d.join(there.distinct().withColumn("_there", F.lit(True)), ["doc_id", "field"], "left")
+    looked = d.where("_lost").join(there.distinct().withColumn("_there", F.lit(True)), ["doc_id", "field"], "left")
+    d = d.where("not _lost").unionByName(looked, allowMissingColumns=True)  # the others aren't shuffled
     kind = (
         F.when(many, F.when(own, "verified_verbatim").otherwise("VALUE_UNVERIFIED"))
         .when(F.col("_said") == "", "no_lexeme").when(own, "verified_verbatim").when(F.coalesce("_there", F.lit(False)), "verified_verbatim_doclevel").otherwise("VALUE_UNVERIFIED")
@@ -360,21 +417,28 @@ def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None)
     return d.select(*(new[c].alias(c) if c in new else F.col(c) for c in fields.columns))
 
 
-def extract_documents(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """Fields of classified documents (doc_id, role), verified, by the sections of their role; a role that isn't read gives one row with a note."""
-    docs, blocks = table(docs, "documents"), table(blocks, "blocks")
-    rows = table(rows, "rows") if rows is not None else None
+def extract_documents(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES, each: int = 10) -> DataFrame:
+    """Fields of classified documents (doc_id, role), verified, by the sections of their role; a role that isn't read gives one row with a note.
+
+    Blocks and rows are dealt out by document to tasks that grow with the documents, which have about `each` blocks.
+    """
+    docs = table(docs, "documents")
     read = docs.where(F.col("role").isin(*ROLE_SECTIONS))
-    role = F.col("role")
 
     def of_role(c: Column) -> Column:
-        by_role = {s: F.coalesce(*(F.when(role == r, c.rlike(own[s])) for r, own in ROLE_SECTIONS.items() if s in own), c.rlike(p)) for s, p in SECTIONS.items()}
-        return F.array_compact(F.array(*(F.when(test, F.lit(s)) for s, test in by_role.items())))
+        def tests(x: Column) -> Column:
+            holds = lambda p: layout.may_hold(x["text"], p, x["low"]) & x["text"].rlike(p)
+            by_role = {s: F.coalesce(*(F.when(x["role"] == r, holds(own[s])) for r, own in ROLE_SECTIONS.items() if s in own), holds(p)) for s, p in SECTIONS.items()}
+            return F.array_compact(F.array(*(F.when(test, F.lit(s)) for s, test in by_role.items())))
+
+        return L.let(F.struct(c.alias("text"), F.lower(c).alias("low"), "role"), tests)
 
     roles = read.select("doc_id", "role")
-    own = table(blocks.join(roles, "doc_id"), "read")
+    n = tasks(docs, each)
+    dealt = lambda d: d.repartition(n, "doc_id").join(roles.repartition(n, "doc_id"), "doc_id")
+    own = table(dealt(blocks), "read")
     hits = own.select("doc_id", "ix", "page", F.explode(of_role(F.coalesce("text", F.lit("")))).alias("section"))
-    cells = rows.join(roles, "doc_id") if rows is not None else None
+    cells = table(dealt(rows), "rows") if rows is not None else None
     if rows is not None and "page" in rows.columns:
         hits = hits.unionByName(cells.select("doc_id", "page", F.explode("cells").alias("c"), "role").select("doc_id", "page", F.explode(of_role(F.coalesce("c", F.lit("")))).alias("section")), allowMissingColumns=True)
     found = extract_by_section(read, own.drop("role"), cells.drop("role") if rows is not None else None, rules, hits=hits)
@@ -399,13 +463,10 @@ def extract_by_section(docs: DataFrame, blocks: DataFrame, rows: DataFrame | Non
     obs = observed(candidates(blocks, rows, rules), rules).withColumn("section", section)
     free = F.col("section") == ""  # fields of no section are read from the whole document
     obs = obs.withColumns({c: F.when(~free, F.col(c)) for c in ("first", "last")})
-    by = ("doc_id", "field", "page", "score")
     scoped = layout.inside(obs, areas.unionByName(everywhere), ["doc_id", "section"], "first", "last")
-    each = settle(scoped.select(*by, "source", "ix", "k", "raw", "value", "class", "excerpt"), rules, by)
-    rest = ("status", "class", "values", "lexeme", "blocks", "own")
-    best = each.groupBy("doc_id", "field").agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("page"))).alias("r")).select("doc_id", "field", "r.*")
-    found = day_counts(best)
-    seen = areas.select("doc_id", "section").distinct().withColumn("located", F.lit(True))
-    d = _every_field(docs, rules).withColumn("section", _of_field({n: r.section for n, r in rules.items()})).join(seen, ["doc_id", "section"], "left").join(found, ["doc_id", "field"], "left")
-    failure = F.when(F.col("status").isNull(), F.when(F.col("section").isNotNull() & F.col("located").isNull(), "LOCATION_MISS").otherwise("PARSING_MISS"))
-    return d.select("doc_id", "field", F.coalesce("status", F.lit("MISSING")).alias("status"), *rest[1:], failure.alias("failure"))
+    found = day_counts(settle_best(scoped, rules))
+    seen = areas.groupBy("doc_id").agg(F.collect_set("section").alias("seen"))  # a row for each document, so its fields aren't shuffled to find their sections
+    d = docs.select("doc_id").distinct().join(seen, "doc_id", "left").select("doc_id", "seen", F.explode(F.array(*map(F.lit, rules))).alias("field"))
+    d = d.withColumn("section", _of_field({n: r.section for n, r in rules.items()})).withColumn("located", F.array_contains("seen", F.col("section"))).join(found, ["doc_id", "field"], "left")
+    failure = F.when(F.col("status").isNull(), F.when(F.col("section").isNotNull() & ~F.coalesce("located", F.lit(False)), "LOCATION_MISS").otherwise("PARSING_MISS"))
+    return d.select("doc_id", "field", F.coalesce("status", F.lit("MISSING")).alias("status"), *SETTLED[1:], failure.alias("failure"))

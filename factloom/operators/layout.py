@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import lexemes as L
+
 PAGE = 10  # blocks of a page, where pages are made of lines
 
 
@@ -14,9 +18,41 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.select("doc_id", F.col("ix").cast("long").alias("ix"), F.floor(F.col("ix") / per_page).cast("long").alias("page"), "block")
 
 
+def _starts(pattern: str) -> set[str] | None:
+    """What a match of a pattern can begin with, in lower case: the letters that open its alternatives; None if they don't tell."""
+    m, alternatives, depth, at = re.match(r"\(\?iu?\)", pattern), [""], 0, 0
+    body = pattern[m.end():] if m else pattern
+    for x in re.findall(r"(?s)\\.|\[\^?\]?(?:\\.|[^\]])*\]|.", body):
+        depth += (x == "(") - (x == ")")
+        if x == "|" and depth == 0:
+            alternatives.append("")
+        else:
+            alternatives[-1] += x
+    out = set()
+    for a in alternatives:
+        lit = re.match(r"(?:\\b)?([A-Za-z0-9/]+)", a)
+        word = lit[1][: -1 if a[lit.end() :][:1] in ("?", "*", "{") else None] if lit else ""
+        if len(word) < 2:
+            return None
+        out.add(word.lower())
+    return out
+
+
+def may_hold(text: Column, pattern: str, lower: Column | None = None) -> Column:
+    """False where a text of ASCII has none of the words that matches of a pattern begin with, which is quickly seen; other letters may be forms of ASCII ones."""
+    words = _starts(pattern)
+    if words is None:
+        return F.lit(True)
+    out, low = F.octet_length(text) != F.length(text), F.lower(text) if lower is None else lower
+    for w in sorted(words):
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
 def section_hits(blocks: DataFrame, sections: dict[str, str], rows: DataFrame | None = None) -> DataFrame:
     """Blocks that match a section's pattern, once for each section; with `rows` (doc_id, page, cells) also their cells, which have no place (ix)."""
-    tests = lambda c: F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(s)) for s, p in sections.items()]))
+    of = lambda x: F.array_compact(F.array(*[F.when(may_hold(x["text"], p, x["low"]) & x["text"].rlike(p), F.lit(s)) for s, p in sections.items()]))
+    tests = lambda c: L.let(F.struct(c.alias("text"), F.lower(c).alias("low")), of)
     hits = blocks.withColumn("section", F.explode(tests(F.col("block"))))
     if rows is None:
         return hits

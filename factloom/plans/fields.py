@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import extract, layout, metrics
 from factloom.plans.registry import Tables, query
+from factloom.sources.shared import dealt
 
 
 def _sheets(t: Tables) -> DataFrame:
@@ -92,12 +93,13 @@ UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, 'no extractor for role
 def extract_documents(t: Tables) -> DataFrame:
     """All fields, read from text, tables and boxes by the sections of each document's role, and verified."""
     k = F.col("c_custkey")
+    customers = dealt(t.customer.select("c_custkey"), "c_custkey", each=10)  # a document has about ten blocks, which files of keys don't show
     digits = F.lpad(k.cast("string"), 10, "0")
-    docs = t.customer.select(k.alias("doc_id"), F.get(F.array(*map(F.lit, _DOC_ROLES)), (k % 4).cast("int")).alias("role"))
+    docs = customers.select(k.alias("doc_id"), F.get(F.array(*map(F.lit, _DOC_ROLES)), (k % 4).cast("int")).alias("role"))
     lines = F.get(F.array(*(F.array(*map(F.lit, x)) for x in _LINES)), (k % 4).cast("int"))
     boxed = F.try_element_at(F.create_map(*(x for i, b in _BOXES.items() for x in (F.lit(i), F.array(*map(F.lit, b))))), F.when(k % 4 == 2, F.col("ix")))
-    blocks = t.customer.select("c_custkey", F.posexplode(lines).alias("ix", "text")).select(k.alias("doc_id"), F.col("ix").cast("long").alias("ix"), F.floor(F.col("ix") / 10).cast("long").alias("page"), F.replace("text", F.lit("#"), digits).alias("text"), *(F.get(boxed, i).alias(c) for i, c in enumerate("ltrb")))
-    rows = t.customer.where(k % 4 == 1).select(k.alias("doc_id"), F.lit(0).alias("table"), digits.alias("digits"), F.posexplode(F.array(*(F.array(*map(F.lit, x)) for x in _CELLS))).alias("row", "cells"))
+    blocks = customers.select("c_custkey", F.posexplode(lines).alias("ix", "text")).select(k.alias("doc_id"), F.col("ix").cast("long").alias("ix"), F.floor(F.col("ix") / 10).cast("long").alias("page"), F.replace("text", F.lit("#"), digits).alias("text"), *(F.get(boxed, i).alias(c) for i, c in enumerate("ltrb")))
+    rows = customers.where(k % 4 == 1).select(k.alias("doc_id"), F.lit(0).alias("table"), digits.alias("digits"), F.posexplode(F.array(*(F.array(*map(F.lit, x)) for x in _CELLS))).alias("row", "cells"))
     rows = rows.select("doc_id", "table", "row", F.transform("cells", lambda x: F.replace(x, F.lit("#"), F.col("digits"))).alias("cells"))
     r = extract.extract_documents(docs, blocks, rows)
     return r.select("doc_id", "field", "status", "class", F.when(F.size("values") > 0, F.array_join("values", "; ")).alias("value"), "failure", "note")
