@@ -403,7 +403,9 @@ def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None)
     texts = blocks.select("doc_id", F.col("text").alias("c"))
     if rows is not None:
         texts = texts.unionByName(rows.select("doc_id", F.explode("cells").alias("c")))
-    there = texts.join(lost.groupBy("doc_id").agg(F.collect_list(F.struct("field", "_said")).alias("_all")), "doc_id")  # a document has a row for each field at most
+    n = tasks(d)
+    asked_of = lost.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("field", "_said")).alias("_all"))
+    there = texts.repartition(n, "doc_id").join(asked_of, "doc_id")  # a document has a row for each field at most
     there = there.withColumn("_text", key(F.coalesce("c", F.lit("")))).select("doc_id", F.explode(F.filter("_all", lambda x: F.contains(F.col("_text"), x["_said"]))["field"]).alias("field"))
     looked = d.where("_lost").join(there.distinct().withColumn("_there", F.lit(True)), ["doc_id", "field"], "left")
     d = d.where("not _lost").unionByName(looked, allowMissingColumns=True)  # the others aren't shuffled
