@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.lexemes import let
 from factloom.operators import metrics
+from factloom.sources.shared import table
 
 ODD = "odd"  # key of values whose letters can't be told here
 MONTHS = {name: f"{i:02d}" for table in (metrics.MONTHS_ES, metrics.MONTHS_EN) for i, name in enumerate(table, 1)}
@@ -48,6 +49,11 @@ def keys(value: Column) -> Column:
     return F.array_distinct(F.array_compact(F.when(shape.isNotNull(), F.array(shape)).otherwise(F.concat(scalar, F.when(odd, F.array(F.lit(ODD))).otherwise(F.array().cast("array<string>"))))))
 
 
+def _met(d: DataFrame) -> DataFrame:
+    """To be joined by shuffle: files' sizes tell nothing of rows that come out of one row, which the driver would hold for a broadcast."""
+    return d.hint("merge")
+
+
 def covered(gold: DataFrame, candidates: DataFrame, takes: dict[str, tuple[str, ...]]) -> DataFrame:
     """Adds `covered` to gold (case_id, field, value): whether a candidate (case_id, field, value) of its case, of a field that it takes, denotes the same.
 
@@ -57,17 +63,21 @@ def covered(gold: DataFrame, candidates: DataFrame, takes: dict[str, tuple[str,
     own = F.try_element_at(F.create_map(*(x for k, v in takes.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>")))), F.col("field"))
     g = gold.where("value is not null").select("case_id", F.col("field").alias("schema_field"), F.explode(own).alias("field"), F.col("value").alias("gold_value"), F.struct("case_id", "field", "value").alias("unit")).distinct()
     c = candidates.where("value is not null").select("case_id", "field", F.col("value").alias("found")).distinct()
-    settled = g.join(c.withColumnRenamed("found", "gold_value"), ["case_id", "field", "gold_value"], "left_semi").select("unit")
-    a, b = g.withColumn("keys", keys(F.col("gold_value"))), c.withColumn("keys", keys(F.col("found")))
-    meet = a.withColumn("key", F.explode("keys")).join(b.withColumn("key", F.explode("keys")), ["case_id", "field", "key"]).select("unit", "gold_value", "found")
     odd = F.array_contains("keys", ODD)
-    for x, y in ((a.where(odd), b.where(~odd)), (a.where(~odd), b.where(odd))):
-        meet = meet.unionByName(x.drop("keys").join(y.drop("keys"), ["case_id", "field"]).select("unit", "gold_value", "found"))
-    pairs = meet.where("gold_value <> found").distinct().join(settled.distinct(), "unit", "left_anti")
+    # written, so that filters on keys aren't pushed below `distinct`, where keys would be worked out for each row again
+    a, b = (table(d.withColumn("keys", keys(F.col(v))).withColumn("odd", odd), name) for d, v, name in ((g, "gold_value", "gold"), (c, "found", "candidates")))
+    settled = table(a.join(_met(b.select("case_id", "field", F.col("found").alias("gold_value"))), ["case_id", "field", "gold_value"], "left_semi").select("unit").distinct(), "settled")
+    written, a = a, a.join(_met(settled), "unit", "left_anti")
+    by_key = lambda d: d.withColumn("key", F.explode("keys")).withColumn("key", F.xxhash64("key"))  # noqa: E731 - two keys of one hash cost a comparison
+    meet = by_key(a).join(_met(by_key(b).select("case_id", "field", "key", "found")), ["case_id", "field", "key"]).select("unit", "gold_value", "found")
+    for some, x, y in ((not written.where("odd").isEmpty(), a.where("odd"), b.where("not odd")), (not b.where("odd").isEmpty(), a.where("not odd"), b.where("odd"))):
+        if some:
+            meet = meet.unionByName(x.drop("keys", "odd").join(_met(y.drop("keys", "odd")), ["case_id", "field"]).select("unit", "gold_value", "found"))
+    pairs = meet.where("gold_value <> found").distinct()
     as_json = lambda c: F.when(F.ltrim(c).rlike(r"^[\[{]"), F.concat(F.lit("["), F.col(c), F.lit("]"))).otherwise(F.to_json(F.array(c)))
     equal = pairs.where(metrics.same_json_column(as_json("gold_value"), as_json("found"))).select("unit")
     hit = settled.unionByName(equal).distinct().withColumn("covered", F.lit(True))
-    d = gold.withColumn("unit", F.struct("case_id", "field", "value")).join(hit, "unit", "left").drop("unit")
+    d = gold.withColumn("unit", F.struct("case_id", "field", "value")).join(_met(hit), "unit", "left").drop("unit")
     return d.withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 

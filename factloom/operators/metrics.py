@@ -464,7 +464,8 @@ def same_json_column(a: Column, b: Column) -> Column:
     """Whether two columns of JSON hold the same values. Equal texts, and pairs of plain numbers, are settled in Spark; what is left goes to Python."""
 
     def work(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else same_values(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)])
+        same = {(x, y): None if x is None or y is None else same_values(json.loads(x), json.loads(y)) for x, y in {*zip(a, b, strict=True)}}  # values come again and again
+        return pd.Series([same[xy] for xy in zip(a, b, strict=True)], dtype=object)
 
     numbers = _plain_number(a).isNotNull() & _plain_number(b).isNotNull()
     rest = (a != b) & ~numbers
