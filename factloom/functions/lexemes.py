@@ -66,8 +66,11 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once: nested rules would repeat it in the generated code."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """`body` of a value that is computed once: nested rules would repeat it in the generated code.
+
+    As the end of an empty sum: an element of a transformed array would have its type worked out, through all of `body`, for each row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def squeezed(c: Column) -> Column:

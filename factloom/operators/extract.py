@@ -123,66 +123,87 @@ def _heads(label: str, letters: int = 2) -> set[str] | None:
     return {h.lower() for h in map("".join, itertools.product(*(x.strip("[]") for x in m.groups()))) if h.isascii()} if m and "|" not in rest else None
 
 
-def _may_open(text: Column, rules: dict[str, Rule]) -> Column:
-    """A bit for each rule of which a label may open the text, by its first three characters after numbers (two, where a label tells no more): a pattern is tried only where they fit."""
+def _head(text: Column) -> Column:
+    """The first three characters after numbers, in lower case."""
+    return F.lower(F.regexp_extract(text, rf"(?ius)^{NUMBERING}(.{{0,3}})", 1))
+
+
+def _head_bits(h: Column, rules: dict[str, Rule]) -> Column:
+    """A bit for each rule of which a label may open a text with this head (two characters of it, where a label tells no more)."""
     own = [(1 << i, _heads(x), _heads(x, 3)) for i, r in enumerate(rules.values()) for x in r.labels]
     any_, short, at = 0, {}, {}
     for b, two, three in own:
         any_ |= b if two is None else 0
-        for h in two or () if three is None else ():
-            short[h] = short.get(h, 0) | b
+        for h2 in two or () if three is None else ():
+            short[h2] = short.get(h2, 0) | b
     for b, two, three in own:
-        for h in three or ():
-            at[h] = at.get(h, any_ | short.get(h[:2], 0)) | b
+        for h3 in three or ():
+            at[h3] = at.get(h3, any_ | short.get(h3[:2], 0)) | b
     every = F.lit(-1).cast("long")
     if len(rules) > 62 or not at:
         return every
-    known = lambda bits: F.create_map(*(x for h, b in bits.items() for x in (F.lit(h), F.lit(b).cast("long"))))
+    # by place, as a lookup in a map is rewritten to comparisons, one after the other
+    known = lambda bits, k: F.get(F.array(*(F.lit(b).cast("long") for b in bits.values())), (F.array_position(F.array(*map(F.lit, bits)), k) - 1).cast("int"))
+    two = [known({k: b | any_ for k, b in short.items()}, F.substring(h, 1, 2))] if short else []
+    return F.when(F.octet_length(h) != F.length(h), every).otherwise(F.coalesce(known(at, h), *two, F.lit(any_).cast("long")))  # other letters may be forms of ASCII ones
 
-    def bits(h: Column) -> Column:
-        two = [F.try_element_at(known({k: b | any_ for k, b in short.items()}), F.substring(h, 1, 2))] if short else []
-        return F.when(h.rlike(r"[^\x00-\x7F]"), every).otherwise(F.coalesce(F.try_element_at(known(at), h), *two, F.lit(any_).cast("long")))  # other letters may be forms of ASCII ones
 
-    return L.let(F.lower(F.regexp_extract(text, rf"(?ius)^{NUMBERING}(.{{0,3}})", 1)), bits)  # a lookup is rewritten to comparisons, of which each would work its key out
+def _may_open(text: Column, rules: dict[str, Rule]) -> Column:
+    """A bit for each rule of which a label may open the text, by its first three characters after numbers: a pattern is tried only where they fit."""
+    return L.let(_head(text), lambda h: _head_bits(h, rules))
 
 
+AFTER = r"^\s*([:\-]?)\s*(.{0,200})"  # separator and value after a label
 SOME = 4  # rules that are passed over at once
 
 
 def _labels(texts: list[Column], rules: dict[str, Rule]) -> Column:
-    """Array of field, which (the first of the texts that one of its labels opens), sep and value. Patterns are literals, so each is compiled once.
+    """Array of field, which (the first of the texts that one of its labels opens), sep and value; each further text begins with the first. Patterns are literals, so each is compiled once.
 
-    What follows a label is found as a text after the numbers of its rule and text (an array of structs would have its type worked out for
-    each row), and is taken apart by one plain pattern, which fits whatever follows.
+    Labels are found as numbers of their rule and text with the label's length, in one text (an array of structs would have its type worked out
+    for each row), and what follows is taken apart by one plain pattern, which fits whatever follows.
     """
-    facts = F.struct(*(t.alias(f"t{k}") for k, t in enumerate(texts)), *(_may_open(t, rules).alias(f"m{k}") for k, t in enumerate(texts)))
     n, few = len(texts), len(rules) <= 62
     opens = list(enumerate(map(opening, rules.values())))
 
+    def known(x: Column) -> Column:
+        """With the rules that may open each text: those of the first text's head, where it is whole and no number goes on after it."""
+        whole = (F.length(x["h"]) == 3) & (F.octet_length(x["h"]) == 3) & ~x["t0"].startswith("(")
+        further = lambda k: F.when(x[f"t{k}"].isNull(), F.lit(0).cast("long")).when(whole, x["m"]).otherwise(_may_open(x[f"t{k}"], rules))
+        return F.struct(*(x[f"t{k}"].alias(f"t{k}") for k in range(n)), x["m"].alias("m0"), *(further(k).alias(f"m{k}") for k in range(1, n)))
+
     def of(x: Column, i: int, rx: str) -> Column:
-        c = F
-        for k in range(n):
-            t = x[f"t{k}"]
-            rest = F.substr(t, F.length(F.regexp_extract(t, rx, 0)) + 1)
-            c = c.when((x[f"m{k}"].bitwiseAND(F.lit(1 << i if few else -1).cast("long")) != 0) & t.rlike(rx), F.concat(F.lit(f"{i:04d}{k:02d}"), rest))
-        return c
-
-    def rests(x: Column) -> Column:
+        def at(k: int) -> Column:
+            mark = lambda size: F.when(size > 0, F.concat(F.lit(f"{i:04d}{k:02d}"), size.cast("string"), F.lit(",")))  # noqa: E731 - no label is empty
+            return F.when(x[f"m{k}"].bitwiseAND(F.lit(1 << i if few else -1).cast("long")) != 0, L.let(F.length(F.regexp_extract(x[f"t{k}"], rx, 0)), mark))
+
+        return F.coalesce(*map(at, range(n)))
+
+    def found(x: Column) -> Column:
         may = x["m0"]
         for k in range(1, n):
             may = may.bitwiseOR(x[f"m{k}"])
-        none, parts = F.array().cast("array<string>"), []
+        parts = []
         for at in range(0, len(opens), SOME):
             some = opens[at : at + SOME]
-            parts.append(F.when(may.bitwiseAND(F.lit(sum(1 << i for i, _ in some) if few else -1).cast("long")) != 0, F.array(*(of(x, i, rx) for i, rx in some))).otherwise(none))
-        return F.filter(F.flatten(F.array(*parts)), lambda r: r.isNotNull())
+            parts.append(F.when(may.bitwiseAND(F.lit(sum(1 << i for i, _ in some) if few else -1).cast("long")) != 0, F.concat_ws("", *(of(x, i, rx) for i, rx in some))))
+        return F.when(may != 0, F.rtrim(F.concat_ws("", *parts), F.lit(",")))
 
-    def label(r: Column) -> Column:
+    def label(r: Column, x: Column) -> Column:
         number = lambda at, size: F.substring(r, at, size).cast("int")
-        after = lambda g: F.regexp_extract(F.substr(r, F.lit(7)), r"^\s*([:\-]?)\s*(.{0,200})", g)
-        return F.struct(F.element_at(F.array(*map(F.lit, rules)), number(1, 4) + 1).alias("field"), number(5, 2).alias("which"), after(1).alias("sep"), F.trim(after(2)).alias("value"))
+        t = x["t0"]
+        for k in range(1, n):
+            t = F.when(number(5, 2) == k, x[f"t{k}"]).otherwise(t)
+        rest = F.substr(t, number(7, 10) + 1)
+        of_rest = lambda rest: F.struct(F.element_at(F.array(*map(F.lit, rules)), number(1, 4) + 1).alias("field"), number(5, 2).alias("which"), F.regexp_extract(rest, AFTER, 1).alias("sep"), F.trim(F.regexp_extract(rest, AFTER, 2)).alias("value"))
+        return L.let(rest, of_rest)
+
+    def labelled(x: Column) -> Column:
+        return L.let(found(x), lambda s: F.transform(F.when(s != "", F.split(s, ",")).otherwise(F.array().cast("array<string>")), lambda r: label(r, x)))
 
-    return L.let(facts, lambda x: F.transform(rests(x), label))
+    facts = F.struct(*(t.alias(f"t{k}") for k, t in enumerate(texts)), _head(texts[0]).alias("h"))
+    facts = L.let(facts, lambda x: F.struct(*(x[f"t{k}"].alias(f"t{k}") for k in range(n)), x["h"].alias("h"), _head_bits(x["h"], rules).alias("m")))
+    return L.let(L.let(facts, known), labelled)
 
 
 def _is_label(text: Column, rules: dict[str, Rule]) -> Column:
@@ -336,33 +357,49 @@ def settle_best(scoped: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
 
 
 def _settled(gathered: DataFrame, rules: dict[str, Rule], by: tuple[str, ...]) -> DataFrame:
-    key = L.verbatim_key
-    several = F.size("all") > 1  # of one entry nothing is to be left out
-    g = gathered.withColumn("all", F.when(several, F.array_sort("all")).otherwise(F.col("all")))
-    labelled = F.filter("all", lambda x: x["source"] != 2)
-    g = g.withColumn("all", F.when(several & F.exists("all", lambda x: x["source"] == 2) & F.exists("all", lambda x: x["source"] != 2), labelled).otherwise(F.col("all")))
-    some = F.filter("all", lambda x: ~x["value"].eqNullSafe(F.lit("NOT_APPLICABLE")))
-    g = g.withColumn("obs", F.when(several & F.exists("all", lambda x: x["value"].eqNullSafe(F.lit("NOT_APPLICABLE"))) & (F.size(some) > 0), some).otherwise(F.col("all")))
-    g = g.withColumn("valued", F.filter("obs", lambda x: x["value"].isNotNull())).withColumn("names", F.array_distinct(F.transform("valued", lambda x: x["value"])))
-    whole = F.filter("obs", lambda x: x["value"].isNull() | ~F.exists("names", lambda y: (y != x["value"]) & F.contains(y, x["value"])))
-    g = g.withColumn("kept", F.when(F.size("names") > 1, whole).otherwise(F.col("obs")))
-    kinds = F.size(F.array_distinct(F.transform("kept", lambda x: F.coalesce(x["value"], F.lit("\0")))))
-    multi = _of_field({n: str(r.multi) for n, r in rules.items()}) == "True"
-    one = F.when(F.size("names") == 1, F.get("valued", 0)).when(F.size("names") == 0, F.get("obs", 0)).when(kinds == 1, F.get("kept", 0))
-    g = g.withColumns({"one": one, "multi": multi})
-    status = F.when(F.col("one.class") == "anchored", "DERIVED").when(F.col("one").isNotNull() | F.col("multi"), "OBSERVED").otherwise("CONFLICT")
-    values = F.when(F.col("one").isNotNull(), F.array_compact(F.array("one.value"))).otherwise(F.transform("kept", lambda x: F.when(F.col("multi"), F.coalesce(x["value"], x["raw"])).otherwise(x["value"])))
-    evidence = F.when(F.size("names") == 1, F.col("obs")).when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("kept"))
-    g = g.withColumn("evidence", evidence)
-    plain = F.octet_length("one.raw") == F.length("one.raw")  # ASCII, so lower case doesn't hang on what stands about it: what is there as it is, is there by its key
-    own = F.exists("evidence", lambda x: (x["excerpt"] != "") & (F.col("one").isNull() | (plain & F.contains(x["excerpt"], F.col("one.raw"))) | F.contains(key(x["excerpt"]), key(F.col("one.raw")))))
-    return g.select(*by, status.alias("status"), F.when(F.col("one").isNotNull(), F.col("one.class")).when(F.col("multi"), "multi_aspect").alias("class"), values.alias("values"), F.col("one.raw").alias("lexeme"), F.transform("evidence", lambda x: x["ix"]).alias("blocks"), own.alias("own"))
+    """One observation of each list `all` (nothing of NULL). Steps are values of one expression: as columns, each would copy all lists of its row."""
+    key, let = L.verbatim_key, L.let
+    na = lambda x: x["value"].eqNullSafe(F.lit("NOT_APPLICABLE"))
+
+    def of_several(all_: Column) -> Column:
+        labelled = let(F.filter(all_, lambda x: x["source"] != 2), lambda some: F.when((F.size(some) > 0) & (F.size(some) < F.size(all_)), some).otherwise(all_))
+        return let(labelled, lambda each: let(F.filter(each, lambda x: ~na(x)), lambda some: F.when(F.size(some) > 0, some).otherwise(each)))
+
+    def named(obs: Column) -> Column:
+        valued = F.filter(obs, lambda x: x["value"].isNotNull())
+        return let(F.struct(obs.alias("obs"), valued.alias("valued")), lambda s: F.struct(s["obs"].alias("obs"), s["valued"].alias("valued"), F.array_distinct(F.transform(s["valued"], lambda x: x["value"])).alias("names")))
+
+    def kept(s: Column) -> Column:
+        whole = F.filter(s["obs"], lambda x: x["value"].isNull() | ~F.exists(s["names"], lambda y: (y != x["value"]) & F.contains(y, x["value"])))
+        return let(F.when(F.size(s["names"]) > 1, whole).otherwise(s["obs"]), lambda k: F.struct(s["obs"].alias("obs"), s["valued"].alias("valued"), F.size(s["names"]).alias("n"), k.alias("kept")))
+
+    def chosen(s: Column) -> Column:
+        kinds = F.size(F.array_distinct(F.transform(s["kept"], lambda x: F.coalesce(x["value"], F.lit("\0")))))
+        one = F.when(s["n"] == 1, F.get(s["valued"], 0)).when(s["n"] == 0, F.get(s["obs"], 0)).when(kinds == 1, F.get(s["kept"], 0))
+        return let(one, lambda one: F.struct(one.alias("one"), s["kept"].alias("kept"), F.when(s["n"] == 1, s["obs"]).when(one.isNotNull(), F.array(one)).otherwise(s["kept"]).alias("evidence")))
+
+    multi = F.col("multi")
+
+    def told(s: Column) -> Column:
+        one = s["one"]
+        status = F.when(one["class"] == "anchored", "DERIVED").when(one.isNotNull() | multi, "OBSERVED").otherwise("CONFLICT")
+        values = F.when(one.isNotNull(), F.array_compact(F.array(one["value"]))).otherwise(F.transform(s["kept"], lambda x: F.when(multi, F.coalesce(x["value"], x["raw"])).otherwise(x["value"])))
+        plain = F.octet_length(one["raw"]) == F.length(one["raw"])  # ASCII, so lower case doesn't hang on what stands about it: what is there as it is, is there by its key
+        own = F.exists(s["evidence"], lambda x: (x["excerpt"] != "") & (one.isNull() | (plain & F.contains(x["excerpt"], one["raw"])) | F.contains(key(x["excerpt"]), key(one["raw"]))))
+        kind = F.when(one.isNotNull(), one["class"]).when(multi, "multi_aspect")
+        return F.struct(status.alias("status"), kind.alias("class"), values.alias("values"), one["raw"].alias("lexeme"), F.transform(s["evidence"], lambda x: x["ix"]).alias("blocks"), own.alias("own"))
+
+    several = let(F.array_sort("all"), of_several)
+    obs = F.when(F.size("all") > 1, several).otherwise(F.col("all"))  # of one entry nothing is to be left out
+    r = F.when(F.col("all").isNotNull(), let(let(let(let(obs, named), kept), chosen), told))
+    g = gathered.withColumn("multi", _of_field({n: str(x.multi) for n, x in rules.items()}) == "True")
+    return g.select(*by, F.explode(F.array(r)).alias("r")).select(*by, *(F.col("r")[c].alias(c) for c in SETTLED))  # a generator, so it isn't worked out for each column
 
 
 def day_counts(settled: DataFrame) -> DataFrame:
     """Day counts by their convention; a lexeme of none stays observed without a value."""
     own = (F.col("field") == "day_count") & F.col("lexeme").isNotNull()
-    name = L.resolve_daycount(F.col("lexeme"), F.col("lexeme"))
+    name = F.when(own, L.resolve_daycount(F.col("lexeme"), F.col("lexeme")))  # not of all fields, as what several columns share would be
     lost = own & name.isNull() & (F.col("status") == "DERIVED")
     return settled.withColumns({
         "values": F.when(own & name.isNotNull(), F.array(name)).when(lost, F.array().cast("array<string>")).otherwise(F.col("values")),
@@ -376,15 +413,22 @@ def candidates(blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str
     return out.unionByName(table_candidates(rows, rules)) if rows is not None else out
 
 
-def _every_field(docs: DataFrame, rules: dict[str, Rule]) -> DataFrame:
-    return docs.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, rules))).alias("field"))
+def _each_field(docs: DataFrame, observations: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """A settled row for each document and field, MISSING where nothing was observed. A group is what one document says, so nothing but it is gathered and its fields aren't joined anew."""
+    said = observations.groupBy("doc_id").agg(F.collect_list(F.struct("field", F.struct(*ENTRY).alias("entry"))).alias("said"))
+    of = lambda f: F.transform(F.filter("said", lambda x: x["field"] == f), lambda x: x["entry"])
+    d = docs.join(said.hint("shuffle_hash"), "doc_id", "left").select("doc_id", F.inline(F.transform(F.array(*map(F.lit, rules)), lambda f: F.struct(f.alias("field"), of(f).alias("all")))))
+    d = day_counts(_settled(d.withColumn("all", F.when(F.size("all") > 0, F.col("all"))), rules, ("doc_id", "field")))
+    return d.withColumn("status", F.coalesce("status", F.lit("MISSING")))
 
 
 def extract_all(docs: DataFrame, blocks: DataFrame, rows: DataFrame | None = None, rules: dict[str, Rule] = RULES, role: str = "final_terms") -> DataFrame:
-    """A row for each document and field, read from the whole document; MISSING where nothing was found, no rows for a role that isn't read."""
-    docs = docs.where(F.lit(role in ROLES))
-    found = day_counts(settle(observed(candidates(blocks, rows, rules), rules), rules))
-    return _every_field(docs, rules).join(found, ["doc_id", "field"], "left").withColumn("status", F.coalesce("status", F.lit("MISSING")))
+    """A row for each document and field, read from the whole document; MISSING where nothing was found, no rows for a role that isn't read.
+
+    Documents, blocks and rows that are dealt out by document (`shared.dealt`) are read where they lie, without a shuffle.
+    """
+    docs = docs.where(F.lit(role in ROLES)).select("doc_id").distinct()
+    return _each_field(docs, observed(candidates(blocks, rows, rules), rules), rules)
 
 
 def verify(fields: DataFrame, blocks: DataFrame, rows: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from factloom.sources.shared import dealt
 
 
 def _sheets(t: Tables) -> DataFrame:
+    """Dealt out by order, as a sheet has 13 lines, which files of keys and dates don't show: sheets are read where they lie then."""
     k = F.col("o_orderkey")
     lines = (
         F.lit("Final Terms"), F.when(k % 3 == 0, "(i) Specified Currency: U.S. dollars").otherwise("Divisa: euros"), F.lit("Aggregate Nominal"), F.concat(F.lit("Amount: "), k, F.lit(".000.000 Euros")),
@@ -18,7 +19,7 @@ def _sheets(t: Tables) -> DataFrame:
         F.concat(F.lit("Issue Date: 01/02/2020"), F.when(k % 5 == 0, " · Fecha de emisión: 03/02/2020").otherwise("")), F.concat(F.lit("Day Count Fraction: "), F.when(k % 2 == 0, "ACT/ACT ICMA").otherwise("17/99")),
         F.concat(F.lit("ISIN XS"), F.lpad(k.cast("string"), 10, "0")), F.lit("Status of the Notes: Senior Preferred"), F.when(k % 6 == 0, "Put Option: 5 August 2030").when(k % 6 < 4, "Call Option: Not applicable").otherwise("Nothing more"),
     )
-    return t.orders.select(k.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+    return dealt(t.orders.select("o_orderkey", "o_orderdate"), "o_orderkey", each=13).select(k.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 _FIELDS = ", ".join(f"('{n}', {chr(39) + r.section + chr(39) if r.section else 'NULL'})" for n, r in extract.RULES.items())
