@@ -509,10 +509,11 @@ def extract_by_section(docs: DataFrame, blocks: DataFrame, rows: DataFrame | Non
     obs = observed(candidates(blocks, rows, rules), rules).withColumn("section", section)
     free = F.col("section") == ""  # fields of no section are read from the whole document
     obs = obs.withColumns({c: F.when(~free, F.col(c)) for c in ("first", "last")})
-    scoped = layout.inside(obs, areas.unionByName(everywhere), ["doc_id", "section"], "first", "last")
+    # by shuffle: sizes of files tell nothing of lines and observations that come out of one row, which the driver would hold for a broadcast
+    scoped = layout.inside(obs.hint("merge"), areas.unionByName(everywhere), ["doc_id", "section"], "first", "last")
     found = day_counts(settle_best(scoped, rules))
     seen = areas.groupBy("doc_id").agg(F.collect_set("section").alias("seen"))  # a row for each document, so its fields aren't shuffled to find their sections
     d = docs.select("doc_id").distinct().join(seen, "doc_id", "left").select("doc_id", "seen", F.explode(F.array(*map(F.lit, rules))).alias("field"))
-    d = d.withColumn("section", _of_field({n: r.section for n, r in rules.items()})).withColumn("located", F.array_contains("seen", F.col("section"))).join(found, ["doc_id", "field"], "left")
+    d = d.withColumn("section", _of_field({n: r.section for n, r in rules.items()})).withColumn("located", F.array_contains("seen", F.col("section"))).join(found.hint("merge"), ["doc_id", "field"], "left")
     failure = F.when(F.col("status").isNull(), F.when(F.col("section").isNotNull() & ~F.coalesce("located", F.lit(False)), "LOCATION_MISS").otherwise("PARSING_MISS"))
     return d.select("doc_id", "field", F.coalesce("status", F.lit("MISSING")).alias("status"), *SETTLED[1:], failure.alias("failure"))

@@ -72,3 +72,12 @@ def test_documents_without_observations(spark):
     assert len(got) == 2 * len(extract.RULES) and {r["doc_id"] for r in got} == {1, 2}
     assert sorted((r["doc_id"], r["field"], r["values"]) for r in got if r["status"] != "MISSING") == [(1, "isin", ["XS0000000001"]), (1, "issue_date", ["2020-02-01"])]
     assert all(r["class"] is r["values"] is r["lexeme"] is r["blocks"] is r["own"] is None for r in got if r["status"] == "MISSING")
+
+
+def test_observations_are_not_broadcast(spark, monkeypatch):
+    """Fields by section: the small file of the orders doesn't bring what their sheets say to the driver."""
+    ran = []
+    monkeypatch.setattr(extract.layout, "inside", lambda s, *a, real=extract.layout.inside: ran.append(real(s, *a)) or ran[-1])
+    E.queries()["extract_failures"](spark, SF)
+    plan = ran[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
